@@ -1,13 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontamination, line_dedup
+from . import decontamination, jaccard_join, line_dedup
 
 QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES = {
     "op3_decontamination": decontamination.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }
