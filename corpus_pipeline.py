@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import decontamination, line_dedup
+from tracemill.llm import decontamination, jaccard_join, line_dedup
 from tracemill.llm.shared import Workspace, table
 
 
@@ -13,6 +13,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.dedup_lines(docs)
 
 
+def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words is benchmark passages."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -20,6 +25,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 STAGES = [
     ("line_dedup", line_dedup_stage),
+    ("jaccard_join", jaccard_join_stage),
     ("decontamination", decontamination_stage),
 ]
 
