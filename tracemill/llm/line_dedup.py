@@ -127,7 +127,7 @@ def dropped_lines(
         runs.ingest(lines.where(F.col("__tm_batch") == batch))
     hot = space.save(runs.merged().where(F.col("docs") >= min_docs).select(*KEY, "last"), "hot")
     space.drop(*(name for name, _ in runs.runs()))
-    lost = lines.join(hot, KEY).where(~F.col("__tm_doc").eqNullSafe(F.col("last")))
+    lost = lines.join(hot.hint("merge"), KEY).where(~F.col("__tm_doc").eqNullSafe(F.col("last")))
     word = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     lost = lost.groupBy("__tm_doc").agg(F.collect_list(F.concat(*map(word, KEY))).alias("__tm_drop"))
     lost = space.save(lost, "lost")
@@ -154,7 +154,9 @@ def _digest(key: bytes) -> bytes:
 
 
 def _joined(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
-    return docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost["__tm_doc"]), "left").drop("__tm_doc")
+    # the table of drops grows with the documents: the same join at every size, and none that broadcasts it
+    same = docs[id_col].cast("long").eqNullSafe(lost["__tm_doc"])
+    return docs.join(lost.hint("merge"), same, "left").drop("__tm_doc")
 
 
 def dedup_lines(
