@@ -395,7 +395,7 @@ def document_components(
 
     tiles = space.save(_tiles(members, reps), "tiles")
     space.drop("members")
-    tiled = _tiled(docs.join(tiles, "doc_id").select("doc_id", "text", "tiles"), size)
+    tiled = _tiled(docs.join(tiles.hint("merge"), "doc_id").select("doc_id", "text", "tiles"), size)
     key = ["leader", "low", "a", "b"]
     tiled = tiled.repartition(buckets, *key).sortWithinPartitions(*key)
     links = space.save(_links(tiled, percent), "links")
