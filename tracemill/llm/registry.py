@@ -1,15 +1,21 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontamination, jaccard_join, line_dedup
+from . import chat_format, decontamination, jaccard_join, line_dedup, mixing, pii, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_pii": pii.op8_pii,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES = {
     "op3_decontamination": decontamination.ORACLE,
+    "op4_chat_format": chat_format.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
+    "op7_mixing": mixing.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
 }
