@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import decontamination, jaccard_join, line_dedup
+from tracemill.llm import decontamination, jaccard_join, line_dedup, toxicity
 from tracemill.llm.shared import Workspace, table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier, trained on the labelled ones among them, does not find toxic."""
+    return toxicity.keep_clean(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that five or more of them share; the largest id keeps them."""
     return line_dedup.dedup_lines(docs)
@@ -24,6 +29,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("line_dedup", line_dedup_stage),
     ("jaccard_join", jaccard_join_stage),
     ("decontamination", decontamination_stage),
