@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import chat_format, decontamination, jaccard_join, line_dedup, mixing, pii, toxicity
+from . import chat_format, decontamination, flac, jaccard_join, line_dedup, mixing, pii, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_pii": pii.op8_pii,
+    "op9_flac": flac.op9_flac,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
