@@ -12,12 +12,15 @@ set is empty and linked with nothing.  Two documents link when 100 * intersectio
    All prefixes meet by shingle, packed in binary blocks.  Among the classes that share a prefix
    shingle the one with most common shingles leads, and each class becomes a member of its leaders'
    groups.  Two classes that share a prefix shingle thus meet in at least one group.
-3. Groups are cut in tiles: bands of sizes, each with a factor of 4/3, so that a link joins equal or
-   neighbouring bands, and blocks of bounded size within a band.  A tile holds two blocks.  There,
-   bits set in one signature and not in the other bound the overlap from above; pairs that may still
-   link and are not yet connected are decided by exact intersection of the sorted arrays.  A tile
-   returns a spanning forest of its links, never all pairs.
-4. Links are closed to components by alternating large-star and small-star steps.
+3. Large groups are cut in tiles: bands of sizes, each with a factor of 4/3, so that a link joins
+   equal or neighbouring bands, and blocks of bounded size within a band.  A tile holds two blocks.
+4. First the tiles hold bitmap signatures.  Bits set in one and not in the other bound the overlap
+   from above.  A tile returns a spanning forest of the pairs that may still link; closed to
+   components, these are clusters that no link leaves.
+5. Then the clusters' tiles hold the sorted arrays, each document's once or twice.  Pairs that pass a
+   wider signature and are not yet connected are decided by exact intersection, and a tile returns a
+   spanning forest of its links, never all pairs.  Links are closed to components by alternating
+   large-star and small-star steps.
 
 Nulls: a null text has an empty set; a null id is its own class member and takes part as the id of
 no other, its component is null unless its class has an id.  Repeated rows give repeated results.
@@ -44,6 +47,8 @@ BLOCK = 4_000_000
 COMMON_MAX = 200_000
 #: Array elements in a tile's block, and rows in it, at most.
 TILE_ELEMENTS, TILE_ROWS = 2_000_000, 1024
+#: Bits of a signature, at most; it has twice as many as the set has shingles.
+SIGNATURE_MAX = 1 << 16
 
 
 def shingle_sets(column: pa.Array, size: int = SIZE) -> Iterator[tuple[int, np.ndarray]]:
@@ -70,9 +75,17 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 
 _SETS = pa.schema([
     ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-    ("token", pa.int64()), ("held", pa.int64()),
+    ("token", pa.int64()), ("held", pa.int64()), ("signature", pa.binary()),
 ])
-_SETS_SQL = "doc_id long, n long, d1 long, d2 long, token long, held long"
+_SETS_SQL = "doc_id long, n long, d1 long, d2 long, token long, held long, signature binary"
+
+
+def signature(values: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Bitmap of a set: a power of two of bits, at least twice the size; the hash's low bits choose one."""
+    bits = bits or min(SIGNATURE_MAX, 1 << max(6, int(2 * len(values) - 1).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(values & tk.U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(tk.U)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -82,7 +95,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         value, count = np.unique(np.concatenate(block), return_counts=True)
         keep = count >= 3
         nulls = pa.nulls(int(keep.sum()), pa.int64())
-        return batch_of(_SETS, nulls, nulls, nulls, nulls, tk.as_long(value[keep]), count[keep].astype(np.int64))
+        none = pa.nulls(len(nulls), pa.binary())
+        return batch_of(_SETS, nulls, nulls, nulls, nulls, tk.as_long(value[keep]), count[keep].astype(np.int64), none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[np.ndarray] = []
@@ -91,7 +105,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             rows = []
             for _, values in shingle_sets(batch.column(1), size):
                 digest = _digest(values) if len(values) else (None, None)
-                rows.append((len(values), *digest))
+                rows.append((len(values), *digest, signature(values).tobytes() if len(values) else None))
                 if len(values) and digest not in seen:
                     seen.add(digest)
                     block.append(values)
@@ -101,7 +115,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                         block, held, seen = [], 0, set()
             if rows:
                 nulls = pa.nulls(len(rows), pa.int64())
-                yield batch_of(_SETS, batch.column(0), *(list(x) for x in zip(*rows, strict=True)), nulls, nulls)
+                n, d1, d2, maps = (list(x) for x in zip(*rows, strict=True))
+                yield batch_of(_SETS, batch.column(0), n, d1, d2, nulls, nulls, maps)
         if block:
             yield shared(block)
 
@@ -113,11 +128,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 _PACK = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
-_ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("n", "<i4"), ("common", "<u4")])
+_ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("common", "u1")])
 
 
 def _prefixes(docs: DataFrame, common: object, buckets: int, size: int, percent: int) -> DataFrame:
-    """Packed (shingle, set, size, share of common shingles) entries, by hash bucket of the shingle."""
+    """Packed (shingle, set, share of common shingles) entries, by hash bucket of the shingle."""
 
     def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
         entries = np.concatenate(parts)
@@ -142,8 +157,8 @@ def _prefixes(docs: DataFrame, common: object, buckets: int, size: int, percent:
                 level = np.where(table_[np.minimum(at, len(table_) - 1)] == values, rank[np.minimum(at, len(rank) - 1)], 0)
                 order = np.argsort(level, kind="stable")[: prefix_length(n, percent)]  # ties: by hash
                 own = np.empty(len(order), _ENTRY)
-                own["token"], own["set"], own["n"] = values[order], key[0], n
-                own["common"] = int((level > 0).mean() * 1_000_000)
+                own["token"], own["set"] = values[order], key[0]
+                own["common"] = int((level > 0).mean() * 255)
                 parts.append(own)
                 held += len(own)
                 if held >= 1_000_000:
@@ -157,7 +172,7 @@ def _prefixes(docs: DataFrame, common: object, buckets: int, size: int, percent:
     return docs.mapInArrow(run, "bucket int, block binary")
 
 
-_MEMBER = pa.schema([("leader", pa.int64()), ("set", pa.int64()), ("n", pa.int64())])
+_MEMBER = pa.schema([("leader", pa.int64()), ("set", pa.int64())])
 
 
 def _repeated(ordered: np.ndarray) -> np.ndarray:
@@ -183,9 +198,9 @@ def _members(packed: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], entries["token"][1:] != entries["token"][:-1]]))
         leader = np.repeat(entries["set"][first], np.diff(np.append(first, len(entries))))
         order = np.lexsort((entries["set"], leader))
-        leader, held, n = leader[order], entries["set"][order], entries["n"][order].astype(np.int64)
+        leader, held = leader[order], entries["set"][order]
         new = np.concatenate([[True], (leader[1:] != leader[:-1]) | (held[1:] != held[:-1])])
-        return batch_of(_MEMBER, leader[new], held[new], n[new])
+        return batch_of(_MEMBER, leader[new], held[new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blocks = None, []
@@ -200,52 +215,54 @@ def _members(packed: DataFrame) -> DataFrame:
         if blocks and (out := lead(blocks)) is not None:
             yield out
 
-    return packed.mapInArrow(run, "leader long, set long, n long")
+    return packed.mapInArrow(run, "leader long, set long")
+
+
+_KEY = ["key", "low", "a", "b"]
+_TILE_SQL = "struct<key: bigint, low: int, a: int, b: int>"
 
 
-def _tiles(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Per document that a tile needs: the tiles' keys.  A tile is two blocks of equal or neighbouring bands."""
+def _tiles(members: DataFrame) -> DataFrame:
+    """The tiles of each (``key``, ``node``, ``n``): one for a small group; else two blocks of one band, or one
+    each of neighbouring bands, for all such blocks."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
-    members = members.join(reps.select(F.col("d1").alias("set"), F.col("doc_id")), "set").withColumn("band", band)
-    counts = members.groupBy("leader", "band").agg(
-        F.count(F.lit(1)).alias("docs"), F.max("n").alias("most")
-    )
-    rows = F.greatest(F.lit(64), F.least(F.lit(TILE_ROWS), F.floor(F.lit(TILE_ELEMENTS) / F.col("most"))))
-    blocks = counts.select("leader", "band", F.ceil(F.col("docs") / rows).cast("int").alias("blocks"), "docs")
-    below = blocks.select("leader", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    above = blocks.select("leader", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    shape = blocks.join(below, ["leader", "band"], "left").join(above, ["leader", "band"], "left")
-    # a set that is alone with no neighbour has nobody to meet
-    shape = shape.where((F.col("docs") > 1) | F.col("below").isNotNull() | F.col("above").isNotNull())
-    m = members.join(shape, ["leader", "band"])
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    m = m.withColumn("mine", mine)
-    key = lambda low, a, b: F.struct(
-        F.col("leader"), low.cast("int").alias("low"), a.cast("int").alias("a"), b.cast("int").alias("b")
+    members = members.withColumn("band", band)
+    counts = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"))
+    group = counts.groupBy("key").agg(F.sum("rows").alias("whole"), F.sum(F.col("rows") * F.col("most")).alias("elements"))
+    small = (F.col("whole") <= 2 * TILE_ROWS) & (F.col("elements") <= 2 * TILE_ELEMENTS)
+    limit = F.greatest(F.lit(64), F.least(F.lit(TILE_ROWS), F.floor(F.lit(TILE_ELEMENTS) / F.col("most"))))
+    blocks = counts.join(group.where("whole > 1"), "key").select(
+        "key", "band", F.when(small, 0).otherwise(F.ceil(F.col("rows") / limit)).cast("int").alias("blocks")
+    )
+    below = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    above = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    shape = blocks.join(below, ["key", "band"], "left").join(above, ["key", "band"], "left")
+    m = members.join(shape, ["key", "band"])
+    m = m.withColumn("mine", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
+    tile = lambda low, a, b: F.struct(
+        F.col("key"), low.cast("int").alias("low"), a.cast("int").alias("a"), b.cast("int").alias("b")
     )
-    same = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: key(F.col("band") * 2, F.least(F.col("mine"), j), F.greatest(F.col("mine"), j)),
+    none = F.array().cast(f"array<{_TILE_SQL}>")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.transform(
+        each(F.col("blocks")), lambda j: tile(F.col("band") * 2, F.least(F.col("mine"), j), F.greatest(F.col("mine"), j))
     )
     up = F.when(
-        F.col("above").isNotNull(),
-        F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: key(F.col("band") * 2 + 1, F.col("mine"), j)),
-    ).otherwise(F.array().cast("array<struct<leader:bigint,low:int,a:int,b:int>>"))
+        F.col("above") > 0, F.transform(each(F.col("above")), lambda j: tile(F.col("band") * 2 + 1, F.col("mine"), j))
+    ).otherwise(none)
     down = F.when(
-        F.col("below").isNotNull(),
-        F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: key(F.col("band") * 2 - 1, j, F.col("mine"))),
-    ).otherwise(F.array().cast("array<struct<leader:bigint,low:int,a:int,b:int>>"))
-    return (
-        m.withColumn("tile", F.explode(F.concat(same, up, down)))
-        .groupBy("doc_id")
-        .agg(F.collect_set("tile").alias("tiles"))
-    )
+        F.col("below") > 0, F.transform(each(F.col("below")), lambda j: tile(F.col("band") * 2 - 1, j, F.col("mine")))
+    ).otherwise(none)
+    one = F.array(tile(F.lit(-9), F.lit(0), F.lit(0)))
+    tiles = F.when(F.col("blocks") == 0, one).otherwise(F.concat(own, up, down))
+    return m.select("node", tiles.alias("tiles"))
 
 
 _TILED = pa.schema([
-    ("leader", pa.int64()), ("low", pa.int32()), ("a", pa.int32()), ("b", pa.int32()),
-    ("doc", pa.int64()), ("values", pa.binary()),
+    ("key", pa.int64()), ("low", pa.int32()), ("a", pa.int32()), ("b", pa.int32()),
+    ("node", pa.int64()), ("n", pa.int64()), ("values", pa.binary()),
 ])
+_TILED_SQL = "key long, low int, a int, b int, node long, n long, values binary"
 
 
 def _tiled(docs: DataFrame, size: int) -> DataFrame:
@@ -258,7 +275,7 @@ def _tiled(docs: DataFrame, size: int) -> DataFrame:
         for i, values in shingle_sets(batch.column(1), size):
             raw = values.tobytes()
             for t in tiles[i].as_py():
-                rows.append((t["leader"], t["low"], t["a"], t["b"], ids[i], raw))
+                rows.append((t["key"], t["low"], t["a"], t["b"], ids[i], len(values), raw))
                 held += len(raw)
                 if held >= 8 << 20:
                     yield batch_of(_TILED, *(list(x) for x in zip(*rows, strict=True)))
@@ -266,15 +283,59 @@ def _tiled(docs: DataFrame, size: int) -> DataFrame:
         if rows:
             yield batch_of(_TILED, *(list(x) for x in zip(*rows, strict=True)))
 
-    return arrow_map(docs, run, "leader long, low int, a int, b int, doc long, values binary")
+    return arrow_map(docs, run, _TILED_SQL)
+
+
+class _Maps:
+    """Signatures of a tile by width, so that sets of unequal widths meet at the smaller one."""
+
+    def __init__(self, maps: list[np.ndarray]):
+        self.width = np.array([len(m) for m in maps])
+        self.rows: dict[int, np.ndarray] = {}
+        self.maps: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            self.rows[w] = rows
+            self.maps[w] = np.stack([maps[r] if len(maps[r]) == w else maps[r][:w] | maps[r][w:] for r in rows])
+
+    def may_link(self, n: np.ndarray, i: int, to: int, root: np.ndarray, percent: int) -> np.ndarray:
+        """Rows j with i < j < ``to``, not connected with i, whose overlap with i is not bounded too low."""
+        w = int(self.width[i])
+        rows, maps = self.rows[w], self.maps[w]
+        a, b = np.searchsorted(rows, [i + 1, to])
+        others = rows[a:b]
+        free = root[others] != root[i]
+        others, near = others[free], maps[a:b][free]
+        own = maps[np.searchsorted(rows, i)]
+        lost = np.bitwise_count(own & ~near).sum(1, dtype=np.int64)
+        gained = np.bitwise_count(near & ~own).sum(1, dtype=np.int64)
+        most = np.minimum(n[i] - lost, n[others] - gained)
+        return others[100 * most >= percent * (n[i] + n[others] - most)]
 
 
-def _bitmaps(arrays: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(arrays), bits // 64), tk.U)
-    for row, values in zip(out, arrays, strict=True):
-        place = values & tk.U(bits - 1)
-        np.bitwise_or.at(row, (place >> tk.U(6)).astype(np.int64), tk.U(1) << (place & tk.U(63)))
-    return out
+def tile_links(
+    ids: list[int], n: list[int], values: list[bytes], exact: bool, percent: int = PERCENT
+) -> list[tuple[int, int]]:
+    """A spanning forest of a tile's links (``values`` are arrays), or of what may link (signatures)."""
+    order = sorted(range(len(ids)), key=lambda i: (n[i], ids[i]))
+    ids, n = [ids[i] for i in order], np.array([n[i] for i in order], np.int64)
+    values = [np.frombuffer(values[i], tk.U) for i in order]
+    maps = _Maps([signature(v, 1 << max(8, int(4 * len(v) - 1).bit_length())) for v in values] if exact else values)
+    root = np.arange(len(ids))
+    links = []
+    for i in range(len(ids) - 1):
+        to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # larger sets cannot link
+        if to <= i + 1:
+            continue
+        for j in maps.may_link(n, i, to, root, percent).tolist():
+            if root[i] != root[j]:
+                if exact:
+                    k = _overlap(values[i], values[j])
+                    if 100 * k < percent * (n[i] + n[j] - k):
+                        continue
+                links.append((ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+    return links
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -285,67 +346,40 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def tile_links(ids: list[int], arrays: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a tile's documents."""
-    order = sorted(range(len(ids)), key=lambda i: (len(arrays[i]), ids[i]))
-    ids, arrays = [ids[i] for i in order], [arrays[i] for i in order]
-    n = np.array([len(a) for a in arrays], np.int64)
-    bits = 1 << max(8, int(4 * n[-1] - 1).bit_length())
-    maps = _bitmaps(arrays, bits)
-    root = np.arange(len(ids))
-    links = []
-    for i in range(len(ids) - 1):
-        to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # larger sets cannot link
-        others = np.arange(i + 1, to)
-        others = others[root[others] != root[i]]
-        if not len(others):
-            continue
-        lost = np.bitwise_count(maps[i] & ~maps[others]).sum(1, dtype=np.int64)
-        gained = np.bitwise_count(maps[others] & ~maps[i]).sum(1, dtype=np.int64)
-        most = np.minimum(n[i] - lost, n[others] - gained)
-        for j in others[100 * most >= percent * (n[i] + n[others] - most)].tolist():
-            if root[i] != root[j]:
-                k = _overlap(arrays[i], arrays[j])
-                if 100 * k >= percent * (n[i] + n[j] - k):
-                    links.append((ids[i], ids[j]))
-                    root[root == root[j]] = root[i]
-    return links
-
-
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _links(tiled: DataFrame, percent: int) -> DataFrame:
+def _links(tiled: DataFrame, exact: bool, percent: int) -> DataFrame:
     """Links found in tiles; a task sees a tile's rows one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, ids, arrays = None, [], []
+        tile, rows = None, []
 
         def found() -> Iterator[pa.RecordBatch]:
-            links = tile_links(ids, arrays, percent) if len(ids) > 1 else []
+            links = tile_links(*(list(x) for x in zip(*rows, strict=True)), exact, percent) if len(rows) > 1 else []
             if links:
                 yield batch_of(_LINK, [min(x) for x in links], [max(x) for x in links])
 
         for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
-            for (*key, doc), raw in zip(keys, batch.column(5), strict=True):
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            held = zip(*(batch.column(i).to_pylist() for i in range(4, 7)), strict=True)
+            for key, row in zip(keys, held, strict=True):
                 if key != tile:
                     yield from found()
-                    tile, ids, arrays = key, [], []
-                ids.append(doc)
-                arrays.append(np.frombuffer(raw.as_py(), tk.U))
+                    tile, rows = key, []
+                rows.append(row)
         yield from found()
 
     return tiled.mapInArrow(run, "a long, b long").dropDuplicates()
 
 
-def components(links: DataFrame, space: Workspace, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, space: Workspace, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of a link, by alternating stars.
 
     Each round is written out, so a lost executor costs one round.  A node's neighbours are never
     gathered: both steps need only the minimum over them.
     """
-    edges = space.save(links.where("a <> b").selectExpr("a AS u", "b AS v"), "edges-0")
+    edges = space.save(links.where("a <> b").selectExpr("a AS u", "b AS v"), f"{name}-0")
     before = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
     for i in range(1, most_rounds + 1):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -355,8 +389,8 @@ def components(links: DataFrame, space: Workspace, most_rounds: int = 60) -> Dat
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = space.save(small.union(low.select("u", F.col("m").alias("v"))).dropDuplicates(), f"edges-{i}")
-        space.drop(f"edges-{i - 1}")
+        edges = space.save(small.union(low.select("u", F.col("m").alias("v"))).dropDuplicates(), f"{name}-{i}")
+        space.drop(f"{name}-{i - 1}")
         after = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -376,7 +410,9 @@ def document_components(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = space.save(_sets(docs, size), "sets")
     sets = found.where("token IS NULL")
-    classes = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    classes = sets.where("n > 0").groupBy("d1", "d2").agg(
+        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("signature").alias("signature")
+    )
     reps = space.save(classes, "classes")
 
     held = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("held").alias("held"))
@@ -391,17 +427,26 @@ def document_components(
     packed = _prefixes(docs.select("text"), common, buckets, size, percent)
     packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     members = space.save(_members(packed), "members")
-    members = members.dropDuplicates(["leader", "set"])
-
-    tiles = space.save(_tiles(members, reps), "tiles")
-    space.drop("members")
-    tiled = _tiled(docs.join(tiles.hint("merge"), "doc_id").select("doc_id", "text", "tiles"), size)
-    key = ["leader", "low", "a", "b"]
-    tiled = tiled.repartition(buckets, *key).sortWithinPartitions(*key)
-    links = space.save(_links(tiled, percent), "links")
-    space.drop("tiles")
-
-    roots = components(links, space)
+    nodes = reps.where("doc_id IS NOT NULL")
+    groups = members.dropDuplicates().join(nodes, members["set"] == nodes["d1"])
+    groups = groups.select(F.col("leader").alias("key"), F.col("doc_id").alias("node"), "n")
+    tiles = _tiles(groups).select("node", F.explode("tiles").alias("tile")).select("node", "tile.*")
+    tiled = tiles.join(nodes.select(F.col("doc_id").alias("node"), "n", F.col("signature").alias("values")), "node")
+    tiled = tiled.select(*_KEY, "node", "n", "values").repartition(buckets, *_KEY).sortWithinPartitions(*_KEY)
+    may = space.save(_links(tiled, False, percent), "may-link")
+    clusters = components(may, space, "clusters").join(nodes, F.col("node") == nodes["doc_id"])
+    clusters = clusters.select("node", F.col("root").alias("key"), "n")
+    clusters = space.save(clusters.unionByName(clusters.select(F.col("key").alias("node"), "key").dropDuplicates().join(
+        nodes.select(F.col("doc_id").alias("node"), "n"), "node")), "cluster-rows")
+    space.drop("members", "may-link")
+
+    tiles = space.save(_tiles(clusters), "tiles")
+    tiled = _tiled(docs.join(tiles.hint("merge"), docs["doc_id"] == tiles["node"]).select("doc_id", "text", "tiles"), size)
+    tiled = tiled.repartition(buckets, *_KEY).sortWithinPartitions(*_KEY)
+    links = space.save(_links(tiled, True, percent), "links")
+    space.drop("tiles", "cluster-rows")
+
+    roots = components(links, space, "components")
     named = reps.join(roots, reps["doc_id"] == roots["node"], "left").select(
         F.col("d1"), F.col("d2"), F.coalesce("root", "doc_id").alias("component_id")
     )
