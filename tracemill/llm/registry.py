@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import chat_format, decontamination, flac, jaccard_join, line_dedup, mixing, pii, toxicity
+from . import chat_format, decontamination, flac, jaccard_join, line_dedup, lm_score, mixing, pii, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_line_dedup": line_dedup.op5_line_dedup,
