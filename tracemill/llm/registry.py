@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import chat_format, decontamination, flac, jaccard_join, line_dedup, lm_score, mixing, pii, toxicity
+from . import chat_format, decontamination, flac, jaccard_join, license_scan, line_dedup, lm_score, mixing, pii, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_mixing": mixing.op7_mixing,
     "op8_pii": pii.op8_pii,
     "op9_flac": flac.op9_flac,
