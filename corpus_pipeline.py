@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import decontamination, jaccard_join, line_dedup, toxicity
+from tracemill.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
 from tracemill.llm.shared import Workspace, table
 
 
@@ -28,11 +28,17 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that a mix of domains, languages and sources uses, and how often it uses each."""
+    return mixing.mixed(docs)
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("line_dedup", line_dedup_stage),
     ("jaccard_join", jaccard_join_stage),
     ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
 ]
 
 #: Training a classifier is not SQL; tests hold the stages against brute force.
