@@ -1,0 +1,202 @@
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tracemill import schemas
+from tracemill.config import GapGate, RuleGates, load, number_or_none
+from tracemill.operators import arms, calibration, counterfactual, gates, scoring, stats
+from tracemill.plans import pipeline
+from tracemill.sources import records
+from tracemill.streaming.resume import score_arriving
+
+
+def test_decisions(spark):
+    rows = [
+        (1.0, 0.0, 0.0, "rej_minorig"), (4.0, 1.0, -1.0, "rescued"), (4.0, 1.5, 9.0, "keep"),
+        (4.0, 1.0, 0.5, "rej_gap"), (4.0, None, 0.5, None),
+    ]
+    df = spark.createDataFrame(rows, "o double, g double, h double, want string")
+    found = df.select(counterfactual.label(F.col("o"), F.col("g"), F.col("h")).alias("x"), "want").collect()
+    assert all(r.x == r.want for r in found)
+
+
+def test_counterfactual_gate_on_missing_scores(spark):
+    df = spark.createDataFrame([(None, [4.0]), (4.0, [None]), (4.0, [1.0, None]), (4.0, [3.5])], "o double, c array<double>")
+    gate = counterfactual.counterfactual_gate(F.col("o"), F.col("c"), F.lit(1.0))
+    assert [tuple(r) for r in df.select(gate.passed, gate.score).collect()] == [(True, None), (True, None), (True, 3.0), (False, 0.5)]
+    gate = counterfactual.counterfactual_gate(F.col("o"), F.col("c"), F.lit(1.0), GapGate(on_missing="fail"))
+    assert [r[0] for r in df.select(gate.passed).collect()] == [False, False, True, False]
+
+
+def test_hedge_signals(spark):
+    df = spark.createDataFrame([("<think>a b c but</think>", ["<think>a b</think>", "x", "<think>but</think>"])], "o string, c array<string>")
+    s = df.select(counterfactual.hedge_signals(F.col("o"), F.col("c")).alias("s")).first().s
+    assert (s.orig_hedge_rate, s.cf_hedge_min, s.cf_hedge_max, s.hedge_gap, s.per_cf[1]) == (25.0, 0.0, 100.0, 25.0, None)
+
+
+def test_gate_history_and_python_gates(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "bb")], "id int, t string")
+    short = gates.gate_from_python("short", lambda t: pd.DataFrame({"passed": t.str.len() < 2, "score": t.str.len() * 1.0, "reason": t}), "t")
+    rows = gates.judged(gates.judged(df, gates.Gate("even", F.col("id") % 2 == 0)), short).orderBy("id").collect()
+    assert [[(r.filter_name, r.passed, r.score) for r in x.filter_history] for x in rows] == [
+        [("even", False, None), ("short", True, 1.0)], [("even", True, None), ("short", False, 2.0)]
+    ]
+    assert gates.rejection_rate(df.limit(0), short).first().rate == 0.0
+    names = gates.judged(df, short).select(gates.filter_names(F.col("filter_history"), True)).collect()
+    assert [r[0] for r in names] == [["short"], []]
+
+
+def test_largest_remainder(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2)], "subject string, count long")
+    assert {r.subject: r.quota for r in arms.largest_remainder(df, 4).collect()} == {"a": 2, "b": 1, "c": 1}
+
+
+def test_tri_state(spark):
+    hub = spark.createDataFrame([("a", False), ("b", True), ("c", True), ("d", True)], "id string, f boolean")
+    hub = hub.select("id", F.struct(F.lit(True).alias("C0"), F.col("f").alias("C1"), F.lit(None).cast("boolean").alias("C3")).alias("filters"),
+                     F.struct(F.lit(None).cast("double").alias("gap"), F.lit(None).cast("double").alias("orig_score")).alias("signals"))
+    decided = spark.createDataFrame([("a", True, 1.0, 4.0), ("b", True, 1.0, 4.0), ("c", False, 0.0, 4.0)], "id string, passed boolean, gap double, orig_score double")
+    assert {r.id: r.filters.C3 for r in arms.merge_c3(hub, decided).collect()} == {"a": False, "b": True, "c": False, "d": None}
+
+
+def test_calibration(spark):
+    df = spark.createDataFrame([(float(x),) for x in (0, 0, 4, 4)], "v double")
+    found = calibration.otsu(df, "v").first()
+    assert (found.cut, found.share) == (2.0, 1.0)
+    assert calibration.otsu(df.where("v = 0"), "v").collect() == []
+    q = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "v double")
+    assert calibration.nearest_ranks(q, "v", [0.5]).first().value == 3.0
+    rng = np.random.default_rng(1)
+    x = np.round(np.concatenate([rng.normal(0, 1, 400), rng.normal(6, 1, 600)]), 2)
+    v, c = np.unique(x, return_counts=True)
+    m = calibration.two_components(v, c)
+    assert abs(m.mu[0]) < 0.2 and abs(m.mu[1] - 6) < 0.2 and m.bic2 < m.bic1 and 2 < m.crossover < 4
+    assert calibration.auto_cut(m, 2.9)["bimodal"]
+    row = calibration.mixture(spark.createDataFrame([(float(t),) for t in x], "v double"), "v").first()
+    assert math.isclose(row.mu1, m.mu[1], rel_tol=1e-9)
+
+
+def test_sweep_is_monotone(spark):
+    rows = [(float(o), float(g), float(h)) for o in range(1, 6) for g in range(-4, 5) for h in (-1, 0, 1)]
+    df = spark.createDataFrame(rows, "orig double, gap double, hedge_gap double")
+    found = calibration.sweep(df, [1.0, 1.5, 2.0], [None, 0.5], [None, 2.0]).collect()
+    assert all(r.kept + r.rejected == len(rows) for r in found)
+    assert all(r.rescued == 0 for r in found if r.hedge is None)
+    for key in {(r.hedge, r.min_orig) for r in found}:
+        own = [r.rejected for r in sorted((r for r in found if (r.hedge, r.min_orig) == key), key=lambda r: r.gap)]
+        assert own == sorted(own)
+
+
+@pytest.mark.parametrize("b, c, p, method", [(1, 5, 14 / 64, "exact"), (30, 10, math.erfc(math.sqrt(9.025 / 2)), "chi2"), (0, 0, 1.0, "no_discordant"), (3, 3, 1.0, "exact")])
+def test_mcnemar(spark, b, c, p, method):
+    row = stats.mcnemar(spark.createDataFrame([(b, c)], "only_a long, only_b long")).first()
+    assert row.method == method and math.isclose(row.p, p, rel_tol=1e-12)
+
+
+def test_kappa_spearman_aoc(spark):
+    df = spark.createDataFrame(list(zip("AABB", "ABBB")) + [(None, "A")], "a string, b string")
+    assert stats.cohen_kappa(df, "a", "b").first().kappa == 0.5
+    assert stats.cohen_kappa(df.where("a = 'A' AND b = 'A'"), "a", "b").first().kappa == 1.0
+    assert stats.cohen_kappa(df.limit(0), "a", "b").first().kappa is None
+    x, y = [1, 2, 2, 4, 5, 5], [2, 1, 3, 3, 6, 5]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    assert math.isclose(stats.spearman(df, "x", "y").first().rho, pd.Series(x).rank().corr(pd.Series(y).rank()), rel_tol=1e-12)
+    rows = [(f, i < n) for f, n in ((0.0, 2), (0.5, 3), (1.0, 4)) for i in range(5)]
+    assert math.isclose(stats.early_answer(spark.createDataFrame(rows, "frac double, correct boolean")).first().aoc, 0.2)
+
+
+def test_last_duplicate_wins_and_bootstrap(spark):
+    rows = [("C0", 1, "s", 1, True, 0), ("C0", 1, "s", 1, False, 1)]
+    df = spark.createDataFrame(rows, "arm string, seed int, subset string, sample_idx long, is_correct boolean, pos long")
+    assert stats.last_results(df).first().ok == 0
+    many = spark.range(2000).select(F.lit("C0").alias("arm"), F.lit(1).alias("seed"), F.lit("s").alias("subset"), F.col("id").alias("sample_idx"), (F.col("id") % 4 == 0).cast("int").alias("ok"))
+    row = stats.bootstrap_interval(stats.per_item(many), 2000).first()
+    assert row.lo < 0.25 < row.hi and math.isclose(row.hi - row.lo, 2 * 1.96 * math.sqrt(0.25 * 0.75 / 2000), rel_tol=0.15)
+
+
+def test_selection_does_not_depend_on_partitions(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("id"))
+    pick = lambda n: sorted(r.id for r in arms.seeded_head(df.repartition(n), 40).collect())
+    assert pick(1) == pick(7)
+
+
+def test_configuration(tmp_path):
+    assert number_or_none("off") is None and number_or_none("1.5") == 1.5
+    assert load(RuleGates, str(tmp_path / "none.json")) == RuleGates()
+    with pytest.raises(FileNotFoundError):
+        load(GapGate, str(tmp_path / "none.json"), missing_ok=False)
+
+
+def test_sources(spark, tmp_path):
+    lines = tmp_path / "x.jsonl"
+    lines.write_text('{"subset": "nurse", "sample_idx": 3}\n\n{broken\n', encoding="utf-8")
+    schema = "subset string, sample_idx long"
+    assert records.read_lines(spark, str(lines), schema, tolerant=True).count() == 1
+    array = tmp_path / "x.json"
+    array.write_text('[{"subset": "a", "sample_idx": 1}, {"subset": "b", "sample_idx": 2}]', encoding="utf-8")
+    df = records.read_records(spark, str(array), schema)
+    assert [r[0] for r in df.select(records.record_id(F.col("subset"), F.col("sample_idx"))).collect()] == ["a_0001", "b_0002"]
+    records.write_records(df, str(tmp_path / "out"), single=True)
+    assert records.read_lines(spark, str(tmp_path / "out"), schema).count() == 2
+    assert records.parse_shard("1/4") == (1, 4) and records.shard_path("a.json", (1, 4)) == "a.shard1-of-4.json"
+    with pytest.raises(ValueError):
+        records.parse_shard("4/4")
+    assert records.samples_per_subset(10, schemas.SUBSETS) == {"doctor": 3, "nurse": 3, "pharm": 2, "dentist": 2}
+    with pytest.raises(ValueError):
+        records.refuse_test_split("test")
+    assert spark.range(1).select(records.split_of(F.lit("/d/my_dev_set.json"))).first()[0] == "dev"
+    raw = spark.createDataFrame([("nurse", 7, "b", "c", "why", "so")], "subset string, sample_idx long, correct string, predicted string, reasoning_content string, reasoning string")
+    row = records.to_scored(raw).first()
+    assert (row.id, row.answer, row.predicted_answer, row.cot) == ("nurse_0007", 1, 2, "<think>why</think>\nso")
+    known = records.register_dataset(str(tmp_path / "r.json"), "d", {"file_name": "x"})
+    assert known == {"d": {"file_name": "x"}}
+
+
+def test_scoring_resumes(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "fail"), (3, "b")], "id int, t string")
+
+    def judge(row):
+        if row["t"] == "fail":
+            raise RuntimeError("no")
+        return {"score": 1.0 * len(row["t"])}
+
+    first = scoring.scored(rows, judge, "score double")
+    assert {r.id: r.error for r in first.collect()} == {1: None, 2: "RuntimeError: no", 3: None}
+    todo = scoring.pending(rows, first.where("error IS NULL"), ["id"])
+    assert [r.id for r in todo.collect()] == [2]
+    assert scoring.too_many_failures(first, 0) and not scoring.too_many_failures(first, 1)
+
+
+def test_arriving_files_are_scored_once(spark, tmp_path):
+    source, sink = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    schema = "id long, t string"
+    for i, ids in enumerate(([1, 2], [2, 3])):
+        (source / f"{i}.json").write_text("".join(f'{{"id": {k}, "t": "x{k}"}}\n' for k in ids), encoding="utf-8")
+        q = score_arriving(spark, str(source), schema, scoring.stub_judge("t"), "score double, raw string", ["id"], sink, str(tmp_path / "cp"))
+        q.awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2, 3]
+
+
+def test_pipeline(spark, tmp_path):
+    n = 60
+    text = " ".join(["word"] * 25)
+    bank = spark.range(n).select(F.lit("nurse").alias("subset"), F.col("id").alias("sample_idx"), F.lit("q").alias("question"), F.array(F.lit("x"), F.lit("y")).alias("choices"), (F.col("id") % 2).cast("int").alias("gold"))
+    traces = bank.select("subset", "sample_idx", F.lit(text).alias("reasoning_content"), F.lit("").alias("reasoning"), F.when(F.col("sample_idx") % 10 == 0, "E").otherwise(F.substr(F.lit("ABCDE"), F.col("gold") + 1, F.lit(1))).alias("predicted"))
+    rid = records.record_id(F.col("subset"), F.col("sample_idx")).alias("id")
+    cf = bank.select(rid, F.lit(5.0).alias("orig_score"), F.array((F.col("sample_idx") % 5 + 1).cast("double")).alias("cf_scores"), F.lit("").alias("orig_cot"), F.array(F.lit("")).alias("cf_cots"))
+    quality = bank.select(rid, (F.col("sample_idx") % 7).cast("double").alias("c2_score"))
+    out = pipeline.run(spark, str(tmp_path / "w"), traces, bank, cf, quality, limits=GapGate(hedge=None))
+    hub = out["hub"].select("id", "filters").collect()
+    arm = lambda a: {r.id for r in hub if r.filters[a]}
+    assert arm("C3") < arm("C1") and len(arm("C2")) == len(arm("C_rand")) == len(arm("C3")) > 0
+    assert out["C3"].count() == len(arm("C3"))
+    again = pipeline.run(spark, str(tmp_path / "w"), traces.limit(0), bank, cf, quality)
+    assert again["hub"].count() == n
+    total = [r for r in out["sizes"].collect() if r.subject == "ALL"][0]
+    acc = spark.createDataFrame([("C0", 1, 0.5, 0.0)], "arm string, seeds int, mean double, std double")
+    pairs = spark.createDataFrame([("C0", "C1", 1.0)], "a string, b string, p double")
+    assert total.C0 == n and "| C0 | 1 | 0.5000" in pipeline.report(out["sizes"], acc, pairs, str(tmp_path / "r" / "x.md"))

@@ -1,19 +1,13 @@
-"""Record layouts as Spark schemas."""
+"""Record layouts as Spark schemas, in the form that readers take."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 LETTERS = "ABCDE"
 SUBSETS = ("doctor", "nurse", "pharm", "dentist")
 GATES = ("correctness", "readability", "format_parse", "length")
 ARMS = ("C0", "C1", "C2", "C3", "C_rand")
 
 
-def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 FILTER_RECORD = "struct<filter_name: string, passed: boolean, score: double, reason: string>"
 JUDGE_SCORE = "struct<step_coherence: double, korean_fluency: double, step_coverage: double>"
 FORMAT_CHECK = (
@@ -34,36 +28,36 @@ COUNTERFACTUAL = (
     f"counterfactuals: array<{CF_ITEM}>, cf_max: double, gap: double, hedge: {HEDGE}>"
 )
 
-QUESTION_BANK = ddl("subset string, sample_idx long, question string, A string, B string, C string, D string, E string, answer int")
-RAW_TRACE = ddl(
+QUESTION_BANK = "subset string, sample_idx long, question string, A string, B string, C string, D string, E string, answer int"
+RAW_TRACE = (
     "global_idx long, subset string, sample_idx long, question string, model string, predicted string, correct string, "
     f"is_correct boolean, reasoning string, reasoning_content string, format_check {FORMAT_CHECK}, prompt_mode string, "
     "seed int, think_lang string, think_lang_probs map<string, double>, input_tokens long, output_tokens long, error string"
 )
-RAW_COUNTERFACTUAL = ddl(
+RAW_COUNTERFACTUAL = (
     "global_idx long, subset string, sample_idx long, question string, model string, gold_letter string, wrong_letter string, "
     "predicted string, cf_content string, cf_reasoning_content string, think_lang string, think_lang_probs map<string, double>, "
     "input_tokens long, output_tokens long, error string"
 )
-SCORED_SAMPLE = ddl(
+SCORED_SAMPLE = (
     "id string, subset string, question string, choices array<string>, answer int, teacher_model string, cot string, "
     f"predicted_answer int, filter_history array<{FILTER_RECORD}>, judge_score {JUDGE_SCORE}, "
     f"metadata struct<global_idx: long, sample_idx: long, gold_letter: string, wrong_letter: string, counterfactual: {COUNTERFACTUAL}>"
 )
-UNIFIED = ddl(
+UNIFIED = (
     "id string, subject string, question string, choices array<string>, gold int, think string, final_answer string, tokens long, "
     "en_ratio double, filters struct<C0: boolean, C1: boolean, C2: boolean, C3: boolean, C_rand: boolean>, "
     "signals struct<c1: struct<correctness: boolean, readability: boolean, format_parse: boolean, length: boolean>, "
     "think_lang: string, c2_score: double, gap: double, orig_score: double>"
 )
-SFT_EXPORT = ddl(
+SFT_EXPORT = (
     "messages array<struct<role: string, content: string>>, meta struct<id: string, subject: string, gold: string, answer_used: string>"
 )
-EVAL_RESULT = ddl("subset string, sample_idx long, gold string, predicted string, is_correct boolean, output string")
-EARLY_ANSWER = ddl("subset string, sample_idx long, gold string, frac double, pred string, correct boolean")
-JUDGE_COMPARISON = ddl(
+EVAL_RESULT = "subset string, sample_idx long, gold string, predicted string, is_correct boolean, output string"
+EARLY_ANSWER = "subset string, sample_idx long, gold string, frac double, pred string, correct boolean"
+JUDGE_COMPARISON = (
     "id string, side string, kind string, supported_letter string, matches_target boolean, score double, n_ok int, n_api_err int, keep boolean"
 )
-OPEN_ENDED = ddl(
+OPEN_ENDED = (
     "question string, gold string, wrong string, orig_score int, cf_score int, gap int, cf_cot string, drop boolean, reason string"
 )

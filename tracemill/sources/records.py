@@ -14,12 +14,12 @@ from tracemill.functions import text as X
 from tracemill.schemas import FILTER_RECORD
 
 
-def read_lines(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: str | T.StructType, tolerant: bool = False) -> DataFrame:
     """JSON lines; blank lines are skipped.  ``tolerant`` drops broken lines, otherwise they fail."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A JSON array, or a single object as one row, by suffix ``.json``; JSON lines otherwise."""
     if path.endswith(".json"):
         return spark.read.schema(schema).option("multiLine", True).json(path)
