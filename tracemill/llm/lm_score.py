@@ -4,10 +4,10 @@ Tokens are words between ASCII white space, A-Z lower-cased, then one end.  Coun
 tokens are exact and give the base score, an add-0.1 unigram model.  The model factors a token's
 probability in its class given the context, and the token given class and context:
 
-* the 256 most frequent words (the end is always one) stand in 32 classes of 8; all others are in 32
+* the 256 most frequent words (the end is always one) stand in 16 classes of 16; all others are in 16
   classes of endings, found by clustering which frequent words precede an ending;
-* the class has a softmax over hashed features: the word before, the words two and three before
-  (skips), and the pair of words before, each a row of 64 weights in a table of 2**15 rows;
+* the class has a softmax over hashed features: the word before, the word two before (a skip), and the
+  pair of words before, each a row of 32 weights in a table of 2**15 rows;
 * a frequent word has a softmax over its class's members, with hashed features of word and context;
 * other words have add-0.1 shares of their class, in which one outcome stands for unknown words.
 
@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from tracemill.session import ship_package
 
 from . import textkit as tk
-from .shared import Workspace, arrow_map, batch_of, fold, table
+from .shared import Workspace, arrow_map, batch_of, columns, fold, table
 
-HEADS, MEMBERS, ENDINGS, NEAR = 256, 8, 4096, 64
+HEADS, MEMBERS, ENDINGS, NEAR = 256, 16, 4096, 64
 HEAD_CLASSES = HEADS // MEMBERS
-CLASSES = 64
+CLASSES = 32
 ROW_BITS, PAIR_BITS = 15, 16
-STEP_TOKENS = 4096
+STEP_TOKENS = 8192
 END = 0  # the end's number among the frequent words; a text's start is HEADS
 ADD = 0.1
 _END_HASH = np.int64(-1)
@@ -76,24 +76,24 @@ class Vocabulary:
 
 
 def sequences(words: tk.Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of a chunk: numbers, three numbers before each, and the rows' bounds; ends included."""
+    """All tokens of a chunk: numbers, two numbers before each, and the rows' bounds; ends included."""
     rows = words.rows + np.arange(len(words.rows))
     token = np.full(rows[-1], END, np.int64)
     own = np.ones(rows[-1], bool)
     own[rows[1:] - 1] = False
     token[own] = vocabulary.numbers(words)
-    before = np.full((3, len(token)), HEADS, np.int64)
+    before = np.full((2, len(token)), HEADS, np.int64)
     place = np.arange(len(token)) - np.repeat(rows[:-1], np.diff(rows))
-    for k in (1, 2, 3):
+    for k in (1, 2):
         inside = np.flatnonzero(place >= k)
         before[k - 1, inside] = token[inside - k]
     return token, before, rows
 
 
 def _features(before: np.ndarray) -> np.ndarray:
-    """Rows of the class table for each token: word before, two skips, and the pair before."""
-    one, two, three = before.astype(tk.U)
-    keys = (one + tk.U(1 << 40), two + tk.U(2 << 40), three + tk.U(3 << 40), one * tk.U(8192) + two + tk.U(4 << 40))
+    """Rows of the class table for each token: word before, skip, and the pair before."""
+    one, two = before.astype(tk.U)
+    keys = (one + tk.U(1 << 40), two + tk.U(2 << 40), one * tk.U(8192) + two + tk.U(3 << 40))
     return np.stack([(tk.mix(k) >> tk.U(64 - ROW_BITS)).astype(np.uint16) for k in keys])
 
 
@@ -160,9 +160,10 @@ class Trainer:
         order = np.argsort(flat, kind="stable")
         ordered = flat[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        gradient = np.add.reduceat(error[order % n], first)
+        size = np.diff(np.append(first, len(ordered)))
+        gradient = _sums(error, order % n, first, size)
         at = ordered[first]
-        self.used[at] += np.diff(np.append(first, len(ordered)))
+        self.used[at] += size
         self.row_sum[at] += gradient * gradient
         w.rows[at] -= self.rate * gradient / np.sqrt(self.row_sum[at])
         frequent = np.flatnonzero(place >= 0)
@@ -182,6 +183,19 @@ class Trainer:
         return delta, np.concatenate([self.used, np.full(extra, max(1.0, float(self.used.sum())), np.float32)])
 
 
+def _sums(error: np.ndarray, rows: np.ndarray, first: np.ndarray, size: np.ndarray, many: int = 32) -> np.ndarray:
+    """Sums of ``error[rows]`` over runs: long ones each by itself, short ones all in step."""
+    out = error[rows[first]]
+    live, k = np.flatnonzero((size > 1) & (size < many)), 1
+    while len(live):
+        out[live] += error[rows[first[live] + k]]
+        k += 1
+        live = live[size[live] > k]
+    for u in np.flatnonzero(size >= many).tolist():
+        out[u] = error[rows[first[u] : first[u] + size[u]]].sum(0)
+    return out
+
+
 def class_of(token: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Class of each token, and its place among the members, or -1 in a class of endings."""
     frequent = token < HEADS
@@ -317,8 +331,8 @@ def fit(docs: DataFrame, trains: Column, text_col: str = "text", rounds: list[Co
     counts = space.save(token_counts(training), "counts")
     row = counts.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = row["n"] or 0, row["v"]
-    top = counts.where("hash <> -1").orderBy(F.col("count").desc(), "hash").limit(HEADS - 1).toPandas()
-    hashes = top["hash"].to_numpy(np.int64).view(tk.U)
+    top = columns(counts.where("hash <> -1").orderBy(F.col("count").desc(), "hash").limit(HEADS - 1))
+    hashes = top["hash"].view(tk.U)
     order = np.argsort(hashes)
     vocabulary = Vocabulary(hashes[order], order + 1, np.arange(HEADS))
     trainers = trainers or max(16, 2 * sc.defaultParallelism)
@@ -345,10 +359,10 @@ def fit(docs: DataFrame, trains: Column, text_col: str = "text", rounds: list[Co
     alike = _clusters(near[:HEADS], min(16, HEADS))
     vocabulary.place = np.argsort(np.lexsort((np.arange(HEADS), alike)))  # words used alike share classes
 
-    by_ending = counts.where("hash <> -1").groupBy("ending").agg(F.count(F.lit(1)).alias("v")).toPandas()
+    by_ending = columns(counts.where("hash <> -1").groupBy("ending").agg(F.count(F.lit(1)).alias("v")))
     types_of = np.zeros(ENDINGS)
-    types_of[by_ending["ending"].to_numpy(int)] = by_ending["v"].to_numpy()
-    types_of -= np.bincount(top["ending"].to_numpy(int), minlength=ENDINGS)
+    types_of[by_ending["ending"]] = by_ending["v"]
+    types_of -= np.bincount(top["ending"], minlength=ENDINGS)
     tail = lambda x: np.bincount(vocabulary.ending_class, x, CLASSES)
     tail_tokens, tail_types = tail(held[HEADS + 1 :]), tail(types_of)
     share = tail_tokens.copy()
@@ -382,9 +396,9 @@ def fit(docs: DataFrame, trains: Column, text_col: str = "text", rounds: list[Co
     for i in range(n):  # the hashes are uniform: a slice of their range holds a share of the words
         lo, hi = int(edges[i]), min(int(edges[i + 1]), 2**63) - 1
         part = counts.where(F.col("hash").between(F.lit(lo), F.lit(hi)) & (F.col("hash") != -1)).select("hash", "count")
-        part = part.toPandas()
-        order = np.argsort(part["hash"].to_numpy(np.int64))
-        slices.append(sc.broadcast((lo, hi, part["hash"].to_numpy(np.int64)[order], part["count"].to_numpy(np.int64)[order])))
+        part = columns(part)
+        order = np.argsort(part["hash"])
+        slices.append(sc.broadcast((lo, hi, part["hash"][order], part["count"][order])))
     ends = int(held[END])
     return Model(vocabulary, weights, int(tokens), int(types), tail_tokens, tail_types, slices), ends
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,12 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
+def columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """A small table's columns on the driver, through Arrow: no object is made for a row."""
+    found = df.toArrow()
+    return {n: found.column(n).to_numpy(zero_copy_only=False) for n in found.column_names}
+
+
 def batch_of(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],
