@@ -1,6 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct hashes of its runs of 2 to 5 characters; ASCII and Latin-1
+A text's features are the hashes of its runs of 3 to 6 characters, each with the levels that their
+number reaches: once, twice, four times, and twice or more in every 500 characters.  ASCII and Latin-1
 letters are lower-cased, white space is one kind of character, and texts begin and end with it.
 Labelled texts give each feature a log-count ratio (the log of its share of toxic texts over its
 share of others).  The features with the most significant ratios stay; a logistic regression is
@@ -27,10 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import arrow_map, batch_of, fold, table
+from .shared import arrow_map, batch_of, columns, fold, table
 
-ORDERS = (2, 3, 4, 5)
-BITS = 20
+ORDERS = (3, 4, 5, 6)
+BITS, LEVELS, DENSE = 19, 4, 500
+FEATURES = LEVELS << BITS
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[0x41:0x5B] += 0x20
 _FOLD[0xC0:0xD7] += 0x20
@@ -40,23 +42,23 @@ _FOLD[0x09:0x0E] = 0x20
 
 @dataclass
 class Model:
-    """``weight`` by bucket, zero for features that are not in use."""
+    """``weight`` by feature, zero for those that are not in use."""
 
     weight: np.ndarray
     bias: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.bias)
-        used = self.weight != 0
-        for first, rows, doc, bucket in features(column, used):
-            out[first : first + rows] += np.bincount(doc, self.weight[bucket], rows)
+        used = (self.weight != 0).reshape(LEVELS, -1).any(0)
+        for first, rows, doc, feature in features(column, used):
+            out[first : first + rows] += np.bincount(doc, self.weight[feature], rows)
         return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
 
 
 def features(
     column: pa.Array, used: np.ndarray | None = None
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """By chunk: first row, rows, and the distinct (row, bucket) pairs, of ``used`` buckets only if given."""
+    """By chunk: first row, rows, and the (row, feature) pairs, of ``used`` buckets only if given."""
     for chunk in tk.chunks(column, 1 << 18):
         points = np.frombuffer(chunk.data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(tk.U)
         lead = (chunk.data & 0xC0) != 0x80
@@ -78,8 +80,14 @@ def features(
             row = np.searchsorted(start, at, "right") - 1
             inside = at + order - 1 <= start[np.minimum(row + 1, chunk.rows)]  # may end on the next text's space
             pairs.append((row[inside] << BITS) | bucket[at[inside]])
-        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        yield chunk.first, chunk.rows, pairs >> BITS, pairs & ((1 << BITS) - 1)
+        pairs, times = np.unique(np.concatenate(pairs) if pairs else np.zeros(0, np.int64), return_counts=True)
+        row, bucket = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        levels = [times >= 1, times >= 2, times >= 4, times * DENSE >= 2 * np.maximum(np.diff(count), 1)[row]]
+        levels[3] &= levels[1]
+        row = np.concatenate([row[x] for x in levels])
+        feature = np.concatenate([bucket[x] + (k << BITS) for k, x in enumerate(levels)])
+        order = np.argsort(row, kind="stable")
+        yield chunk.first, chunk.rows, row[order], feature[order]
 
 
 def training_rows(labels: DataFrame, toxic: str, id_col: str, trains: Column, max_rows: int) -> tuple[DataFrame, dict]:
@@ -99,7 +107,7 @@ _ROW = pa.schema([("y", pa.int32()), ("features", pa.binary())])
 
 def train(
     docs: DataFrame, labels: DataFrame, trains: Column, toxic: str = "toxic", id_col: str = "doc_id",
-    text_col: str = "text", max_rows: int = 12_000, n_features: int = 10_000, rounds: int = 150, l2: float = 2.0,
+    text_col: str = "text", max_rows: int = 8_000, n_features: int = 6_000, rounds: int = 150, l2: float = 2.0,
 ) -> Model:
     """Fit on at most ``max_rows`` labelled rows for which ``trains``, a column of ids, is true."""
     spark = docs.sparkSession
@@ -109,7 +117,7 @@ def train(
     texts = narrow.join(F.broadcast(sample), "__tm_id").select("__tm_text", "__tm_toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((2, 1 << BITS), np.int64)
+        found = np.zeros((2, FEATURES), np.int32)
         rows = np.zeros(2, np.int64)
         for batch in batches:
             y = np.asarray(batch.column(1))
@@ -117,7 +125,7 @@ def train(
             for first, n, doc, bucket in features(batch.column(0)):
                 own = y[first : first + n][doc]
                 for k in (0, 1):
-                    found[k] += np.bincount(bucket[own == k], minlength=1 << BITS)
+                    found[k] += np.bincount(bucket[own == k], minlength=FEATURES).astype(np.int32)
         at = np.flatnonzero(found.any(0))
         yield batch_of(
             _COUNT, np.append(at, -1), np.append(found[1, at], rows[1]), np.append(found[0, at], rows[0])
@@ -128,37 +136,40 @@ def train(
     ship_package(spark)
     counts = texts.mapInArrow(count, "bucket long, toxic long, other long")
     counts = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counts = counts.where("toxic + other >= 3 OR bucket = -1").toPandas()  # 2**BITS rows at most
-    rows = counts[counts.bucket == -1]
-    n1, n0 = (int(rows[c].sum()) for c in ("toxic", "other"))
-    counts = counts[counts.bucket >= 0].sort_values("bucket")
-    if not n1 or not n0 or not len(counts):
+    counts = columns(counts.where("toxic + other >= 5 OR bucket = -1"))  # FEATURES rows at most
+    at = np.argsort(counts["bucket"])
+    number, p, q = (counts[c][at] for c in ("bucket", "toxic", "other"))
+    n1, n0 = (int(c[number == -1].sum()) for c in (p, q))
+    number, p, q = (c[number != -1] for c in (number, p.astype(float), q.astype(float)))
+    if not n1 or not n0 or not len(number):
         share = (known.get(1, 0) + 0.5) / (known.get(1, 0) + known.get(0, 0) + 2)
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    p, q = counts["toxic"].to_numpy(float), counts["other"].to_numpy(float)
+        return Model(np.zeros(FEATURES, np.float32), float(np.log(share / (1 - share))))
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     score = np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1))
     best = np.sort(np.argsort(-score, kind="stable")[:n_features])
-    bucket, ratio = counts["bucket"].to_numpy(np.int64)[best], ratio[best]
-    place = np.full(1 << BITS, -1, np.int32)
+    bucket, ratio = number[best], ratio[best]
+    place = np.full(FEATURES, -1, np.int32)
     place[bucket] = np.arange(len(bucket))
     held = spark.sparkContext.broadcast(place)
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for first, n, doc, at in features(batch.column(0), held.value >= 0):
+        used = (held.value >= 0).reshape(LEVELS, -1).any(0)
+        for first, n, doc, at in features(batch.column(0), used):
+            known_ = held.value[at] >= 0
+            doc, at = doc[known_], at[known_]
             cuts = np.searchsorted(doc, np.arange(1, n))
             yield batch_of(
                 _ROW, batch.column(1).slice(first, n), [x.tobytes() for x in np.split(held.value[at], cuts)]
             )
 
-    design = arrow_map(texts, rows_of, "y int, features binary").toPandas()
+    design = columns(arrow_map(texts, rows_of, "y int, features binary"))
     each = [np.frombuffer(x, np.int32) for x in design["features"]]
     size = np.array([len(x) for x in each])
     flat = np.concatenate(each) if len(each) else np.zeros(0, np.int32)
-    weight, bias = _fit(flat, size, design["y"].to_numpy(float), ratio, rounds, l2)
+    weight, bias = _fit(flat, size, design["y"].astype(float), ratio, rounds, l2)
     # the sample holds the classes in other shares than the labelled rows
     bias += np.log(max(known.get(1, 0), 1) / max(known.get(0, 0), 1)) - np.log(n1 / n0)
-    table_ = np.zeros(1 << BITS, np.float32)
+    table_ = np.zeros(FEATURES, np.float32)
     table_[bucket] = weight * ratio
     return Model(table_, float(bias))
 
@@ -171,19 +182,20 @@ def _fit(
     at = np.concatenate([[0], np.cumsum(size)])
     flat = np.concatenate([flat[at[i] : at[i + 1]] for i in order]) if len(order) else flat
     size, y = size[order], y[order]
-    doc = np.repeat(np.arange(len(y)), size)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), size)
+    ratio = ratio.astype(np.float32)
     x = ratio[flat]
-    scale = np.sqrt(np.maximum(np.bincount(doc, x * x, len(y)).mean(), 1e-9))
-    x = x / scale
-    w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    scale = float(np.sqrt(np.maximum(np.bincount(doc, x * x, len(y)).mean(), 1e-9)))
+    x /= np.float32(scale)
+    w, b = np.zeros(len(ratio), np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
         z = np.bincount(doc, w[flat] * x, len(y)) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
+        e = ((1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)).astype(np.float32)
         g = np.append(np.bincount(flat, e[doc] * x, len(w)) + l2 * w / len(y) / 100, e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return w / scale, b
 
 
