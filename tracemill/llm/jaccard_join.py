@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import Workspace, arrow_map, batch_of, table
+from .shared import Workspace, arrow_map, batch_of, columns, table
 
 SIZE, PERCENT = 5, 75
 #: Shingles held at once while counting which ones sets of a block share.
@@ -416,10 +416,11 @@ def document_components(
     reps = space.save(classes, "classes")
 
     held = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("held").alias("held"))
-    top = held.orderBy(F.col("held").desc(), "token").limit(COMMON_MAX).toPandas()
-    order = np.argsort(top["token"].to_numpy(np.int64).view(tk.U))
-    values = np.append(top["token"].to_numpy(np.int64).view(tk.U)[order], tk.U(2**64 - 1))
-    rank = np.append(top["held"].to_numpy(np.int64)[order], 0)
+    top = held.orderBy(F.col("held").desc(), "token").limit(COMMON_MAX)
+    top = columns(top)
+    order = np.argsort(top["token"].view(tk.U))
+    values = np.append(top["token"].view(tk.U)[order], tk.U(2**64 - 1))
+    rank = np.append(top["held"][order], 0)
     common = spark.sparkContext.broadcast((values, rank))
 
     total = found.agg(F.sum("n").alias("n")).first()["n"] or 0
