@@ -5,6 +5,8 @@ from helpers import docs
 from tracemill.llm import license_scan as S
 
 PLANTED = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL",
+    "All rights reserved.": "Proprietary",
     "This work is licensed under the GNU General Public License 3.": "GPL",
     "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
     "Released under the MIT License.": "MIT",

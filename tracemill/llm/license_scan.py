@@ -115,6 +115,7 @@ TEMPLATES = {
         "Licensed under the ISC License.",
     ),
     "Proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
         "This software is proprietary and confidential. Unauthorized copying of this file, via any medium is strictly prohibited.",
     ),
