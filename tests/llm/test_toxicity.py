@@ -23,17 +23,24 @@ def test_held_out_accuracy(spark):
     assert ((held.predicted == 1) & (held.toxic == 0)).sum() <= 2
 
 
-def test_features_are_distinct_runs_of_characters():
+def found_in(texts):
+    out = [set() for _ in texts]
+    for first, _, row, feature in X.features(pa.array(texts)):
+        for r, f in zip(row.tolist(), feature.tolist(), strict=True):
+            out[first + r].add(divmod(f, 1 << X.BITS))
+    return out
+
+
+def test_features_are_runs_of_characters_with_levels():
     texts = ["Abc", "", "é\tb", "abcabc abc", "ÀB", "àb"]
-    found = {}
-    for first, _, row, bucket in X.features(pa.array(texts)):
-        for r, b in zip(row, bucket, strict=True):
-            found.setdefault(first + r, set()).add(int(b))
-    runs = lambda t: {t[i : i + k] for k in X.ORDERS for i in range(len(t) - k + 1)}
-    assert [len(found.get(i, ())) for i in range(4)] == [len(runs(f" {t} ")) for t in ("abc", "", "é b", "abcabc abc")]
+    found = found_in(texts)
+    runs = lambda t: [t[i : i + k] for k in X.ORDERS for i in range(len(t) - k + 1)]
+    for f, t in zip(found, ("abc", "", "é b", "abcabc abc"), strict=False):
+        own = runs(f" {t} ")
+        assert [sum(level == k for level, _ in f) for k in (0, 1, 2)] == [sum(own.count(r) >= n for r in set(own)) for n in (1, 2, 4)]
     assert found[4] == found[5]
-    one = [set(b.tolist()) for *_, b in X.features(pa.array(["xyz"]))][0]
-    assert one == {b for *_, bs in X.features(pa.array(["q", "xyz"])) for r, b in zip([0] * len(bs), bs.tolist()) if b in one}
+    assert found_in(["xyz"]) == found_in(["q", "xyz"])[1:]  # texts beside it play no part
+    assert not {b for level, b in found_in(["ab " * 5 + "x" * 5000])[0] if level == 3} & {b for _, b in found_in(["ab"])[0]}
 
 
 def test_edges(spark):
