@@ -230,6 +230,12 @@ def kept_choices(*choices: Column) -> Column:
     return F.filter(F.array(*choices), lambda c: c.isNotNull() & (c != ""))
 
 
+def choice_count(*choices: Column) -> Column:
+    """Options that are not empty; 5 where none is known."""
+    n = F.size(kept_choices(*choices))
+    return F.when(n > 0, n).otherwise(5)
+
+
 def choice_lines(choices: Column, none: str = "") -> Column:
     lines = F.transform(
         F.slice(choices, 1, 5), lambda c, i: F.concat(F.substr(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(". "), or_empty(c))

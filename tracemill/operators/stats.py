@@ -226,6 +226,17 @@ def generation_summary(rows: DataFrame, input_price: float = 0.0, output_price:
     return out.withColumn("subset", name).withColumn("cost", cost).drop("_g")
 
 
+def histogram(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """Rows by value; null is a value."""
+    return rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def reasoning_gain(without: Column, with_: Column) -> list[Column]:
+    """Accuracy without and with reasoning, the gain, and the share that needs none (null if nothing is right)."""
+    a, b = F.avg(F.coalesce(without, F.lit(False)).cast("int")), F.avg(F.coalesce(with_, F.lit(False)).cast("int"))
+    return [a.alias("without"), b.alias("with"), (b - a).alias("gain"), F.try_divide(a, b).alias("commit")]
+
+
 def rescore_delta(old: Column, new: Column, gold: Column) -> list[Column]:
     """Right answers before and after, unparsed ones before and after, and how many changed."""
     return [

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.config import GapGate
 from tracemill.functions import judge as J
+from tracemill.functions import prompts
 from tracemill.functions import text as X
 from tracemill.operators import arms, calibration, counterfactual, gates, scoring, stats
 from tracemill.plans.fixtures import Tables, with_views
@@ -210,6 +211,46 @@ def resume_antijoin(t: Tables) -> DataFrame:
     return scoring.pending(d, d.where("doc_id % 3 = 0"), ["doc_id"])
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 4 ELSE 5 END AS n FROM documents")
+def choice_counts(t: Tables) -> DataFrame:
+    return t["fx_bank"].select("doc_id", X.choice_count("ch_a", "ch_b", "ch_c", "ch_d", "ch_e").alias("n"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS sample_idx FROM documents")
+def question_positions(t: Tables) -> DataFrame:
+    rows = t["documents"].select("doc_id", F.col("lang").alias("subset"))
+    return records.with_positions(rows, "doc_id").select("doc_id", "sample_idx")
+
+
+@query("""WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents WHERE lang IN ('de', 'en', 'es'))
+SELECT doc_id FROM p WHERE i < CASE lang WHEN 'de' THEN 34 ELSE 33 END""")
+def balanced_limit(t: Tables) -> DataFrame:
+    rows = records.with_positions(t["documents"].select("doc_id", F.col("lang").alias("subset")), "doc_id")
+    return records.balanced_limit(rows, 100, ("de", "en", "es")).select("doc_id")
+
+
+@query("""WITH s AS (SELECT lang, string_agg('[Question]' || chr(10) || 'q' || doc_id || chr(10) || chr(10) || '[Options]' || chr(10) || 'A. x' || chr(10) || 'B. y' || chr(10) || '정답: B', chr(10) || chr(10) ORDER BY doc_id) AS shots
+ FROM documents WHERE doc_id < 3 GROUP BY lang) SELECT doc_id, sha256('""" + prompts.STYLES["free"] + "' || chr(10) || chr(10) || '" + prompts.ANSWER_FORM + """' || chr(10) || chr(10) || coalesce(shots || chr(10) || chr(10), '')
+ || '[Question]' || chr(10) || coalesce(substr(text, 1, 50), '') || chr(10) || chr(10) || '[Options]' || chr(10) || 'A. ' || source || chr(10) || 'B. y') AS prompt
+ FROM documents d LEFT JOIN s USING (lang)""")
+def few_shot_prompts(t: Tables) -> DataFrame:
+    d = t["documents"]
+    examples = d.where("doc_id < 3").select(
+        F.col("lang").alias("subset"), F.concat(F.lit("q"), F.col("doc_id")).alias("question"), F.array(F.lit("x"), F.lit("y")).alias("choices"),
+        F.lit("B").alias("answer"), F.col("doc_id").alias("position"),
+    )
+    rows = d.join(prompts.few_shot_blocks(examples), d["lang"] == F.col("subset"), "left")
+    text = prompts.prompt(F.left("text", F.lit(50)), F.array("source", F.lit("y")), "free", F.col("shots"))
+    return rows.select("doc_id", F.sha2(text, 256).alias("prompt"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (doc_id % 5 + doc_id % 3) / (CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 2 END) END AS mean FROM documents WHERE doc_id % 4 <> 1")
+def mean_of_repeats(t: Tables) -> DataFrame:
+    a, b = F.col("doc_id") % 5, F.col("doc_id") % 3
+    runs = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(None).cast("long"))).otherwise(F.array(a, F.lit(None).cast("long"), b))
+    return t["documents"].where("doc_id % 4 <> 1").select("doc_id", J.mean_of_valid(runs).alias("mean"))
+
+
 # --- counterfactual signals
 
 
@@ -541,6 +582,34 @@ def hypothesis_rows(t: Tables) -> DataFrame:
     return stats.hypothesis_rows(stats.seed_accuracy(_results(t)), PAIRS).select("a", "b", "holds")
 
 
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
+def language_histogram(t: Tables) -> DataFrame:
+    return stats.histogram(t["documents"], "lang", "source")
+
+
+@query("""SELECT avg(CAST(doc_id % 3 = 0 AS INT)) AS "without", avg(CAST(doc_id % 5 < 4 AS INT)) AS "with", avg(CAST(doc_id % 5 < 4 AS INT)) - avg(CAST(doc_id % 3 = 0 AS INT)) AS gain,
+ avg(CAST(doc_id % 3 = 0 AS INT)) / avg(CAST(doc_id % 5 < 4 AS INT)) AS "commit" FROM documents""")
+def reasoning_gain(t: Tables) -> DataFrame:
+    return t["documents"].agg(*stats.reasoning_gain(F.col("doc_id") % 3 == 0, F.col("doc_id") % 5 < 4))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, 'orig' AS kind, -1 AS k, 'A' AS ds_supported_letter, 'B' AS cand_supported_letter FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'cf', i::INT, 'C', CASE WHEN i = 0 THEN 'C' ELSE 'D' END FROM documents, (SELECT unnest([0, 1]) AS i)""")
+def judge_instances(t: Tables) -> DataFrame:
+    item = lambda x: F.struct(F.lit(x).alias("supported_letter"), F.lit(True).alias("matches_target"), F.lit(1.0).alias("score"))
+    side = lambda o, c: F.struct(item(o).alias("orig"), F.array(*map(item, c)).alias("cfs"))
+    rows = t["documents"].select(F.col("doc_id").cast("string").alias("id"), side("A", "CC").alias("ds"), side("B", "CD").alias("cand"))
+    return stats.judge_instances(rows).select("id", "kind", "k", "ds_supported_letter", "cand_supported_letter")
+
+
+@query("""WITH r AS (SELECT count(*) FILTER (ref_letter = cand_letter) / count(*) FILTER (cand_letter IS NOT NULL) AS a, count(*) FILTER ((ref_score < 3) = (cand_score < 3)) / count(*) AS b FROM fx_judge)
+SELECT coalesce(a >= 0.8 AND b >= 0.85, false) AS swap, abs(a - 0.8) <= 0.05 OR abs(b - 0.85) <= 0.05 AS borderline FROM r""", "fx_judge")
+def judge_swap(t: Tables) -> DataFrame:
+    j = t["fx_judge"]
+    one = j.agg(stats.agreement(F.col("ref_letter"), F.col("cand_letter"))[2].alias("a"), (F.count_if((F.col("ref_score") < 3) == (F.col("cand_score") < 3)) / F.count(F.lit(1))).alias("b"))
+    return one.select(stats.swap_verdict(F.col("a"), F.col("b"), F.lit(True)).alias("v")).select("v.*")
+
+
 @query("SELECT count(DISTINCT doc_id) AS done FROM fx_cf", "fx_cf")
 def done_count(t: Tables) -> DataFrame:
     return scoring.done_count(t["fx_cf"], ["doc_id"])

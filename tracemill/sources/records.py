@@ -7,6 +7,7 @@ import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +92,12 @@ def to_scored(df: DataFrame) -> DataFrame:
     )
 
 
+def with_positions(bank: DataFrame, *stable: str, subset: str = "subset", position: str = "sample_idx") -> DataFrame:
+    """A question bank's position within each subset, where the source has none: by a stable order, from 0."""
+    order = W.partitionBy(subset).orderBy(*stable)
+    return bank if position in bank.columns else bank.withColumn(position, (F.row_number().over(order) - 1).cast("long"))
+
+
 def is_counterfactual(df: DataFrame) -> bool:
     """Whether records hold generated counterfactuals, by their fields."""
     return bool({"cf_content", "cf_reasoning_content"} & set(df.schema.fieldNames()))
