@@ -27,7 +27,7 @@ def found_in(texts):
     out = [set() for _ in texts]
     for first, _, row, feature in X.features(pa.array(texts)):
         for r, f in zip(row.tolist(), feature.tolist(), strict=True):
-            out[first + r].add(divmod(f, 1 << X.BITS))
+            out[first + r].add(divmod(f, 1 << X.BITS))  # level, bucket
     return out
 
 
@@ -43,6 +43,58 @@ def test_features_are_runs_of_characters_with_levels():
     assert not {b for level, b in found_in(["ab " * 5 + "x" * 5000])[0] if level == 3} & {b for _, b in found_in(["ab"])[0]}
 
 
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abé ñ😀"), 5000))
+    whole = found_in([text])[0]
+    monkeypatch.setattr(X, "SLICE", 700)
+    assert found_in([text])[0] == whole
+    assert found_in(["q", text])[1] == whole
+
+
+def test_chosen_features_and_weights_equal_a_plain_fit(spark):
+    """The whole result against brute force: ratios, ranks, regression and scores without Spark."""
+    rng = np.random.default_rng(1)
+    data = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh", "bad" if i % 3 == 0 else "good"], 6))) for i in range(60)]
+    truth = {i: int(i % 3 == 0) for i, _ in data}
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    table = docs(spark, *data, extra=True)
+    found = {r.doc_id: r.score for r in X.score(table, X.train(table, labels, F.lit(True), n_features=50, rounds=40), F.lit(False)).collect()}
+    sets = dict(zip([i for i, _ in data], [{f + (k << X.BITS) for k, f in s} for s in found_in([t for _, t in data])]))
+    n1, n0 = sum(truth.values()), len(truth) - sum(truth.values())
+    rank = []
+    for f in set().union(*sets.values()):
+        p, q = (sum(f in sets[i] for i in sets if truth[i] == y) for y in (1, 0))
+        if p + q >= 3:
+            ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
+            rank.append((-round(abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1)), 9), f, ratio))
+    best = sorted(sorted(rank)[:50], key=lambda x: x[1])
+    x = np.array([[r if f in sets[i] else 0 for _, f, r in best] for i in sets])
+    y = np.array([truth[i] for i in sets])
+    x = x / (scale := np.sqrt((x * x).sum(1).mean()))
+    w, b, m, v = np.zeros(50), np.log((n1 + 1) / (n0 + 1)), np.zeros(51), np.zeros(51)
+    for t in range(1, 41):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        g = np.append(x.T @ e + 2.0 * w / len(y) / 100, e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = 0.1 * (1 - t / 41) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    want = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.allclose([found[i] for i in sets], want, atol=2e-3) and scale > 0
+
+
+def test_ties_and_file_layout_play_no_part(spark):
+    data = [(i, "same words here " + ("vile" if i % 2 else "kind")) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in data], "doc_id long, toxic int")
+    results = []
+    for parts in (1, 7):
+        table = docs(spark, *data).repartition(parts)
+        model = X.train(table, labels, F.lit(True), max_rows=20, n_features=5, rounds=20)
+        assert (model.weight != 0).sum() == 5
+        results.append(sorted((r.doc_id, r.score) for r in X.score(table, model, F.lit(False)).collect()))
+    assert results[0] == results[1]
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1), (1, 1)], "doc_id long, toxic int")
     table = docs(spark, (1, "you fool fool"), (2, "fine words"), (3, None), (None, "z " * 100_000), (3, None), extra=True)

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashes of its runs of 3 to 6 characters, each with the levels that their
+A text's features are the hashes of its runs of 2 to 6 characters, each with the levels that their
 number reaches: once, twice, four times, and twice or more in every 500 characters.  ASCII and Latin-1
 letters are lower-cased, white space is one kind of character, and texts begin and end with it.
 Labelled texts give each feature a log-count ratio (the log of its share of toxic texts over its
@@ -9,12 +9,17 @@ trained on their ratios, and its bias is put right for the shares of the two cla
 and other columns never enter a score.
 
 The training texts are a bounded sample: ``max_rows`` labelled rows at most, half of them of each
-label, taken in the order of a hash of their ids.  Only counts and feature numbers of these reach the
-driver, never texts.  Scoring looks each n-gram up in a fixed table and streams over whole texts.
+label, taken in the order of a hash of their ids.  Features are counted and ranked on the executors;
+one task fits the regression, in blocks, from the numbers of the features that the sample's texts
+have; only the chosen features and their weights reach the driver, never texts or counts.  Scoring
+looks each n-gram up in a fixed table and streams over whole texts.  A text longer than a chunk is
+cut, with an overlap, and its counts are added up, so memory does not follow a text's length.
 
 Nulls: null texts are empty, null labels are left out, a null id is in the fold of the empty text.
-Repeated labels of an id: the highest counts.  Without rows of both labels every score is the
-smoothed share of toxic rows.  Empty tables give an empty one.
+Repeated labels of an id: the highest counts.  Repeated rows of a labelled id all train.  Ties: of
+equally significant features those with the lower number stay; of ids with equal hashes the lower id.
+Without rows of both labels every score is the smoothed share of toxic rows.  Columns are selected by
+name and renamed, so extra ones may have any name.  Empty tables give an empty one.
 """
 
 from __future__ import annotations
@@ -27,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.session import ship_package
+
 from . import textkit as tk
-from .shared import arrow_map, batch_of, columns, fold, table
+from .shared import Workspace, arrow_map, batch_of, columns, fold, table
 
-ORDERS = (3, 4, 5, 6)
-BITS, LEVELS, DENSE = 19, 4, 500
+ORDERS = (2, 3, 4, 5, 6)
+BITS, LEVELS, DENSE = 20, 4, 500
+#: A chunk's bytes, and code points of a long text that are hashed at a time.
+CHUNK, SLICE = 1 << 18, 1 << 18
 FEATURES = LEVELS << BITS
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[0x41:0x5B] += 0x20
@@ -47,43 +56,87 @@ class Model:
     weight: np.ndarray
     bias: float
 
+    def __post_init__(self) -> None:
+        self.used = (self.weight != 0).reshape(LEVELS, -1).any(0)
+
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.bias)
-        used = (self.weight != 0).reshape(LEVELS, -1).any(0)
-        for first, rows, doc, feature in features(column, used):
+        for first, rows, doc, feature in features(column, self.used):
             out[first : first + rows] += np.bincount(doc, self.weight[feature], rows)
         return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
 
 
+def _points(data: bytes) -> np.ndarray:
+    """Code points, folded, as unsigned 64-bit numbers."""
+    points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32).astype(tk.U)
+    small = points < 256
+    points[small] = _FOLD[points[small]]
+    return points
+
+
+def _runs(text: np.ndarray, used: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By order: the places of runs and their buckets, of ``used`` buckets only if given."""
+    value = text
+    for order in range(2, ORDERS[-1] + 1):
+        if len(value) < 2:
+            return
+        value = value[:-1] * tk.U(0x100000001B3) + text[order - 1 :]
+        if order in ORDERS:
+            bucket = ((value + tk.U(order)) * tk.U(0x9E3779B97F4A7C15) >> tk.U(64 - BITS)).astype(np.int64)
+            at = np.flatnonzero(used[bucket]) if used is not None else np.arange(len(bucket))
+            yield order, at, bucket[at]
+
+
+def _levels(times: np.ndarray, length: np.ndarray | int) -> list[np.ndarray]:
+    dense = (times >= 2) & (times * DENSE >= 2 * np.maximum(length, 1))
+    return [times >= 1, times >= 2, times >= 4, dense]
+
+
+def _long(chunk: tk.Chunk, used: np.ndarray | None) -> np.ndarray:
+    """Features of one long text: its slices overlap by the longest run less one, and a run counts once."""
+    times = np.zeros(1 << BITS, np.int64)
+    lead = np.flatnonzero((chunk.data & 0xC0) != 0x80)
+    cuts = [*lead[::SLICE].tolist(), len(chunk.data)]
+    carry = np.zeros(0, tk.U)
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        own = [carry, _points(chunk.data[a:b].tobytes())]
+        if not i:
+            own[0] = np.full(1, tk.U(0x20))
+        if i == len(cuts) - 2:
+            own.append(np.full(1, tk.U(0x20)))
+        text = np.concatenate(own)
+        for order, at, bucket in _runs(text, used):
+            new = bucket[at >= len(carry) - order + 1]
+            value, count = np.unique(new, return_counts=True)
+            times[value] += count
+        carry = text[1 - ORDERS[-1] :]
+    bucket = np.flatnonzero(times)
+    return np.concatenate([bucket[x] + (k << BITS) for k, x in enumerate(_levels(times[bucket], len(lead)))])
+
+
 def features(
     column: pa.Array, used: np.ndarray | None = None
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """By chunk: first row, rows, and the (row, feature) pairs, of ``used`` buckets only if given."""
-    for chunk in tk.chunks(column, 1 << 18):
-        points = np.frombuffer(chunk.data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(tk.U)
+    for chunk in tk.chunks(column, CHUNK):
+        if chunk.rows == 1 and len(chunk.data) > 4 * SLICE:
+            feature = _long(chunk, used)
+            yield chunk.first, 1, np.zeros(len(feature), np.int64), feature
+            continue
+        points = _points(chunk.data.tobytes())
         lead = (chunk.data & 0xC0) != 0x80
         count = np.concatenate([[0], np.cumsum(lead)])[chunk.offsets]  # code points before each row
-        small = points < 256
-        points[small] = _FOLD[points[small]]
         start = count + np.arange(chunk.rows + 1)  # a space before each text, and one at the end
         text = np.full(len(points) + chunk.rows + 1, tk.U(0x20))
         text[np.arange(len(points)) + np.repeat(np.arange(1, chunk.rows + 1), np.diff(count))] = points
-        value, pairs = text, []
-        for order in range(2, ORDERS[-1] + 1):
-            if len(value) < 2:
-                break
-            value = value[:-1] * tk.U(0x100000001B3) + text[order - 1 :]
-            if order not in ORDERS:
-                continue
-            bucket = ((value + tk.U(order)) * tk.U(0x9E3779B97F4A7C15) >> tk.U(64 - BITS)).astype(np.int64)
-            at = np.flatnonzero(used[bucket]) if used is not None else np.arange(len(bucket))
+        pairs = [np.zeros(0, np.int64)]
+        for order, at, bucket in _runs(text, used):
             row = np.searchsorted(start, at, "right") - 1
             inside = at + order - 1 <= start[np.minimum(row + 1, chunk.rows)]  # may end on the next text's space
-            pairs.append((row[inside] << BITS) | bucket[at[inside]])
-        pairs, times = np.unique(np.concatenate(pairs) if pairs else np.zeros(0, np.int64), return_counts=True)
-        row, bucket = pairs >> BITS, pairs & ((1 << BITS) - 1)
-        levels = [times >= 1, times >= 2, times >= 4, times * DENSE >= 2 * np.maximum(np.diff(count), 1)[row]]
-        levels[3] &= levels[1]
+            pairs.append((row[inside] << BITS) | bucket[inside])
+        both, times = np.unique(np.concatenate(pairs), return_counts=True)
+        row, bucket = both >> BITS, both & ((1 << BITS) - 1)
+        levels = _levels(times, np.diff(count)[row])
         row = np.concatenate([row[x] for x in levels])
         feature = np.concatenate([bucket[x] + (k << BITS) for k, x in enumerate(levels)])
         order = np.argsort(row, kind="stable")
@@ -103,18 +156,11 @@ def training_rows(labels: DataFrame, toxic: str, id_col: str, trains: Column, ma
 
 _COUNT = pa.schema([("bucket", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
 _ROW = pa.schema([("y", pa.int32()), ("features", pa.binary())])
+_WEIGHT = pa.schema([("place", pa.int32()), ("weight", pa.float64())])
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, trains: Column, toxic: str = "toxic", id_col: str = "doc_id",
-    text_col: str = "text", max_rows: int = 8_000, n_features: int = 6_000, rounds: int = 150, l2: float = 2.0,
-) -> Model:
-    """Fit on at most ``max_rows`` labelled rows for which ``trains``, a column of ids, is true."""
-    spark = docs.sparkSession
-    sample, known = training_rows(labels, toxic, id_col, trains, max_rows)
-    narrow = docs.select(F.col(id_col).alias("__tm_id"), F.col(text_col).cast("string").alias("__tm_text"))
-    # at most max_rows rows of two numbers: small enough for every executor
-    texts = narrow.join(F.broadcast(sample), "__tm_id").select("__tm_text", "__tm_toxic")
+def _counted(texts: DataFrame) -> DataFrame:
+    """(bucket, toxic, other): how many texts of each label have a feature; bucket -1 counts the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, FEATURES), np.int32)
@@ -122,81 +168,115 @@ def train(
         for batch in batches:
             y = np.asarray(batch.column(1))
             rows += np.bincount(y, minlength=2)
-            for first, n, doc, bucket in features(batch.column(0)):
+            for first, n, doc, feature in features(batch.column(0)):
                 own = y[first : first + n][doc]
                 for k in (0, 1):
-                    found[k] += np.bincount(bucket[own == k], minlength=FEATURES).astype(np.int32)
+                    value, times = np.unique(feature[own == k], return_counts=True)
+                    found[k, value] += times.astype(np.int32)
         at = np.flatnonzero(found.any(0))
-        yield batch_of(
-            _COUNT, np.append(at, -1), np.append(found[1, at], rows[1]), np.append(found[0, at], rows[0])
-        )
+        yield batch_of(_COUNT, np.append(at, -1), np.append(found[1, at], rows[1]), np.append(found[0, at], rows[0]))
+
+    counts = texts.mapInArrow(count, "bucket long, toxic long, other long")
+    return counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
-    from tracemill.session import ship_package
 
+def train(
+    docs: DataFrame, labels: DataFrame, trains: Column, toxic: str = "toxic", id_col: str = "doc_id",
+    text_col: str = "text", max_rows: int = 12_000, n_features: int = 10_000, least: int = 3, rounds: int = 150,
+    l2: float = 2.0,
+) -> Model:
+    """Fit on at most ``max_rows`` labelled rows for which ``trains``, a column of ids, is true.
+
+    A feature needs ``least`` texts; the ``n_features`` (under 65 536) with the most significant ratios stay.
+    """
+    spark = docs.sparkSession
     ship_package(spark)
-    counts = texts.mapInArrow(count, "bucket long, toxic long, other long")
-    counts = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counts = columns(counts.where("toxic + other >= 5 OR bucket = -1"))  # FEATURES rows at most
-    at = np.argsort(counts["bucket"])
-    number, p, q = (counts[c][at] for c in ("bucket", "toxic", "other"))
-    n1, n0 = (int(c[number == -1].sum()) for c in (p, q))
-    number, p, q = (c[number != -1] for c in (number, p.astype(float), q.astype(float)))
-    if not n1 or not n0 or not len(number):
+    space = Workspace(spark, "toxicity")
+    sample, known = training_rows(labels, toxic, id_col, trains, max_rows)
+    narrow = docs.select(F.col(id_col).alias("__tm_id"), F.col(text_col).cast("string").alias("__tm_text"))
+    # at most max_rows rows of two numbers: small enough for every executor
+    texts = narrow.join(F.broadcast(sample), "__tm_id").select("__tm_text", "__tm_toxic")
+    texts = space.save(texts, "sample")
+    counts = space.save(_counted(texts), "counts")  # FEATURES rows at most
+    whole = counts.where("bucket = -1").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q")).first()
+    n1, n0 = whole["p"] or 0, whole["q"] or 0
+    p, q = F.col("toxic").cast("double") + 1, F.col("other").cast("double") + 1
+    ratio = F.log(p / F.lit(float(n1 + 2))) - F.log(q / F.lit(float(n0 + 2)))
+    ranked = counts.where((F.col("bucket") >= 0) & (F.col("toxic") + F.col("other") >= least))
+    ranked = ranked.select("bucket", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("rank"))
+    best = columns(ranked.orderBy(F.col("rank").desc(), "bucket").limit(n_features).select("bucket", "ratio"))
+    order = np.argsort(best["bucket"])
+    bucket, ratio = best["bucket"][order], best["ratio"][order]
+    if not n1 or not n0 or not len(bucket):
+        space.drop("sample", "counts")
         share = (known.get(1, 0) + 0.5) / (known.get(1, 0) + known.get(0, 0) + 2)
         return Model(np.zeros(FEATURES, np.float32), float(np.log(share / (1 - share))))
-    ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
-    score = np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1))
-    best = np.sort(np.argsort(-score, kind="stable")[:n_features])
-    bucket, ratio = number[best], ratio[best]
-    place = np.full(FEATURES, -1, np.int32)
-    place[bucket] = np.arange(len(bucket))
-    held = spark.sparkContext.broadcast(place)
-
-    def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        used = (held.value >= 0).reshape(LEVELS, -1).any(0)
-        for first, n, doc, at in features(batch.column(0), used):
-            known_ = held.value[at] >= 0
-            doc, at = doc[known_], at[known_]
-            cuts = np.searchsorted(doc, np.arange(1, n))
-            yield batch_of(
-                _ROW, batch.column(1).slice(first, n), [x.tobytes() for x in np.split(held.value[at], cuts)]
-            )
-
-    design = columns(arrow_map(texts, rows_of, "y int, features binary"))
-    each = [np.frombuffer(x, np.int32) for x in design["features"]]
-    size = np.array([len(x) for x in each])
-    flat = np.concatenate(each) if len(each) else np.zeros(0, np.int32)
-    weight, bias = _fit(flat, size, design["y"].astype(float), ratio, rounds, l2)
+    held = spark.sparkContext.broadcast((bucket, ratio))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(FEATURES, -1, np.int32)
+        place[held.value[0]] = np.arange(len(held.value[0]))
+        used = (place >= 0).reshape(LEVELS, -1).any(0)
+        for batch in batches:
+            for first, n, doc, at in features(batch.column(0), used):
+                own = place[at]
+                doc, own = doc[own >= 0], own[own >= 0].astype(np.uint16)
+                cuts = np.searchsorted(doc, np.arange(1, n))
+                yield batch_of(_ROW, batch.column(1).slice(first, n), [x.tobytes() for x in np.split(own, cuts)])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, each = [], []
+        for batch in batches:
+            y.append(np.asarray(batch.column(0)))
+            each += [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(1)]
+        weight, bias = _fit(each, np.concatenate(y).astype(np.float64), held.value[1], rounds, l2)
+        yield batch_of(_WEIGHT, np.arange(-1, len(weight)), np.append(bias, weight))
+
+    # one task fits a sample of bounded size; its rows come in an order of their own, whoever sends them first
+    design = texts.mapInArrow(rows_of, "y int, features binary").repartition(1).sortWithinPartitions("y", "features")
+    fitted_ = columns(design.mapInArrow(fit, "place int, weight double"))
+    order = np.argsort(fitted_["place"])
+    bias, weight = fitted_["weight"][order][0], fitted_["weight"][order][1:]
     # the sample holds the classes in other shares than the labelled rows
     bias += np.log(max(known.get(1, 0), 1) / max(known.get(0, 0), 1)) - np.log(n1 / n0)
     table_ = np.zeros(FEATURES, np.float32)
     table_[bucket] = weight * ratio
+    held.unpersist()
+    space.drop("sample", "counts")
     return Model(table_, float(bias))
 
 
-def _fit(
-    flat: np.ndarray, size: np.ndarray, y: np.ndarray, ratio: np.ndarray, rounds: int, l2: float
-) -> tuple[np.ndarray, float]:
-    """Logistic regression on the ratios of present features, by full-batch Adam steps."""
-    order = np.lexsort((size, y))  # the order in which executors answered plays no part
-    at = np.concatenate([[0], np.cumsum(size)])
-    flat = np.concatenate([flat[at[i] : at[i + 1]] for i in order]) if len(order) else flat
-    size, y = size[order], y[order]
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), size)
-    ratio = ratio.astype(np.float32)
-    x = ratio[flat]
-    scale = float(np.sqrt(np.maximum(np.bincount(doc, x * x, len(y)).mean(), 1e-9)))
-    x /= np.float32(scale)
-    w, b = np.zeros(len(ratio), np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+#: Feature numbers that a step of the fit holds at once.
+_BLOCK = 1 << 20
+
+
+def _fit(each: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
+    """Logistic regression on the ratios of present features, by full-batch Adam steps in blocks of rows."""
+    n, size = len(y), np.array([len(x) for x in each])
+    ends = np.cumsum(size)
+    cuts = [0, *(np.searchsorted(ends, np.arange(_BLOCK, ends[-1], _BLOCK)) + 1).tolist(), n] if n else [0]
+    blocks = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            blocks.append((a, b, np.concatenate(each[a:b]), np.repeat(np.arange(b - a), size[a:b])))
+    square = sum(float((ratio * ratio)[flat].sum()) for *_, flat, _ in blocks) / n
+    ratio = ratio / np.sqrt(max(square, 1e-9))
+    scale = float(np.sqrt(max(square, 1e-9)))
+    w, b0 = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(doc, w[flat] * x, len(y)) + b
-        e = ((1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)).astype(np.float32)
-        g = np.append(np.bincount(flat, e[doc] * x, len(w)) + l2 * w / len(y) / 100, e.sum())
+        own = (w * ratio).astype(np.float32)
+        g, total = np.zeros(len(w)), 0.0
+        for a, b, flat, doc in blocks:
+            z = np.bincount(doc, own[flat], b - a) + b0
+            e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[a:b]) / n
+            g += np.bincount(flat, e[doc], len(w))
+            total += e.sum()
+        g = np.append(g * ratio + l2 * w / n / 100, total)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
-    return w / scale, b
+        w, b0 = w - step[:-1], b0 - step[-1]
+    return w / scale, b0
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
