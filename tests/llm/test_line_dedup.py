@@ -30,20 +30,64 @@ def test_batches_and_levels_against_brute_force(spark):
     rng = random.Random(4)
     lines = [f"{k} {LONG}" for k in range(30)] + ["", "short", "  " + LONG.upper() + "\t", LONG, "é" * 40, "é" * 39]
     data = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for i in range(60)] + [(60, None), (61, ""), (62, "\n\n")]
-    for batches, fanout in ((1, 2), (7, 2), (4, 3)):
-        found = L.dedup_lines(docs(spark, *data, extra=True), batches=batches, fanout=fanout).collect()
+    for batches in (1, 4, 7):
+        found = L.dedup_lines(docs(spark, *data, extra=True), batches=batches).collect()
         assert sorted([(r.doc_id, r.text or "") for r in found], key=repr) == brute(data)
         assert all(r.n_chars == len(r.text) for r in found if r.text is not None)
 
 
-def test_runs_know_new_keys_and_compact(spark):
+def ingested(spark, batches):
     from tracemill.llm.shared import Workspace
 
-    runs = L.LineRuns(Workspace(spark, "test"), fanout=2)
-    for keys in ([1, 2], [2, 3], [3, 4], [9, 1]):
-        runs.ingest(spark.createDataFrame([(k, k, k) for k in keys], "__tm_doc long, __tm_h1 long, __tm_h2 long"))
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert {r["__tm_h1"]: r.docs for r in runs.merged().collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 9: 1}
+    runs = L.LineRuns(Workspace(spark, "test"), 4)
+    for n, keys in enumerate(batches):
+        runs.ingest(spark.createDataFrame([(10 * n + k, k, k) for k in keys], "__tm_doc long, __tm_h1 long, __tm_h2 long"))
+    return runs
+
+
+def totals(runs):
+    return sorted((r["__tm_h1"], r.docs, r["last"]) for df in runs.totals() for r in df.collect())
+
+
+BATCHES = [1, 2], [2, 3], [3, 4], [9, 1, 2], [2], [5]
+WANT = [(1, 2, 31), (2, 4, 42), (3, 2, 23), (4, 1, 24), (5, 1, 55), (9, 1, 39)]
+
+
+def test_runs_hold_each_key_once_and_compact(spark):
+    runs = ingested(spark, BATCHES)
+    assert [run is not None for run in runs.keys] == [False, True, True]  # six runs, merged two by two
+    assert sorted(r["__tm_h1"] for run in runs.keys if run for r in run[1].collect()) == [1, 2, 3, 4, 5, 9]
+    assert totals(runs) == WANT
+    assert {r["__tm_h1"] for r in runs.hot(2, "hot").collect()} == {1, 2, 3}
+
+
+def test_the_anti_join_decides(spark, monkeypatch):
+    monkeypatch.setattr(L.LineRuns, "unknown", lambda self, batch: batch)
+    assert totals(ingested(spark, BATCHES)) != WANT
+
+
+def test_runs_are_neither_shuffled_nor_sorted(spark, capsys):
+    runs = ingested(spark, BATCHES[:3])
+    schema = "__tm_h1 long, __tm_h2 long, docs long, last long"
+    with runs._in_order():
+        batch = runs._write(spark.createDataFrame([(k, k, 1, 1) for k in range(99)], schema).repartition(4, *L.KEY), "batch")[1]
+        one, other = (run[1] for run in runs.keys)
+        for plan in (runs.unknown(batch), runs.merged(one, other, True), *runs.totals()):
+            capsys.readouterr()
+            plan.explain()
+            text = capsys.readouterr().out
+            assert "SortMergeJoin" in text and "Bucketed: true" in text
+            assert "Exchange" not in text and "Sort [" not in text
+
+
+def test_clashing_columns_stay(spark):
+    from pyspark.sql import functions as F
+
+    table = docs(spark, *[(i, LONG) for i in range(6)]).withColumn("__tm_doc", F.lit("mine")).withColumn("__TM_DROP", F.lit("too"))
+    found = L.dedup_lines(table)
+    assert found.columns == table.columns
+    assert {(r["__tm_doc"], r["__TM_DROP"]) for r in found.collect()} == {("mine", "too")}
+    assert sum(r.text == "" for r in found.collect()) == 5
 
 
 def test_edges(spark):

@@ -2,16 +2,23 @@
 
 Documents arrive in batches.  A batch is reduced to one row per line key: its 128-bit hash, the
 number of documents holding it and the largest of their ids.  The batch is merge-anti-joined with
-the runs on disk, which tells new keys from known ones, and its rows become a run of level 0.  When
-a level holds ``fanout`` runs they are merged into one run of the next level, so a key is rewritten
-a logarithmic number of times and a batch meets few runs.  Runs are partitioned and sorted by hash.
+the runs on disk: keys that no run holds become a run of their own, and what the batch says of known
+keys becomes a run of updates.  So every key stands in one run only, with the numbers of the batch
+that brought it, and its updates are added when the totals are read.  When a level holds two runs
+they are merged into one run of the next level, so a row is rewritten a logarithmic number of times
+and a batch meets few runs.  Runs are bucketed and sorted by hash; a batch is dealt to the same
+buckets once, and merging it with the runs, merging runs and reading totals shuffles and sorts no run.
+(Runs are merged by joins: Spark 4.1 takes a union of bucketed tables for one that is still dealt by
+their keys, and what aggregates or joins it then goes wrong.)
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased.  Keys shorter than
 ``min_chars`` code points are never counted or dropped.  A key found in ``min_docs`` documents or
 more keeps its lines only in the document with the largest id.
 
 Nulls: a null text is one empty line; null ids count as one document, smaller than all others.
-Repeated rows of one id are one document and are cleaned alike.  An empty table gives an empty one.
+Repeated rows of one id are one document and are cleaned alike; a key twice in the document that
+keeps it stays twice.  Very long texts and lines are read whole, one at a time.  Columns added on the
+way take names that the input does not have.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, arrow_map, batch_of, table
+from .shared import Workspace, arrow_map, batch_of, setting, table, unused
 
 KEY = ["__tm_h1", "__tm_h2"]
 _LINES = pa.schema([("__tm_doc", pa.int64()), ("__tm_h1", pa.int64()), ("__tm_h2", pa.int64())])
@@ -60,61 +67,88 @@ def line_hashes(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", te
     return arrow_map(narrow, run, "__tm_doc long, __tm_h1 long, __tm_h2 long").dropDuplicates()
 
 
+#: Keys of a bucket, about; and buckets at least.
+BUCKET_KEYS, LEAST_BUCKETS = 2_000_000, 12
+
+
 class LineRuns:
-    """Levelled runs with rows (hash, number of documents, largest id, new when it was added)."""
+    """Levelled runs of (hash, documents, largest id): of new keys, each in one run only, and of updates."""
 
-    def __init__(self, space: Workspace, fanout: int = 3):
-        self.space, self.fanout = space, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = []
+    def __init__(self, space: Workspace, buckets: int = LEAST_BUCKETS):
+        self.space, self.buckets = space, buckets
+        self.keys: list[tuple[str, DataFrame] | None] = []  # by level
+        self.updates: list[tuple[str, DataFrame] | None] = []
         self.made = 0
 
-    def runs(self) -> list[tuple[str, DataFrame]]:
-        return [run for level in self.levels for run in level]
+    def _in_order(self) -> object:
+        return setting(self.space.spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
-    def merged(self) -> DataFrame | None:
-        runs = [df for _, df in self.runs()]
-        return self._merge(runs) if runs else None
-
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        return (
-            reduce(DataFrame.unionByName, runs)
-            .groupBy(*KEY)
-            .agg(F.sum("docs").alias("docs"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
-        )
-
-    def _write(self, df: DataFrame, level: int) -> None:
+    def _write(self, df: DataFrame, kind: str) -> tuple[str, DataFrame]:
         self.made += 1
-        name = f"run-{level}-{self.made}"
-        while len(self.levels) <= level:
-            self.levels.append([])
-        # the rows come out of an aggregation or join on KEY, so each task holds a hash range of its own
-        self.levels[level].append((name, self.space.save(df.sortWithinPartitions(*KEY), name)))
+        name = f"{kind}-{self.made}"
+        return name, self.space.save_sorted(df.select(*KEY, "docs", "last"), name, KEY, self.buckets)
+
+    def unknown(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch whose keys no run holds: merge-anti-joined with one run after another."""
+        for _, run in filter(None, self.keys):
+            batch = batch.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+        return batch
 
     def ingest(self, lines: DataFrame) -> None:
-        """Add a batch of (document, key) rows; ``fresh`` marks keys that no run holds."""
+        """Add a batch of (document, key) rows."""
         own = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("__tm_doc").alias("last"))
-        known = [df.select(*KEY) for _, df in self.runs()]
-        if known:
-            own = self.space.save(own, f"batch-{self.made}")
-            held = reduce(DataFrame.union, known)
-            fresh = own.join(held.hint("merge"), KEY, "left_anti").withColumn("fresh", F.lit(True))
-            again = own.join(held.hint("merge"), KEY, "left_semi").withColumn("fresh", F.lit(False))
-            batch, own = f"batch-{self.made}", fresh.unionByName(again)
-            self._write(own, 0)
-            self.space.drop(batch)
-        else:
-            self._write(own.withColumn("fresh", F.lit(True)), 0)
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self._merge([df for _, df in full]), level + 1)
-            self.space.drop(*(name for name, _ in full))
-            level += 1
+        with self._in_order():
+            name, own = self._write(own.repartition(self.buckets, *KEY), "batch")
+            fresh = self._write(self.unknown(own), "keys")
+            known = self._write(own.join(fresh[1].select(*KEY).hint("merge"), KEY, "left_anti"), "updates")
+            self.space.drop_sorted(name)
+            self._add(self.keys, fresh, "keys")
+            self._add(self.updates, known, "updates")
+
+    def _add(self, levels: list[tuple[str, DataFrame] | None], run: tuple[str, DataFrame], kind: str) -> None:
+        for level, held in enumerate(levels):
+            if held is None:
+                levels[level] = run
+                return
+            levels[level] = None
+            both = self._write(self.merged(held[1], run[1], kind == "updates"), kind)
+            self.space.drop_sorted(held[0], run[0])
+            run = both
+        levels.append(run)
+
+    @staticmethod
+    def merged(one: DataFrame, other: DataFrame, add: bool) -> DataFrame:
+        """Two runs in one: documents of updates are added; a key that is new is new in one of them only."""
+        other = other.select(*KEY, F.col("docs").alias("more"), F.col("last").alias("later"))
+        docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0)) if add else F.coalesce("docs", "more")
+        out = one.join(other.hint("merge"), KEY, "full_outer")
+        return out.select(*KEY, docs.alias("docs"), F.greatest("last", "later").alias("last"))
+
+    def totals(self) -> list[DataFrame]:
+        """By run of keys, each key's documents and largest id: where it is new, and what updates say."""
+        out = []
+        for _, run in filter(None, self.keys):
+            for _, update in filter(None, self.updates):
+                update = update.select(*KEY, F.col("docs").alias("more"), F.col("last").alias("later"))
+                run = run.join(update.hint("merge"), KEY, "left").select(
+                    *KEY, (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs"), F.greatest("last", "later").alias("last")
+                )
+            out.append(run)
+        return out
+
+    def hot(self, min_docs: int, name: str) -> DataFrame:
+        """Keys of ``min_docs`` documents or more with the largest id, written; the runs are deleted."""
+        with self._in_order():
+            found = [run.where(F.col("docs") >= min_docs).select(*KEY, "last") for run in self.totals()]
+            out = self.space.save(reduce(DataFrame.unionByName, found), name)
+        for levels in (self.keys, self.updates):
+            self.space.drop_sorted(*(run for run, _ in filter(None, levels)))
+            levels.clear()
+        return out
 
 
 def dropped_lines(
-    docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, fanout: int = 3,
+    docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document that loses lines: ``__tm_doc`` and ``__tm_drop``, the keys' hashes as 16 bytes each."""
@@ -122,11 +156,11 @@ def dropped_lines(
     lines = line_hashes(docs, min_chars, id_col, text_col)
     part = F.pmod(F.xxhash64("__tm_doc"), F.lit(batches)).cast("int")
     lines = space.save(lines.withColumn("__tm_batch", part), "lines", ["__tm_batch"])
-    runs = LineRuns(space, fanout)
+    buckets = max(LEAST_BUCKETS, -(-lines.count() // BUCKET_KEYS))
+    runs = LineRuns(space, buckets)
     for batch in range(batches):
         runs.ingest(lines.where(F.col("__tm_batch") == batch))
-    hot = space.save(runs.merged().where(F.col("docs") >= min_docs).select(*KEY, "last"), "hot")
-    space.drop(*(name for name, _ in runs.runs()))
+    hot = runs.hot(min_docs, "hot")
     lost = lines.join(hot.hint("merge"), KEY).where(~F.col("__tm_doc").eqNullSafe(F.col("last")))
     word = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     lost = lost.groupBy("__tm_doc").agg(F.collect_list(F.concat(*map(word, KEY))).alias("__tm_drop"))
@@ -153,31 +187,34 @@ def _digest(key: bytes) -> bytes:
     return np.frombuffer(xxhash.xxh3_128_digest(key), "<i8").astype(">i8").tobytes()
 
 
-def _joined(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+def _joined(docs: DataFrame, lost: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with the keys to drop, and the name of that column."""
+    of, drop = unused(docs, "__tm_doc"), unused(docs, "__tm_drop")
+    lost = lost.select(F.col("__tm_doc").alias(of), F.col("__tm_drop").alias(drop))
     # the table of drops grows with the documents: the same join at every size, and none that broadcasts it
-    same = docs[id_col].cast("long").eqNullSafe(lost["__tm_doc"])
-    return docs.join(lost.hint("merge"), same, "left").drop("__tm_doc")
+    same = docs[id_col].cast("long").eqNullSafe(lost[of])
+    return docs.join(lost.hint("merge"), same, "left").drop(of), drop
 
 
 def dedup_lines(
-    docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, fanout: int = 3,
+    docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4,
     id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars",
 ) -> DataFrame:
     """``docs`` with the lines dropped from the text; ``length_col``, where present, is counted anew."""
-    lost = dropped_lines(docs, min_docs, min_chars, batches, fanout, id_col, text_col)
-    wide = _joined(docs, lost, id_col)
-    schema = wide.drop("__tm_drop").schema
+    lost = dropped_lines(docs, min_docs, min_chars, batches, id_col, text_col)
+    wide, drop = _joined(docs, lost, id_col)
+    schema = wide.drop(drop).schema
     at = wide.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        drops = batch.column("__tm_drop").to_pylist()
+        drops = batch.column(drop).to_pylist()
         texts = batch.column(at)
         out = [
             t.as_py() if not d else _kept(t.as_py(), d, min_chars)[2].decode() for t, d in zip(texts, drops, strict=True)
         ]
-        columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__tm_drop"]
+        columns = list(batch.columns)[:-1]
         columns[at] = pa.array(out, texts.type)
-        return pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "__tm_drop"])
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     out = arrow_map(wide, run, schema)
     return out.withColumn(length_col, F.length(text_col).cast("long")) if length_col in docs.columns else out
@@ -188,10 +225,10 @@ _RESULT = pa.schema(
 )
 
 
-def line_report(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4, fanout: int = 3) -> DataFrame:
+def line_report(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4) -> DataFrame:
     """Per document: lines before dropping, lines dropped, and the SHA-256 of what is kept."""
-    lost = dropped_lines(docs, min_docs, min_chars, batches, fanout)
-    wide = _joined(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), lost, "doc_id")
+    lost = dropped_lines(docs, min_docs, min_chars, batches)
+    wide, _ = _joined(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), lost, "doc_id")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [
