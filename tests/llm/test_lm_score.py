@@ -41,38 +41,140 @@ def test_base_is_exact_and_model_is_better(spark, sf_small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
-def test_slices_give_the_same(spark):
-    data = [(i, " ".join(f"w{(i * j) % 17}" for j in range(20))) for i in range(30)] + [(30, None)]
-    table = docs(spark, *data, extra=True)
+def small(spark, n=40):
+    data = [(i, " ".join(f"w{(i * j + j) % 17}{'x' * (j % 3)}" for j in range(3 + i % 20))) for i in range(n)] + [(n, None), (n + 1, "new words W1 w1")]
+    return data, docs(spark, *data, extra=True)
+
+
+def known_words_by_hash(spark, table, known):
+    train = F.col("doc_id") % 10 != 3
+    return M.fit(table, train, rounds=[F.col("doc_id") < 20, F.col("doc_id") >= 20], known=known), train
+
+
+def test_file_layout_and_known_words_play_no_part(spark):
+    _, table = small(spark)
     results = []
-    for words in (10**6, 5):
-        fitted = M.fit(table, F.col("doc_id") > 3, slice_words=words, trainers=1)
-        assert len(fitted[0].slices) == (1 if words > 100 else 4)
-        results.append(sorted((r.doc_id, r.n_known, round(r.base_score, 9), round(r.score, 6)) for r in M.score(table, fitted, F.col("doc_id") <= 3).collect()))
-    assert results[0] == results[1]
-
-
-def test_probabilities_sum_to_one(spark):
-    table = docs(spark, *[(i, "the cat sat on the mat and the dog ran") for i in range(20)] + [(99, "dogs run catly")])
-    model, _ = M.fit(table, F.lit(True), trainers=1)
-    before = np.array([[3], [M.HEADS + 5]])
-    p = np.exp(model.weights.classes(M._features(before)))[0]
-    assert math.isclose(p.sum(), 1, rel_tol=1e-5)
-    kinds = np.arange(M.HEAD_CLASSES)
-    q = np.exp(model.weights.members(M._pairs(np.repeat(before, len(kinds), 1), kinds), kinds))
-    assert np.allclose(q.sum(1), 1, atol=1e-5)
-    # in a class of endings: shares of known words and of one unknown outcome
-    total = model.tail_tokens + M.ADD * model.tail_types + M.ADD
-    assert np.allclose(total, 10 ** model.tail_unit())
+    for parts, known in ((1, 10**6), (5, 4), (3, 0)):
+        frame = table.repartition(parts)
+        model, train = known_words_by_hash(spark, frame, known)
+        found = M.score(frame, model, ~train).collect()
+        results.append(sorted((r.doc_id, r.n_known, round(r.base_score, 9), round(r.score, 9) if known > 10 else 0) for r in found))
+    assert [[x[:3] for x in r] for r in results[1:]] == [[x[:3] for x in results[0]]] * 2
+    frame = table.repartition(7)
+    model, train = known_words_by_hash(spark, frame, 10**6)
+    assert sorted((r.doc_id, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in M.score(frame, model, ~train).collect()) == results[0]
+
+
+def word_hash(word):
+    return int(tk.hash_words([word.encode()])[0])
+
+
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * odd & MASK
+    return x ^ x >> 31
+
+
+def plain_log(model, counts, words, i):
+    """log10 of token ``i`` of ``words`` (None is the end), one number at a time."""
+    vocabulary = model.vocabulary
+    start, odd = int(M._START), [int(x) for x in M._ODD]
+    before = [word_hash(words[i - k]) if i >= k else start for k in (1, 2, 3)]
+    before.append(mixed((before[0] * odd[0] + before[1]) & MASK))
+    if words[i] is None:
+        item = 0
+    else:
+        at = np.flatnonzero(vocabulary.hashes == tk.U(word_hash(words[i])))
+        item = int(vocabulary.item[at[0]]) if len(at) else -1
+        if item < 0:
+            raw = words[i].encode()
+            item = M.OWN + int(M.ending(tk.words(tk.Chunk(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), tk.SPACE))[0])
+    leaf, out = int(vocabulary.leaf[item]), 0.0
+    for level in range(M.LEVELS):
+        node = sum(M.WAYS**k for k in range(level)) + leaf // M.WAYS ** (M.LEVELS - level)
+        rows = [((c * o & MASK ^ node * 0x9E3779B97F4A7C15 & MASK) * 0xD6E8FEB86659FD93 & MASK) >> 64 - M.ROW_BITS for c, o in zip(before, odd)]
+        z = model.weights[[*rows, (1 << M.ROW_BITS) + node]].astype(float).sum(0)
+        z = np.exp(z - z.max())
+        out += math.log10(z[leaf // M.WAYS ** (M.LEVELS - 1 - level) % M.WAYS] / z.sum())
+    if item >= M.OWN:
+        c = counts[words[i]]
+        out += (math.log10(c - 0.5) if c else model.tail_unknown[item - M.OWN]) - model.tail_unit[item - M.OWN]
+    return out
+
+
+def test_score_equals_a_plain_version(spark):
+    """Whole scores, word by word; frequent words, shared leaves and joined words all take part."""
+    data, table = small(spark)
+    model, train = known_words_by_hash(spark, table, 10)
+    assert 0 < (model.vocabulary.item >= 0).sum() < len(model.vocabulary.hashes) == 10
+    counts = Counter(t for i, text in data if i % 10 != 3 for t in tokens(text))
+    rows = {r.doc_id: r for r in M.score(table, model, ~train).collect()}
+    for i, text in data:
+        words = tokens(text)
+        want = sum(plain_log(model, counts, words, k) for k in range(len(words)))
+        assert math.isclose(rows[i].score, want, rel_tol=1e-4), (i, text)
+
+
+def test_probabilities_of_all_words_sum_to_one(spark):
+    data, table = small(spark)
+    model = M.fit(table, F.lit(True))
+    counts = Counter(t for _, text in data for t in tokens(text))
+    for before in ([], ["w1"], ["w1", "nowhere", "w3x"]):
+        words = [*before, None]
+        total = 0.0
+        for w in counts:
+            total += 10 ** plain_log(model, counts, [*before, w], len(before))
+        # every shared leaf keeps one outcome for all unknown words
+        leaf = model.vocabulary.leaf[M.OWN :].astype(np.int64)
+        found = M.sequences(tk.words(chunk_of(" ".join(before)), tk.SPACE), model.vocabulary)
+        context = np.repeat(found.context[:, -1:], len(leaf), 1)
+        total += float((np.exp(M.log_leaf(model.weights, context, leaf)) * 10 ** (model.tail_unknown - model.tail_unit)).sum())
+        # leaves of items that no word has
+        empty = model.vocabulary.leaf[np.setdiff1d(np.arange(1, M.OWN), model.vocabulary.item)].astype(np.int64)
+        total += float(np.exp(M.log_leaf(model.weights, np.repeat(found.context[:, -1:], len(empty), 1), empty)).sum())
+        assert math.isclose(total, 1, rel_tol=1e-4), words
+
+
+def chunk_of(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return tk.Chunk(0, 1, raw, np.array([0, len(raw)]))
+
+
+def test_steps_learn_what_follows(spark):
+    table = docs(spark, *[(i, "the cat sat on the mat and the dog ran") for i in range(200)])
+    model = M.fit(table, F.lit(True))
+    row = M.score(table.limit(1), model, F.lit(False)).first()
+    assert row.score > row.base_score + 1
+
+
+def test_found_words(spark):
+    rng = np.random.default_rng(2)
+    value = rng.integers(0, 1 << 63, 5000).astype(tk.U) * tk.U(2)
+    value[:50] = value[50] & ~tk.U(0xFFFF) | np.arange(50, dtype=tk.U)  # neighbours in one stretch
+    held = np.unique(value)[::2]
+    vocabulary = M.Vocabulary(held, np.ones(len(held), np.int64))
+    want = {int(h): i for i, h in enumerate(held)}
+    assert vocabulary.find(value).tolist() == [want.get(int(v), -1) for v in value]
+    assert M.Vocabulary(held[:0], held[:0].astype(np.int64)).find(value).max() == -1
+
+
+def test_leaves_hold_like_words():
+    near = np.zeros((64, 4))
+    near[::2, 0], near[1::2, 3] = 9, 9
+    order = M._bisected(near, least=8)
+    assert sorted(order.tolist()) == list(range(64)) and len({x % 2 for x in order[:32].tolist()}) == 1
 
 
 def test_edges(spark):
-    table = docs(spark, (1, None), (None, "A a"), (1, None), (2, "b " * 50_000))
-    rows = M.score(table, M.fit(table, F.lit(True), trainers=1), F.lit(False)).collect()
-    assert sorted(r.n_tokens for r in rows) == [1, 1, 3, 50_001]
-    untrained = M.score(table, M.fit(table, F.lit(False), trainers=1), F.lit(True)).collect()
+    table = docs(spark, (1, None), (None, "A a"), (1, None), (2, "b " * 50_000), (3, "x" * 70_000))
+    rows = M.score(table, M.fit(table, F.lit(True)), F.lit(False)).collect()
+    assert sorted(r.n_tokens for r in rows) == [1, 1, 2, 3, 50_001]
+    untrained = M.score(table, M.fit(table, F.lit(False)), F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score for r in untrained)
-    assert M.score(table.limit(0), M.fit(table, F.lit(True), trainers=1), F.lit(True)).collect() == []
+    assert M.score(table.limit(0), M.fit(table, F.lit(True)), F.lit(True)).collect() == []
 
 
 def test_endings():

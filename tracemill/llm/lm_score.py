@@ -2,25 +2,36 @@
 
 Tokens are words between ASCII white space, A-Z lower-cased, then one end.  Counts of all training
 tokens are exact and give the base score, an add-0.1 unigram model.  The model factors a token's
-probability in its class given the context, and the token given class and context:
-
-* the 256 most frequent words (the end is always one) stand in 16 classes of 16; all others are in 16
-  classes of endings, found by clustering which frequent words precede an ending;
-* the class has a softmax over hashed features: the word before, the word two before (a skip), and the
-  pair of words before, each a row of 32 weights in a table of 2**15 rows;
-* a frequent word has a softmax over its class's members, with hashed features of word and context;
-* other words have add-0.1 shares of their class, in which one outcome stands for unknown words.
-
-Training is by rounds of distributed gradient updates that visit every training text once: each task
-takes Adagrad steps from the last round's weights over its texts, and the changes are averaged by how
-often a task used a row.  Scoring computes all tokens of a chunk in sparse numpy batches.
-
-The table of counts grows with the corpus.  It is broadcast in slices of ``slice_words`` words; of
-several, a worker holds one at a time, and the sums that depend on counts are added slice by slice.
+probability along a tree of classes, four levels of sixteen, with 65 536 leaves:
+
+* the ``OWN`` most frequent words (the end is always one) have a leaf each if they occur ``OWN_LEAST``
+  times; every other word shares a leaf with the words whose last three bytes fall in its bucket.  The tree is found by bisecting the
+  leaves along the principal direction of which frequent words precede them, so words used alike share
+  classes;
+* at each level a softmax over sixteen classes is taken, given the class above and the context: the
+  word before, the word two before and the word three before (skips), and the pair of words before.  A
+  context is the hash of whole words, of any word, and with the class above it chooses a row of sixteen
+  weights in a table of 2**18 rows; each class above also has a row of its own, its bias;
+* in a shared leaf, a known word's share is its count less one half, and one outcome, standing for
+  unknown words, has what all words of the leaf lost by that.
+
+Training is by two rounds of distributed gradient updates that visit every training text once.  Texts
+are dealt by a hash of id and text to shards whose number follows the number of tokens, and are put in
+order there; each shard takes Adagrad steps of a fixed number of tokens from the last round's weights,
+and the changes are averaged by how often a shard used a row, shards in order.  So neither files, nor
+partitions, nor lost executors play a part in the result.  Scoring computes a chunk's tokens in sparse
+numpy batches.
+
+The table of counts grows with the corpus and stays a table.  The ``KNOWN`` most frequent words and
+their counts are broadcast (16 bytes each, at any size of the corpus); occurrences of other words are
+joined with the table by hash.  Such a word has less than one in ``KNOWN`` of all tokens, so no key of
+that join is hot.
 
 Nulls: a null text is empty and has the end only; a null id is in the fold of the empty text.  Repeated
-rows are texts of their own.  Without training rows all words are unknown and the score is the base's.
-An empty table gives an empty one.
+rows are texts of their own.  Ties: of equally frequent words those with the smaller hash come first.
+Very long texts are whole; a chunk holds one by itself, at some 60 bytes of memory a byte.  Columns are
+selected by name and renamed, so extra ones may have any name.  Without training rows all words are
+unknown and the score is the base's.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,14 +49,28 @@ from tracemill.session import ship_package
 from . import textkit as tk
 from .shared import Workspace, arrow_map, batch_of, columns, fold, table
 
-HEADS, MEMBERS, ENDINGS, NEAR = 256, 16, 4096, 64
-HEAD_CLASSES = HEADS // MEMBERS
-CLASSES = 32
-ROW_BITS, PAIR_BITS = 15, 16
+WAYS, LEVELS = 16, 4
+LEAVES = WAYS**LEVELS
+ENDINGS = 16_384
+OWN = LEAVES - ENDINGS
+#: The first node of each level; below them are the classes of the level above.
+NODE = np.cumsum([0, *(WAYS**i for i in range(LEVELS))])
+#: Occurrences that a word needs for a leaf of its own, and what words of a shared leaf lose to unknown ones.
+OWN_LEAST, DISCOUNT = 20, 0.5
+ROW_BITS = 18
+ROWS = (1 << ROW_BITS) + int(NODE[-1])
+CONTEXTS = 4
+KNOWN = 1 << 18
+#: Frequent words that tell classes apart, the start of a text and all other words.
+NEAR = 32
 STEP_TOKENS = 8192
-END = 0  # the end's number among the frequent words; a text's start is HEADS
+#: Tokens of a shard: few while there are less than ``SHARDS`` shards, and at most so many beyond.
+FEW_TOKENS, MOST_TOKENS, SHARDS = 250_000, 8_000_000, 12
 ADD = 0.1
 _END_HASH = np.int64(-1)
+_START = tk.U(0x5851F42D4C957F2D)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], tk.U)
+_LOG10 = float(np.log(10))
 
 
 def ending(words: tk.Words) -> np.ndarray:
@@ -57,153 +82,170 @@ def ending(words: tk.Words) -> np.ndarray:
     return (tk.mix(code.astype(tk.U)) % tk.U(ENDINGS)).astype(np.int64)
 
 
-@dataclass
 class Vocabulary:
-    """Frequent words by hash, and the class of each of them and of each ending."""
-
-    hashes: np.ndarray  # sorted, of the frequent words but the end
-    number: np.ndarray  # their numbers
-    place: np.ndarray  # by number: class * MEMBERS + place in it
-    ending_class: np.ndarray | None = None  # by ending: a class from HEAD_CLASSES on
-
-    def numbers(self, words: tk.Words) -> np.ndarray:
-        """By word: the number of a frequent word, or HEADS + 1 + ending."""
-        out = HEADS + 1 + ending(words)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, words.hash), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == words.hash, self.number[at], out)
-        return out
-
+    """The most frequent words by hash, with their counts, and the leaf of each item.
 
-def sequences(words: tk.Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of a chunk: numbers, two numbers before each, and the rows' bounds; ends included."""
-    rows = words.rows + np.arange(len(words.rows))
-    token = np.full(rows[-1], END, np.int64)
-    own = np.ones(rows[-1], bool)
-    own[rows[1:] - 1] = False
-    token[own] = vocabulary.numbers(words)
-    before = np.full((2, len(token)), HEADS, np.int64)
-    place = np.arange(len(token)) - np.repeat(rows[:-1], np.diff(rows))
-    for k in (1, 2):
-        inside = np.flatnonzero(place >= k)
-        before[k - 1, inside] = token[inside - k]
-    return token, before, rows
+    Item 0 is the end, items 1 to OWN - 1 are the most frequent words, and OWN + e is ending e.
+    """
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+        self.item = np.where((order < OWN - 1) & (self.counts >= OWN_LEAST), order + 1, -1).astype(np.int32)
+        self.leaf = np.arange(LEAVES, dtype=np.int32)
+        edges = np.arange((1 << 16) + 1, dtype=np.int64)
+        self.first = np.append(np.searchsorted(self.hashes, (edges[:-1].astype(tk.U) << tk.U(48))), len(hashes))
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Place of each hash among the known ones, or -1."""
+        at = self.first[(value >> tk.U(48)).astype(np.int64)]
+        stop = self.first[(value >> tk.U(48)).astype(np.int64) + 1]
+        out = np.full(len(value), -1, np.int64)
+        live = np.flatnonzero(at < stop)
+        while len(live):
+            spot = at[live]
+            own = self.hashes[spot]
+            hit = own == value[live]
+            out[live[hit]] = spot[hit]
+            at[live] += 1
+            live = live[(own < value[live]) & (spot + 1 < stop[live])]
+        return out
 
-def _features(before: np.ndarray) -> np.ndarray:
-    """Rows of the class table for each token: word before, skip, and the pair before."""
-    one, two = before.astype(tk.U)
-    keys = (one + tk.U(1 << 40), two + tk.U(2 << 40), one * tk.U(8192) + two + tk.U(3 << 40))
-    return np.stack([(tk.mix(k) >> tk.U(64 - ROW_BITS)).astype(np.uint16) for k in keys])
 
+@dataclass
+class Tokens:
+    """All tokens of a chunk, ends included: items, places among the known words, contexts and rows' bounds."""
 
-def _pairs(before: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Places in the member table, by token, member and feature."""
-    member = (classes[:, None] * MEMBERS + np.arange(MEMBERS)).astype(tk.U)
-    out = [
-        (tk.mix(before[k].astype(tk.U)[:, None] * tk.U(512) + member + tk.U(k + 1 << 40)) >> tk.U(64 - PAIR_BITS))
-        for k in (0, 1)
-    ]
-    return np.stack(out, 2).astype(np.int64)
+    item: np.ndarray
+    known: np.ndarray
+    context: np.ndarray
+    rows: np.ndarray
+    own: np.ndarray  # places of the words among the tokens
 
 
-@dataclass
-class Weights:
-    rows: np.ndarray  # 2**ROW_BITS x CLASSES
-    bias: np.ndarray  # CLASSES
-    pairs: np.ndarray  # 2**PAIR_BITS
-    member: np.ndarray  # HEAD_CLASSES x MEMBERS
-
-    @staticmethod
-    def start(bias: np.ndarray, member: np.ndarray) -> Weights:
-        zeros = np.zeros((1 << ROW_BITS, CLASSES), np.float32)
-        return Weights(zeros, bias.astype(np.float32), np.zeros(1 << PAIR_BITS, np.float32), member.astype(np.float32))
-
-    def classes(self, rows: np.ndarray) -> np.ndarray:
-        """Log probabilities of the classes."""
-        z = self.rows[rows[0]] + self.bias
-        for r in rows[1:]:
-            z += self.rows[r]
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
-
-    def members(self, pairs: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        z = self.pairs[pairs].sum(2) + self.member[classes]
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
+def sequences(words: tk.Words, vocabulary: Vocabulary) -> Tokens:
+    rows = words.rows + np.arange(len(words.rows))
+    n = int(rows[-1])
+    own = np.ones(n, bool)
+    own[rows[1:] - 1] = False
+    own = np.flatnonzero(own)
+    found = vocabulary.find(words.hash)
+    item = np.zeros(n, np.int64)
+    frequent = np.where(found >= 0, vocabulary.item[found] if len(vocabulary.item) else -1, -1)
+    item[own] = np.where(frequent >= 0, frequent, OWN + ending(words))
+    known = np.full(n, -1, np.int64)
+    known[own] = found
+    value = np.zeros(n, tk.U)
+    value[own] = words.hash
+    place = np.arange(n) - np.repeat(rows[:-1], np.diff(rows))
+    context = np.full((CONTEXTS, n), _START)
+    for k in (1, 2, 3):
+        inside = np.flatnonzero(place >= k)
+        context[k - 1, inside] = value[inside - k]
+    context[3] = tk.mix(context[0] * _ODD[0] + context[1])
+    return Tokens(item, known, context * _ODD[:, None], rows, own)
+
+
+def _level(context: np.ndarray, leaf: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table for the choice at a level, by feature and token, and the class chosen."""
+    node = NODE[level] + (leaf >> 4 * (LEVELS - level))
+    spread = node.astype(tk.U) * tk.U(0x9E3779B97F4A7C15)
+    rows = np.empty((CONTEXTS + 1, len(leaf)), np.int64)
+    rows[:CONTEXTS] = (context ^ spread) * tk.U(0xD6E8FEB86659FD93) >> tk.U(64 - ROW_BITS)
+    rows[CONTEXTS] = (1 << ROW_BITS) + node
+    return rows, leaf >> 4 * (LEVELS - 1 - level) & WAYS - 1
+
+
+def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = weights.take(rows[0], 0)
+    for r in rows[1:]:
+        z += weights.take(r, 0)
+    z -= z.max(1, keepdims=True)
+    return z
+
+
+def log_leaf(weights: np.ndarray, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each leaf in its context."""
+    out = np.zeros(len(leaf))
+    for level in range(LEVELS):
+        rows, choice = _level(context, leaf, level)
+        z = _logits(weights, rows)
+        out += z[np.arange(len(leaf)), choice]
+        out -= np.log(np.exp(z).sum(1))
+    return out
 
 
 class Trainer:
-    """Adagrad steps over a task's tokens, from given weights."""
+    """Adagrad steps over a shard's tokens, from given weights; each step has ``STEP_TOKENS`` tokens."""
 
-    def __init__(self, weights: Weights, vocabulary: Vocabulary, rate: float):
-        self.first, self.vocabulary, self.rate = weights, vocabulary, rate
-        self.now = Weights(weights.rows.copy(), weights.bias, weights.pairs.copy(), weights.member)
-        self.row_sum = np.full(weights.rows.shape, 1.0, np.float32)
-        self.pair_sum = np.full(len(weights.pairs), 1.0, np.float32)
-        self.used = np.zeros(1 << ROW_BITS, np.float32)
+    def __init__(self, weights: np.ndarray, vocabulary: Vocabulary, rate: float):
+        self.first, self.now, self.vocabulary, self.rate = weights, weights.copy(), vocabulary, rate
+        self.squares = np.ones(weights.shape, np.float32)
+        self.used = np.zeros(len(weights), np.float32)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
 
     def learn(self, words: tk.Words) -> None:
-        token, before, _ = sequences(words, self.vocabulary)
-        for a in range(0, len(token), STEP_TOKENS):
-            self._step(token[a : a + STEP_TOKENS], before[:, a : a + STEP_TOKENS])
-
-    def _step(self, token: np.ndarray, before: np.ndarray) -> None:
-        w, n = self.now, len(token)
-        classes, place = class_of(token, self.vocabulary)
-        rows = _features(before)
-        error = np.exp(w.classes(rows))
-        error[np.arange(n), classes] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        size = np.diff(np.append(first, len(ordered)))
-        gradient = _sums(error, order % n, first, size)
-        at = ordered[first]
-        self.used[at] += size
-        self.row_sum[at] += gradient * gradient
-        w.rows[at] -= self.rate * gradient / np.sqrt(self.row_sum[at])
-        frequent = np.flatnonzero(place >= 0)
-        if len(frequent):
-            own = classes[frequent]
-            pairs = _pairs(before[:, frequent], own)
-            error = np.exp(w.members(pairs, own))
-            error[np.arange(len(own)), place[frequent]] -= 1
-            gradient = np.bincount(pairs.ravel(), np.repeat(error.ravel(), 2), 1 << PAIR_BITS).astype(np.float32)
-            self.pair_sum += gradient * gradient
-            w.pairs -= self.rate * gradient / np.sqrt(self.pair_sum)
+        found = sequences(words, self.vocabulary)
+        self.held.append((found.context, self.vocabulary.leaf[found.item].astype(np.int64)))
+        self.size += len(found.item)
+        if self.size >= STEP_TOKENS:
+            self._steps(last=False)
+
+    def _steps(self, last: bool) -> None:
+        context = np.concatenate([c for c, _ in self.held], 1)
+        leaf = np.concatenate([x for _, x in self.held])
+        at = 0
+        while len(leaf) - at >= (1 if last else STEP_TOKENS):
+            self._step(context[:, at : at + STEP_TOKENS], leaf[at : at + STEP_TOKENS])
+            at += STEP_TOKENS
+        self.held, self.size = [(context[:, at:], leaf[at:])], max(0, len(leaf) - at)
+
+    def _step(self, context: np.ndarray, leaf: np.ndarray) -> None:
+        n = len(leaf)
+        for level in range(LEVELS):
+            rows, choice = _level(context, leaf, level)
+            error = np.exp(_logits(self.now, rows))
+            error /= error.sum(1, keepdims=True)
+            error[np.arange(n), choice] -= 1
+            # rows in order, each with the tokens that use it, by one sort of packed numbers
+            packed = rows.ravel().astype(tk.U) << tk.U(20)
+            packed |= np.arange(packed.size, dtype=tk.U)
+            packed.sort()
+            row = (packed >> tk.U(20)).astype(np.int64)
+            token = (packed & tk.U((1 << 20) - 1)).astype(np.int64) % n
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            size = np.diff(np.append(first, len(row)))
+            gradient = _sums(error, token, first, size)
+            at = row[first]
+            self.used[at] += size
+            squares = self.squares.take(at, 0)
+            squares += gradient * gradient
+            self.squares[at] = squares
+            gradient /= np.sqrt(squares, out=squares)
+            gradient *= self.rate
+            self.now[at] -= gradient
 
     def changes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Changes of all weights as rows of CLASSES, and how often each row was used."""
-        delta = np.concatenate([self.now.rows - self.first.rows, (self.now.pairs - self.first.pairs).reshape(-1, CLASSES)])
-        extra = len(delta) - len(self.used)
-        return delta, np.concatenate([self.used, np.full(extra, max(1.0, float(self.used.sum())), np.float32)])
+        """Changes of all weights, and how often each row was used."""
+        if self.held:
+            self._steps(last=True)
+        return self.now - self.first, self.used
 
 
-def _sums(error: np.ndarray, rows: np.ndarray, first: np.ndarray, size: np.ndarray, many: int = 32) -> np.ndarray:
+def _sums(error: np.ndarray, rows: np.ndarray, first: np.ndarray, size: np.ndarray, many: int = 24) -> np.ndarray:
     """Sums of ``error[rows]`` over runs: long ones each by itself, short ones all in step."""
-    out = error[rows[first]]
+    out = error.take(rows[first], 0)
     live, k = np.flatnonzero((size > 1) & (size < many)), 1
     while len(live):
-        out[live] += error[rows[first[live] + k]]
+        out[live] += error.take(rows[first[live] + k], 0)
         k += 1
         live = live[size[live] > k]
     for u in np.flatnonzero(size >= many).tolist():
-        out[u] = error[rows[first[u] : first[u] + size[u]]].sum(0)
+        out[u] = error.take(rows[first[u] : first[u] + size[u]], 0).sum(0)
     return out
 
 
-def class_of(token: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token, and its place among the members, or -1 in a class of endings."""
-    frequent = token < HEADS
-    spot = vocabulary.place[np.where(frequent, token, 0)]
-    tail = vocabulary.ending_class[np.where(frequent, 0, token - HEADS - 1)]
-    return np.where(frequent, spot // MEMBERS, tail), np.where(frequent, spot % MEMBERS, -1)
-
-
 _COUNTS = pa.schema([("hash", pa.int64()), ("ending", pa.int32()), ("count", pa.int64())])
 
 
@@ -239,258 +281,282 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return counts.groupBy("hash").agg(F.max("ending").alias("ending"), F.sum("count").alias("count"))
 
 
-_DENSE = pa.schema([("block", pa.int32()), ("values", pa.binary()), ("used", pa.binary())])
-_DENSE_SQL = "block int, values binary, used binary"
-_DENSE_ROWS = 1024
+_NEAR = pa.schema([("block", pa.int32()), ("values", pa.binary())])
+_BLOCK = 1024
+_LEAF = pa.schema([("item", pa.int32()), ("leaf", pa.int32())])
 
 
-def dense_mean(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], tuple[np.ndarray, np.ndarray]], total: bool) -> dict[int, np.ndarray]:
-    """By block, a matrix of fixed size that every task computes a part of: the sum, or the mean weighted by use.
+def _tree(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """The leaf of each item: by bisection of the items' counts of preceding frequent words."""
 
-    Blocks of rows are combined on the executors; as many rows as there are tasks meet in a block.
-    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(LEAVES * NEAR, np.int32)
+        for batch in batches:
+            for chunk in tk.chunks(batch.column(0)):
+                found = sequences(tk.words(chunk, tk.SPACE), vocabulary)
+                before = np.zeros(len(found.item), np.int64)  # 0 is the start of a text
+                place = np.setdiff1d(np.arange(1, len(before)), found.rows[1:-1], assume_unique=True)
+                before[place] = np.minimum(found.item[place - 1], NEAR - 1)
+                value, times = np.unique(found.item * NEAR + before, return_counts=True)
+                out[value] += times.astype(np.int32)
+        out = out.reshape(-1, _BLOCK * NEAR)
+        for b in np.flatnonzero(out.any(1)).tolist():
+            yield batch_of(_NEAR, [b], [out[b].tobytes()])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_BLOCK * NEAR, np.int64)
+        for batch in batches:
+            for x in batch.column("values"):
+                raw = np.frombuffer(x.as_py(), np.uint8)
+                total += raw.view(np.int64 if raw.size == 8 * len(total) else np.int32)
+        yield batch_of(_NEAR, [key[0].as_py()], [total.tobytes()])
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, used = work(batches)
-        for b in range(0, len(values), _DENSE_ROWS):
-            own = used[b : b + _DENSE_ROWS]
-            if own.any():
-                kind = np.float32 if total else np.float16
-                yield batch_of(
-                    _DENSE, [b // _DENSE_ROWS], [values[b : b + _DENSE_ROWS].astype(kind).tobytes()],
-                    [own.astype(np.float32).tobytes()],
-                )
-
-    def combine(key: tuple, group: pa.Table) -> pa.Table:
-        out = weight = None
-        for i in range(len(group)):
-            used = np.frombuffer(group["used"][i].as_py(), np.float32).astype(np.float64)
-            raw = group["values"][i].as_py()
-            values = np.frombuffer(raw, np.float32 if total else np.float16).reshape(len(used), -1).astype(np.float64)
-            values = values if total else values * used[:, None]
-            out = values if out is None else out + values
-            weight = used if weight is None else weight + used
-        if not total:
-            out = out / np.maximum(weight, 1e-9)[:, None]
-        return pa.Table.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([out.astype(np.float32).tobytes()]), pa.array([b""], pa.binary())],
-            schema=_DENSE,
-        )
-
-    rows = docs.mapInArrow(parts, _DENSE_SQL).groupBy("block").applyInArrow(combine, _DENSE_SQL).collect()
-    return {r["block"]: np.frombuffer(r["values"], np.float32) for r in rows}
-
-
-def _clusters(profile: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
-    """k-means over rows of counts, as square roots of shares (no random start)."""
-    total = profile.sum(1)
-    x = np.sqrt(profile / np.maximum(total, 1)[:, None])
-    x -= np.average(x, axis=0, weights=np.maximum(total, 1e-9))
-    centre = x[np.argsort(-total, kind="stable")[:1]]
-    weight = np.sqrt(total + 1)
-    while len(centre) < k:  # the farthest row, by weight, is the next centre
-        far = ((x[:, None] - centre[None]) ** 2).sum(2).min(1) * weight
-        centre = np.vstack([centre, x[[int(far.argmax())]]])
-    for _ in range(rounds):
-        own = ((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)).argmin(1)
-        for c in range(k):
-            if total[own == c].sum() > 0:
-                centre[c] = np.average(x[own == c], axis=0, weights=total[own == c])
-    return own
+    def bisect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros((LEAVES // _BLOCK, _BLOCK * NEAR), np.int64)
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                near[b] = np.frombuffer(x.as_py(), np.int64)
+        leaf = np.empty(LEAVES, np.int32)
+        leaf[_bisected(near.reshape(LEAVES, NEAR).astype(np.float64))] = np.arange(LEAVES)
+        yield batch_of(_LEAF, np.arange(LEAVES), leaf)
+
+    sql = "block int, values binary"
+    # the counts of a fixed number of items: one task can hold them
+    near = texts.mapInArrow(count, sql).groupBy("block").applyInArrow(add, sql).repartition(1)
+    found = columns(near.mapInArrow(bisect, "item int, leaf int"))
+    out = np.arange(LEAVES, dtype=np.int32)
+    out[found["item"]] = found["leaf"]
+    return out
+
+
+def _bisected(near: np.ndarray, least: int = 32) -> np.ndarray:
+    """Items in an order in which halves, quarters and so on hold items with like profiles."""
+    total = near.sum(1)
+    x = np.sqrt(near / np.maximum(total, 1)[:, None])
+    weight = np.log1p(total)
+    out = []
+    todo = [np.arange(len(near))]
+    while todo:
+        own = todo.pop()
+        mass = np.maximum(weight[own], 1e-9)
+        part = x[own] - np.average(x[own], axis=0, weights=mass)
+        _, axes = np.linalg.eigh((part * mass[:, None]).T @ part)
+        axis = axes[:, -1] * (1 if axes[np.abs(axes[:, -1]).argmax(), -1] > 0 else -1)
+        own = own[np.lexsort((own, np.round(part @ axis, 9)))]
+        if len(own) <= least:
+            out.append(own)
+        else:
+            todo += [own[len(own) // 2 :], own[: len(own) // 2]]
+    return np.concatenate(out)
+
+
+def _priors(mass: np.ndarray) -> np.ndarray:
+    """Weights before training: biases are the logs of the shares of classes, everything else is 0."""
+    weights = np.zeros((ROWS, WAYS), np.float32)
+    for level in range(LEVELS):
+        own = mass.reshape(WAYS**level, WAYS, -1).sum(2) + ADD
+        at = (1 << ROW_BITS) + int(NODE[level])
+        weights[at : at + len(own)] = np.log(own / own.sum(1, keepdims=True))
+    return weights
+
+
+_DENSE = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("values", pa.binary()), ("used", pa.binary())])
+_DENSE_SQL = "block int, part int, values binary, used binary"
+
+
+def _round(texts: DataFrame, shards: int, work: Callable[[], Trainer], weights: np.ndarray) -> np.ndarray:
+    """The weights after each shard of ``texts`` (key, text) has learnt from its texts, in their order."""
+    parts = max(1, int(np.ceil(np.sqrt(shards))))
+    shard = F.pmod("__tm_key", F.lit(shards)).cast("int")
+    dealt = texts.select(shard.alias("__tm_shard"), "__tm_key", "__tm_text")
+    dealt = dealt.repartitionById(shards, "__tm_shard").sortWithinPartitions("__tm_shard", "__tm_key", "__tm_text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, own = work(), None
+        for batch in batches:
+            own = batch.column(0)[0].as_py()
+            for chunk in tk.chunks(batch.column(2), 1 << 18):
+                trainer.learn(tk.words(chunk, tk.SPACE))
+        if own is None:
+            return
+        values, used = trainer.changes()
+        for b in range(0, len(values), _BLOCK):
+            if used[b : b + _BLOCK].any():
+                raw = values[b : b + _BLOCK].astype(np.float16).tobytes()
+                yield batch_of(_DENSE, [b // _BLOCK], [own], [raw], [used[b : b + _BLOCK].tobytes()])
+
+    def combine(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        total = weight = 0.0
+        for _, raw, used in sorted(rows, key=lambda r: r[0]):  # in the order of shards
+            used = np.frombuffer(used, np.float32)
+            first = len(raw) == 2 * WAYS * len(used)
+            values = np.frombuffer(raw, np.float16 if first else np.float32).reshape(-1, WAYS).astype(np.float64)
+            total = total + (values * used[:, None] if first else values)
+            weight = weight + used.astype(np.float64)
+        out = [np.asarray(total, np.float32).tobytes()], [np.asarray(weight, np.float32).tobytes()]
+        yield batch_of(_DENSE, [key[0].as_py()], [key[1].as_py() if len(key) > 1 else 0], *out)
+
+    # a block meets the changes of the square root of all shards at a time, so no group grows with the corpus
+    some = dealt.select("__tm_shard", "__tm_key", "__tm_text").mapInArrow(learn, _DENSE_SQL)
+    some = some.groupBy("block", F.pmod("part", F.lit(parts)).alias("group")).applyInArrow(combine, _DENSE_SQL)
+    found = some.groupBy("block").applyInArrow(combine, _DENSE_SQL).select("block", "values", "used").toArrow()
+    out = weights.copy()
+    for b, raw, used in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
+        used = np.maximum(np.frombuffer(used, np.float32), 1e-9)
+        out[b * _BLOCK : b * _BLOCK + len(used)] += np.frombuffer(raw, np.float32).reshape(-1, WAYS) / used[:, None]
+    return out
 
 
 @dataclass
 class Model:
+    """What is broadcast, and the table of all counts, which is not."""
+
     vocabulary: Vocabulary
-    weights: Weights
+    weights: np.ndarray
     tokens: int  # N
     types: int  # V
-    tail_tokens: np.ndarray  # by class: training tokens and types that are not frequent words
-    tail_types: np.ndarray
-    slices: list  # broadcasts of (first hash, last hash, hashes, counts)
+    ends: int
+    tail_unit: np.ndarray  # by ending: log10 of the shares' denominator in its leaf
+    tail_unknown: np.ndarray  # and of the unknown words' numerator
+    counts: DataFrame | None = None
 
     def base_unit(self) -> float:
         return float(np.log10(self.tokens + ADD * (self.types + 1)))
 
-    def tail_unit(self) -> np.ndarray:
-        return np.log10(self.tail_tokens + ADD * (self.tail_types + 1))
-
-
-def fit(docs: DataFrame, trains: Column, text_col: str = "text", rounds: list[Column] | None = None,
-        slice_words: int = 4_000_000, rate: float = 0.3, trainers: int | None = None) -> tuple[Model, int]:
-    """The model, and how many texts it was trained on.
 
-    ``trains`` is true for training rows; ``rounds`` are conditions that divide them among rounds.
-    """
+def fit(
+    docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", rounds: list[Column] | None = None,
+    rate: float = 0.6, known: int = KNOWN,
+) -> Model:
+    """The model; ``trains`` is true for training rows, and ``rounds`` are conditions that divide them."""
     spark = docs.sparkSession
     ship_package(spark)
-    sc = spark.sparkContext
     space = Workspace(spark, "lm-score")
-    text = F.col(text_col).cast("string").alias("text")
-    training = docs.where(trains).select(text)
-    counts = space.save(token_counts(training), "counts")
-    row = counts.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, types = row["n"] or 0, row["v"]
-    top = columns(counts.where("hash <> -1").orderBy(F.col("count").desc(), "hash").limit(HEADS - 1))
-    hashes = top["hash"].view(tk.U)
-    order = np.argsort(hashes)
-    vocabulary = Vocabulary(hashes[order], order + 1, np.arange(HEADS))
-    trainers = trainers or max(16, 2 * sc.defaultParallelism)
-
-    def profile(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        size = HEADS + 1 + ENDINGS
-        out = np.zeros(size * (NEAR + 2), np.int64)
-        for batch in batches:
-            for chunk in tk.chunks(batch.column(0)):
-                token, before, _ = sequences(tk.words(chunk, tk.SPACE), vocabulary)
-                near = np.where(before[0] <= NEAR, before[0], np.where(before[0] == HEADS, 0, NEAR + 1))
-                out += np.bincount(token * (NEAR + 2) + near, minlength=len(out))
-        out = out.reshape(size, -1)
-        return out, out.sum(1)
-
-    found = dense_mean(training.coalesce(trainers), profile, total=True)
-    size = HEADS + 1 + ENDINGS
-    near = np.zeros((size, NEAR + 2))
-    for b, values in found.items():
-        part = values.reshape(-1, NEAR + 2)
-        near[b * _DENSE_ROWS : b * _DENSE_ROWS + len(part)] = part
-    held = near.sum(1)
-    vocabulary.ending_class = HEAD_CLASSES + _clusters(near[HEADS + 1 :], CLASSES - HEAD_CLASSES)
-    alike = _clusters(near[:HEADS], min(16, HEADS))
-    vocabulary.place = np.argsort(np.lexsort((np.arange(HEADS), alike)))  # words used alike share classes
-
-    by_ending = columns(counts.where("hash <> -1").groupBy("ending").agg(F.count(F.lit(1)).alias("v")))
-    types_of = np.zeros(ENDINGS)
+    text = F.col(text_col).cast("string").alias("__tm_text")
+    counts = space.save(token_counts(docs.where(trains).select(text)), "counts")
+    words = counts.where("hash <> -1")
+    row = counts.agg(
+        F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("hash") == -1, F.col("count"))).alias("e")
+    ).first()
+    tokens, types, ends = row["n"] or 0, row["v"], row["e"] or 0
+    top = columns(words.orderBy(F.col("count").desc(), "hash").limit(known).select("hash", "count", "ending"))
+    order = np.lexsort((top["hash"], -top["count"]))
+    vocabulary = Vocabulary(top["hash"][order].view(tk.U), top["count"][order])
+    own = order[: OWN - 1]
+    own = own[top["count"][own] >= OWN_LEAST]
+
+    by_ending = words.groupBy("ending").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"))
+    by_ending = columns(by_ending)
+    mass, types_of = np.zeros(LEAVES), np.zeros(ENDINGS)
+    mass[0] = ends
+    mass[1 : len(own) + 1] = top["count"][own]
+    mass[OWN + by_ending["ending"]] = by_ending["n"]
     types_of[by_ending["ending"]] = by_ending["v"]
-    types_of -= np.bincount(top["ending"], minlength=ENDINGS)
-    tail = lambda x: np.bincount(vocabulary.ending_class, x, CLASSES)
-    tail_tokens, tail_types = tail(held[HEADS + 1 :]), tail(types_of)
-    share = tail_tokens.copy()
-    np.add.at(share, vocabulary.place // MEMBERS, held[:HEADS])
-    member = np.zeros((HEAD_CLASSES, MEMBERS))
-    member.ravel()[vocabulary.place] = np.log(held[:HEADS] + ADD)
-    weights = Weights.start(np.log(share + 1), member)
-
-    words = sc.broadcast(vocabulary)
-    for condition in rounds or [F.lit(True)]:
-        start = sc.broadcast(weights)
-
-        def learn(batches: Iterator[pa.RecordBatch], start: object = start) -> tuple[np.ndarray, np.ndarray]:
-            trainer = Trainer(start.value, words.value, rate)
-            for batch in batches:
-                for chunk in tk.chunks(batch.column(0), 1 << 18):
-                    trainer.learn(tk.words(chunk, tk.SPACE))
-            return trainer.changes()
-
-        found = dense_mean(docs.where(trains & condition).select(text).coalesce(trainers), learn, total=False)
-        flat = np.concatenate([weights.rows, weights.pairs.reshape(-1, CLASSES)])
-        for b, values in found.items():
-            part = values.reshape(-1, CLASSES)
-            flat[b * _DENSE_ROWS : b * _DENSE_ROWS + len(part)] += part
-        cut = 1 << ROW_BITS
-        weights = Weights(flat[:cut].copy(), weights.bias, flat[cut:].reshape(-1).copy(), weights.member)
-
-    n = max(1, -(-types // slice_words))
-    slices = []
-    edges = np.linspace(-(2**63), 2**63, n + 1)
-    for i in range(n):  # the hashes are uniform: a slice of their range holds a share of the words
-        lo, hi = int(edges[i]), min(int(edges[i + 1]), 2**63) - 1
-        part = counts.where(F.col("hash").between(F.lit(lo), F.lit(hi)) & (F.col("hash") != -1)).select("hash", "count")
-        part = columns(part)
-        order = np.argsort(part["hash"])
-        slices.append(sc.broadcast((lo, hi, part["hash"][order], part["count"][order])))
-    ends = int(held[END])
-    return Model(vocabulary, weights, int(tokens), int(types), tail_tokens, tail_types, slices), ends
-
-
-_SCORE = pa.schema([
-    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+    mass[OWN:] -= np.bincount(top["ending"][own], top["count"][own], ENDINGS)
+    types_of -= np.bincount(top["ending"][own], minlength=ENDINGS)
+    unit, unknown = np.log10(mass[OWN:] + ADD), np.log10(DISCOUNT * types_of + ADD)
+
+    vocabulary.leaf = _tree(docs.where(trains).select(text), vocabulary)
+    by_leaf = np.zeros(LEAVES)
+    by_leaf[vocabulary.leaf] = mass
+    weights = _priors(by_leaf)
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    conditions = rounds or [F.lit(True)]
+    share = int(tokens) // len(conditions)
+    shards = max(1, min(SHARDS, share // FEW_TOKENS), -(-share // MOST_TOKENS))
+    for condition in conditions:
+        start = spark.sparkContext.broadcast(weights)
+        texts = docs.where(trains & condition).select(key.alias("__tm_key"), text)
+        weights = _round(texts, shards, lambda start=start: Trainer(start.value, shared.value, rate), weights)
+        start.unpersist()
+    shared.unpersist()
+    return Model(vocabulary, weights, int(tokens), int(types), int(ends), unit, unknown, counts)
+
+
+_PART = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+    ("base_log", pa.float64()), ("model_log", pa.float64()),
+    ("rare", pa.list_(pa.struct([("hash", pa.int64()), ("unknown", pa.float32())]))),
 ])
-_SCORE_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _from_counts(column: pa.Array, model: Model, ends: int) -> np.ndarray:
-    """By row: tokens, known tokens, log10 of counts of all tokens, and of those in classes of endings."""
-    out = np.zeros((4, len(column)))
-    frequent = model.vocabulary.hashes
-    for held in model.slices:
-        lo, hi, hashes, counts = held.value
-        for chunk in tk.chunks(column):
-            words = tk.words(chunk, tk.SPACE)
-            value = tk.as_long(words.hash)
-            row = np.repeat(np.arange(chunk.rows), words.count())
-            if len(model.slices) > 1:
-                own = (value >= lo) & (value <= hi)
-                value, row = value[own], row[own]
-            count = np.zeros(len(value), np.int64)
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
-                count = np.where(hashes[at] == value, counts[at], 0)
-            log = np.log10(count + ADD)
-            tail = ~_within(value.view(tk.U), frequent)
-            part = out[:, chunk.first : chunk.first + chunk.rows]
-            part[1] += np.bincount(row, count > 0, chunk.rows)
-            part[2] += np.bincount(row, log, chunk.rows)
-            part[3] += np.bincount(row, np.where(tail, log, 0), chunk.rows)
-            part[0] += np.bincount(row, minlength=chunk.rows)
-        if len(model.slices) > 1 and hasattr(held, "_value"):
-            del held._value  # one slice at a time
-    out[0] += 1  # the end
-    out[1] += ends > 0
-    out[2] += np.log10(ends + ADD)
-    return out
-
-
-def _within(value: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(value), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, value), len(ordered) - 1)] == value
-
-
-def _from_model(column: pa.Array, model: Model) -> np.ndarray:
-    """By row: log10 of classes and members, less the shares' denominators of classes of endings."""
-    out = np.zeros(len(column))
-    unit = model.tail_unit()
-    for chunk in tk.chunks(column, 1 << 18):
-        words = tk.words(chunk, tk.SPACE)
-        token, before, rows = sequences(words, model.vocabulary)
-        value = np.empty(len(token))
-        for a in range(0, len(token), STEP_TOKENS):
-            own, near = token[a : a + STEP_TOKENS], before[:, a : a + STEP_TOKENS]
-            classes, place = class_of(own, model.vocabulary)
-            log = model.weights.classes(_features(near))[np.arange(len(own)), classes] / np.log(10)
-            frequent = np.flatnonzero(place >= 0)
-            log = log.astype(np.float64) - np.where(place < 0, unit[classes], 0)
-            if len(frequent):
-                kind = classes[frequent]
-                inner = model.weights.members(_pairs(near[:, frequent], kind), kind)
-                log[frequent] += inner[np.arange(len(kind)), place[frequent]] / np.log(10)
-            value[a : a + STEP_TOKENS] = log
-        out[chunk.first : chunk.first + chunk.rows] = np.add.reduceat(value, rows[:-1])
-    return out
+_PART_SQL = (
+    "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, model_log double, "
+    "rare array<struct<hash: bigint, unknown: float>>"
+)
+
+
+def _scored(chunk: tk.Chunk, model: Model) -> tuple[np.ndarray, ...]:
+    """By row: tokens, known ones, sums of base and of model logs but for rare words' shares, and the rare words."""
+    words = tk.words(chunk, tk.SPACE)
+    found = sequences(words, model.vocabulary)
+    n = len(found.item)
+    counts = np.append(model.vocabulary.counts, 1)
+    log, inner = np.log10(counts + ADD)[found.known], np.log10(counts - DISCOUNT)[found.known]  # a rare word's come later
+    rare = np.zeros(n, bool)
+    rare[found.own] = found.known[found.own] < 0
+    end = found.item == 0
+    log[rare] = inner[rare] = 0
+    log[end] = np.log10(model.ends + ADD)
+    tail = found.item >= OWN
+    kind = np.where(tail, found.item - OWN, 0)
+    own = np.where(tail, inner - model.tail_unit[kind], 0)
+    leaf = model.vocabulary.leaf[found.item].astype(np.int64)
+    for a in range(0, n, STEP_TOKENS):
+        part = slice(a, a + STEP_TOKENS)
+        own[part] += log_leaf(model.weights, found.context[:, part], leaf[part]) / _LOG10
+    first = found.rows[:-1]
+    seen = ~rare & ~end
+    total = lambda x: np.add.reduceat(x, first)
+    known = total(seen.astype(np.int64)) + (model.ends > 0)
+    at = np.flatnonzero(rare)
+    bounds = np.searchsorted(at, found.rows)
+    value = np.zeros(n, tk.U)
+    value[found.own] = words.hash
+    words_ = pa.StructArray.from_arrays(
+        [pa.array(tk.as_long(value[at])), pa.array(model.tail_unknown[kind[at]].astype(np.float32))], names=["hash", "unknown"]
+    )
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words_)
+    return np.diff(found.rows), known, total(log), total(own), lists
+
+
+def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each whole text's tokens, known tokens, base score and model score (log10 probabilities)."""
+    spark = docs.sparkSession
+    space = Workspace(spark, "lm-score")
+    counts, model.counts = model.counts, None
+    shared = spark.sparkContext.broadcast(model)
+    model.counts = counts
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def score(docs: DataFrame, fitted: tuple[Model, int], held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each whole text's tokens, known tokens, base score and model score (log10 probabilities)."""
-    model, ends = fitted
-    slices, model.slices = model.slices, []
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    model.slices = slices
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = shared.value
-        own.slices = slices
-        total, known, log, tail = _from_counts(batch.column(2), own, ends)
-        base = log - total * own.base_unit()
-        found = _from_model(batch.column(2), own) + tail if own.tokens else base
-        n = len(base)
-        return batch_of(
-            _SCORE, batch.column(0), batch.column(1), total.astype(np.int64), known.astype(np.int64), np.full(n, own.tokens), base, found
-        )
+        at = TaskContext.get().partitionId() << 36  # rows are numbered by task; the table is written once
+        for batch in batches:
+            for chunk in tk.chunks(batch.column(2)):
+                ids, held = (batch.column(i).slice(chunk.first, chunk.rows) for i in (0, 1))
+                yield batch_of(_PART, np.arange(at, at + chunk.rows), ids, held, *_scored(chunk, shared.value))
+                at += chunk.rows
 
     narrow = docs.select(F.col(id_col).cast("long"), held_out.alias("held_out"), F.col(text_col).cast("string"))
-    return arrow_map(narrow, run, _SCORE_SQL)
+    parts = space.save(narrow.mapInArrow(run, _PART_SQL), "parts")
+    if not model.tokens:
+        parts = parts.withColumn("more", F.size("rare") * float(np.log10(ADD))).withColumn("seen", F.lit(0).cast("long"))
+    else:
+        rare = parts.select("row", F.explode("rare").alias("word")).select("row", "word.hash", "word.unknown")
+        rare = rare.join(counts.select("hash", "count").hint("merge"), "hash", "left")
+        rare = rare.groupBy(F.col("row").alias("of")).agg(
+            F.sum(F.log10(F.coalesce("count", F.lit(0)) + F.lit(ADD))).alias("more"),
+            F.sum(F.coalesce(F.log10(F.col("count") - DISCOUNT), "unknown")).alias("shares"), F.count("count").alias("seen"),
+        )
+        parts = parts.drop("rare").join(rare.hint("merge"), F.col("row") == F.col("of"), "left")
+    more = F.coalesce("more", F.lit(0.0))
+    base = F.col("base_log") + more - F.col("n_tokens") * F.lit(model.base_unit())
+    return parts.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (F.col("model_log") + F.coalesce("shares", F.lit(0.0)) if model.tokens else base).alias("score"),
+    )
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
