@@ -123,6 +123,46 @@ def test_round_trip_by_both_readers_and_seek():
         assert [first for first, _ in flac.blocks(s)] == list(range(0, len(x), flac.BLOCK))
 
 
+@pytest.mark.parametrize("n, prose", [(130, True), (2100, False)])
+def test_many_frames(n, prose):
+    """Frame numbers of two and of three bytes; seek points, blocks and both readers agree."""
+    rng = random.Random(n)
+    raw = "".join(rng.choice(["the ", "cat ", "sat, "] if prose else ["ab", "é "]) for _ in range(n * 300)).encode()
+    raw = flac.payload_of((raw * 2)[: n * flac.BLOCK - 64])
+    stream_ = flac.encode_many([raw])[0]
+    info = flac.read_info(stream_)
+    assert len(info.points) == n
+    for i in (0, 127, 128, n - 1):
+        at = info.first + info.points[i][1]
+        assert flac.read_header(stream_, at, info)[4] == i * flac.BLOCK
+    (found,) = flac.decode_blocks([stream_])
+    assert [first for first, _ in found] == list(range(0, n * flac.BLOCK, flac.BLOCK))
+    assert flac.decode_many([stream_]) == [raw]
+    x = flac.samples_of(raw).tolist()
+    for at in (128 * flac.BLOCK - 3, len(x) - 70):
+        assert flac.seek(stream_, at, 40) == [x[at : at + 40]]
+
+
+def test_coded_numbers():
+    assert [flac._coded_number(n).hex() for n in (0, 127, 128, 2047, 2048, 65535, 65536)] == [
+        "00", "7f", "c280", "dfbf", "e0a080", "efbfbf", "f0908080",
+    ]
+
+
+def kinds(stream_):
+    info = flac.read_info(stream_)
+    return [stream_[flac.read_header(stream_, info.first + p[1], info)[0]] >> 1 for p in info.points]
+
+
+def test_fitted_predictors_are_used_where_smaller():
+    wave = np.rint(60 * np.sin(np.arange(5000) * 0.7) + 30 * np.sin(np.arange(5000) * 1.9)).astype(np.int8)
+    raw = flac.payload_of(flac.payload_from(wave.tobytes()))
+    (coded,) = flac.encode_many([raw])
+    assert set(kinds(coded)[:4]) == {32 + flac.ORDER - 1} and len(coded) < len(raw) // 2
+    assert flac.decode(coded) == [flac.samples_of(raw).tolist()] and flac.decode_many([coded]) == [raw]
+    assert 8 <= kinds(flac.encode_many([flac.payload_of(b"a" * 500)])[0])[0] <= 10
+
+
 def test_damage_is_found():
     good = flac.encode_many([flac.payload_of(b"some text " * 300)])[0]
     for at in (5, len(good) // 2, len(good) - 1, len(good) - 400):
@@ -132,15 +172,42 @@ def test_damage_is_found():
             flac.decode_many([bytes(bad)])
 
 
+def brute(text):
+    """The contracted columns of a text, sample by sample from the plain reader."""
+    raw = (text or "").encode()
+    payload = raw + b"\0" * (-len(raw) % 64 or (64 if not raw else 0))
+    media = flac.encode_many([payload])[0]
+    (x,) = flac.decode(media)
+    assert [v + 128 for v in x] == list(payload)
+    rms = int((sum(v * v for v in x) // len(x)) ** 0.5)
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    step = sum(abs(a - b) for a, b in zip(x, x[1:])) // (len(x) - 1)
+    feature = f"rms={rms};zc={crossings};peak={max(map(abs, x))};step={step}"
+    return (
+        len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media),
+        hashlib.sha256(media).hexdigest(), feature,
+    )
+
+
+NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
 def test_documents(spark, sf_small):
-    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
     rows = flac.op9_flac(spark, sf_small).collect()
-    assert len(rows) == len(docs)
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
     for r in rows:
-        payload = flac.payload_of(docs[r.doc_id])
-        assert (r.n_bytes, r.payload_bytes) == (len(docs[r.doc_id]), len(payload))
-        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
-        assert r.tail_crc32 == zlib.crc32(payload[-64:])
+        assert tuple(r[n] for n in NAMES) == brute(docs[r.doc_id])
+
+
+def test_very_long_text(spark):
+    text = "".join(f"line {i} of a very long text, é\n" for i in range(100_000))
+    (row,) = flac.stored_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    raw = text.encode()
+    payload = flac.payload_of(raw)
+    assert len(raw) > 3_000_000 and row.n_bytes == len(raw) and row.payload_bytes == len(payload)
+    assert row.payload_sha256 == hashlib.sha256(payload).hexdigest() and row.tail_crc32 == zlib.crc32(payload[-64:])
+    assert row.feature == flac.feature_of(payload)
 
 
 def test_nulls_repeats_extra_columns_and_blocks(spark):

@@ -1,17 +1,24 @@
 """FLAC media columns: encoding, verified decoding and seekable blocks of PCM.
 
 ``encode_many`` writes mono 8-bit streams whose blocks of 1024 samples use the best fixed linear
-predictor of order 0 to 2 and Rice-coded residuals, with a seek point for every frame.
-``decode_many`` reads such streams back in vectorised steps over many frames at once: the frames'
-checksums are verified, the ends of the unary parts are followed in all frames together, and the
-predictors are undone by cumulative sums.  ``decode`` reads any FLAC stream (constant, verbatim,
-fixed and LPC subframes, escaped partitions, wasted bits, stereo decorrelation, up to 32 bits); the
-fast reader leaves streams that it was not made for to it.  ``seek`` decodes from a sample on.
+predictor of order 0 to 2, or a linear predictor of order 8 fitted to the block where that is smaller,
+and Rice-coded residuals, with a seek point for every frame.  ``decode_blocks`` reads such streams back
+in vectorised steps over many frames at once: the frames' checksums are verified, the ends of the unary
+parts are followed in all frames together, fixed predictors are undone by cumulative sums and the others
+sample by sample in all frames.  ``decode`` reads any FLAC stream (constant, verbatim, fixed and LPC
+subframes, escaped partitions, wasted bits, stereo decorrelation, up to 32 bits); the fast reader leaves
+frames that it was not made for to it.  ``seek`` decodes from a sample on.
 
-Frames are handled in groups of ``LANES``, so memory is bounded also for very long texts.
+``text_media`` makes the media column, ``pcm_blocks`` turns it into blocks of PCM with the offsets of
+their first samples, and ``media_report`` puts blocks together again.  The query stores the streams as a
+table, reads that back and takes all it returns from the blocks.
+
+Frames are handled in groups of ``LANES``, so what is held at a time beside a stream and its samples is
+bounded also for very long texts.
 
 Nulls: a null text or stream is empty.  Equal texts give equal values; repeated rows give repeated
-results; an empty table gives an empty one.
+results, in no order of their own.  Columns are selected by name and renamed, so extra ones may have any
+name.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,16 +36,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.session import ship_package
+
 from . import textkit as tk
-from .shared import arrow_map, batch_of, table
+from .shared import Workspace, arrow_map, batch_of, table
 
 BLOCK, LANES, RATE, PAD = 1024, 512, 8000, 64
+ZERO = 0x80
+#: Order of fitted predictors, bits of a factor with its sign, and the shift that undoes their scale.
+ORDER, PRECISION, SHIFT = 8, 10, 8
 
 
 class FlacError(ValueError):
     pass
 
 
+def samples_of(payload: bytes) -> np.ndarray:
+    """Signed samples of bytes; ``ZERO`` is the byte of silence."""
+    return (np.frombuffer(payload, np.uint8) - np.uint8(ZERO)).view(np.int8)
+
+
+def payload_from(pcm: bytes) -> bytes:
+    return (np.frombuffer(pcm, np.uint8) + np.uint8(ZERO)).tobytes()
+
+
 @cache
 def _crc16_table() -> np.ndarray:
     """For each 16-bit word, the state after it (polynomial 0x8005, from state 0)."""
@@ -89,7 +110,7 @@ def _coded_number(n: int) -> bytes:
         tail.append(0x80 | n & 0x3F)
         n >>= 6
         limit >>= 1
-    return bytes([(0xFE ^ limit * 2 + 1) & 0xFF | n, *reversed(tail)])
+    return bytes([0xFF ^ limit * 2 + 1 | n, *reversed(tail)])
 
 
 @lru_cache(1 << 16)
@@ -105,6 +126,30 @@ def _header(number: int, samples: int) -> bytes:
     return head + bytes([crc8(head)])
 
 
+def _predictors(x: np.ndarray) -> np.ndarray:
+    """Factors of order ``ORDER`` for each row, in units of 2**-SHIFT, by Levinson's recursion."""
+    y = x.astype(np.float64)
+    r = np.stack([(y[:, j:] * y[:, : y.shape[1] - j]).sum(1) for j in range(ORDER + 1)], 1)
+    r[:, 0] = r[:, 0] * (1 + 1e-6) + 1e-3
+    factors, error = np.zeros((len(y), ORDER)), r[:, 0].copy()
+    for i in range(ORDER):
+        k = (r[:, i + 1] - (factors[:, :i] * r[:, i:0:-1]).sum(1)) / error
+        factors[:, :i] -= k[:, None] * factors[:, :i][:, ::-1].copy()
+        factors[:, i] = k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    most = (1 << PRECISION - 1) - 1
+    return np.clip(np.rint(factors * (1 << SHIFT)), -most - 1, most).astype(np.int32)
+
+
+def _rice(e: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unsigned residuals, the parameter of each row, and the bits that its residuals take."""
+    u = np.where(coded, e << 1 ^ e >> 31, 0)
+    count = coded.sum(1)
+    mean = u.sum(1) / np.maximum(count, 1)
+    k = np.clip(np.ceil(np.log2(np.maximum(mean * math.log(2), 1e-9))), 0, 14).astype(np.int64)
+    return u, k, (u >> k[:, None]).sum(1) + count * (k + 1)
+
+
 def _encode_group(blocks: list[np.ndarray], numbers: list[int]) -> list[bytes]:
     """Frames of up to ``LANES`` blocks of signed samples."""
     n = np.array([len(b) for b in blocks])
@@ -120,14 +165,24 @@ def _encode_group(blocks: list[np.ndarray], numbers: list[int]) -> list[bytes]:
         better = (own < cost) & (n > o)
         best, cost, order = np.where(better[:, None], e, best), np.where(better, own, cost), np.where(better, o, order)
     coded = valid & (np.arange(width) >= order[:, None])
-    u = np.where(coded, best << 1 ^ best >> 31, 0)
+    u, k, size = _rice(best, coded)
+    side = np.zeros(len(n), np.int64)  # bits between the warm-up samples and the residual
+    factors = _predictors(x)
+    guess = np.zeros_like(x)
+    for j in range(ORDER):
+        guess[:, j + 1 :] += factors[:, j : j + 1] * x[:, : -j - 1]
+    fitted = valid & (np.arange(width) >= ORDER)
+    u2, k2, size2 = _rice(x - (guess >> SHIFT), fitted)
+    more = 9 + ORDER * PRECISION
+    fit = (n > ORDER) & (size2 + more + 8 * ORDER < size + 8 * order)
+    u, k, order = np.where(fit[:, None], u2, u), np.where(fit, k2, k), np.where(fit, ORDER, order)
+    side, coded = np.where(fit, more, 0), np.where(fit[:, None], fitted, coded)
     count = coded.sum(1)
-    mean = u.sum(1) / np.maximum(count, 1)
-    k = np.clip(np.ceil(np.log2(np.maximum(mean * math.log(2), 1e-9))), 0, 14).astype(np.int64)
     q = u >> k[:, None]
     size = np.where(coded, q + 1 + k[:, None], 0)
     heads = [_header(i, int(m)) for i, m in zip(numbers, n, strict=True)]
-    lead = np.array([len(h) for h in heads]) * 8 + 8 + 8 * order  # bits before the residual's header
+    warm_end = np.array([len(h) for h in heads]) * 8 + 8 + 8 * order
+    lead = warm_end + side  # bits before the residual's header
     bits = lead + 10 + size.sum(1)
     whole = (bits + 7) // 8
     base = np.concatenate([[0], np.cumsum(whole)])
@@ -145,12 +200,21 @@ def _encode_group(blocks: list[np.ndarray], numbers: list[int]) -> list[bytes]:
             out[(at + q + rice - b)[some]] = u[some] >> b & 1
     for b in range(4):  # two bits of method and four of partition order stay zero
         out[first - 4 + b] = k >> 3 - b & 1
+    own = np.flatnonzero(fit)
+    if len(own):  # precision less one, shift and factors
+        values = np.column_stack([np.full(len(own), PRECISION - 1), np.full(len(own), SHIFT), factors[own]])
+        spot = base[:-1][own] * 8 + warm_end[own]
+        for j, wide in enumerate([4, 5, *[PRECISION] * ORDER]):
+            for b in range(wide):
+                out[spot + b] = values[:, j] >> wide - 1 - b & 1
+            spot = spot + wide
     data = np.packbits(out)
     frames = []
-    for i, (head, o) in enumerate(zip(heads, order.tolist(), strict=True)):
+    for i, (head, o, fitted_) in enumerate(zip(heads, order.tolist(), fit.tolist(), strict=True)):
         frame = bytearray(data[base[i] : base[i + 1]].tobytes())
         warm = (blocks[i][:o] & 0xFF).astype(np.uint8).tobytes()
-        frame[: len(head) + 1 + o] = head + bytes([0b001000 << 1 | o << 1]) + warm
+        kind = 32 + o - 1 if fitted_ else 8 + o
+        frame[: len(head) + 1 + o] = head + bytes([kind << 1]) + warm
         frames.append(bytes(frame))
     return [f + int(c).to_bytes(2, "big") for f, c in zip(frames, crc16(frames), strict=True)]
 
@@ -159,7 +223,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream of signed 8-bit samples (byte minus 128) for each payload of at least one byte."""
     blocks, numbers, owner = [], [], []
     for i, payload in enumerate(payloads):
-        samples = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8)
+        samples = samples_of(payload)
         for j in range(0, len(samples), BLOCK):
             blocks.append(samples[j : j + BLOCK].astype(np.int32))
             numbers.append(j // BLOCK)
@@ -174,7 +238,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
 def _stream(payload: bytes, frames: list[bytes]) -> bytes:
     sizes = [len(f) for f in frames]
     block = BLOCK if len(payload) > BLOCK else max(16, len(payload))
-    digest = hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest()
+    digest = hashlib.md5(samples_of(payload).tobytes()).digest()
     info = struct.pack(">HH", block, block) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
     info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + digest
     points, at = [], 0
@@ -391,8 +455,8 @@ def seek(data: bytes, sample: int, count: int) -> list[list[int]]:
 
 
 def _decode_group(frames: list[tuple[bytes, Info, int]]) -> list[np.ndarray | None]:
-    """Samples of mono 8-bit frames with one Rice partition and a fixed predictor; None for others."""
-    n, order, lead, k, lanes = [], [], [], [], []
+    """Samples of mono 8-bit frames with one Rice partition and a predictor; None for others."""
+    n, order, lead, k, lanes, factors = [], [], [], [], [], {}
     found = crc16([f[:-2] for f, _, _ in frames])
     out: list[np.ndarray | None] = [None] * len(frames)
     for i, (frame, info, number) in enumerate(frames):
@@ -400,18 +464,22 @@ def _decode_group(frames: list[tuple[bytes, Info, int]]) -> list[np.ndarray | No
             raise FlacError("frame checksum")
         end, samples, channel, width, first = read_header(frame, 0, info)
         head = frame[end]
-        o = (head >> 1) - 8
-        if channel or width != 8 or head & 1 or not 0 <= o <= 2 or first != number:
+        kind = head >> 1
+        if channel or width != 8 or head & 1 or not (8 <= kind <= 10 or kind >= 32) or first != number:
             continue
-        at = end + 1 + o
-        word = int.from_bytes(frame[at : at + 2], "big")
-        if word >> 10 or (word >> 6 & 15) == 15:  # another coding, several partitions, or an escape
+        o = kind - 8 if kind < 32 else kind - 31
+        bits = _Bits(frame, end + 1 + o)
+        if kind >= 32:
+            precision, shift = bits.unsigned(4) + 1, bits.signed(5)
+            factors[i] = (shift, [bits.signed(precision) for _ in range(o)])
+        word = bits.unsigned(10)
+        if word >> 4 or (word & 15) == 15:  # another coding, several partitions, or an escape
             continue
         lanes.append(i)
         n.append(samples)
         order.append(o)
-        lead.append(at * 8 + 10)
-        k.append(word >> 6 & 15)
+        lead.append(bits.at)
+        k.append(word & 15)
     if not lanes:
         return out
     rows = np.argsort(-(np.array(n) - np.array(order)), kind="stable")  # longest first: active lanes stay in front
@@ -441,13 +509,24 @@ def _decode_group(frames: list[tuple[bytes, Info, int]]) -> list[np.ndarray | No
     k32 = k.astype(np.int32)
     low = word[np.minimum(after >> 3, len(word) - 1)] >> (24 - (after & 7) - k32) & (1 << k32) - 1
     u = q << k32 | low
-    e = (u >> 1 ^ -(u & 1)).T
+    steps_e = u >> 1 ^ -(u & 1)
+    e = steps_e.T
+    warms = []
     for r, i in enumerate(lanes):
+        o = int(order[r])
+        at = read_header(frames[i][0], 0, frames[i][1])[0] + 1 if o else 0
+        warms.append(np.frombuffer(frames[i][0], np.int8, o, at).astype(np.int32))
+    fitted = [r for r, i in enumerate(lanes) if i in factors]
+    if fitted:
+        for r, own in zip(fitted, _undone(steps_e[:, fitted], [warms[r] for r in fitted], [factors[lanes[r]] for r in fitted]), strict=True):
+            out[lanes[r]] = own[: int(n[r])]
+    for r, i in enumerate(lanes):
+        if i in factors:
+            continue
         o, m = int(order[r]), int(n[r])
         own = e[r, : m - o]
         if o:
-            warm = np.frombuffer(frames[i][0], np.int8, o, (int(lead[r]) - 10) // 8 - o).astype(np.int32)
-            own = np.concatenate([warm, own])
+            own = np.concatenate([warms[r], own])
             if o == 2:
                 own[1] -= own[0]
                 own[1:] = np.cumsum(own[1:])
@@ -456,48 +535,70 @@ def _decode_group(frames: list[tuple[bytes, Info, int]]) -> list[np.ndarray | No
     return out
 
 
-def decode_many(streams: list[bytes]) -> list[bytes]:
-    """The payloads (sample plus 128) of mono 8-bit streams; checksums and digests are verified."""
+def _undone(e: np.ndarray, warms: list[np.ndarray], factors: list[tuple[int, list[int]]]) -> list[np.ndarray]:
+    """Samples of frames with fitted predictors, from residuals by step: all frames go from sample to sample."""
+    most = max(len(w) for w in warms)
+    factor = np.zeros((most, len(warms)), np.int64)  # of the sample ``most`` back first
+    x = np.zeros((most + len(e), len(warms)), np.int64)
+    for r, (w, (_, own)) in enumerate(zip(warms, factors, strict=True)):
+        factor[most - len(own) :, r] = own[::-1]
+        x[most - len(w) : most, r] = w
+    shift = np.array([s for s, _ in factors], np.int64)
+    if (shift < 0).any():
+        raise FlacError("negative shift")
+    for t, row in enumerate(e):
+        x[most + t] = row + ((factor * x[t : t + most]).sum(0) >> shift)
+    return [x[most - len(w) :, r].astype(np.int32) for r, w in enumerate(warms)]
+
+
+def decode_blocks(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
+    """By stream, of mono 8-bit ones: (first sample, samples) of each frame.  All checksums are verified."""
     todo: list[tuple[bytes, Info, int]] = []
-    owner, slow, infos = [], {}, []
+    owner, slow, infos = [], set(), []
     for i, data in enumerate(streams):
         info = read_info(data)
         infos.append(info)
         starts = [info.first + p[1] for p in info.points]
         told = sum(p[2] for p in info.points) == info.samples
         if info.channels != 1 or info.bits != 8 or not told or starts != sorted(set(starts)):
-            slow[i] = True
+            slow.add(i)
             continue
         for (first, _, _), a, b in zip(info.points, starts, [*starts[1:], len(data)], strict=True):
             todo.append((data[a:b], info, first))
             owner.append(i)
-    parts: list[list[np.ndarray]] = [[] for _ in streams]
+    out: list[list[tuple[int, np.ndarray]]] = [[] for _ in streams]
     for j in range(0, len(todo), LANES):
-        for i, samples in zip(owner[j:], _decode_group(todo[j : j + LANES]), strict=False):
+        group = todo[j : j + LANES]
+        for i, (_, _, first), samples in zip(owner[j:], group, _decode_group(group), strict=False):
             if samples is None:
-                slow[i] = True
+                slow.add(i)
             else:
-                parts[i].append(samples)
-    out = []
+                out[i].append((first, samples))
     for i, data in enumerate(streams):
         if i in slow:
-            own = np.array(decode(data)[0], np.int64)
-        else:
-            own = np.concatenate(parts[i]) if parts[i] else np.zeros(0, np.int32)
-        signed = own.astype(np.int8)
-        if hashlib.md5(signed.tobytes()).digest() != infos[i].md5 and any(infos[i].md5):
-            raise FlacError("digest of samples")
-        out.append((signed.view(np.uint8) ^ 0x80).tobytes())
+            out[i] = [(first, np.array(channels[0], np.int32)) for first, channels in blocks(data)]
+        if any(infos[i].md5):
+            digest = hashlib.md5()
+            for _, samples in out[i]:
+                digest.update(samples.astype(np.int8).tobytes())
+            if digest.digest() != infos[i].md5:
+                raise FlacError("digest of samples")
     return out
 
 
+def decode_many(streams: list[bytes]) -> list[bytes]:
+    """The payloads (sample plus 128) of mono 8-bit streams."""
+    whole = [b"".join(x.astype(np.int8).tobytes() for _, x in own) for own in decode_blocks(streams)]
+    return [payload_from(x) for x in whole]
+
+
 def payload_of(raw: bytes, pad: int = PAD) -> bytes:
     return raw + bytes(-len(raw) % pad or (0 if raw else pad))
 
 
 def feature_of(payload: bytes) -> str:
     """Whole-number features of the samples: root mean square, zero crossings, peak, mean step."""
-    x = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8).astype(np.int64)
+    x = samples_of(payload).astype(np.int64)
     rms = math.isqrt(int((x * x).sum()) // len(x))
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
     step = int(np.abs(np.diff(x)).sum()) // max(1, len(x) - 1)
@@ -520,24 +621,62 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return arrow_map(narrow, run, "__tm_id long, n_bytes long, media binary")
 
 
-_BLOCKS = pa.schema([("id", pa.int64()), ("sample_offset", pa.int64()), ("samples", pa.int64()), ("pcm", pa.binary())])
-
-
-def pcm_blocks(media: DataFrame, id_col: str = "__tm_id", media_col: str = "media") -> DataFrame:
-    """Blocks of interleaved little-endian PCM with the offset of their first sample, from any streams."""
+_BLOCKS = pa.schema([
+    ("stream", pa.int64()), ("id", pa.int64()), ("sample_offset", pa.int64()), ("samples", pa.int64()), ("pcm", pa.binary()),
+    ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
+])
+_BLOCKS_SQL = (
+    "stream long, id long, sample_offset long, samples long, pcm binary, n_bytes long, media_bytes long, media_sha256 string"
+)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = data.as_py()
-            if not raw:
-                continue
-            size = (read_info(raw).bits + 7) // 8
-            for first, channels in blocks(raw):
-                pcm = b"".join(x.to_bytes(size, "little", signed=True) for step in zip(*channels, strict=True) for x in step)
-                yield batch_of(_BLOCKS, [i], [first], [len(channels[0])], [pcm])
 
-    narrow = media.select(F.col(id_col).cast("long"), F.col(media_col))
-    return arrow_map(narrow, run, "id long, sample_offset long, samples long, pcm binary")
+def _pcm(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(first sample, samples, interleaved little-endian PCM) of the blocks of any stream."""
+    info = read_info(data)
+    size = (info.bits + 7) // 8
+    for first, channels in blocks(data):
+        pcm = b"".join(x.to_bytes(size, "little", signed=True) for step in zip(*channels, strict=True) for x in step)
+        yield first, len(channels[0]), pcm
+
+
+def pcm_blocks(media: DataFrame, id_col: str = "__tm_id", media_col: str = "media", size_col: str | None = None) -> DataFrame:
+    """Blocks of PCM with the offsets of their first samples, from any streams.
+
+    ``stream`` numbers the streams of a run; the rows of one follow each other in the order of their offsets.
+    Each row also has the stream's size and digest, and ``n_bytes`` from ``size_col``.
+    """
+    ship_package(media.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        stream = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            held = [x.as_py() for x in batch.column(1)]
+            at = 0
+            while at < len(held):
+                to, size = at, 0
+                while to < len(held) and (to == at or size + len(held[to] or b"") <= LANES * BLOCK):
+                    size += len(held[to] or b"")
+                    to += 1
+                infos = {i: read_info(held[i]) for i in range(at, to) if held[i]}
+                fast = [i for i, info in infos.items() if info.channels == 1 and info.bits == 8]
+                found = dict(zip(fast, decode_blocks([held[i] for i in fast]), strict=True))
+                for i in infos:
+                    if i in found:
+                        own = [(first, len(x), x.astype(np.int8).tobytes()) for first, x in found[i]]
+                    else:
+                        own = list(_pcm(held[i]))
+                    stream += 1
+                    n, same = len(own), [c[i : i + 1].to_pylist() * len(own) for c in (batch.column(k) for k in (0, 2, 3, 4))]
+                    yield batch_of(_BLOCKS, [stream] * n, same[0], *(list(x) for x in zip(*own, strict=True)), *same[1:])
+                at = to
+
+    size = F.col(size_col).cast("long") if size_col else F.lit(None).cast("long")
+    narrow = media.select(
+        F.col(id_col).cast("long"), F.col(media_col), size, F.length(media_col).cast("long"), F.sha2(F.col(media_col), 256)
+    )
+    return narrow.mapInArrow(run, _BLOCKS_SQL)
 
 
 _REPORT = pa.schema([
@@ -551,27 +690,55 @@ _REPORT_SQL = (
 
 
 def media_report(media: DataFrame) -> DataFrame:
-    """What the streams hold when they are read back."""
+    """What streams of ``text_media`` hold: their blocks of PCM put together by their offsets."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        streams = [x.as_py() for x in batch.column(2)]
-        at = 0
-        while at < len(streams):
-            to, held = at, 0
-            while to < len(streams) and (to == at or held + len(streams[to]) <= LANES * BLOCK):
-                held += len(streams[to])
-                to += 1
-            own = streams[at:to]
-            back = decode_many(own)
-            yield batch_of(
-                _REPORT, batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), [len(p) for p in back],
-                [hashlib.sha256(p).hexdigest() for p in back], [zlib.crc32(p[-PAD:]) for p in back],
-                [len(x) for x in own], [hashlib.sha256(x).hexdigest() for x in own], [feature_of(p) for p in back],
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, at, parts, about = None, 0, [], ()
+
+        def whole() -> tuple:
+            payload = payload_from(b"".join(parts))
+            doc, n_bytes, size, digest = about
+            return (
+                doc, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), size, digest,
+                feature_of(payload),
             )
-            at = to
 
-    return arrow_map(media.select("__tm_id", "n_bytes", "media"), run, _REPORT_SQL)
+        for batch in batches:
+            rows = []
+            columns = [batch.column(i).to_pylist() for i in range(len(_BLOCKS))]
+            for s, doc, offset, samples, pcm, n_bytes, size, digest in zip(*columns, strict=True):
+                if s != stream:
+                    if parts:
+                        rows.append(whole())
+                    stream, at, parts, about = s, 0, [], (doc, n_bytes, size, digest)
+                if offset != at:
+                    raise FlacError("blocks are not in order")
+                parts.append(pcm)
+                at += samples
+            if rows:
+                yield batch_of(_REPORT, *(list(x) for x in zip(*rows, strict=True)))
+        if parts:
+            yield batch_of(_REPORT, *([x] for x in whole()))
+
+    return pcm_blocks(media, size_col="n_bytes").mapInArrow(run, _REPORT_SQL)
+
+
+def stored_report(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The report of streams that are stored as a table and read back.
+
+    Streams of texts are about as long as the texts.  So that not all of them are on disk at once, documents
+    go through in ``batches`` by a hash of their ids; the streams of one are deleted when its rows are written.
+    """
+    space = Workspace(docs.sparkSession, "flac")
+    out = None
+    for batch in range(batches):
+        own = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)) == batch)
+        media = space.save(text_media(own, id_col, text_col), f"media-{batch}")
+        rows = space.save(media_report(media), f"report-{batch}")
+        space.drop(f"media-{batch}")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_report(text_media(table(spark, sf_dir, "documents")))
+    return stored_report(table(spark, sf_dir, "documents"))
