@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -23,6 +24,51 @@ def brute(text):
     return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
 
 
+LOGIN = re.compile(r"[A-Za-z0-9]+://[A-Za-z0-9._~%!$&'()*+,;=-]+:[A-Za-z0-9._~%!$&'()*+,;=-]+@[A-Za-z0-9.-]*[A-Za-z0-9-]")
+GROUP = r"[A-Za-z]*[0-9][A-Za-z0-9]*(?![A-Za-z0-9])"
+AFTER = {
+    "account": re.compile(rf"[.:#= ]{{1,3}}({GROUP}(?:[ -]{GROUP})*)"),
+    "secret": re.compile(r"[ :=\"']{1,5}([A-Za-z0-9_+/-]{16,})"),
+}
+
+
+def valid(kind, value):
+    code = re.sub(r"[^A-Za-z0-9]", "", value).upper()
+    if kind == "secret":
+        return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
+    if re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", code):
+        if int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in code[4:] + code[:4])) % 97 == 1:
+            return True
+    return 6 <= len(code) <= 34 and len(re.findall("[0-9]", code)) >= 6 and not re.match("[A-Z]{2}", code)
+
+
+def brute_added(text):
+    """The spans that the method adds, from patterns tried at every place."""
+    out = [("login", *m.span()) for m in LOGIN.finditer(text)]
+    low = "".join(c.lower() if len(c.lower()) == 1 and ord(c) < 0xDF else c for c in text)
+    for kind, cues in (("account", pii.CUES), ("secret", pii.SECRETS)):
+        end = 0
+        ends = sorted({i + len(c) for c in cues for i in range(len(low)) if low.startswith(c, i) and not (i and low[i - 1].isalnum())})
+        for at in ends:
+            m = AFTER[kind].match(text, at)
+            if at > end and m and valid(kind, m[1]):
+                out.append((kind, *m.span(1)))
+                end = m.end(1)
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_added_spans_match_brute_force():
+    rng = random.Random(7)
+    parts = [
+        *pii.CUES, *pii.SECRETS, "IBAN", "Account No", "iBaN", "NÚMERO DE CUENTA", "Caliban", "hib", "x", " ", " ", ": ", "=", '"', "-",
+        "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "12345678", "1234567", "998877", "12-34-56", "AB123456", "a1b2c3d4e5f6a7b8",
+        "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", "://", "ftp", "joe", ":", "pw", "@", "host.example", ".", "é", "\n", "word",
+    ]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert [s for s in pii.find(text) if s[0] not in pii.BASE] == brute_added(text), text
+
+
 def base(text):
     return [s for s in pii.find(text) if s[0] in pii.BASE]
 
@@ -51,6 +97,14 @@ def test_random_texts_match_the_patterns():
         ("IBAN: DE89 3704 0044 0532 0130 00.", [("account", 6, 33)]),
         ("account no 12345678", [("account", 11, 19)]),
         ("account no twelve", []),
+        ("Caliban: 1234567", []),
+        ("hibanacct 998877", []),
+        ("my iBAN DE89370400440532013000", [("account", 8, 30)]),
+        ("NÚMERO DE CUENTA: 123456789", [("account", 18, 27)]),
+        ('token = "2abc3ff2ca8fb1e4c565"', [("secret", 9, 29)]),
+        ("a token of 12345678901234567890", []),
+        ("the secret internationalisation", []),
+        ("a://b:c@d://e:f@g", [("login", 0, 9)]),
     ],
 )
 def test_spans(text, spans):
@@ -59,15 +113,18 @@ def test_spans(text, spans):
 
 def test_documents_match_the_patterns(spark, sf_small):
     rows = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").collect()
-    want = {r.doc_id: brute(r.text or "") for r in rows}
+    texts = {r.doc_id: r.text for r in rows}
+    want = {k: brute(t or "") for k, t in texts.items()}
     found = {r.doc_id: r for r in pii.op8_pii(spark, sf_small).collect()}
     assert found.keys() == want.keys()
     for k, spans in want.items():
         assert [tuple(found[k][f"n_{kind}"] for kind in pii.BASE)] == [
             tuple(sum(s[0] == kind for s in spans) for kind in pii.BASE)
         ]
-        own = [s for s in found[k].spans.split(",") if s and s.split(":")[0] in pii.BASE]
-        assert own == [f"{a}:{b}:{c}" for a, b, c in spans]
+        both = sorted(spans + brute_added(texts[k] or ""), key=lambda s: (s[1], pii.KINDS.index(s[0])))
+        assert found[k].spans == ",".join(f"{a}:{b}:{c}" for a, b, c in both)
+        assert found[k].n_spans == len(both) == sum(found[k][f"n_{kind}"] for kind in pii.KINDS)
+        assert found[k].base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in spans).encode()).hexdigest()
 
 
 def test_nulls_repeats_and_extra_columns(spark):
@@ -80,4 +137,7 @@ def test_nulls_repeats_and_extra_columns(spark):
     assert sum(r.n_email for r in rows) == 1
     assert pii.personal_data(docs.limit(0)).collect() == []
     assert [r.text for r in pii.redact_documents(docs).collect()] == [None, "[email]", "", ""]
+    long = spark.createDataFrame([(1, "1" * 300_000 + " a@b.cd " + "x@" * 100_000 + "+4" * 100_000 + " token=" * 50_000)], "doc_id long, text string")
+    (row,) = pii.personal_data(long).collect()
+    assert row.n_email == 1
     assert pii.redact("x " * 50_000 + "a@b.cd").endswith("[email]")

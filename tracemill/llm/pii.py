@@ -10,14 +10,19 @@ stands there and validates it:
 * ``phone``  from a plus sign: digits, spaces, dots, brackets and hyphens, 10 to 15 digits.
 
 Of one kind, matches do not overlap: the leftmost stands, and what fails validation is passed over
-without a second attempt inside it.  Beyond these the method adds spans of two kinds:
+without a second attempt inside it.  Beyond these the method adds spans of three kinds:
 
 * ``login``   from ``://``: a scheme, user information with a colon, an at-sign and a host;
 * ``account`` from a cue such as ``iban`` or ``account no``: the identifier after it, an IBAN with
-  valid check digits or 6 to 34 letters and digits with at least 6 digits.
-
-Offsets count code points, ends are exclusive.  Nulls: a null text is empty; other columns may be
-null.  Repeated rows give repeated results, an empty table an empty one.
+  valid check digits or 6 to 34 letters and digits with at least 6 digits;
+* ``secret``  from a cue such as ``token`` or ``api key``: 16 or more signs of keys, a letter and a
+  digit among them.
+
+Cues are found in any case and only where no letter or digit stands before them.  Offsets count code
+points, ends are exclusive.  Nulls: a null text is empty; other columns may be null.  Ties: spans that
+begin together are in the order of the kinds above.  Very long texts are read whole, once, and long runs
+of one kind's signs are not read again from each of their places.  Columns are selected by name and
+renamed, so extra ones may have any name.  Repeated rows give repeated results, an empty table an empty one.
 """
 
 from __future__ import annotations
@@ -32,18 +37,24 @@ from pyspark.sql import functions as F
 from .shared import arrow_map, batch_of, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "account")
+KINDS = (*BASE, "login", "account", "secret")
 CUES = (
     "iban", "account number", "account no", "acct no", "acct", "passport no", "passport number", "tax id", "ssn",
     "kontonummer", "numéro de compte", "número de cuenta",
 )
+SECRETS = (
+    "token", "secret", "password", "passwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key",
+    "secret_key", "secret key", "private_key", "bearer",
+)
 _DIGIT = frozenset("0123456789")
 _ALNUM = _DIGIT | frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | frozenset("-")
 _PHONE = _DIGIT | frozenset(" ().-")
 _USER = _ALNUM | frozenset("._~%!$&'()*+,;=-")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_KEY = _ALNUM | frozenset("_+/-")
+#: Capital letters of ASCII and Latin-1, one to one, so that places stay.
+_LOWER = {c: c + 32 for c in (*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF))}
 
 
 @cache
@@ -53,9 +64,9 @@ def _anchors() -> object:
     found = ahocorasick.Automaton()
     for word in ("@", "+", "://", *_DIGIT):
         found.add_word(word, word)
-    for word in CUES:
-        for form in {word, word.upper(), word.title(), word.capitalize()}:
-            found.add_word(form, "cue")
+    for kind, words in (("account", CUES), ("secret", SECRETS)):
+        for word in words:
+            found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
@@ -125,9 +136,9 @@ def _phone(text: str, at: int) -> int | None:
     return end if end > at + 3 and text[end - 1] in _DIGIT else None
 
 
-def _login(text: str, at: int) -> tuple[int, int] | None:
+def _login(text: str, at: int, least: int) -> tuple[int, int] | None:
     start = at
-    while start > 0 and text[start - 1] in _ALNUM:
+    while start > least and text[start - 1] in _ALNUM:
         start -= 1
     user = _run(text, at + 3, _USER)
     if start == at or user == at + 3 or user >= len(text) or text[user] != ":":
@@ -163,8 +174,6 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
         last, end = to, to + 1
         if to >= len(text) or text[to] not in " -":
             break
-    else:
-        last = len(text)
     if end == start:
         return None
     code = "".join(c for c in text[start:last] if c in _ALNUM).upper()
@@ -173,13 +182,33 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
+def _secret(text: str, at: int) -> tuple[int, int] | None:
+    """The key after a cue that ends before ``at``, at most five signs between them."""
+    start = at
+    while start < len(text) and start < at + 5 and text[start] in " :=\"'":
+        start += 1
+    end = _run(text, start, _KEY)
+    code = text[start:end]
+    if start == at or len(code) < 16 or not any(c in _DIGIT for c in code) or not any(c in _ALNUM - _DIGIT for c in code):
+        return None
+    return start, end
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start, then kind as listed."""
     out = []
     to = dict.fromkeys(KINDS, 0)  # where the next search of a kind begins
     run_end = 0
-    for last, what in _anchors().iter(text):
-        if what == "@":
+    for last, what in _anchors().iter(text.translate(_LOWER)):
+        if type(what) is tuple:
+            kind, size = what
+            before = last - size
+            if last >= to[kind] and (before < 0 or not text[before].isalnum()):
+                span = (_account if kind == "account" else _secret)(text, last + 1)
+                if span:
+                    out.append((kind, *span))
+                    to[kind] = span[1]
+        elif what == "@":
             if last >= to["email"] and (span := _email(text, last, to["email"])):
                 out.append(("email", *span))
                 to["email"] = span[1]
@@ -189,13 +218,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 if 10 <= sum(c in _DIGIT for c in text[last:end]) <= 15:
                     out.append(("phone", last, end))
         elif what == "://":
-            if last - 2 >= to["login"] and (span := _login(text, last - 2)):
+            if last - 2 >= to["login"] and (span := _login(text, last - 2, to["login"])):
                 out.append(("login", *span))
                 to["login"] = span[1]
-        elif what == "cue":
-            if last >= to["account"] and (span := _account(text, last + 1)):
-                out.append(("account", *span))
-                to["account"] = span[1]
         elif last >= run_end:  # the first digit of a run
             run_end = _run(text, last, _DIGIT)
             if last >= to["ip"] and (found := _ip(text, last)):
@@ -232,22 +257,27 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 _FOUND = pa.schema([
     ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()),
+    *((f"n_{k}", pa.int64()) for k in KINDS[len(BASE) :]), ("n_spans", pa.int64()),
 ])
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: counts of the four base kinds, a digest of their spans, and all spans."""
+    """Per document row: counts by kind, a digest of the base kinds' spans, and all spans."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for text in batch.column(1):
             spans = find(text.as_py() or "")
             base = [s for s in spans if s[0] in BASE]
-            counts = [sum(s[0] == k for s in base) for k in BASE]
-            rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
+            counts = [sum(s[0] == k for s in spans) for k in KINDS]
+            digest = hashlib.sha256(_joined(base).encode()).hexdigest()
+            rows.append((*counts[: len(BASE)], digest, _joined(spans), *counts[len(BASE) :], len(spans)))
         return batch_of(_FOUND, batch.column(0), *(list(x) for x in zip(*rows, strict=True)))
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = (
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
+        "n_login long, n_account long, n_secret long, n_spans long"
+    )
     return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, schema)
 
 
