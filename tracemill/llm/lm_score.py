@@ -19,7 +19,7 @@ Training is by two rounds of distributed gradient updates that visit every train
 are dealt by a hash of id and text to shards whose number follows the number of tokens, and are put in
 order there; each shard takes Adagrad steps of a fixed number of tokens from the last round's weights,
 and the changes are averaged by how often a shard used a row, shards in order.  So neither files, nor
-partitions, nor lost executors play a part in the result.  Scoring computes a chunk's tokens in sparse
+partitions, nor lost executors play a part in the result (but for the rounding of sums).  Scoring computes a chunk's tokens in sparse
 numpy batches.
 
 The table of counts grows with the corpus and stays a table.  The ``KNOWN`` most frequent words and
@@ -51,8 +51,11 @@ from .shared import Workspace, arrow_map, batch_of, columns, fold, table
 
 WAYS, LEVELS = 16, 4
 LEAVES = WAYS**LEVELS
+#: Words that are leaves of the second and of the third level, and places of the fourth that such a leaf takes.
+SECOND, THIRD, WIDE, MIDDLE = 48, 768, WAYS**2, WAYS
 ENDINGS = 16_384
-OWN = LEAVES - ENDINGS
+OWN = SECOND + THIRD + LEAVES - SECOND * WIDE - THIRD * MIDDLE - ENDINGS
+ITEMS = OWN + ENDINGS
 #: The first node of each level; below them are the classes of the level above.
 NODE = np.cumsum([0, *(WAYS**i for i in range(LEVELS))])
 #: Occurrences that a word needs for a leaf of its own, and what words of a shared leaf lose to unknown ones.
@@ -82,6 +85,9 @@ def ending(words: tk.Words) -> np.ndarray:
     return (tk.mix(code.astype(tk.U)) % tk.U(ENDINGS)).astype(np.int64)
 
 
+_FIRST_BITS = 19
+
+
 class Vocabulary:
     """The most frequent words by hash, with their counts, and the leaf of each item.
 
@@ -92,14 +98,14 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.item = np.where((order < OWN - 1) & (self.counts >= OWN_LEAST), order + 1, -1).astype(np.int32)
-        self.leaf = np.arange(LEAVES, dtype=np.int32)
-        edges = np.arange((1 << 16) + 1, dtype=np.int64)
-        self.first = np.append(np.searchsorted(self.hashes, (edges[:-1].astype(tk.U) << tk.U(48))), len(hashes))
+        self.leaf = np.zeros(ITEMS, np.int32)  # the first place of the fourth level that an item's leaf takes
+        edges = np.arange(1 << _FIRST_BITS, dtype=tk.U) << tk.U(64 - _FIRST_BITS)
+        self.first = np.append(np.searchsorted(self.hashes, edges), len(hashes)).astype(np.int32)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """Place of each hash among the known ones, or -1."""
-        at = self.first[(value >> tk.U(48)).astype(np.int64)]
-        stop = self.first[(value >> tk.U(48)).astype(np.int64) + 1]
+        part = (value >> tk.U(64 - _FIRST_BITS)).astype(np.int64)
+        at, stop = self.first.take(part), self.first.take(part + 1)
         out = np.full(len(value), -1, np.int64)
         live = np.flatnonzero(at < stop)
         while len(live):
@@ -123,7 +129,7 @@ class Tokens:
     own: np.ndarray  # places of the words among the tokens
 
 
-def sequences(words: tk.Words, vocabulary: Vocabulary) -> Tokens:
+def sequences(words: tk.Words, vocabulary: Vocabulary, with_context: bool = True) -> Tokens:
     rows = words.rows + np.arange(len(words.rows))
     n = int(rows[-1])
     own = np.ones(n, bool)
@@ -135,6 +141,8 @@ def sequences(words: tk.Words, vocabulary: Vocabulary) -> Tokens:
     item[own] = np.where(frequent >= 0, frequent, OWN + ending(words))
     known = np.full(n, -1, np.int64)
     known[own] = found
+    if not with_context:
+        return Tokens(item, known, np.zeros((0, n), tk.U), rows, own)
     value = np.zeros(n, tk.U)
     value[own] = words.hash
     place = np.arange(n) - np.repeat(rows[:-1], np.diff(rows))
@@ -146,85 +154,103 @@ def sequences(words: tk.Words, vocabulary: Vocabulary) -> Tokens:
     return Tokens(item, known, context * _ODD[:, None], rows, own)
 
 
-def _level(context: np.ndarray, leaf: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the table for the choice at a level, by feature and token, and the class chosen."""
+def _level(
+    context: np.ndarray, leaf: np.ndarray, depth: np.ndarray, level: int
+) -> tuple[np.ndarray | slice, np.ndarray, np.ndarray]:
+    """Tokens that go on at a level, their rows of the table by feature, and the classes chosen."""
+    on = slice(None)
+    if depth.min(initial=LEVELS) <= level:
+        on = np.flatnonzero(depth > level)
+        context, leaf = context.take(on, 1), leaf[on]
     node = NODE[level] + (leaf >> 4 * (LEVELS - level))
     spread = node.astype(tk.U) * tk.U(0x9E3779B97F4A7C15)
     rows = np.empty((CONTEXTS + 1, len(leaf)), np.int64)
     rows[:CONTEXTS] = (context ^ spread) * tk.U(0xD6E8FEB86659FD93) >> tk.U(64 - ROW_BITS)
     rows[CONTEXTS] = (1 << ROW_BITS) + node
-    return rows, leaf >> 4 * (LEVELS - 1 - level) & WAYS - 1
+    return on, rows, leaf >> 4 * (LEVELS - 1 - level) & WAYS - 1
 
 
-def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _shares(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the classes' sums of weights, by token, and their totals; sums stay within +-60."""
     z = weights.take(rows[0], 0)
     for r in rows[1:]:
         z += weights.take(r, 0)
-    z -= z.max(1, keepdims=True)
-    return z
+    np.exp(np.clip(z, -60, 60, out=z), out=z)
+    return z, z @ np.ones(WAYS, np.float32)
+
 
+def depth_of(item: np.ndarray) -> np.ndarray:
+    """The level of an item's leaf."""
+    return LEVELS - (item < SECOND).astype(np.int8) - (item < SECOND + THIRD)
 
-def log_leaf(weights: np.ndarray, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+
+def log_leaf(weights: np.ndarray, context: np.ndarray, leaf: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each leaf in its context."""
     out = np.zeros(len(leaf))
     for level in range(LEVELS):
-        rows, choice = _level(context, leaf, level)
-        z = _logits(weights, rows)
-        out += z[np.arange(len(leaf)), choice]
-        out -= np.log(np.exp(z).sum(1))
+        on, rows, choice = _level(context, leaf, depth, level)
+        share, total = _shares(weights, rows)
+        out[on] += np.log(share[np.arange(len(choice)), choice] / total)
     return out
 
 
+#: A row of weights as one element.
+_CELL = f"V{4 * WAYS}"
+
+
 class Trainer:
     """Adagrad steps over a shard's tokens, from given weights; each step has ``STEP_TOKENS`` tokens."""
 
     def __init__(self, weights: np.ndarray, vocabulary: Vocabulary, rate: float):
         self.first, self.now, self.vocabulary, self.rate = weights, weights.copy(), vocabulary, rate
-        self.squares = np.ones(weights.shape, np.float32)
+        self.cells = self.now.view(_CELL).ravel()  # the same memory: whole rows are written at once
+        self.squares = np.ones(len(weights), np.float32)  # one mean square by row
         self.used = np.zeros(len(weights), np.float32)
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def learn(self, words: tk.Words) -> None:
         found = sequences(words, self.vocabulary)
-        self.held.append((found.context, self.vocabulary.leaf[found.item].astype(np.int64)))
+        self.held.append((found.context, found.item))
         self.size += len(found.item)
         if self.size >= STEP_TOKENS:
             self._steps(last=False)
 
     def _steps(self, last: bool) -> None:
         context = np.concatenate([c for c, _ in self.held], 1)
-        leaf = np.concatenate([x for _, x in self.held])
+        item = np.concatenate([x for _, x in self.held])
         at = 0
-        while len(leaf) - at >= (1 if last else STEP_TOKENS):
-            self._step(context[:, at : at + STEP_TOKENS], leaf[at : at + STEP_TOKENS])
+        while len(item) - at >= (1 if last else STEP_TOKENS):
+            self._step(context[:, at : at + STEP_TOKENS], item[at : at + STEP_TOKENS])
             at += STEP_TOKENS
-        self.held, self.size = [(context[:, at:], leaf[at:])], max(0, len(leaf) - at)
+        self.held, self.size = [(context[:, at:], item[at:])], max(0, len(item) - at)
 
-    def _step(self, context: np.ndarray, leaf: np.ndarray) -> None:
-        n = len(leaf)
+    def _step(self, context: np.ndarray, item: np.ndarray) -> None:
+        leaf, depth = self.vocabulary.leaf[item].astype(np.int64), depth_of(item)
         for level in range(LEVELS):
-            rows, choice = _level(context, leaf, level)
-            error = np.exp(_logits(self.now, rows))
-            error /= error.sum(1, keepdims=True)
-            error[np.arange(n), choice] -= 1
+            _, rows, choice = _level(context, leaf, depth, level)
+            if not len(choice):
+                continue
+            error, total = _shares(self.now, rows)
+            error *= (1 / total)[:, None]
+            at_token = np.arange(len(choice))
+            error[at_token, choice] -= 1
             # rows in order, each with the tokens that use it, by one sort of packed numbers
-            packed = rows.ravel().astype(tk.U) << tk.U(20)
-            packed |= np.arange(packed.size, dtype=tk.U)
-            packed.sort()
-            row = (packed >> tk.U(20)).astype(np.int64)
-            token = (packed & tk.U((1 << 20) - 1)).astype(np.int64) % n
+            packed = (rows.astype(tk.U) << tk.U(20)) | at_token.astype(tk.U)
+            packed = np.sort(packed, axis=None)
+            row = (packed >> tk.U(20)).view(np.int64)
+            token = (packed & tk.U((1 << 20) - 1)).view(np.int64)
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             size = np.diff(np.append(first, len(row)))
             gradient = _sums(error, token, first, size)
             at = row[first]
             self.used[at] += size
-            squares = self.squares.take(at, 0)
-            squares += gradient * gradient
+            squares = self.squares.take(at)
+            squares += np.einsum("ij,ij->i", gradient, gradient) / WAYS
             self.squares[at] = squares
-            gradient /= np.sqrt(squares, out=squares)
-            gradient *= self.rate
-            self.now[at] -= gradient
+            gradient *= (-self.rate / np.sqrt(squares))[:, None]
+            gradient += self.now.take(at, 0)
+            self.cells[at] = gradient.view(_CELL).ravel()
 
     def changes(self) -> tuple[np.ndarray, np.ndarray]:
         """Changes of all weights, and how often each row was used."""
@@ -283,6 +309,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 _NEAR = pa.schema([("block", pa.int32()), ("values", pa.binary())])
 _BLOCK = 1024
+_BLOCKS = -(-ITEMS // _BLOCK)
 _LEAF = pa.schema([("item", pa.int32()), ("leaf", pa.int32())])
 
 
@@ -290,13 +317,13 @@ def _tree(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """The leaf of each item: by bisection of the items' counts of preceding frequent words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(LEAVES * NEAR, np.int32)
+        out = np.zeros(_BLOCKS * _BLOCK * NEAR, np.int32)
         for batch in batches:
             for chunk in tk.chunks(batch.column(0)):
-                found = sequences(tk.words(chunk, tk.SPACE), vocabulary)
-                before = np.zeros(len(found.item), np.int64)  # 0 is the start of a text
-                place = np.setdiff1d(np.arange(1, len(before)), found.rows[1:-1], assume_unique=True)
-                before[place] = np.minimum(found.item[place - 1], NEAR - 1)
+                found = sequences(tk.words(chunk, tk.SPACE), vocabulary, with_context=False)
+                before = np.zeros(len(found.item), np.int64)
+                before[1:] = np.minimum(found.item[:-1], NEAR - 1)
+                before[found.rows[:-1]] = 0  # the start of a text, as an end goes before nothing
                 value, times = np.unique(found.item * NEAR + before, return_counts=True)
                 out[value] += times.astype(np.int32)
         out = out.reshape(-1, _BLOCK * NEAR)
@@ -312,42 +339,62 @@ def _tree(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         yield batch_of(_NEAR, [key[0].as_py()], [total.tobytes()])
 
     def bisect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.zeros((LEAVES // _BLOCK, _BLOCK * NEAR), np.int64)
+        near = np.zeros((_BLOCKS, _BLOCK * NEAR), np.int64)
         for batch in batches:
             for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 near[b] = np.frombuffer(x.as_py(), np.int64)
-        leaf = np.empty(LEAVES, np.int32)
-        leaf[_bisected(near.reshape(LEAVES, NEAR).astype(np.float64))] = np.arange(LEAVES)
-        yield batch_of(_LEAF, np.arange(LEAVES), leaf)
+        item = np.arange(ITEMS)
+        size = np.where(item < SECOND, WIDE, np.where(item < SECOND + THIRD, MIDDLE, 1))
+        yield batch_of(_LEAF, item, bisected(near.reshape(-1, NEAR)[:ITEMS].astype(np.float64), size))
 
     sql = "block int, values binary"
     # the counts of a fixed number of items: one task can hold them
     near = texts.mapInArrow(count, sql).groupBy("block").applyInArrow(add, sql).repartition(1)
     found = columns(near.mapInArrow(bisect, "item int, leaf int"))
-    out = np.arange(LEAVES, dtype=np.int32)
+    out = np.zeros(ITEMS, np.int32)
     out[found["item"]] = found["leaf"]
     return out
 
 
-def _bisected(near: np.ndarray, least: int = 32) -> np.ndarray:
-    """Items in an order in which halves, quarters and so on hold items with like profiles."""
+def bisected(near: np.ndarray, size: np.ndarray, least: int = 32) -> np.ndarray:
+    """Each item's first place, so that halves, quarters and so on of all places hold items with like profiles.
+
+    Sizes are powers of two, their sum is one, and no item crosses the bounds of a stretch as long as itself.
+    """
     total = near.sum(1)
     x = np.sqrt(near / np.maximum(total, 1)[:, None])
-    weight = np.log1p(total)
-    out = []
-    todo = [np.arange(len(near))]
+    weight = np.maximum(np.log1p(total), 1e-9)
+    place = np.empty(len(near), np.int32)
+    todo = [(np.arange(len(near)), 0, int(size.sum()))]
     while todo:
-        own = todo.pop()
-        mass = np.maximum(weight[own], 1e-9)
+        own, first, room = todo.pop()
+        if len(own) == 1:
+            place[own] = first
+            continue
+        mass = weight[own]
         part = x[own] - np.average(x[own], axis=0, weights=mass)
         _, axes = np.linalg.eigh((part * mass[:, None]).T @ part)
         axis = axes[:, -1] * (1 if axes[np.abs(axes[:, -1]).argmax(), -1] > 0 else -1)
         own = own[np.lexsort((own, np.round(part @ axis, 9)))]
-        if len(own) <= least:
-            out.append(own)
-        else:
-            todo += [own[len(own) // 2 :], own[: len(own) // 2]]
-    return np.concatenate(out)
+        wide = size[own]
+        if room <= least and wide.max() == 1:
+            place[own] = first + np.arange(room)
+            continue
+        left = _filling(wide, room // 2)
+        todo += [(own[~left], first + room // 2, room // 2), (own[left], first, room // 2)]
+    return place
+
+
+def _filling(size: np.ndarray, room: int) -> np.ndarray:
+    """Which items, taken in order, fill the room exactly; one that is too large for what is left is passed over."""
+    out = np.zeros(len(size), bool)
+    for i, wide in enumerate(size.tolist()):
+        if wide <= room:
+            out[i] = True
+            room -= wide
+            if not room:
+                break
+    return out
 
 
 def _priors(mass: np.ndarray) -> np.ndarray:
@@ -427,7 +474,7 @@ class Model:
 
 def fit(
     docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", rounds: list[Column] | None = None,
-    rate: float = 0.6, known: int = KNOWN,
+    rate: float = 0.35, known: int = KNOWN,
 ) -> Model:
     """The model; ``trains`` is true for training rows, and ``rounds`` are conditions that divide them."""
     spark = docs.sparkSession
@@ -448,7 +495,7 @@ def fit(
 
     by_ending = words.groupBy("ending").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"))
     by_ending = columns(by_ending)
-    mass, types_of = np.zeros(LEAVES), np.zeros(ENDINGS)
+    mass, types_of = np.zeros(ITEMS), np.zeros(ENDINGS)
     mass[0] = ends
     mass[1 : len(own) + 1] = top["count"][own]
     mass[OWN + by_ending["ending"]] = by_ending["n"]
@@ -501,10 +548,10 @@ def _scored(chunk: tk.Chunk, model: Model) -> tuple[np.ndarray, ...]:
     tail = found.item >= OWN
     kind = np.where(tail, found.item - OWN, 0)
     own = np.where(tail, inner - model.tail_unit[kind], 0)
-    leaf = model.vocabulary.leaf[found.item].astype(np.int64)
+    leaf, depth = model.vocabulary.leaf[found.item].astype(np.int64), depth_of(found.item)
     for a in range(0, n, STEP_TOKENS):
         part = slice(a, a + STEP_TOKENS)
-        own[part] += log_leaf(model.weights, found.context[:, part], leaf[part]) / _LOG10
+        own[part] += log_leaf(model.weights, found.context[:, part], leaf[part], depth[part]) / _LOG10
     first = found.rows[:-1]
     seen = ~rare & ~end
     total = lambda x: np.add.reduceat(x, first)
