@@ -1,8 +1,11 @@
 import re
+import textwrap
 
+import numpy as np
 from helpers import docs
 
 from tracemill.llm import license_scan as S
+from tracemill.llm import textkit as tk
 
 PLANTED = {
     "This work is licensed under the GNU General Public License, version 3.": "GPL",
@@ -14,15 +17,122 @@ PLANTED = {
 }
 
 
+def brute_paragraphs(text, loose=False):
+    """(first line, last line, text) of joined lines."""
+    out = []
+    for i, line in enumerate((text or "").split("\n")):
+        if not re.search(r"[0-9A-Za-z\x80-\U0010ffff]", line):
+            continue
+        if out and out[-1][1] == i - 1:
+            end = out[-1][2].rstrip(" \t\n\v\f\r\"')]}*/#-")[-1:]
+            word = re.search(r"[0-9A-Za-z\x80-\U0010ffff].?", line)[0]
+            if end not in ".!?:;" and (loose or not re.match("[A-Z][a-z]", word) or end == ","):
+                out[-1] = (out[-1][0], i, out[-1][2] + "\n" + line)
+                continue
+        out.append((i, i, line))
+    return out
+
+
 def test_planted_lines_are_found_and_no_others(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in S.op6_license_scan(spark, sf).collect()}
     for d in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
-        lines = (d.text or "").split("\n")
-        want = [(i, PLANTED[x.strip()]) for i, x in enumerate(lines) if x.strip() in PLANTED]
+        found = brute_paragraphs(d.text)
+        want = [(a, PLANTED[x.strip()]) for a, _, x in found if x.strip() in PLANTED]
         r = rows[d.doc_id]
-        assert r.n_licensed == len(want) and r.families == ",".join(sorted({f for _, f in want}))
-        assert r.n_paragraphs == sum(bool(re.search(r"[0-9A-Za-z\x80-\U0010ffff]", x)) for x in lines)
+        assert r.n_licensed == len(want) and r.families == ",".join(sorted({f for _, f in want})), d.text
+        assert r.n_paragraphs == len(found)
+
+
+def test_paragraphs_join_wrapped_lines():
+    rng = np.random.default_rng(2)
+    parts = ["The word", "a word,", "ends here.", "", " * more", "NOT small", "x)", "é", "(c) Foo", "---", "Capital, then", "  "]
+    for _ in range(300):
+        texts = ["\n".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(4)]
+        raw = [t.encode() for t in texts]
+        chunk = tk.Chunk(0, 4, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        for loose in (False, True):
+            words, doc, first, last = S.paragraphs(chunk, loose)
+            assert list(zip(doc.tolist(), first.tolist(), last.tolist())) == [
+                (d, a, b) for d, t in enumerate(texts) for a, b, _ in brute_paragraphs(t, loose)
+            ]
+
+
+def plain_label(model, text):
+    """Family and probability of one paragraph, with sets of words in place of hashes in order."""
+    words = S.item_words(text)
+    grams = {tuple(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)}
+    index = {int(h): i for i, h in enumerate(model.features)}
+    z = model.bias.copy()
+    for g in grams:
+        (h,) = tk.Words(None, None, tk.hash_words(list(g)), np.array([0, len(g)]), None).window(len(g))[0]
+        if int(h) in index:
+            z += model.weight[index[int(h)]]
+    p = np.exp(z / model.temperature - (z / model.temperature).max())
+    p /= p.sum()
+    best = int(p.argmax())
+    if not best or p[best] <= model.least:
+        return None
+    family = S.FAMILIES[best]
+    pairs = lambda w: {tuple(w[i : i + 2]) for i in range(len(w) - 1)}
+    known = {n: set().union(*(pairs(S.item_words(t)) for t in s)) for n, s in S.TEMPLATES.items()}
+    weight = lambda x: 1 / max(1, sum(x in k for k in known.values()))
+    pieces = [text, *re.split(r"[.!?](?=\s)", text)]
+    for own in (pairs(S.item_words(x)) for x in pieces):
+        if own and sum(weight(x) for x in own if x in known[family]) >= model.share * sum(map(weight, own)):
+            return family, float(p[best])
+    whole = set().union(*(pairs(S.item_words(x)) for x in pieces[1:])) | pairs(words)
+    for t in S.TEMPLATES[family]:
+        own = pairs(S.item_words(t))
+        if len(own) >= 6 and len(own & whole) >= model.share * len(own):
+            return family, float(p[best])
+    return None
+
+
+def test_labels_equal_a_plain_version(spark):
+    model = S.trained()
+    rng = np.random.default_rng(5)
+    pool = [t for s in S.TEMPLATES.values() for t in s] + list(S.OTHERS) + list(S.FOREIGN)
+    data = []
+    for i in range(150):
+        words = pool[rng.integers(len(pool))].split()
+        keep = [w for w in words if rng.random() > 0.2] or words
+        data.append((i, " ".join(keep) + ("" if i % 3 else " " + pool[rng.integers(len(pool))])))
+    found = {r.doc_id: r for r in S.licences(docs(spark, *data)).collect()}
+    hits = 0
+    for i, text in data:
+        want = plain_label(model, text)
+        hits += want is not None
+        assert found[i].families == (want[0] if want else ""), text
+        assert abs(found[i].score - (want[1] if want else 0)) < 1e-6
+    assert hits > 30
+
+
+def test_unseen_licences_and_sentences_are_unknown(spark):
+    texts = [
+        "Licensed under the Eclipse Public License 2.0.", "All rights reserved by the zoo.", "Licensed under the EUPL 1.2.",
+        "Distributed under the Boost Software License, Version 1.0.", "Licensed under the Sleepycat Public License 2.0.",
+        "She read all of the general terms under the free tree.",
+    ]
+    assert not any(r.n_licensed for r in S.licences(docs(spark, *enumerate(texts))).collect())
+
+
+def test_wrapped_notices(spark):
+    bodies = [(n, t) for n, s in S.TEMPLATES.items() for t in s if len(t) > 120]
+    wrapped = [(n, textwrap.fill(t, width, initial_indent=mark, subsequent_indent=mark)) for n, t in bodies for width, mark in ((80, ""), (72, " * "))]
+    rows = {r.doc_id: r for r in S.licences(docs(spark, *[(i, t) for i, (_, t) in enumerate(wrapped)])).collect()}
+    assert sum(rows[i].families == n for i, (n, _) in enumerate(wrapped)) >= 0.95 * len(wrapped)
+    mit = next(i for i, (n, t) in enumerate(wrapped) if n == "MIT")
+    assert rows[mit].families == "MIT" and rows[mit].spans == f"MIT:0:{wrapped[mit][1].count(chr(10))}"
+
+
+def test_calibration_is_measured_on_what_training_does_not_see():
+    for group in (*S.TEMPLATES.values(), S.FOREIGN, S.OTHERS):
+        words = {k: {tuple(S.item_words(t)) for i, t in enumerate(group) if (i % 3 == 2) == k} for k in (True, False)}
+        assert not words[True] & words[False]
+    assert S.trained().error < 0.2
+    p = np.array([[0.9, 0.1], [0.9, 0.1], [0.4, 0.6], [0.55, 0.45]])
+    assert abs(S.calibration_error(p, np.array([0, 1, 1, 0])) - (0.8 + 0.4 + 0.45) / 4) < 1e-9
 
 
 def test_templates_and_others(spark):
