@@ -1,7 +1,8 @@
 """The hub table, comparison arms cut from it, and samples of equal size or length.
 
 Selections are by the MD5 of seed and id: exact in size, the same on any cluster and partitioning.
-Rankings carry only ids and scores; texts are joined back to what was chosen.
+Rankings carry only ids and scores; texts are joined back to what was chosen.  Building a plan runs
+nothing: sizes and edges are rows that the plan computes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tracemill.config import RuleGates
 from tracemill.functions import text as X
-from tracemill.operators.gates import passes_all, rule_verdicts
+from tracemill.operators.gates import measured, passes_all, rule_verdicts
+from tracemill.operators.once import first_ids, once, running
 from tracemill.schemas import ARMS
 from tracemill.sources.records import record_id
 
@@ -26,19 +28,21 @@ def unified(traces: DataFrame, bank: DataFrame, limits: RuleGates = RuleGates())
     ``unmatched`` counts them.
     """
     rows = traces.join(bank.select(*KEY, "question", "choices", "gold"), KEY)
-    think = X.think_text(F.col("reasoning_content"), F.col("reasoning"))
+    rows = measured(once(rows, think=X.think_text(F.col("reasoning_content"), F.col("reasoning"))), "think")
     gold = F.substr(F.lit("ABCDE"), F.col("gold") + 1, F.lit(1))
-    rows = rows.withColumn("think", think).withColumn("c1", rule_verdicts(F.col("think"), F.col("predicted"), gold))
+    rows = once(rows, c1=rule_verdicts(F.col("measures"), F.col("predicted"), gold, limits))
+    shares = X.shares_of(F.col("measures.hangul_letters"), F.col("measures.latin_letters"))
+    spoken = F.when(F.col("measures.chars") > 0, X.language_of(shares))
     none = F.lit(None).cast("boolean")
     flags = {"C0": F.lit(True), "C1": passes_all(F.col("c1")), "C2": none, "C3": none, "C_rand": none}
     return rows.select(
         record_id(F.col("subset"), F.col("sample_idx")).alias("id"), F.col("subset").alias("subject"), "sample_idx",
-        "question", "choices", F.col("gold").cast("int").alias("gold"), "think",
-        X.letter(F.col("predicted")).alias("final_answer"), X.word_count(F.col("think")).cast("long").alias("tokens"),
-        F.bround(X.en_ratio(F.col("think")), 4).alias("en_ratio"),
+        "question", "choices", F.col("gold").cast("int").alias("gold"), "think", (F.col("measures.chars") > 0).alias("has_think"),
+        X.letter(F.col("predicted")).alias("final_answer"), F.col("measures.words").cast("long").alias("tokens"),
+        F.bround(F.expr("CASE WHEN measures.words > 0 THEN measures.latin / measures.words ELSE 0.0D END"), 4).alias("en_ratio"),
         F.struct(*(flags[a].alias(a) for a in ARMS)).alias("filters"),
         F.struct(
-            "c1", F.col("think_lang") if "think_lang" in rows.columns else X.think_language(F.col("think")).alias("think_lang"),
+            "c1", (F.col("think_lang") if "think_lang" in rows.columns else spoken).alias("think_lang"),
             F.lit(None).cast("double").alias("c2_score"), F.lit(None).cast("double").alias("gap"),
             F.lit(None).cast("double").alias("orig_score"),
         ).alias("signals"),
@@ -77,25 +81,17 @@ def _chosen(hub: DataFrame, chosen: DataFrame, arm: str) -> DataFrame:
     return rows.withColumn("filters", F.col("filters").withField(arm, F.coalesce("_in", F.lit(False)))).drop("_in")
 
 
-def top_ids(pool: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first ``n`` ids: a bounded heap per task, not a global sort."""
-    return pool.orderBy(*order, "id").limit(n).select("id")
-
-
 def merge_c2(hub: DataFrame) -> DataFrame:
-    """``C2``: as many of C1 as C3 holds, by general quality score, ties by id."""
-    n = size_of(hub, "C3").first()["n"]
+    """``C2``: as many of C1 as C3 holds, by general quality score, ties by id; none without C3 or scores."""
     pool = hub.where("filters.C1 AND signals.c2_score IS NOT NULL").select("id", F.col("signals.c2_score").alias("s"))
-    if not n or pool.isEmpty():
-        raise ValueError("C2 needs C3 and scores")
-    return _chosen(hub, top_ids(pool, n, F.desc("s")), "C2")
+    return _chosen(hub, first_ids(pool, size_of(hub, "C3"), -F.col("s"), "id"), "C2")
 
 
 def make_crand(hub: DataFrame, seed: int = 42) -> DataFrame:
     """``C_rand``: as many of C1 as C3 holds, by hash of seed and id."""
-    n = size_of(hub, "C3").first()["n"]
     pool = hub.where("filters.C1").select("id", by_hash(seed, F.col("id")).alias("h"))
-    return _chosen(hub, top_ids(pool, n, F.col("h")), "C_rand")
+    place = F.conv(F.left("h", F.lit(5)), 16, 10).cast("long")  # a million stretches of the hash
+    return _chosen(hub, first_ids(pool, size_of(hub, "C3"), place, "h", "id"), "C_rand")
 
 
 def by_hash(seed: int, key: Column) -> Column:
@@ -155,7 +151,7 @@ def stratified_top(ranked: DataFrame, quotas: DataFrame, n: int, fill: bool = Tr
 
 def low_data(hub: DataFrame, arm: str, n: int, seed: int = 42, stratified: bool = True) -> DataFrame:
     """``n`` rows of C1 for an arm: by gap, by quality score, or by hash; stratified by subject if asked."""
-    pool = hub.where("filters.C1").where(X.strip(X.or_empty(F.col("think"))) != "")
+    pool = hub.where("filters.C1 AND has_think")
     place = {"C3": -F.col("signals.gap"), "C2": -F.col("signals.c2_score"), "C_rand": by_hash(seed, F.col("id"))}[arm]
     ranked = pool.select("id", "subject", place.alias("place")).where("place IS NOT NULL")
     if not stratified:
@@ -166,28 +162,26 @@ def low_data(hub: DataFrame, arm: str, n: int, seed: int = 42, stratified: bool
 def quantile_edges(values: DataFrame, bins: int = 20, value: str = "tokens") -> DataFrame:
     """``bin``, ``lo``, ``hi``: edges at half-even rounded ranks, found on the histogram of values."""
     hist = values.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    hist = hist.withColumn("upto", F.sum("c").over(W.orderBy("v"))).withColumn("n", F.sum("c").over(W.partitionBy(F.lit(0))))
-    ranks = hist.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("i"))
-    ranks = ranks.withColumn("at", F.least(F.col("n") - 1, F.bround(F.col("i") * F.col("n") / F.lit(float(bins))).cast("long")))
-    edge = hist.join(F.broadcast(ranks.select("i", "at")), (F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at")))
-    edge = edge.select("i", F.col("v").alias("edge"))
-    hi = edge.select((F.col("i") - 1).alias("bin"), F.col("edge").alias("hi"))
-    return edge.withColumnRenamed("i", "bin").withColumnRenamed("edge", "lo").join(hi, "bin")
+    hist = running(hist, "v", {"upto": F.col("c")}).withColumnRenamed("upto_all", "n")
+    at = lambda i: F.least(F.col("n") - 1, F.bround(i * F.col("n") / F.lit(float(bins))).cast("long"))
+    # a value is the edge of the ranks that its rows take
+    ranks = F.filter(F.sequence(F.lit(0), F.lit(bins)), lambda i: (F.col("upto") > at(i)) & (F.col("upto") - F.col("c") <= at(i)))
+    edge = hist.select(F.explode(ranks).alias("bin"), F.col("v").alias("lo"))
+    every = edge.agg(F.map_from_entries(F.collect_list(F.struct("bin", "lo"))).alias("edges"))  # one row of bins + 1 edges
+    return edge.where(F.col("bin") < bins).crossJoin(F.broadcast(every)).select("bin", "lo", F.col("edges")[F.col("bin") + 1].alias("hi"))
 
 
-def bin_of(value: Column, edges: list) -> Column:
+def bin_of(value: Column, edges: Column) -> Column:
     """The first bin whose upper edge is not below the value, else the last; ``edges`` are the upper ones."""
-    found = F.array_position(F.transform(F.array(*(F.lit(e) for e in edges)), lambda e: value <= e), True)
-    return F.when(found > 0, found - 1).otherwise(F.lit(len(edges) - 1)).cast("int")
+    found = F.array_position(F.transform(edges, lambda e: value <= e), True)
+    return F.when(found > 0, found - 1).otherwise(F.size(edges) - 1).cast("int")
 
 
 def length_matched(hub: DataFrame, target: str, bins: int = 20, seed: int = 42) -> DataFrame:
     """Ids of C1 with the target arm's distribution over bins of length, within a bin by hash."""
     pool = hub.where("filters.C1 AND tokens > 0").select("id", "tokens", F.coalesce(f"filters.{target}", F.lit(False)).alias("t"))
-    edges = [r["hi"] for r in quantile_edges(pool, bins).orderBy("bin").collect()]  # one number per bin
-    if not edges:
-        return pool.select("id", F.lit(0).alias("bin")).limit(0)
-    pool = pool.withColumn("bin", bin_of(F.col("tokens"), edges))
+    edges = quantile_edges(pool, bins).agg(F.array_sort(F.collect_list(F.struct("bin", "hi")))["hi"].alias("edges"))  # one row
+    pool = pool.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of(F.col("tokens"), F.col("edges")))
     wanted = pool.where("t").groupBy("bin").agg(F.count(F.lit(1)).alias("want"))
     order = W.partitionBy("bin").orderBy(by_hash(seed, F.col("id")), "id")
     return pool.join(F.broadcast(wanted), "bin").withColumn("r", F.row_number().over(order)).where("r <= want").select("id", "bin")

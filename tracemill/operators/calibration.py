@@ -8,11 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.config import GapGate
-from tracemill.operators.counterfactual import label
+from tracemill.operators.once import running
+from tracemill.session import ship_package
 
 
 def restrict(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -23,34 +22,39 @@ def restrict(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def sweep(signals: DataFrame, gaps: list[float], hedges: list[float | None], min_origs: list[float | None]) -> DataFrame:
     """Decision counts for each combination of thresholds, from one pass over ``orig``, ``gap``, ``hedge_gap``.
 
-    The grid becomes columns of one aggregation, so rows are not multiplied by it.
+    The grid is broadcast against the histogram of signals, and counts are combined before the shuffle.
     """
-    grid = [GapGate(g, m, h) for m in min_origs for h in hedges for g in gaps]
+    grid = [(m, h, g) for m in min_origs for h in hedges for g in gaps]
     hist = signals.groupBy("orig", "gap", "hedge_gap").agg(F.count(F.lit(1)).alias("c"))
-    kinds = ("keep", "rescued", "rej_gap", "rej_minorig")
-    sums = []
-    for i, limits in enumerate(grid):
-        found = label(F.col("orig"), F.col("gap"), F.col("hedge_gap"), limits)
-        sums += [F.coalesce(F.sum(F.when(found == k, F.col("c"))), F.lit(0)).alias(f"{k}_{i}") for k in kinds]
-    one = hist.agg(*sums)
-    kind = "struct<min_orig: double, hedge: double, gap: double, keep: bigint, rescued: bigint, rej_gap: bigint, rej_minorig: bigint>"
-    rows = F.array(*(
-        F.struct(F.lit(x.min_orig).cast("double"), F.lit(x.hedge).cast("double"), F.lit(float(x.gap)), *(F.col(f"{k}_{i}") for k in kinds))
-        .cast(kind) for i, x in enumerate(grid)
-    ))
-    out = one.select(F.explode(rows).alias("r")).select("r.*")
+    points = signals.sparkSession.createDataFrame(
+        [(i, *(None if x is None else float(x) for x in p)) for i, p in enumerate(grid)], "i int, m double, h double, g double"
+    )
+    low = F.col("m").isNotNull() & F.coalesce(F.col("orig") < F.col("m"), F.lit(False))
+    small = F.col("gap") < F.col("g")
+    cut = F.col("h").isNull() | F.coalesce(F.col("hedge_gap") >= F.col("h"), F.lit(False))
+    kind = (
+        F.when(F.col("gap").isNull(), F.lit(None).cast("string"))
+        .when(low, "rej_minorig").when(small & cut, "rej_gap").when(small, "rescued").otherwise("keep")
+    )
+    rows = points.join(hist.crossJoin(F.broadcast(points.select("i", "m", "h", "g"))).select("i", kind.alias("kind"), "c"), "i", "left")
+    total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("c"))), F.lit(0)).alias(k)
+    out = rows.groupBy("i", F.col("m").alias("min_orig"), F.col("h").alias("hedge"), F.col("g").alias("gap")).agg(
+        *(total(k) for k in ("keep", "rescued", "rej_gap", "rej_minorig"))
+    )
     kept, gone = F.col("keep") + F.col("rescued"), F.col("rej_gap") + F.col("rej_minorig")
-    out = out.withColumn("kept", kept).withColumn("rejected", gone)
+    out = out.drop("i").withColumn("kept", kept).withColumn("rejected", gone)
     return out.withColumn("rejected_share", F.expr("try_divide(rejected, kept + rejected)"))
 
 
 def nearest_ranks(values: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """``q`` and ``value`` at rank int(q * (n - 1) + 0.5), from the histogram."""
     hist = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    hist = hist.withColumn("upto", F.sum("c").over(W.orderBy("v"))).withColumn("n", F.sum("c").over(W.partitionBy(F.lit(0))))
-    ranks = hist.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in shares))))
-    at = F.least(F.col("n") - 1, F.floor(F.col("q") * (F.col("n") - 1) + F.lit(0.5)).cast("long"))
-    return ranks.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select("q", F.col("v").alias("value"))
+    hist = running(hist, "v", {"upto": F.col("c")})
+    at = lambda q: F.least(F.col("upto_all") - 1, F.floor(q * (F.col("upto_all") - 1) + F.lit(0.5)).cast("long"))
+    own = F.filter(
+        F.array(*(F.lit(float(q)) for q in shares)), lambda q: (F.col("upto") > at(q)) & (F.col("upto") - F.col("c") <= at(q))
+    )
+    return hist.select(F.explode(own).alias("q"), F.col("v").alias("value"))
 
 
 def distribution(values: DataFrame, value: str, shares: tuple[float, ...] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:
@@ -63,15 +67,14 @@ def distribution(values: DataFrame, value: str, shares: tuple[float, ...] = (0,
 def otsu(values: DataFrame, value: str) -> DataFrame:
     """The cut between two distinct values with the largest variance between classes, and its share of all."""
     hist = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    left, all_ = W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy(F.lit(0))
-    rows = hist.select(
-        "v", F.lead("v").over(W.orderBy("v")).alias("next"), F.sum("c").over(left).alias("n0"),
-        F.sum(F.col("c") * F.col("v")).over(left).alias("s0"), F.sum("c").over(all_).alias("n"),
-        F.sum(F.col("c") * F.col("v")).over(all_).alias("s"), F.sum(F.col("c") * F.col("v") * F.col("v")).over(all_).alias("ss"),
-    )
+    c, v = F.col("c"), F.col("v")
+    rows = running(hist, "v", {"n0": c, "s0": c * v, "q0": c * v * v})
+    # the next value: rows with the same sum before them as this one has with itself
+    after = rows.select((F.col("n0") - c).alias("n0"), F.col("v").alias("next"))
+    rows = rows.join(after, "n0").withColumnsRenamed({"n0_all": "n", "s0_all": "s", "q0_all": "ss"})
     w0, w1 = F.col("n0") / F.col("n"), (F.col("n") - F.col("n0")) / F.col("n")
     step = F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("n0"))
-    rows = rows.where("next IS NOT NULL").withColumn("between", w0 * w1 * step * step)
+    rows = rows.withColumn("between", w0 * w1 * step * step)
     whole = F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))
     rows = rows.withColumn("share", F.when(whole > 0, F.col("between") / whole))
     best = rows.withColumn("cut", (F.col("v") + F.col("next")) / 2).orderBy(F.desc("between"), "cut").limit(1)
@@ -145,8 +148,6 @@ def mixture(values: DataFrame, value: str) -> DataFrame:
             "mu0", "mu1", "var0", "var1", "weight0", "weight1", "crossover", "bic1", "bic2", "separation",
         ]).astype(float)
 
-    from tracemill.session import ship_package
-
     ship_package(values.sparkSession)
     return hist.groupBy(F.lit("all")).applyInPandas(fit, schema)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill.config import RuleGates
 from tracemill.functions import text as X
+from tracemill.operators.once import once
 from tracemill.schemas import FILTER_RECORD, GATES
 
 
@@ -65,21 +66,29 @@ def is_correct(predicted: Column, answer: Column) -> Column:
     return predicted == answer
 
 
-def rule_verdicts(think: Column, predicted: Column, gold: Column, limits: RuleGates = RuleGates()) -> Column:
-    """The four rule gates: ``predicted`` and ``gold`` are letters."""
-    answered = X.letter(predicted)
-    words = X.word_count(think)
-    readable = (
-        (X.or_empty(think) != "")
-        & ~X.or_empty(think).contains("```")
-        & (X.garbage_ratio(think) <= limits.garbage_ratio_max)
-        & (X.longest_run(think) <= limits.max_run_no_space)
-    )
+def measured(df: DataFrame, text: str, name: str = "measures") -> DataFrame:
+    """``df`` with a struct of what the gates measure of a text; the text is split and searched once."""
+    body = X.or_empty(F.col(text))
+    parts = once(df, _tokens=X.tokens(body))
+    found = F.struct(
+        F.length(body).alias("chars"), body.contains("```").alias("fenced"), X.garbage_count(body).alias("garbage"),
+        F.size("_tokens").alias("words"), F.coalesce(F.array_max(F.transform("_tokens", F.length)), F.lit(0)).alias("longest"),
+        F.size(F.filter("_tokens", lambda x: x.rlike("[A-Za-z]{2,}"))).alias("latin"),
+        X.hangul_count(body).alias("hangul_letters"), X.latin_count(body).alias("latin_letters"),
+    )
+    return once(parts, **{name: found}).drop("_tokens")
+
+
+def rule_verdicts(measures: Column, predicted: Column, gold: Column, limits: RuleGates = RuleGates()) -> Column:
+    """The four rule gates, from ``measured``; ``predicted`` and ``gold`` are letters."""
+    answered, some = X.letter(predicted), measures["chars"] > 0
+    clean = measures["garbage"] / F.greatest(measures["chars"], F.lit(1)) <= limits.garbage_ratio_max
+    readable = some & ~measures["fenced"] & clean & (measures["longest"] <= limits.max_run_no_space)
     each = {
         "correctness": F.coalesce(answered == gold, F.lit(False)),
         "readability": readable,
-        "format_parse": answered.isNotNull() & (X.or_empty(think) != ""),
-        "length": words.between(limits.min_words, limits.max_words),
+        "format_parse": answered.isNotNull() & some,
+        "length": measures["words"].between(limits.min_words, limits.max_words),
     }
     return F.struct(*(each[g].alias(g) for g in GATES))
 

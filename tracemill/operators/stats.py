@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import degenerate
+from tracemill.operators.once import running
 from tracemill.session import ship_package
 
 ITEM = ["subset", "sample_idx"]
@@ -107,14 +108,26 @@ def mcnemar(table: DataFrame, exact_below: int = 25) -> DataFrame:
     exact = F.least(F.lit(1.0), tail * 2 / F.pow(F.lit(2.0), n))
     gap = F.greatest(F.abs(b - c) - 1, F.lit(0)).cast("double")
     chi = gap * gap / n
-    upper = F.pandas_udf(lambda s: s.map(lambda x: math.erfc(math.sqrt(x / 2)) if x == x else None), "double")
-    ship_package(table.sparkSession)
     method = F.when(n == 0, "no_discordant").when(n < exact_below, "exact").otherwise("chi2")
     rows = table.withColumn("method", method).withColumn("statistic", F.when(F.col("method") == "chi2", chi))
-    p = F.when(n == 0, 1.0).when(F.col("method") == "exact", exact).otherwise(upper("statistic"))
+    p = F.when(n == 0, 1.0).when(F.col("method") == "exact", exact).otherwise(complementary_error(F.sqrt(F.col("statistic") / 2)))
     return rows.withColumn("p", p)
 
 
+def complementary_error(z: Column, near: float = 2.5) -> Column:
+    """erfc of numbers from 0 on: the series of the error function near 0, a continued fraction beyond."""
+    begin = F.struct(z.alias("term"), z.alias("sum"))
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)), begin,
+        lambda acc, k: F.struct(
+            (-acc["term"] * z * z / k).alias("term"), (acc["sum"] - acc["term"] * z * z / k / (k * 2 + 1)).alias("sum")
+        ),
+        lambda acc: 1 - acc["sum"] * (2 / math.sqrt(math.pi)),
+    )
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), F.lit(0.0), lambda t, k: k / 2 / (z + t))
+    return F.when(z < near, series).otherwise(F.exp(-z * z) / math.sqrt(math.pi) / (z + fraction))
+
+
 def accuracy(rows: DataFrame, *by: str) -> DataFrame:
     """Rows, right and unparsed ones, and the share right (null without rows)."""
     out = rows.groupBy(*by).agg(
@@ -163,9 +176,8 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     cells = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
 
     def ranks(col: str, name: str) -> DataFrame:
-        hist = cells.groupBy(col).agg(F.sum("c").alias("k"))
-        before = F.sum("k").over(W.orderBy(col)) - F.col("k")
-        return hist.select(col, (before + (F.col("k") + 1) / F.lit(2.0)).alias(name))
+        hist = running(cells.groupBy(col).agg(F.sum("c").alias("k")), col, {"upto": F.col("k")})
+        return hist.select(col, (F.col("upto") - F.col("k") + (F.col("k") + 1) / F.lit(2.0)).alias(name))
 
     r = cells.join(ranks("x", "rx"), "x").join(ranks("y", "ry"), "y")
     s = r.agg(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.sources.records import read_table
+
 VIEWS = {
     "fx_bank": """
 SELECT doc_id, lang AS subset, doc_id AS sample_idx, substr(text, 1, 100) AS question, CAST(doc_id % 5 AS INT) AS gold,
@@ -58,7 +60,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_table(self.spark, self.sf_dir, name)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in VIEWS:

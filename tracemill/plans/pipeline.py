@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from tracemill.config import GapGate, RuleGates
 from tracemill.operators import arms, counterfactual, scoring
 from tracemill.operators.scoring import Scorer
+from tracemill.workspace import exists, write_text
 
 
 def staged(spark: SparkSession, root: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A stage's table: read where it was written before, else made, written and read."""
     path = f"{root.rstrip('/')}/{name}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

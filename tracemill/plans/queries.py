@@ -14,6 +14,7 @@ from tracemill.functions import text as X
 from tracemill.operators import arms, calibration, counterfactual, gates, scoring, stats
 from tracemill.plans.fixtures import Tables, with_views
 from tracemill.sources import records
+from tracemill.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,11 +59,21 @@ def _decided(t: Tables) -> DataFrame:
 
 
 def _scored_hub(t: Tables) -> DataFrame:
-    """The hub with C3 and quality scores, without texts: what rankings read."""
+    """The hub with C3 and quality scores, without texts, written once: what rankings read."""
     c2 = t["fx_c2"].select(records.record_id(F.col("subset"), F.col("sample_idx")).alias("id"), (F.col("c2_sum") / 3).alias("_q"))
     hub = arms.merge_c3(_hub(t), _decided(t)).join(c2, "id", "left")
-    hub = hub.withColumn("signals", F.col("signals").withField("c2_score", F.col("_q"))).drop("_q")
-    return hub.select("id", "subject", "sample_idx", "think", "tokens", "filters", "signals", "gold", "final_answer", "question", "choices")
+    hub = hub.withColumn("signals", F.col("signals").withField("c2_score", F.col("_q")))
+    slim = hub.select("id", "subject", "sample_idx", "has_think", "tokens", "filters", "signals", "gold", "final_answer")
+    return Workspace(t.spark, "hub").save(slim, "scored")
+
+
+def _with_texts(t: Tables, hub: DataFrame) -> DataFrame:
+    """Rows of the hub with the texts that an export needs."""
+    texts = t["fx_trace"].join(_bank(t).drop("gold"), ["subset", "sample_idx"]).select(
+        records.record_id(F.col("subset"), F.col("sample_idx")).alias("id"), "question", "choices",
+        X.think_text(F.col("reasoning_content"), F.col("reasoning")).alias("think"),
+    )
+    return hub.join(texts, "id")
 
 
 def _results(t: Tables) -> DataFrame:
@@ -352,7 +363,7 @@ def rejected_sets(t: Tables) -> DataFrame:
  sha256(rtrim({_THINK}, ' ' || chr(10)) || chr(10) || '정답: ' || coalesce(predicted, substr('ABCDE', h.gold + 1, 1))) AS said
  FROM hub h JOIN documents d ON d.doc_id = h.doc_id WHERE f3""", *_HUB_VIEWS)
 def sft_export(t: Tables) -> DataFrame:
-    rows = arms.export_chat(_scored_hub(t), "C3", "Solve the question. Reason first, then answer on the last line.")
+    rows = arms.export_chat(_with_texts(t, _scored_hub(t).where("filters.C3")), "C3", "Solve the question. Reason first, then answer on the last line.")
     return rows.select(F.col("meta.id").alias("id"), F.size("messages").alias("messages"), F.col("meta.gold").alias("gold"), F.col("meta.answer_used").alias("answer_used"), F.sha2(F.col("messages")[1]["content"], 256).alias("said"))
 
 

@@ -15,6 +15,17 @@ from tracemill.functions import text as X
 from tracemill.schemas import FILTER_RECORD
 
 
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder.  One that comes in fewer pieces than there are cores is dealt out to them."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if name in LARGE and table.rdd.getNumPartitions() < cores else table
+
+
+#: Tables whose rows are worth dealing out: a file of one row group would keep a single core busy.
+LARGE = ("documents", "pages", "conversations")
+
+
 def read_lines(spark: SparkSession, path: str, schema: str | T.StructType, tolerant: bool = False) -> DataFrame:
     """JSON lines; blank lines are skipped.  ``tolerant`` drops broken lines, otherwise they fail."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracemill.operators.scoring import Scorer, pending, scored
+from tracemill.workspace import exists
 
 
 def score_arriving(
@@ -15,10 +16,8 @@ def score_arriving(
     """Score new JSON files once each; keys that the sink has without an error are skipped."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(sink)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         rows = rows.dropDuplicates(key)
-        if there:
+        if exists(spark, sink):
             rows = pending(rows, spark.read.parquet(sink).where("error IS NULL"), key)
         scored(rows, scorer, fields).write.mode("append").parquet(sink)
 
