@@ -128,6 +128,14 @@ def test_configuration(tmp_path):
     assert load(RuleGates, str(tmp_path / "none.json")) == RuleGates()
     with pytest.raises(FileNotFoundError):
         load(GapGate, str(tmp_path / "none.json"), missing_ok=False)
+    path = tmp_path / "all.yaml"
+    path.write_text("c1_filters:\n  min_words: 5  # few\nproposal_filters:\n  counterfactual:\n    gap_threshold: 2.5\n    min_orig_score: null\n", encoding="utf-8")
+    pytest.importorskip("yaml")
+    assert load(RuleGates, str(path)) == RuleGates(min_words=5)
+    assert load(GapGate, str(path)) == GapGate(gap=2.5, min_orig=None)
+    flat = tmp_path / "flat.json"
+    flat.write_text('{"gap": 1.0, "other": 3}', encoding="utf-8")
+    assert load(GapGate, str(flat)) == GapGate(gap=1.0)
 
 
 def test_sources(spark, tmp_path):
@@ -151,7 +159,7 @@ def test_sources(spark, tmp_path):
     raw = spark.createDataFrame([("nurse", 7, "b", "c", "why", "so")], "subset string, sample_idx long, correct string, predicted string, reasoning_content string, reasoning string")
     row = records.to_scored(raw).first()
     assert (row.id, row.answer, row.predicted_answer, row.cot) == ("nurse_0007", 1, 2, "<think>why</think>\nso")
-    known = records.register_dataset(str(tmp_path / "r.json"), "d", {"file_name": "x"})
+    known = records.register_dataset(spark, str(tmp_path / "r.json"), "d", {"file_name": "x"})
     assert known == {"d": {"file_name": "x"}}
 
 

@@ -32,11 +32,45 @@ def number_or_none(text: str) -> float | None:
     return None if text.strip().lower() in ("none", "off", "") else float(text)
 
 
-def load(kind: type, path: str | None = None, missing_ok: bool = True):
-    """Thresholds from a JSON file; a missing file gives the defaults unless it must be there."""
-    if path is None or not Path(path).exists():
+#: Where a file of several stages keeps each kind's thresholds, and what it calls them.
+SECTIONS = {"RuleGates": ("c1_filters",), "GapGate": ("proposal_filters", "counterfactual")}
+NAMES = {"gap_threshold": "gap", "min_orig_score": "min_orig", "hedge_gap_threshold": "hedge"}
+
+
+def parse(text: str, path: str = "") -> dict:
+    """A mapping from JSON or YAML text."""
+    if path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:  # JSON is YAML too
+        try:
+            return json.loads(text)
+        except ValueError:
+            raise ImportError("reading YAML needs the yaml package") from e
+    return yaml.safe_load(text) or {}
+
+
+def load(kind: type, path: str | None = None, missing_ok: bool = True, spark: object = None):
+    """Thresholds from a JSON or YAML file; a missing file gives the defaults unless it must be there.
+
+    A file may hold the thresholds themselves or have them in the kind's section.  With a session the path
+    may be in any store that Spark reads.
+    """
+    if spark is not None and path is not None:
+        from tracemill.workspace import exists, read_text
+
+        text = read_text(spark, path) if exists(spark, path) else None
+    else:
+        text = Path(path).read_text(encoding="utf-8") if path is not None and Path(path).exists() else None
+    if text is None:
         if path is not None and not missing_ok:
             raise FileNotFoundError(path)
         return kind()
+    found = parse(text, path)
+    part = found
+    for name in SECTIONS.get(kind.__name__, ()):
+        part = part.get(name) if isinstance(part, dict) else None
+    found = part if isinstance(part, dict) else found
     known = {f.name for f in fields(kind)}
-    return kind(**{k: v for k, v in json.loads(Path(path).read_text(encoding="utf-8")).items() if k in known})
+    return kind(**{NAMES.get(k, k): v for k, v in found.items() if NAMES.get(k, k) in known})

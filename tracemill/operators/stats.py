@@ -5,6 +5,7 @@ Results are one long table: arm, seed, subset, sample_idx, is_correct (0 or 1) a
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -238,6 +239,16 @@ def generation_summary(rows: DataFrame, input_price: float = 0.0, output_price:
     return out.withColumn("subset", name).withColumn("cost", cost).drop("_g")
 
 
+def evaluation_summary(rows: DataFrame, by: str = "subset") -> DataFrame:
+    """``accuracy`` by subset, with a total (``ALL``)."""
+    out = rows.rollup(by).agg(
+        F.grouping(by).alias("_g"), F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("is_correct", F.lit(False))).alias("right"),
+        F.count_if(F.col("predicted").isNull()).alias("unparsed"),
+    )
+    name = F.when(F.col("_g") == 1, "ALL").otherwise(F.col(by))
+    return out.withColumn(by, name).withColumn("acc", F.expr("try_divide(right, n)")).drop("_g")
+
+
 def histogram(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Rows by value; null is a value."""
     return rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
@@ -267,15 +278,39 @@ def open_ended_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def statistics(results: DataFrame, pairs: list[tuple[str, str]], draws: int = 10_000) -> dict[str, DataFrame]:
-    """All tables of an evaluation: accuracies, intervals, subjects, and McNemar for pairs of known arms."""
+def known_pairs(items: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Pairs of arms that both have results; the others are undefined and left out."""
+    arms = {r["arm"] for r in items.select("arm").distinct().collect()}  # one name for each arm
+    return [p for p in pairs if set(p) <= arms]
+
+
+def statistics(results: DataFrame, pairs: list[tuple[str, str]], draws: int = 10_000, common: bool = True) -> dict[str, DataFrame]:
+    """All tables of an evaluation: accuracies, intervals, subjects, and McNemar for pairs of arms.
+
+    McNemar compares items that all of an arm's seeds have; with ``common`` false the intervals are over
+    items that any of them has, which is what results without degenerate ones need.
+    """
     items = per_item(results)
     return {
-        "accuracy": seed_accuracy(results), "interval": bootstrap_interval(items, draws),
+        "accuracy": seed_accuracy(results), "interval": bootstrap_interval(items if common else per_item(results, False), draws),
         "subjects": subject_accuracy(items), "pairs": mcnemar(mcnemar_table(items, pairs)),
     }
 
 
+def twin(rows: DataFrame, pairs: list[tuple[str, str]], draws: int = 10_000) -> dict[str, dict[str, DataFrame]]:
+    """The statistics over all results and over those that are not degenerate, which go before the last one is taken."""
+    return {
+        "all": statistics(last_results(rows), pairs, draws),
+        "clean": statistics(last_results(without_degenerate(rows)), pairs, draws, common=False),
+    }
+
+
+def as_json(tables: dict[str, DataFrame]) -> str:
+    """Small tables as one JSON text, rows sorted."""
+    rows = {name: sorted((r.asDict(recursive=True) for r in df.collect()), key=repr) for name, df in tables.items()}
+    return json.dumps(rows, ensure_ascii=False, indent=2)
+
+
 def hypothesis_rows(accuracy_: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Whether the first arm of each pair has the higher mean."""
     wanted = accuracy_.sparkSession.createDataFrame(pairs, "a string, b string")

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.config import GapGate, RuleGates
-from tracemill.operators import arms, counterfactual, scoring
-from tracemill.operators.scoring import Scorer
+from tracemill.operators import arms, counterfactual
 from tracemill.workspace import exists, write_text
 
 
@@ -22,11 +20,6 @@ def staged(spark: SparkSession, root: str, name: str, make: Callable[[], DataFra
     return spark.read.parquet(path)
 
 
-def judge_originals(pairs: DataFrame, judge: Scorer) -> DataFrame:
-    """Scores of originals and counterfactuals by an injected judge, one row per text."""
-    return scoring.scored(pairs, judge, "score double, raw string")
-
-
 def run(
     spark: SparkSession, root: str, traces: DataFrame, bank: DataFrame, counterfactuals: DataFrame, quality: DataFrame,
     rules: RuleGates = RuleGates(), limits: GapGate = GapGate(), seed: int = 42, instruction: str = "Solve the question.",
@@ -57,8 +50,10 @@ def run(
 def report(sizes: DataFrame, accuracy: DataFrame, pairs: DataFrame, path: str | None = None) -> str:
     """A Markdown report of small aggregates; written to ``path`` if given."""
 
-    def table(df: DataFrame, title: str, limit: int = 500) -> str:
-        rows = df.limit(limit).collect()
+    def table(df: DataFrame, title: str, most: int = 10_000) -> str:
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{title}: a report is for aggregates of at most {most} rows")
         cell = lambda x: f"{x:.4f}" if isinstance(x, float) else "" if x is None else str(x)
         lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
         return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""])
@@ -68,6 +63,5 @@ def report(sizes: DataFrame, accuracy: DataFrame, pairs: DataFrame, path: str |
         table(pairs.orderBy("a", "b"), "Pairs"),
     ])
     if path:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(text, encoding="utf-8")
+        write_text(sizes.sparkSession, path, text)
     return text

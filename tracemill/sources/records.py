@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from pathlib import Path
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tracemill.functions import text as X
 from tracemill.schemas import FILTER_RECORD
+from tracemill.workspace import delete, exists, move, read_text, write_text
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -128,8 +129,9 @@ def refuse_test_split(split: str) -> None:
         raise ValueError("counterfactuals are never generated from the test split")
 
 
-def first_existing(*paths: str) -> str | None:
-    return next((p for p in paths if p and Path(p).exists()), None)
+def first_existing(spark: SparkSession, *paths: str | None) -> str | None:
+    """The first path that is there, in whatever store it lies."""
+    return next((p for p in paths if p and exists(spark, p)), None)
 
 
 def parse_shard(text: str | None) -> tuple[int, int] | None:
@@ -174,11 +176,22 @@ def balanced_limit(df: DataFrame, total: int, subsets: tuple[str, ...], subset:
     return df.where(F.col(position) < limit[F.col(subset)])
 
 
-def register_dataset(path: str, name: str, entry: dict) -> dict:
-    """Insert or replace an entry of a small JSON registry on the driver."""
-    file = Path(path)
-    known = json.loads(file.read_text(encoding="utf-8")) if file.exists() else {}
+def register_dataset(spark: SparkSession, path: str, name: str, entry: dict) -> dict:
+    """Insert or replace an entry of a small JSON registry."""
+    known = json.loads(read_text(spark, path)) if exists(spark, path) else {}
     known[name] = entry
-    file.parent.mkdir(parents=True, exist_ok=True)
-    file.write_text(json.dumps(known, ensure_ascii=False, indent=2), encoding="utf-8")
+    write_text(spark, path, json.dumps(known, ensure_ascii=False, indent=2))
     return known
+
+
+def replace_records(df: DataFrame, path: str, mark: str = ".bak_strict") -> None:
+    """JSON lines in the place of what ``df`` may have been read from; the first original stays as a backup.
+
+    The new records are complete before anything is moved, so the path is never being read and written at once.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    beside, backup = f"{path}.{uuid.uuid4().hex}.new", f"{path}{mark}"
+    write_records(df, beside)
+    if exists(spark, path):
+        delete(spark, path) if exists(spark, backup) else move(spark, path, backup)
+    move(spark, beside, path)
