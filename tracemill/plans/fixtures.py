@@ -8,7 +8,7 @@ from tracemill.sources.records import read_table
 
 VIEWS = {
     "fx_bank": """
-SELECT doc_id, lang AS subset, doc_id AS sample_idx, substr(text, 1, 100) AS question, CAST(doc_id % 5 AS INT) AS gold,
+SELECT doc_id, lang AS subset, doc_id AS sample_idx, text AS question, CAST(doc_id % 5 AS INT) AS gold,
  concat(source, '-a') AS ch_a, concat(source, '-b') AS ch_b, concat(source, '-c') AS ch_c, concat(source, '-d') AS ch_d,
  CASE WHEN doc_id % 6 = 0 THEN NULL ELSE concat(source, '-e') END AS ch_e FROM {documents}""",
     "fx_trace": """
@@ -34,6 +34,26 @@ SELECT a.arm, s.seed, b.subset, b.sample_idx, b.gold, CASE WHEN (b.doc_id + s.se
  FROM {fx_bank} b
  CROSS JOIN (SELECT 'C0' AS arm, 0 AS arm_no UNION ALL SELECT 'C1', 1 UNION ALL SELECT 'C2', 2 UNION ALL SELECT 'C3', 3 UNION ALL SELECT 'C_rand', 4) a
  CROSS JOIN (SELECT 42 AS seed UNION ALL SELECT 43 UNION ALL SELECT 44) s WHERE (b.doc_id + s.seed * a.arm_no) % 61 <> 0""",
+    "fx_runs": """
+SELECT *, 1 AS pos FROM {fx_eval}
+UNION ALL SELECT arm, seed, subset, sample_idx, gold, (gold + 1) % 5 AS predicted, output_chars, 0 AS pos FROM {fx_eval} WHERE sample_idx % 7 = 0
+UNION ALL SELECT arm, seed, subset, sample_idx, gold, CASE WHEN sample_idx % 2 = 0 THEN gold ELSE NULL END AS predicted, output_chars, 2 AS pos
+ FROM {fx_eval} WHERE sample_idx % 11 = 0""",
+    "fx_cot": """
+SELECT doc_id, text, CASE WHEN doc_id % 9 = 0 THEN '' ELSE '정답: B' END AS final,
+ CASE doc_id % 5 WHEN 0 THEN concat('<think>', text, repeat(' however', CAST(doc_id % 4 AS INT)), '</think> end') WHEN 1 THEN concat('a <THINK> ', text, ' hmm</think> <think>b</think>')
+ WHEN 2 THEN text WHEN 3 THEN concat('<think>', repeat('long ', 1700), text, '</think>') ELSE concat('<think>but', text, ' </think>') END AS cot,
+ CASE WHEN doc_id % 13 = 0 THEN text ELSE concat('<think>', text, repeat(' wait', CAST(doc_id % 3 AS INT)), ' isn''t right</think>') END AS cf1,
+ CASE WHEN doc_id % 6 = 0 THEN NULL ELSE concat('<think>', repeat('혹시 ', CAST(doc_id % 5 AS INT)), text, '</think>') END AS cf2,
+ CASE doc_id % 7 WHEN 0 THEN concat('[Step 1] ', text, ' [Step 2] [Step 3] [Step 4] so, 정답: (C).  ') WHEN 1 THEN concat(text, ' Thus, 정답 : d')
+ WHEN 2 THEN concat('[Step 4] yes 4 ', text) WHEN 3 THEN concat(text, ' 답: ', text, ' 답: Yes') WHEN 4 THEN concat('정답: A', text, ' 정답：E ') WHEN 5 THEN text ELSE NULL END AS formed,
+ CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat(text, repeat('가나다 ', CAST(length(text) / 4 AS INT))) WHEN 2 THEN repeat('한글 ', 20) ELSE ' 12 ! ' END AS mixed
+ FROM {documents}""",
+    "fx_answer": """
+SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN concat('답은 B번 ', lower(text), repeat(' pad', 30)) WHEN 1 THEN concat('답은 A 아니고 (C) 입니다 ', lower(text), repeat(' pad', 30))
+ WHEN 2 THEN concat('따라서, D ', lower(text), repeat(' pad', 30)) WHEN 3 THEN concat('정답: (A) ', text, ' 정답 : E', repeat(' pad', 30))
+ WHEN 4 THEN concat('E 이다 ', lower(text), ' (B) 입니다', repeat(' pad', 30)) WHEN 5 THEN concat(lower(text), ' the choice is (D).') WHEN 6 THEN lower(text) ELSE NULL END AS raw,
+ CASE doc_id % 8 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'D' WHEN 3 THEN 'E' WHEN 4 THEN 'B' WHEN 5 THEN 'D' END AS expected FROM {documents}""",
     "fx_judge": """
 SELECT doc_id, k, substr('ABCDE', CAST(doc_id * 3 % 7 % 5 AS INT) + 1, 1) AS ref_letter,
  CASE WHEN doc_id % 31 = 0 THEN NULL WHEN doc_id % 9 = 0 THEN 'B' ELSE substr('ABCDE', CAST(doc_id * 3 % 7 % 5 AS INT) + 1, 1) END AS cand_letter,
@@ -44,12 +64,13 @@ SELECT doc_id, CASE doc_id % 8
  WHEN 1 THEN concat('noise {{"score": 9}} then {{"score": ', CAST(1 + doc_id % 5 AS VARCHAR(9)), '}}')
  WHEN 2 THEN concat('{{"score": ', CAST(1 + doc_id % 5 AS VARCHAR(9)), ', "reason": "cut') WHEN 3 THEN '' WHEN 4 THEN 'no verdict'
  WHEN 5 THEN concat('{{"justification": ', CAST(1 + doc_id % 3 AS VARCHAR(9)), ', "coherence": 4, "clarity": 5}}')
- WHEN 6 THEN concat('정답: A ', substr(text, 1, 40), ' 정답 : (', substr('ABCDE', CAST(doc_id % 5 AS INT) + 1, 1), ') ok') ELSE NULL END AS raw
+ WHEN 6 THEN concat('정답: A ', coalesce(text, ''), ' 정답 : (', substr('ABCDE', CAST(doc_id % 5 AS INT) + 1, 1), ') ok') ELSE NULL END AS raw
  FROM {documents}""",
 }
 NEEDS = {
     "fx_bank": (), "fx_trace": ("fx_bank",), "fx_cf": ("fx_bank",), "fx_c2": ("fx_bank",), "fx_eval": ("fx_bank",),
-    "fx_judge": ("fx_cf", "fx_bank"), "fx_text": (),
+    "fx_judge": ("fx_cf", "fx_bank"), "fx_text": (), "fx_cot": (), "fx_answer": (),
+    "fx_runs": ("fx_bank", "fx_eval"),
 }
 
 

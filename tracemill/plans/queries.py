@@ -53,9 +53,9 @@ def _signals(t: Tables) -> DataFrame:
 
 
 def _decided(t: Tables) -> DataFrame:
-    s = _signals(t)
-    kind = counterfactual.label(F.col("orig"), F.col("gap"), F.lit(None).cast("double"), GapGate(hedge=None))
-    return s.select("id", F.coalesce(kind.isin("keep", "rescued"), F.lit(True)).alias("passed"), "gap", F.col("orig").alias("orig_score"))
+    gate = counterfactual.counterfactual_gate(F.col("orig"), F.array("best"), F.lit(None).cast("double"), GapGate(hedge=None))
+    s = _signals(t).withColumn("best", F.col("orig") - F.col("gap"))
+    return s.select("id", gate.passed.alias("passed"), gate.score.alias("gap"), F.col("orig").alias("orig_score"))
 
 
 def _scored_hub(t: Tables) -> DataFrame:
@@ -77,8 +77,7 @@ def _with_texts(t: Tables, hub: DataFrame) -> DataFrame:
 
 
 def _results(t: Tables) -> DataFrame:
-    e = t["fx_eval"].withColumn("is_correct", F.col("predicted") == F.col("gold"))
-    return stats.last_results(e.withColumn("pos", F.lit(0)))
+    return stats.last_results(t["fx_runs"].withColumn("is_correct", F.col("predicted") == F.col("gold")))
 
 
 # What the oracles share.  Texts of the test tables have ASCII white space only.
@@ -106,9 +105,16 @@ hub AS (SELECT c1.*, correctness AND readability AND format_parse AND length AS
   FROM c1 LEFT JOIN dec ON c1.id = dec.id LEFT JOIN fx_c2 q ON q.subset = c1.subset AND q.sample_idx = c1.sample_idx)"""
 _HUB_VIEWS = ("fx_trace", "fx_cf", "fx_c2")
 _ITEMS = """
-res AS (SELECT arm, seed, subset, sample_idx, CAST(coalesce(predicted = gold, false) AS INT) AS ok FROM fx_eval),
+res AS (SELECT arm, seed, subset, sample_idx, CAST(coalesce(predicted = gold, false) AS INT) AS ok FROM (
+ SELECT *, row_number() OVER (PARTITION BY arm, seed, subset, sample_idx ORDER BY pos DESC) AS r FROM fx_runs) WHERE r = 1),
 items AS (SELECT arm, subset, sample_idx, sum(ok) AS r, count(*) AS s, sum(ok) / count(*) AS mean FROM res GROUP BY ALL),
 common AS (SELECT items.* FROM items JOIN (SELECT arm, count(DISTINCT seed) AS a FROM res GROUP BY arm) USING (arm) WHERE s = a)"""
+_RUNS = _ITEMS
+#: The strict answer in SQL: the last answer line's letter, else the last A to E in the last 80 characters.
+STRICT = (
+    "coalesce(list_last(regexp_extract_all(coalesce({0}, ''), '정답[ \\t\\n\\r\\f\\v]*[:：][ \\t\\n\\r\\f\\v]*[(]?[ \\t\\n\\r\\f\\v]*([A-E])', 1)), "
+    "nullif(regexp_extract(right(trim(coalesce({0}, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 80), '(?s).*([A-E])', 1), ''))"
+)
 
 
 # --- texts and gates
@@ -160,20 +166,21 @@ def gate_history(t: Tables) -> DataFrame:
     return h.select("id", F.array_join(each, ",").alias("history"))
 
 
-@query("""SELECT doc_id, regexp_extract(raw, '(?s).*정답[ ]*:[ ]*[(]?[ ]*([A-E])', 1) AS strict FROM fx_text WHERE doc_id % 8 = 6""", "fx_text")
+@query(f"SELECT doc_id, {STRICT.format('raw')} AS strict FROM fx_text", "fx_text")
 def parse_answer(t: Tables) -> DataFrame:
-    return t["fx_text"].where("doc_id % 8 = 6").select("doc_id", X.parse_answer(F.col("raw")).alias("strict"))
+    return t["fx_text"].select("doc_id", X.parse_answer(F.col("raw")).alias("strict"))
 
 
-@query("""SELECT count(*) AS n, count(*) FILTER (doc_id % 8 = 6 AND doc_id % 5 = doc_id % 3) AS new_right, count(*) FILTER (doc_id % 8 = 6) AS changed,
- count(*) AS old_null, count(*) FILTER (doc_id % 8 <> 6) AS new_null, 0 AS old_right FROM documents WHERE doc_id % 8 IN (3, 6, 7)""")
+@query(f"""WITH p AS (SELECT substr('ABCDE', CAST(doc_id % 3 AS INT) + 1, 1) AS gold, CASE WHEN doc_id % 4 = 0 THEN 'A' END AS old, {STRICT.format('raw')} AS new FROM fx_text)
+SELECT count(*) AS n, count(*) FILTER (old = gold) AS old_right, count(*) FILTER (new = gold) AS new_right, count(*) FILTER (old IS NULL) AS old_null,
+ count(*) FILTER (new IS NULL) AS new_null, count(*) FILTER (old IS DISTINCT FROM new) AS changed FROM p""", "fx_text")
 def rescore_delta(t: Tables) -> DataFrame:
-    rows = t["fx_text"].where("doc_id % 8 IN (3, 6, 7)")
     gold = F.substr(F.lit("ABCDE"), (F.col("doc_id") % 3).cast("int") + 1, F.lit(1))
-    return rows.agg(*stats.rescore_delta(F.lit(None).cast("string"), X.parse_answer_lenient(F.col("raw")), gold)).withColumn("old_right", F.col("old_right").cast("int"))
+    old = F.when(F.col("doc_id") % 4 == 0, "A")
+    return t["fx_text"].agg(*stats.rescore_delta(old, X.parse_answer_lenient(F.col("raw")), gold))
 
 
-@query("""SELECT {0} AS id, '[Question]' || chr(10) || question || chr(10) || chr(10) || '[Options]' || chr(10) || 'A. ' || ch_a || chr(10) || 'B. ' || ch_b
+@query("""SELECT {0} AS id, '[Question]' || chr(10) || coalesce(question, '') || chr(10) || chr(10) || '[Options]' || chr(10) || 'A. ' || ch_a || chr(10) || 'B. ' || ch_b
  || chr(10) || 'C. ' || ch_c || chr(10) || 'D. ' || ch_d || coalesce(chr(10) || 'E. ' || ch_e, '') AS block FROM fx_bank b""".format(_ID.format("b")), "fx_bank")
 def question_block(t: Tables) -> DataFrame:
     return _bank(t).select(records.record_id(F.col("subset"), F.col("sample_idx")).alias("id"), X.question_block(F.col("question"), F.col("choices")).alias("block"))
@@ -190,27 +197,19 @@ def composite_quality(t: Tables) -> DataFrame:
     return t["fx_text"].select("doc_id", J.quality_score(F.col("raw")).alias("quality"))
 
 
-_WORDS = "|".join(X.EN_HEDGE_WORDS)
-
-
 @query(
     "WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, CAST("
-    + " + ".join(f"(length(t) - length(replace(t, '{p}', ''))) // {len(p)}" for p in (*X.KO_HEDGES, *(q.replace("'", "''") for q in X.EN_HEDGE_PHRASES)) if "''" not in p)
+    + " + ".join("(length(t) - length(replace(t, '{0}', ''))) // {1}".format(p.replace("'", "''"), len(p)) for p in (*X.KO_HEDGES, *X.EN_HEDGE_PHRASES))
     + " AS INT) AS phrases FROM low"
 )
 def hedge_phrases(t: Tables) -> DataFrame:
     low = F.lower(X.or_empty(F.col("text")))
     total = F.lit(0)
-    for p in (*X.KO_HEDGES, *(q for q in X.EN_HEDGE_PHRASES if "'" not in q)):
+    for p in (*X.KO_HEDGES, *X.EN_HEDGE_PHRASES):
         total = total + X._occurrences(low, p)
     return t["documents"].select("doc_id", total.alias("phrases"))
 
 
-@query()
-def hedge_rates(t: Tables) -> DataFrame:
-    return t["documents"].select("doc_id", X.hedge_rate(F.col("text")).alias("rate"))
-
-
 @query("""SELECT lang, CAST(sum(CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM documents GROUP BY lang""")
 def shard_filter(t: Tables) -> DataFrame:
     return records.in_shard(t["documents"].select(F.col("doc_id").alias("global_idx"), "lang"), (1, 4)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -242,7 +241,7 @@ def balanced_limit(t: Tables) -> DataFrame:
 
 @query("""WITH s AS (SELECT lang, string_agg('[Question]' || chr(10) || 'q' || doc_id || chr(10) || chr(10) || '[Options]' || chr(10) || 'A. x' || chr(10) || 'B. y' || chr(10) || '정답: B', chr(10) || chr(10) ORDER BY doc_id) AS shots
  FROM documents WHERE doc_id < 3 GROUP BY lang) SELECT doc_id, sha256('""" + prompts.STYLES["free"] + "' || chr(10) || chr(10) || '" + prompts.ANSWER_FORM + """' || chr(10) || chr(10) || coalesce(shots || chr(10) || chr(10), '')
- || '[Question]' || chr(10) || coalesce(substr(text, 1, 50), '') || chr(10) || chr(10) || '[Options]' || chr(10) || 'A. ' || source || chr(10) || 'B. y') AS prompt
+ || '[Question]' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '[Options]' || chr(10) || 'A. ' || source || chr(10) || 'B. y') AS prompt
  FROM documents d LEFT JOIN s USING (lang)""")
 def few_shot_prompts(t: Tables) -> DataFrame:
     d = t["documents"]
@@ -251,15 +250,15 @@ def few_shot_prompts(t: Tables) -> DataFrame:
         F.lit("B").alias("answer"), F.col("doc_id").alias("position"),
     )
     rows = d.join(prompts.few_shot_blocks(examples), d["lang"] == F.col("subset"), "left")
-    text = prompts.prompt(F.left("text", F.lit(50)), F.array("source", F.lit("y")), "free", F.col("shots"))
+    text = prompts.prompt(F.col("text"), F.array("source", F.lit("y")), "free", F.col("shots"))
     return rows.select("doc_id", F.sha2(text, 256).alias("prompt"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (doc_id % 5 + doc_id % 3) / (CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 2 END) END AS mean FROM documents WHERE doc_id % 4 <> 1")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN doc_id % 5 ELSE (doc_id % 5 + doc_id % 3) / 2 END AS mean FROM documents")
 def mean_of_repeats(t: Tables) -> DataFrame:
-    a, b = F.col("doc_id") % 5, F.col("doc_id") % 3
-    runs = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(None).cast("long"))).otherwise(F.array(a, F.lit(None).cast("long"), b))
-    return t["documents"].where("doc_id % 4 <> 1").select("doc_id", J.mean_of_valid(runs).alias("mean"))
+    a, b, none = F.col("doc_id") % 5, F.col("doc_id") % 3, F.lit(None).cast("long")
+    runs = F.when(F.col("doc_id") % 4 == 0, F.array(none)).when(F.col("doc_id") % 4 == 1, F.array(none, a)).otherwise(F.array(a, none, b))
+    return t["documents"].select("doc_id", J.mean_of_valid(runs).alias("mean"))
 
 
 # --- counterfactual signals
@@ -283,21 +282,20 @@ def cf_decision_counts(t: Tables) -> DataFrame:
 
 
 @query("""SELECT doc_id, (SELECT i FROM (SELECT unnest(range(0, CASE WHEN doc_id % 6 = 0 THEN 4 ELSE 5 END)) AS i) WHERE i <> gold
- ORDER BY md5('42:' || doc_id || ':' || i) LIMIT 1)::INT AS wrong FROM fx_bank WHERE gold < 4""", "fx_bank")
+ ORDER BY md5('42:' || doc_id || ':' || i) LIMIT 1)::INT AS wrong FROM fx_bank""", "fx_bank")
 def wrong_choice(t: Tables) -> DataFrame:
     n = F.when(F.col("ch_e").isNull(), 4).otherwise(5)
-    return t["fx_bank"].where("gold < 4").select("doc_id", counterfactual.wrong_choices(F.col("doc_id"), F.col("gold"), n)[0].alias("wrong"))
+    return t["fx_bank"].select("doc_id", counterfactual.wrong_choices(F.col("doc_id"), F.col("gold"), n)[0].alias("wrong"))
 
 
-@query("""SELECT doc_id, k, orig_score - cf_score AS gap, orig_score < 2 OR orig_score - cf_score < 1.5 AS "drop",
- CASE WHEN orig_score < 2 THEN 'orig<min' WHEN orig_score - cf_score < 1.5 THEN 'gap<thr' ELSE '' END AS reason
- FROM fx_cf WHERE orig_score IS NOT NULL AND cf_score IS NOT NULL""", "fx_cf")
+@query("""SELECT doc_id, k, orig_score - cf_score AS gap, coalesce(orig_score < 2, false) OR coalesce(orig_score - cf_score < 1.5, false) AS "drop",
+ CASE WHEN orig_score < 2 THEN 'orig<min' WHEN orig_score - cf_score < 1.5 THEN 'gap<thr' WHEN orig_score IS NULL OR cf_score IS NULL THEN 'missing' ELSE '' END AS reason
+ FROM fx_cf""", "fx_cf")
 def open_ended(t: Tables) -> DataFrame:
-    rows = t["fx_cf"].where("orig_score IS NOT NULL AND cf_score IS NOT NULL")
-    return rows.select("doc_id", "k", counterfactual.open_ended(F.col("orig_score"), F.col("cf_score")).alias("r")).select("doc_id", "k", "r.*")
+    return t["fx_cf"].select("doc_id", "k", counterfactual.open_ended(F.col("orig_score"), F.col("cf_score")).alias("r")).select("doc_id", "k", "r.*")
 
 
-@query("""WITH r AS (SELECT orig_score - cf_score AS gap, orig_score < 2 AS low FROM fx_cf WHERE orig_score IS NOT NULL AND cf_score IS NOT NULL)
+@query("""WITH r AS (SELECT orig_score - cf_score AS gap, coalesce(orig_score < 2, false) AS low FROM fx_cf)
 SELECT count(*) AS n, avg(gap) AS mean, median(gap) AS median, min(gap) AS least, max(gap) AS most, count(*) FILTER (low OR gap < 1.5) AS dropped,
  count(*) FILTER (low) AS low, count(*) FILTER (NOT low AND gap < 1.5) AS small FROM r""", "fx_cf")
 def open_ended_stats(t: Tables) -> DataFrame:
@@ -450,9 +448,9 @@ def nearest_rank_quantiles(t: Tables) -> DataFrame:
 @query(f"""WITH {_SIG}, h AS (SELECT gap AS v, count(*) AS c FROM sig WHERE gap IS NOT NULL GROUP BY gap),
 w AS (SELECT v, lead(v) OVER (ORDER BY v) AS nx, sum(c) OVER (ORDER BY v) AS n0, sum(c * v) OVER (ORDER BY v) AS s0, sum(c) OVER () AS n, sum(c * v) OVER () AS s FROM h),
 b AS (SELECT (v + nx) / 2 AS cut, (n0 / n) * ((n - n0) / n) * (s0 / n0 - (s - s0) / (n - n0)) * (s0 / n0 - (s - s0) / (n - n0)) AS btw, CAST(n AS BIGINT) AS n FROM w WHERE nx IS NOT NULL)
-SELECT cut, n FROM b ORDER BY btw DESC, cut LIMIT 1""", "fx_cf")
+SELECT cut, n, round(btw / (SELECT sum(c * v * v) / sum(c) - (sum(c * v) / sum(c)) * (sum(c * v) / sum(c)) FROM h), 9) AS share FROM b ORDER BY btw DESC, cut LIMIT 1""", "fx_cf")
 def otsu(t: Tables) -> DataFrame:
-    return calibration.otsu(_signals(t), "gap").select("cut", "n")
+    return calibration.otsu(_signals(t), "gap").select("cut", "n", F.round("share", 9).alias("share"))
 
 
 @query()
@@ -465,34 +463,45 @@ def restrict_to_c1(t: Tables) -> DataFrame:
     return calibration.restrict(_signals(t), _hub(t).where("filters.C1")).select("id", "orig", "gap")
 
 
-@query("SELECT 'revisit' AS verdict, 1.0::DOUBLE AS best_cut")
+@query("""WITH a AS (SELECT CASE arm WHEN 'C1' THEN 1.0 WHEN 'C2' THEN 1.5 ELSE 2.0 END::DOUBLE AS cut, avg(CAST(coalesce(predicted = gold, false) AS INT)) AS acc, min(seed) AS seed
+ FROM fx_eval WHERE arm IN ('C1', 'C2', 'C3') GROUP BY arm, seed),
+c AS (SELECT cut, avg(acc) AS m, stddev_samp(acc) AS s FROM a GROUP BY cut), b AS (SELECT * FROM c ORDER BY m DESC, cut LIMIT 1), o AS (SELECT * FROM c WHERE cut = 1.5),
+f AS (SELECT max(m) - min(m) AS spread, avg(s) AS noise FROM c)
+SELECT round(spread, 9) AS spread, round(noise, 9) AS noise, b.cut AS best_cut, CASE WHEN spread <= greatest(noise, 1e-9) THEN 'flat' WHEN b.cut = 1.5 THEN 'same'
+ WHEN b.m - o.m <= sqrt(b.s * b.s + o.s * o.s) THEN 'close' ELSE 'revisit' END AS verdict FROM f, b, o""", "fx_eval")
 def verify_cuts(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(1.0, 0.7, 0), (1.0, 0.72, 1), (1.5, 0.5, 2), (1.5, 0.51, 3)], "cut double, accuracy double, pos int")
-    return calibration.verify_cuts(rows, 1.5).select("verdict", "best_cut")
+    rows = t["fx_eval"].where("arm IN ('C1', 'C2', 'C3')").groupBy("arm", "seed").agg(
+        F.avg(F.coalesce(F.col("predicted") == F.col("gold"), F.lit(False)).cast("int")).alias("accuracy")
+    )
+    cut = F.when(F.col("arm") == "C1", 1.0).when(F.col("arm") == "C2", 1.5).otherwise(2.0)
+    rows = rows.select(cut.alias("cut"), "accuracy", F.col("arm").alias("pos")).withColumn("pos", F.ascii(F.right("pos", F.lit(1))))
+    found = calibration.verify_cuts(rows, 1.5)
+    return found.select(F.round("spread", 9).alias("spread"), F.round("noise", 9).alias("noise"), "best_cut", "verdict")
 
 
 # --- statistics
 
 
 @query(f"""WITH {_ITEMS}, a AS (SELECT arm, seed, sum(ok) / count(*) AS acc FROM res GROUP BY ALL)
-SELECT arm, count(*) AS seeds, round(avg(acc), 9) AS mean, round(coalesce(stddev_samp(acc), 0), 9) AS std FROM a GROUP BY arm""", "fx_eval")
+SELECT arm, count(*) AS seeds, round(avg(acc), 9) AS mean, round(coalesce(stddev_samp(acc), 0), 9) AS std FROM a GROUP BY arm""", "fx_runs")
 def seed_accuracy(t: Tables) -> DataFrame:
     return stats.seed_accuracy(_results(t)).withColumn("mean", F.round("mean", 9)).withColumn("std", F.round("std", 9))
 
 
-@query(f"WITH {_ITEMS} SELECT arm, subset, sample_idx, CAST(r AS BIGINT) AS \"right\", s AS seeds FROM common", "fx_eval")
+@query(f"WITH {_ITEMS} SELECT arm, subset, sample_idx, CAST(r AS BIGINT) AS \"right\", s AS seeds FROM common", "fx_runs")
 def per_item_common(t: Tables) -> DataFrame:
     return stats.per_item(_results(t)).drop("mean")
 
 
-@query("""WITH res AS (SELECT arm, subset, sample_idx, CAST(coalesce(predicted = gold, false) AS INT) AS ok FROM fx_eval WHERE predicted IS NOT NULL AND output_chars < 6000)
-SELECT arm, subset, sample_idx, CAST(sum(ok) AS BIGINT) AS "right", count(*) AS seeds FROM res GROUP BY ALL""", "fx_eval")
+@query("""WITH res AS (SELECT arm, subset, sample_idx, CAST(coalesce(predicted = gold, false) AS INT) AS ok FROM (
+ SELECT *, row_number() OVER (PARTITION BY arm, seed, subset, sample_idx ORDER BY pos DESC) AS r FROM fx_runs WHERE predicted IS NOT NULL AND output_chars < 6000) WHERE r = 1)
+SELECT arm, subset, sample_idx, CAST(sum(ok) AS BIGINT) AS "right", count(*) AS seeds FROM res GROUP BY ALL""", "fx_runs")
 def per_item_union(t: Tables) -> DataFrame:
-    e = stats.without_degenerate(t["fx_eval"]).withColumn("is_correct", F.col("predicted") == F.col("gold")).withColumn("pos", F.lit(0))
+    e = stats.without_degenerate(t["fx_runs"]).withColumn("is_correct", F.col("predicted") == F.col("gold"))
     return stats.per_item(stats.last_results(e), common=False).drop("mean")
 
 
-@query(f"WITH {_ITEMS} SELECT arm, subset, count(*) AS n, round(avg(mean), 9) AS acc FROM common GROUP BY ALL", "fx_eval")
+@query(f"WITH {_ITEMS} SELECT arm, subset, count(*) AS n, round(avg(mean), 9) AS acc FROM common GROUP BY ALL", "fx_runs")
 def per_subject_acc(t: Tables) -> DataFrame:
     return stats.subject_accuracy(stats.per_item(_results(t))).withColumn("acc", F.round("acc", 9))
 
@@ -502,24 +511,19 @@ _CELLS = f"""{_ITEMS}, x AS (SELECT p.a, p.b, i.mean >= 0.5 AS x, j.mean >= 0.5
 
 
 @query(f"""WITH {_CELLS} SELECT a, b, count(*) AS n, count(*) FILTER (x AND y) AS both, count(*) FILTER (x AND NOT y) AS only_a,
- count(*) FILTER (y AND NOT x) AS only_b, count(*) FILTER (NOT x AND NOT y) AS neither FROM x GROUP BY ALL""", "fx_eval")
+ count(*) FILTER (y AND NOT x) AS only_b, count(*) FILTER (NOT x AND NOT y) AS neither FROM x GROUP BY ALL""", "fx_runs")
 def mcnemar_table(t: Tables) -> DataFrame:
     return stats.mcnemar_table(stats.per_item(_results(t)), PAIRS)
 
 
 @query(f"""WITH {_CELLS}, n AS (SELECT a, b, count(*) FILTER (x AND NOT y) AS p, count(*) FILTER (y AND NOT x) AS q FROM x GROUP BY ALL)
 SELECT a, b, CASE WHEN p + q = 0 THEN 'no_discordant' WHEN p + q < 25 THEN 'exact' ELSE 'chi2' END AS method,
- CASE WHEN p + q >= 25 THEN round(pow(greatest(abs(p - q) - 1, 0), 2) / (p + q), 6) END AS statistic FROM n""", "fx_eval")
+ CASE WHEN p + q >= 25 THEN round(pow(greatest(abs(p - q) - 1, 0), 2) / (p + q), 6) END AS statistic FROM n""", "fx_runs")
 def mcnemar_test(t: Tables) -> DataFrame:
     rows = stats.mcnemar(stats.mcnemar_table(stats.per_item(_results(t)), PAIRS))
     return rows.select("a", "b", "method", F.round("statistic", 6).alias("statistic"))
 
 
-@query()
-def mcnemar_p(t: Tables) -> DataFrame:
-    return stats.mcnemar(stats.mcnemar_table(stats.per_item(_results(t)), PAIRS)).select("a", "b", "p")
-
-
 @query()
 def bootstrap_ci(t: Tables) -> DataFrame:
     return stats.bootstrap_interval(stats.per_item(_results(t)))
@@ -588,7 +592,7 @@ def generation_summary(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_ITEMS}, a AS (SELECT arm, seed, sum(ok) / count(*) AS acc FROM res GROUP BY ALL), m AS (SELECT arm, avg(acc) AS m FROM a GROUP BY arm)
-SELECT p.a, p.b, x.m > y.m AS holds FROM (VALUES ('C3', 'C1'), ('C2', 'C3'), ('C_rand', 'C0')) p(a, b) JOIN m x ON x.arm = p.a JOIN m y ON y.arm = p.b""", "fx_eval")
+SELECT p.a, p.b, x.m > y.m AS holds FROM (VALUES ('C3', 'C1'), ('C2', 'C3'), ('C_rand', 'C0')) p(a, b) JOIN m x ON x.arm = p.a JOIN m y ON y.arm = p.b""", "fx_runs")
 def hypothesis_rows(t: Tables) -> DataFrame:
     return stats.hypothesis_rows(stats.seed_accuracy(_results(t)), PAIRS).select("a", "b", "holds")
 
@@ -624,10 +628,3 @@ def judge_swap(t: Tables) -> DataFrame:
 @query("SELECT count(DISTINCT doc_id) AS done FROM fx_cf", "fx_cf")
 def done_count(t: Tables) -> DataFrame:
     return scoring.done_count(t["fx_cf"], ["doc_id"])
-
-
-@query()
-def stub_scored(t: Tables) -> DataFrame:
-    todo = t["fx_bank"].select("doc_id", "question")
-    rows = scoring.pending(todo, todo.where("doc_id % 3 = 0").select("doc_id"), ["doc_id"])
-    return scoring.scored(rows, scoring.stub_judge("question"), "score double, raw string").select("doc_id", "score", "error")
