@@ -84,16 +84,38 @@ def test_signatures_never_lose_a_link():
 def test_components_close_long_chains(spark):
     from tracemill.llm.shared import Workspace
 
-    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
-    roots = {r.node: r.root for r in J.components(chain, Workspace(spark, "test"), "chain").collect()}
-    assert roots == {**{i: 0 for i in range(1, 201)}, 901: 900}
-
-
-def test_edges(spark):
-    text = " ".join(f"w{i}" for i in range(50))
-    data = [(None, text), (7, text), (7, text), (9, "b " * 200_000), (None, None)]
-    rows = J.document_components(docs(spark, *data)).collect()
-    assert len(rows) == 5 and {r.component_id for r in rows if r.doc_id == 7} == {7}
-    assert {r.n_shingles for r in rows if r.doc_id == 9} == {1}
-    assert sorted(str(r.doc_id) for r in J.keep_one(docs(spark, (1, text), (2, text), (3, None), (None, None))).collect()) == ["1", "3", "None"]
-    assert J.document_components(docs(spark, (1, "a")).limit(0)).collect() == []
+    rng = random.Random(6)
+    name = rng.sample(range(10**6), 201)  # a chain whose ids say nothing of places
+    chain = spark.createDataFrame([(name[i], name[i + 1]) for i in range(200)] + [(2 * 10**6, 2 * 10**6 + 1)], "a long, b long")
+    for piece in (10**6, 40, 7):
+        roots = {r.node: r.root for r in J.components(chain, Workspace(spark, "test"), f"chain-{piece}", piece=piece).collect()}
+        low = min(name)
+        assert roots == {**{i: low for i in name if i != low}, 2 * 10**6 + 1: 2 * 10**6}
+
+
+def test_forest_of_random_links():
+    rng = np.random.default_rng(8)
+    for n in (2, 10, 300):
+        u, v = rng.integers(0, n, n), rng.integers(0, n, n)
+        found = dict(zip(*(x.tolist() for x in J.forest(u, v))))
+        root = {int(i): int(i) for i in np.concatenate([u, v])}
+        for _ in range(n):
+            for a, b in zip(u.tolist(), v.tolist()):
+                root[a] = root[b] = min(root[a], root[b])
+        assert {i: found.get(i, i) for i in root} == root
+
+
+def test_a_hot_shingle_is_not_gathered(spark):
+    """Near copies in thousands: their common shingles' members come straight from the prefixes."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join(edited(rng, base, 0.01))) for i in range(300)] + [(900 + i, f"other {i} text of its own kind") for i in range(20)]
+    check(spark, data)
+
+
+def test_clashing_columns_stay(spark):
+    from pyspark.sql import functions as F
+
+    table = docs(spark, (1, "a b c d e f"), (2, "a b c d e f"), (3, "x")).withColumn("__TM_GONE", F.lit("mine"))
+    found = J.keep_one(table).collect()
+    assert sorted(r.doc_id for r in found) == [1, 3] and {r["__TM_GONE"] for r in found} == {"mine"}

@@ -9,22 +9,26 @@ set is empty and linked with nothing.  Two documents link when 100 * intersectio
    counts shingles that several sets of a block share; the counts order shingles from rare to common.
    The order decides only how much work there is: any order that all documents share is exact.
 2. Sharing a shingle among the first ``n - ceil(0.75 n) + 1`` in that order is necessary for a link.
-   All prefixes meet by shingle, packed in binary blocks.  Among the classes that share a prefix
-   shingle the one with most common shingles leads, and each class becomes a member of its leaders'
-   groups.  Two classes that share a prefix shingle thus meet in at least one group.
-3. Large groups are cut in tiles: bands of sizes, each with a factor of 4/3, so that a link joins
-   equal or neighbouring bands, and blocks of bounded size within a band.  A tile holds two blocks.
+   Each shingle has a leader, and each class becomes a member of the groups of its prefix shingles'
+   leaders, so two classes that share a prefix shingle meet in at least one group.  The leader of a
+   common shingle is known from the first pass: the holder with the smallest digest.  So members of
+   its group are written where their prefix is found, and no task gathers a hot shingle.  All other
+   prefixes meet by shingle, packed in binary blocks, and the class with most common shingles leads.
+3. Groups are cut in tiles: bands of sizes, each with a factor of 4/3, so that a link joins equal or
+   neighbouring bands, and blocks of bounded size within a band.  A tile holds two blocks.
 4. First the tiles hold bitmap signatures.  Bits set in one and not in the other bound the overlap
    from above.  A tile returns a spanning forest of the pairs that may still link; closed to
    components, these are clusters that no link leaves.
 5. Then the clusters' tiles hold the sorted arrays, each document's once or twice.  Pairs that pass a
    wider signature and are not yet connected are decided by exact intersection, and a tile returns a
-   spanning forest of its links, never all pairs.  Links are closed to components by alternating
-   large-star and small-star steps.
+   spanning forest of its links, never all pairs.  Links are closed to components piece by piece, and
+   pieces are joined by alternating large-star and small-star steps.
 
 Nulls: a null text has an empty set; a null id is its own class member and takes part as the id of
 no other, its component is null unless its class has an id.  Repeated rows give repeated results.
-An empty table gives an empty one.
+Ties: shingles equally common are in the order of their hashes, sets of equal size in that of ids.
+Very long texts are whole, at some 60 bytes of memory a byte.  Columns added on the way take names
+that the input does not have.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,14 +41,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.session import ship_package
+
 from . import textkit as tk
-from .shared import Workspace, arrow_map, batch_of, columns, table
+from .shared import Workspace, arrow_map, batch_of, columns, table, unused
 
 SIZE, PERCENT = 5, 75
 #: Shingles held at once while counting which ones sets of a block share.
 BLOCK = 4_000_000
-#: Shingles known as common, at most: 8 bytes each in the broadcast order.
+#: Shingles known as common, at most, with their rank and leader: 24 bytes each in the broadcast table.
 COMMON_MAX = 200_000
+#: Links of a piece that one task closes.
+PIECE = 1_000_000
 #: Array elements in a tile's block, and rows in it, at most.
 TILE_ELEMENTS, TILE_ROWS = 2_000_000, 1024
 #: Bits of a signature, at most; it has twice as many as the set has shingles.
@@ -75,9 +83,9 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 
 _SETS = pa.schema([
     ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-    ("token", pa.int64()), ("held", pa.int64()), ("signature", pa.binary()),
+    ("token", pa.int64()), ("held", pa.int64()), ("leader", pa.int64()), ("signature", pa.binary()),
 ])
-_SETS_SQL = "doc_id long, n long, d1 long, d2 long, token long, held long, signature binary"
+_SETS_SQL = "doc_id long, n long, d1 long, d2 long, token long, held long, leader long, signature binary"
 
 
 def signature(values: np.ndarray, bits: int | None = None) -> np.ndarray:
@@ -89,17 +97,24 @@ def signature(values: np.ndarray, bits: int | None = None) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (token null), and of shingles with the number of sets of a block that hold them."""
-
-    def shared(block: list[np.ndarray]) -> pa.RecordBatch:
-        value, count = np.unique(np.concatenate(block), return_counts=True)
-        keep = count >= 3
-        nulls = pa.nulls(int(keep.sum()), pa.int64())
-        none = pa.nulls(len(nulls), pa.binary())
-        return batch_of(_SETS, nulls, nulls, nulls, nulls, tk.as_long(value[keep]), count[keep].astype(np.int64), none)
+    """Rows of documents (token null), and of shingles: how many sets of a block hold one, and the first of these."""
+
+    def shared(block: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        block = sorted(block, key=lambda x: x[0])
+        flat = np.concatenate([x for _, x in block])
+        order = np.argsort(flat, kind="stable")  # of equal shingles, that of the smallest digest comes first
+        value = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        count = np.diff(np.append(first, len(value)))
+        first, count = first[count >= 3], count[count >= 3]
+        owner = np.searchsorted(np.cumsum([len(x) for _, x in block]), order[first], "right")
+        leader = np.array([d for d, _ in block], np.int64)[owner]
+        nulls = pa.nulls(len(first), pa.int64())
+        none = pa.nulls(len(first), pa.binary())
+        return batch_of(_SETS, nulls, nulls, nulls, nulls, tk.as_long(value[first]), count, leader, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[np.ndarray] = []
+        block: list[tuple[int, np.ndarray]] = []
         held, seen = 0, set()
         for batch in batches:
             rows = []
@@ -108,7 +123,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 rows.append((len(values), *digest, signature(values).tobytes() if len(values) else None))
                 if len(values) and digest not in seen:
                     seen.add(digest)
-                    block.append(values)
+                    block.append((digest[0], values))
                     held += len(values)
                     if held >= BLOCK:
                         yield shared(block)
@@ -116,7 +131,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             if rows:
                 nulls = pa.nulls(len(rows), pa.int64())
                 n, d1, d2, maps = (list(x) for x in zip(*rows, strict=True))
-                yield batch_of(_SETS, batch.column(0), n, d1, d2, nulls, nulls, maps)
+                yield batch_of(_SETS, batch.column(0), n, d1, d2, nulls, nulls, nulls, maps)
         if block:
             yield shared(block)
 
@@ -127,49 +142,67 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-_PACK = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+_PACK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
+_PACK_SQL = "bucket int, kind int, block binary"
+#: Kinds of blocks: entries that meet by shingle, and members of the groups of common shingles' leaders.
+MEETS, JOINS = 0, 1
 _ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("common", "u1")])
+_PAIR = np.dtype([("leader", "<i8"), ("set", "<i8")])
 
 
 def _prefixes(docs: DataFrame, common: object, buckets: int, size: int, percent: int) -> DataFrame:
-    """Packed (shingle, set, share of common shingles) entries, by hash bucket of the shingle."""
+    """Packed entries by hash bucket: (shingle, set, share of common shingles), and (leader, set) of common ones."""
 
-    def pack(parts: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(parts: list[np.ndarray], kind: int) -> pa.RecordBatch:
         entries = np.concatenate(parts)
-        bucket = (entries["token"] % tk.U(buckets)).astype(np.int32)
+        key = entries["token"] if kind == MEETS else tk.mix(entries["leader"].view(tk.U) ^ tk.mix(entries["set"].view(tk.U)))
+        bucket = (key % tk.U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         entries, bucket = entries[order], bucket[order]
         first = np.flatnonzero(np.diff(bucket, prepend=-1))
         blocks = [x.tobytes() for x in np.split(entries, first[1:])]
-        return batch_of(_PACK, bucket[first], blocks)
+        return batch_of(_PACK, bucket[first], np.full(len(first), kind, np.int32), blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_, rank = common.value
-        parts: list[np.ndarray] = []
+        table_, rank, leader = common.value
+        parts: list[list[np.ndarray]] = [[], []]
         held, seen = 0, set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind in (MEETS, JOINS):
+                if parts[kind]:
+                    yield pack(parts[kind], kind)
+                    parts[kind] = []
+
         for batch in batches:
             for _, values in shingle_sets(batch.column(0), size):
                 n = len(values)
                 if not n or (key := _digest(values)) in seen:
                     continue
                 seen.add(key)
-                at = np.searchsorted(table_, values)
-                level = np.where(table_[np.minimum(at, len(table_) - 1)] == values, rank[np.minimum(at, len(rank) - 1)], 0)
+                at = np.minimum(np.searchsorted(table_, values), len(table_) - 1)
+                known = table_[at] == values
+                level = np.where(known, rank[at], 0)
                 order = np.argsort(level, kind="stable")[: prefix_length(n, percent)]  # ties: by hash
-                own = np.empty(len(order), _ENTRY)
-                own["token"], own["set"] = values[order], key[0]
+                rare, shared = order[~known[order]], order[known[order]]
+                own = np.empty(len(rare), _ENTRY)
+                own["token"], own["set"] = values[rare], key[0]
                 own["common"] = int((level > 0).mean() * 255)
-                parts.append(own)
-                held += len(own)
+                groups = np.unique(leader[at[shared]])
+                joins = np.empty(len(groups), _PAIR)
+                joins["leader"], joins["set"] = groups, key[0]
+                for kind, x in ((MEETS, own), (JOINS, joins)):
+                    if len(x):
+                        parts[kind].append(x)
+                held += len(own) + len(joins)
                 if held >= 1_000_000:
-                    yield pack(parts)
-                    parts, held = [], 0
+                    yield from flush()
+                    held = 0
                 if len(seen) >= 1_000_000:
                     seen = set()
-        if parts:
-            yield pack(parts)
+        yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, block binary")
+    return docs.mapInArrow(run, _PACK_SQL)
 
 
 _MEMBER = pa.schema([("leader", pa.int64()), ("set", pa.int64())])
@@ -182,7 +215,7 @@ def _repeated(ordered: np.ndarray) -> np.ndarray:
 
 
 def _members(packed: DataFrame) -> DataFrame:
-    """(leader, set): for each shingle that sets share, its leader with all of its sets, itself included."""
+    """(leader, set): for each shingle that sets share, its leader with all of its sets."""
 
     def lead(blocks: list[bytes]) -> pa.RecordBatch | None:
         entries = np.concatenate([np.frombuffer(b, _ENTRY) for b in blocks])
@@ -205,7 +238,11 @@ def _members(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blocks = None, []
         for batch in batches:
-            for b, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for b, kind, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if kind == JOINS:
+                    pairs = np.unique(np.frombuffer(block.as_py(), _PAIR))
+                    yield batch_of(_MEMBER, pairs["leader"], pairs["set"])
+                    continue
                 if b != bucket and blocks:
                     if (out := lead(blocks)) is not None:
                         yield out
@@ -223,22 +260,23 @@ _TILE_SQL = "struct<key: bigint, low: int, a: int, b: int>"
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """The tiles of each (``key``, ``node``, ``n``): one for a small group; else two blocks of one band, or one
-    each of neighbouring bands, for all such blocks."""
+    """The tiles of each (``key``, ``node``, ``n``): two blocks of one band, or one each of neighbouring bands.
+
+    Where a band and the one below are a single block each, the lower band's tile holds both.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
     members = members.withColumn("band", band)
     counts = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"))
-    group = counts.groupBy("key").agg(F.sum("rows").alias("whole"), F.sum(F.col("rows") * F.col("most")).alias("elements"))
-    small = (F.col("whole") <= 2 * TILE_ROWS) & (F.col("elements") <= 2 * TILE_ELEMENTS)
+    group = counts.groupBy("key").agg(F.sum("rows").alias("whole"))
     limit = F.greatest(F.lit(64), F.least(F.lit(TILE_ROWS), F.floor(F.lit(TILE_ELEMENTS) / F.col("most"))))
     blocks = counts.join(group.where("whole > 1"), "key").select(
-        "key", "band", F.when(small, 0).otherwise(F.ceil(F.col("rows") / limit)).cast("int").alias("blocks")
+        "key", "band", F.ceil(F.col("rows") / limit).cast("int").alias("blocks")
     )
     below = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     above = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     shape = blocks.join(below, ["key", "band"], "left").join(above, ["key", "band"], "left")
     m = members.join(shape, ["key", "band"])
-    m = m.withColumn("mine", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int"))
+    m = m.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tile = lambda low, a, b: F.struct(
         F.col("key"), low.cast("int").alias("low"), a.cast("int").alias("a"), b.cast("int").alias("b")
     )
@@ -247,15 +285,14 @@ def _tiles(members: DataFrame) -> DataFrame:
     own = F.transform(
         each(F.col("blocks")), lambda j: tile(F.col("band") * 2, F.least(F.col("mine"), j), F.greatest(F.col("mine"), j))
     )
+    one = (F.col("blocks") == 1) & (F.coalesce("above", F.lit(0)) == 1)
     up = F.when(
-        F.col("above") > 0, F.transform(each(F.col("above")), lambda j: tile(F.col("band") * 2 + 1, F.col("mine"), j))
+        (F.col("above") > 0) & ~one, F.transform(each(F.col("above")), lambda j: tile(F.col("band") * 2 + 1, F.col("mine"), j))
     ).otherwise(none)
-    down = F.when(
+    down = F.when((F.col("blocks") == 1) & (F.col("below") == 1), F.array(tile(F.col("band") * 2 - 2, F.lit(0), F.lit(0)))).when(
         F.col("below") > 0, F.transform(each(F.col("below")), lambda j: tile(F.col("band") * 2 - 1, j, F.col("mine")))
     ).otherwise(none)
-    one = F.array(tile(F.lit(-9), F.lit(0), F.lit(0)))
-    tiles = F.when(F.col("blocks") == 0, one).otherwise(F.concat(own, up, down))
-    return m.select("node", tiles.alias("tiles"))
+    return m.select("node", F.concat(own, up, down).alias("tiles"))
 
 
 _TILED = pa.schema([
@@ -373,17 +410,60 @@ def _links(tiled: DataFrame, exact: bool, percent: int) -> DataFrame:
     return tiled.mapInArrow(run, "a long, b long").dropDuplicates()
 
 
-def components(links: DataFrame, space: Workspace, name: str, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of a link, by alternating stars.
+_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of some links but the smallest of its component, with the smallest."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        # roots take the smallest root that a link shows them, and nodes follow their roots
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
+def _pieces(links: DataFrame, pieces: int) -> DataFrame:
+    """The same components with fewer links: each piece of the links is closed by one task."""
 
-    Each round is written out, so a lost executor costs one round.  A node's neighbours are never
-    gathered: both steps need only the minimum over them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [], []
+        for batch in batches:
+            u.append(np.asarray(batch.column(0)))
+            v.append(np.asarray(batch.column(1)))
+        if u:
+            yield batch_of(_EDGE, *forest(np.concatenate(u), np.concatenate(v)))
+
+    return links.repartition(pieces).mapInArrow(run, "u long, v long")
+
+
+def components(links: DataFrame, space: Workspace, name: str, most_rounds: int = 60, piece: int = PIECE) -> DataFrame:
+    """(node, root): the smallest node reachable, for every node of a link but the smallest ones.
+
+    Pieces of ``piece`` links are closed by themselves.  If there is one piece, that is all; else pieces
+    are joined by alternating stars, until no node has both a smaller neighbour and another one.  Each
+    round is written out, so a lost executor costs one round.  A node's neighbours are never gathered: both
+    steps need only the minimum over them.
     """
-    edges = space.save(links.where("a <> b").selectExpr("a AS u", "b AS v"), f"{name}-0")
-    before = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+    pieces = max(1, -(-links.count() // piece))
+    edges = space.save(_pieces(links.where("a <> b").select("a", "b"), pieces), f"{name}-0")
     for i in range(1, most_rounds + 1):
+        if pieces == 1:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far"))
+        if near.where("m < u AND far <> m").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        least = near.select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").dropDuplicates()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -391,10 +471,6 @@ def components(links: DataFrame, space: Workspace, name: str, most_rounds: int =
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = space.save(small.union(low.select("u", F.col("m").alias("v"))).dropDuplicates(), f"{name}-{i}")
         space.drop(f"{name}-{i - 1}")
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = after
     raise RuntimeError(f"links did not close to components in {most_rounds} rounds")
 
 
@@ -402,8 +478,6 @@ def document_components(
     docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of each document row."""
-    from tracemill.session import ship_package
-
     spark = docs.sparkSession
     ship_package(spark)
     space = Workspace(spark, "jaccard-join")
@@ -415,19 +489,20 @@ def document_components(
     )
     reps = space.save(classes, "classes")
 
-    held = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("held").alias("held"))
-    top = held.orderBy(F.col("held").desc(), "token").limit(COMMON_MAX)
-    top = columns(top)
+    held = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("held").alias("held"), F.min("leader").alias("leader"))
+    top = columns(held.orderBy(F.col("held").desc(), "token").limit(COMMON_MAX))
     order = np.argsort(top["token"].view(tk.U))
-    values = np.append(top["token"].view(tk.U)[order], tk.U(2**64 - 1))
-    rank = np.append(top["held"][order], 0)
-    common = spark.sparkContext.broadcast((values, rank))
+    end = np.uint64(2**64 - 1)  # so that a search always has a place
+    common = spark.sparkContext.broadcast(
+        (np.append(top["token"].view(tk.U)[order], end), np.append(top["held"][order], 0), np.append(top["leader"][order], 0))
+    )
 
     total = found.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(16, int(total // 8_000_000) * 4)  # about a MB of entries from each of many tasks
     packed = _prefixes(docs.select("text"), common, buckets, size, percent)
-    packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    packed = packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     members = space.save(_members(packed), "members")
+    common.unpersist()
     nodes = reps.where("doc_id IS NOT NULL")
     groups = members.dropDuplicates().join(nodes, members["set"] == nodes["d1"])
     groups = groups.select(F.col("leader").alias("key"), F.col("doc_id").alias("node"), "n")
@@ -462,8 +537,9 @@ def keep_one(
 ) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id."""
     found = document_components(docs, size, percent, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__tm_gone")).dropDuplicates()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__tm_gone"], "left_anti")
+    name = unused(docs, "__tm_gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).dropDuplicates()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.session import ship_package
+from tracemill.sources.records import read_table
+from tracemill.workspace import Workspace, setting
 
-_own_dir: list[str] = []
+__all__ = ["Workspace", "arrow_map", "batch_of", "columns", "fold", "setting", "table", "unused"]
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = read_table
 
 
 def fold(key: Column, parts: int) -> Column:
@@ -26,68 +23,6 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts
 
 
-class Workspace:
-    """Tables that cut lineage, in the folder the cluster shares.
-
-    The folder is ``spark.checkpoint.dir``.  Where that is unset, a local one is made if everything runs in
-    one JVM, as in tests; on a cluster, whose machines would not share it, that is an error.
-    """
-
-    def __init__(self, spark: SparkSession, purpose: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-            if not _own_dir:
-                _own_dir.append(f"file://{tempfile.mkdtemp(prefix='tracemill-')}")
-            base = _own_dir[0]
-        self.spark, self.root = spark, f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Write ``df`` and return what reads it back."""
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.root}/{name}")
-        return self.load(df, name)
-
-    def load(self, like: DataFrame, name: str) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
-
-    def save_sorted(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
-        """Write ``df`` in buckets sorted by ``keys``, so that merges of such tables neither shuffle nor sort.
-
-        Rows should come dealt by ``keys`` to as many partitions as there are buckets: then each bucket is one
-        file.  Otherwise a bucket has several files, and what reads it sorts again.
-        """
-        writer = df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.root}/{name}")
-        writer.saveAsTable(self._bucketed(name))
-        return self.spark.table(self._bucketed(name))
-
-    def _bucketed(self, name: str) -> str:
-        return f"{self.root.rsplit('/', 1)[-1]}_{name}".replace("-", "_")
-
-    def drop_sorted(self, *names: str) -> None:
-        for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._bucketed(name)}")
-        self.drop(*names)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for the plans that are made and run inside."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it as long as ``df`` has such a column, whatever its case."""
     taken = {c.lower() for c in df.columns}
