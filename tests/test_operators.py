@@ -35,6 +35,7 @@ def test_hedge_signals(spark):
     df = spark.createDataFrame([("<think>a b c but</think>", ["<think>a b</think>", "x", "<think>but</think>"])], "o string, c array<string>")
     s = df.select(counterfactual.hedge_signals(F.col("o"), F.col("c")).alias("s")).first().s
     assert (s.orig_hedge_rate, s.cf_hedge_min, s.cf_hedge_max, s.hedge_gap, s.per_cf[1]) == (25.0, 0.0, 100.0, 25.0, None)
+    assert s.cf_hedge_mean == round(sum(x for x in s.per_cf if x is not None) / sum(x is not None for x in s.per_cf), 4)
 
 
 def test_gate_history_and_python_gates(spark):

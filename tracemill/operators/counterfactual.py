@@ -92,8 +92,11 @@ def wrong_choices(key: Column, gold: Column, n_choices: Column, k: int = 1, seed
 
 
 def open_ended(orig: Column, cf: Column, limits: GapGate = GapGate(hedge=None)) -> Column:
-    """Gap, whether the row is dropped, and why; a low original is the first reason."""
-    low = orig < (limits.min_orig if limits.min_orig is not None else float("-inf"))
-    small = (orig - cf) < limits.gap
-    reason = F.when(low, "orig<min").when(small, "gap<thr").otherwise("")
+    """Gap, whether the row is dropped, and why; a low original is the first reason.
+
+    Without one of the scores the gap is null, a low original is still dropped, and else the row stays, as ``missing``.
+    """
+    low = F.coalesce(orig < (limits.min_orig if limits.min_orig is not None else float("-inf")), F.lit(False))
+    small = F.coalesce((orig - cf) < limits.gap, F.lit(False))
+    reason = F.when(low, "orig<min").when(small, "gap<thr").when((orig - cf).isNull(), "missing").otherwise("")
     return F.struct((orig - cf).alias("gap"), (low | small).alias("drop"), reason.alias("reason"))
