@@ -57,6 +57,17 @@ def test_removal_of_documents_and_spans(spark):
     assert cut[3] == ", end" and cut[2] == clean + " " and cut[4] is None
 
 
+def test_very_long_texts_and_shared_windows(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([("b", item), ("a", item + " more"), ("b", item), ("c", "tiny item"), ("d", None), ("e", "")], "item_id string, text string")
+    long = "x " * 300_000 + item + " " + "y" * 100_000 + " tiny item"
+    (row,) = D.contamination(docs(spark, (1, long), extra=True), bench).collect()
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (300_023, 22, 3, False)
+    import hashlib
+
+    assert row.items_sha256 == hashlib.sha256(b"a,b,c").hexdigest()
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = D.contamination(docs(spark, (1, "a b"), (1, "a b"), (None, None)), none).collect()

@@ -5,14 +5,16 @@ windows are its runs of ``size`` consecutive words; an item of fewer words, but
 window.  The hashes of a bounded number of windows are broadcast and document windows are looked up
 in them; every hit is verified against the item's words.  A benchmark with more windows than
 ``slice_windows`` is scanned in slices of whole items, each broadcast by itself, and the hits of a
-document are put together, so memory stays bounded and nothing is left out.
+document are put together, so memory stays bounded and nothing is left out.  A slice holds the items'
+words once, back to back, and some 40 bytes a window; a worker holds one slice at a time.
 
 A word inside any occurrence of a window is hit.  A document is contaminated if ``n_hit > 0`` and
 ``ratio * n_hit >= n_words``.
 
 Nulls: a null text has no words; a null item id is the text ``null``.  Repeated rows: each document
-row gets its own result, repeated benchmark rows count as one item by their id.  Empty tables: no
-rows, or no hits.
+row gets its own result, repeated benchmark rows count as one item by their id.  Ties: items are named
+in the order of their ids.  Very long texts are whole, at some 60 bytes of memory a byte.  Columns are
+selected by name and renamed, so extra ones may have any name.  Empty tables: no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -38,45 +40,56 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of some items: by length, sorted hashes with the windows and the items that hold them."""
+    """Windows of some items: by length, sorted hashes, where the words stand and which items have them."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
-        held: dict[tuple[bytes, ...], set[str]] = {}
-        for name, words in items:
-            k = min(size, len(words))
-            for i in range(len(words) - k + 1) if k else ():
-                held.setdefault(tuple(words[i : i + k]), set()).add(name)
-        self.windows = sorted(held)
-        self.items = [sorted(held[w]) for w in self.windows]
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in sorted({len(w) for w in self.windows}):
-            own = np.array([i for i, w in enumerate(self.windows) if len(w) == k])
-            flat = tk.hash_words([x for i in own for x in self.windows[i]])
-            rows = np.arange(0, len(flat) + 1, k)
-            value = tk.Words(None, None, flat, rows, None).window(k)[0]
-            order = np.argsort(value)
+        self.names = sorted({n for n, _ in items})
+        number = {n: i for i, n in enumerate(self.names)}
+        texts = [b" ".join(words) for _, words in items]
+        self.data = b"".join(texts)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        words = tk.words(tk.Chunk(0, len(texts), np.frombuffer(self.data, np.uint8), offsets), tk.SPACE)
+        length = np.minimum(words.count(), size)
+        item = np.array([number[n] for n, _ in items], np.int64)
+        self.n = 0
+        #: by length: hash, first and last byte, the bounds of its items, the items, and a mask of hashes
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in sorted(set(length[length > 0].tolist())):
+            value, at = words.window(k)
+            row = np.searchsorted(words.rows, at, "right") - 1
+            own = length[row] == k
+            value, at, row = value[own], at[own], row[own]
+            order = np.lexsort((item[row], value))
+            value, at, row = value[order], at[order], row[order]
+            start, end, owner = words.start[at], words.end[at + k - 1], item[row]
+            new = np.concatenate([[True], value[1:] != value[:-1]])
+            # windows of one hash are one window if their words are the same, which they all but always are
+            for i in np.flatnonzero(~new).tolist():
+                if self.data[start[i] : end[i]] != self.data[start[i - 1] : end[i - 1]]:
+                    new[i] = True
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(value))
             mask = np.zeros(1 << _BITS, bool)
             mask[value >> tk.U(64 - _BITS)] = True
-            self.by_length[k] = (value[order], own[order], mask)
+            self.by_length[k] = (value[first], start[first], end[first], first, last, owner, mask)
+            self.n += len(first)
 
     def __len__(self) -> int:
-        return len(self.windows)
+        return self.n
 
-    def scan(self, chunk: tk.Chunk, words: tk.Words) -> Iterator[tuple[int, int, int]]:
-        """Verified hits: (first word, number of words, window)."""
-        for k, (value, own, mask) in self.by_length.items():
+    def scan(self, words: tk.Words) -> Iterator[tuple[int, int, list[str]]]:
+        """Verified hits: (first word, number of words, items)."""
+        for k, (value, start, end, first, last, owner, mask) in self.by_length.items():
             found, at = words.window(k)
             near = np.flatnonzero(mask[found >> tk.U(64 - _BITS)])
             lo = np.searchsorted(value, found[near])
             hi = np.searchsorted(value, found[near], "right")
-            for j, a, b in zip(near.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for w in own[a:b].tolist():
-                    i = int(at[j])
-                    if all(
-                        words.lower[words.start[i + x] : words.end[i + x]].tobytes() == y
-                        for x, y in enumerate(self.windows[w])
-                    ):
-                        yield i, k, w
+            for j, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                i = int(at[j])
+                own = b" ".join(words.lower[words.start[x] : words.end[x]].tobytes() for x in range(i, i + k))
+                for w in range(a, b):
+                    if self.data[start[w] : end[w]] == own:
+                        yield i, k, [self.names[x] for x in set(owner[first[w] : last[w]].tolist())]
 
 
 def _slices(benchmark: DataFrame, size: int, slice_windows: int) -> Iterator[WindowSet]:
@@ -116,7 +129,7 @@ class SliceSet:
         for windows in self.each():
             for chunk in tk.chunks(column):
                 words = tk.words(chunk, tk.PUNCT)
-                for i, k, w in windows.scan(chunk, words):
+                for i, k, found in windows.scan(words):
                     row = int(np.searchsorted(words.rows, i, "right")) - 1
                     a = i - int(words.rows[row])
                     own = spans[chunk.first + row]
@@ -124,7 +137,7 @@ class SliceSet:
                         own[-1] = (own[-1][0], a + k)
                     else:
                         own.append((a, a + k))
-                    items[chunk.first + row].update(windows.items[w])
+                    items[chunk.first + row].update(found)
                 counts[chunk.first : chunk.first + chunk.rows] = words.count().tolist()
         if not self.slices:
             for chunk in tk.chunks(column):
