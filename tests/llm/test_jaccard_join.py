@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from helpers import docs, oracle, same
+from pyspark.sql import functions as F
 
 from tracemill.llm import jaccard_join as J
 
@@ -61,9 +62,27 @@ def test_against_brute_force(spark):
 
 
 def test_bands_and_blocks_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(J, "TILE_ROWS", 3)
-    monkeypatch.setattr(J, "TILE_ELEMENTS", 500)
+    monkeypatch.setattr(J, "_blocks", lambda rows, most: F.ceil(rows / 3).cast("int"))
+    monkeypatch.setattr(J, "PIVOTS", 1)
     check(spark, corpus(2, groups=6, each=14))
+    check(spark, corpus(3, groups=3, each=30))
+
+
+def test_oracle_with_bands_and_blocks_forced(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(J, "_blocks", lambda rows, most: F.ceil(rows / 2).cast("int"))
+    same(J.op10_jaccard_join(spark, sf_small).toPandas(), oracle(J.ORACLE, sf_small))
+
+
+def test_large_clusters_take_few_tiles(spark):
+    n = [J.TILE_ROWS * 3, 40]
+    rows = [(1, i, 46) for i in range(n[0])] + [(2, 10**6 + i, 46 + i % 2 * 20) for i in range(n[1])]
+    banded = J._banded(spark.createDataFrame(rows, "key long, node long, n long")).cache()
+    first = J._first_tiles(banded).count()
+    assert first <= n[0] + 3 * J.PIVOTS + 2 * n[1]
+    near = spark.createDataFrame([(i, 0) for i in range(1, n[0] - 5)], "node long, root long")
+    second = J._second_tiles(banded, near)
+    assert second.count() <= n[0] + 5 * 4  # five rows outside, in one block, meet all of three blocks
+    assert J._second_tiles(banded.where("key = 2"), near) is None
 
 
 def test_signatures_never_lose_a_link():
@@ -114,8 +133,6 @@ def test_a_hot_shingle_is_not_gathered(spark):
 
 
 def test_clashing_columns_stay(spark):
-    from pyspark.sql import functions as F
-
     table = docs(spark, (1, "a b c d e f"), (2, "a b c d e f"), (3, "x")).withColumn("__TM_GONE", F.lit("mine"))
     found = J.keep_one(table).collect()
     assert sorted(r.doc_id for r in found) == [1, 3] and {r["__TM_GONE"] for r in found} == {"mine"}

@@ -15,7 +15,11 @@ set is empty and linked with nothing.  Two documents link when 100 * intersectio
    its group are written where their prefix is found, and no task gathers a hot shingle.  All other
    prefixes meet by shingle, packed in binary blocks, and the class with most common shingles leads.
 3. Groups are cut in tiles: bands of sizes, each with a factor of 4/3, so that a link joins equal or
-   neighbouring bands, and blocks of bounded size within a band.  A tile holds two blocks.
+   neighbouring bands, and blocks of bounded size within a band.  A band of one block meets its
+   neighbours in a tile.  In a band of many, each block first meets by itself with a few pivots of the
+   band, which joins most of a cluster of near copies in as many tiles as it has blocks.  Only the rows
+   that this leaves outside the group's largest component then meet all blocks of their own and the
+   neighbouring bands.  So tiles grow with the square of a cluster only where most pairs do not link.
 4. First the tiles hold bitmap signatures.  Bits set in one and not in the other bound the overlap
    from above.  A tile returns a spanning forest of the pairs that may still link; closed to
    components, these are clusters that no link leaves.
@@ -34,11 +38,12 @@ that the input does not have.  An empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.session import ship_package
@@ -61,7 +66,7 @@ SIGNATURE_MAX = 1 << 16
 
 def shingle_sets(column: pa.Array, size: int = SIZE) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and sorted distinct shingle hashes of each text."""
-    for chunk in tk.chunks(column):
+    for chunk in tk.chunks(column, 1 << 19):
         words = tk.words(chunk, tk.SPACE)
         value, at = words.window(size)
         bounds = np.searchsorted(at, words.rows)
@@ -100,18 +105,16 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """Rows of documents (token null), and of shingles: how many sets of a block hold one, and the first of these."""
 
     def shared(block: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        block = sorted(block, key=lambda x: x[0])
-        flat = np.concatenate([x for _, x in block])
-        order = np.argsort(flat, kind="stable")  # of equal shingles, that of the smallest digest comes first
-        value = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        count = np.diff(np.append(first, len(value)))
-        first, count = first[count >= 3], count[count >= 3]
-        owner = np.searchsorted(np.cumsum([len(x) for _, x in block]), order[first], "right")
-        leader = np.array([d for d, _ in block], np.int64)[owner]
-        nulls = pa.nulls(len(first), pa.int64())
-        none = pa.nulls(len(first), pa.binary())
-        return batch_of(_SETS, nulls, nulls, nulls, nulls, tk.as_long(value[first]), count, leader, none)
+        value, count = np.unique(np.concatenate([x for _, x in block]), return_counts=True)
+        value, count = value[count >= 3], count[count >= 3]
+        leader = np.zeros(len(value), np.int64)
+        if len(value):
+            for digest, own in sorted(block, key=lambda x: -x[0]):  # the smallest digest has the last word
+                at = np.minimum(np.searchsorted(value, own), len(value) - 1)
+                leader[at[value[at] == own]] = digest
+        nulls = pa.nulls(len(value), pa.int64())
+        none = pa.nulls(len(value), pa.binary())
+        return batch_of(_SETS, nulls, nulls, nulls, nulls, tk.as_long(value), count.astype(np.int64), leader, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple[int, np.ndarray]] = []
@@ -257,62 +260,107 @@ def _members(packed: DataFrame) -> DataFrame:
 
 _KEY = ["key", "low", "a", "b"]
 _TILE_SQL = "struct<key: bigint, low: int, a: int, b: int>"
+#: Rows of a band that meet every block of it.
+PIVOTS = 4
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """The tiles of each (``key``, ``node``, ``n``): two blocks of one band, or one each of neighbouring bands.
+def _tile(low: Column, a: Column, b: Column) -> Column:
+    return F.struct(F.col("key"), low.cast("int").alias("low"), a.cast("int").alias("a"), b.cast("int").alias("b"))
 
-    Where a band and the one below are a single block each, the lower band's tile holds both.
-    """
+
+def _numbers(n: Column) -> Column:
+    """0 to n - 1; none for 0 or null."""
+    return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _blocks(rows: Column, most: Column) -> Column:
+    limit = F.greatest(F.lit(64), F.least(F.lit(TILE_ROWS), F.floor(F.lit(TILE_ELEMENTS) / most)))
+    return F.ceil(rows / limit).cast("int")
+
+
+def _beside(counts: DataFrame, value: str) -> DataFrame:
+    """Counts by (``key``, ``band``) with those of the band below and above."""
+    below = counts.select("key", (F.col("band") + 1).alias("band"), F.col(value).alias(f"{value}_below"))
+    above = counts.select("key", (F.col("band") - 1).alias("band"), F.col(value).alias(f"{value}_above"))
+    return counts.join(below, ["key", "band"], "left").join(above, ["key", "band"], "left")
+
+
+def _banded(members: DataFrame) -> DataFrame:
+    """Rows (``key``, ``node``, ``n``) of groups of two or more with band, blocks of it and beside it, own block, and whether a pivot."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
     members = members.withColumn("band", band)
-    counts = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"))
-    group = counts.groupBy("key").agg(F.sum("rows").alias("whole"))
-    limit = F.greatest(F.lit(64), F.least(F.lit(TILE_ROWS), F.floor(F.lit(TILE_ELEMENTS) / F.col("most"))))
-    blocks = counts.join(group.where("whole > 1"), "key").select(
-        "key", "band", F.ceil(F.col("rows") / limit).cast("int").alias("blocks")
+    pick = lambda i: F.min_by("node", F.xxhash64("node", F.lit(i)))
+    counts = members.groupBy("key", "band").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"), F.array(*(pick(i) for i in range(PIVOTS))).alias("pivots")
     )
-    below = blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    above = blocks.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    shape = blocks.join(below, ["key", "band"], "left").join(above, ["key", "band"], "left")
+    group = counts.groupBy("key").agg(F.sum("rows").alias("whole")).where("whole > 1").select("key")
+    counts = counts.join(group, "key").select("key", "band", _blocks(F.col("rows"), F.col("most")).alias("blocks"), "pivots")
+    shape = _beside(counts.select("key", "band", "blocks"), "blocks").join(counts.select("key", "band", "pivots"), ["key", "band"])
     m = members.join(shape, ["key", "band"])
     m = m.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tile = lambda low, a, b: F.struct(
-        F.col("key"), low.cast("int").alias("low"), a.cast("int").alias("a"), b.cast("int").alias("b")
-    )
+    return m.withColumn("pivot", F.array_contains("pivots", F.col("node"))).drop("pivots")
+
+
+def _first_tiles(banded: DataFrame) -> DataFrame:
+    """The tiles of each row: its block, for pivots all blocks of the band, and the band below where both are one block."""
+    block = _tile(F.col("band") * 2, F.col("mine"), F.col("mine"))
+    every = F.transform(_numbers(F.col("blocks")), lambda j: _tile(F.col("band") * 2, j, j))
+    down = F.when((F.col("blocks") == 1) & (F.col("blocks_below") == 1), F.array(_tile(F.col("band") * 2 - 2, F.lit(0), F.lit(0))))
     none = F.array().cast(f"array<{_TILE_SQL}>")
-    each = lambda n: F.sequence(F.lit(0), n - 1)
-    own = F.transform(
-        each(F.col("blocks")), lambda j: tile(F.col("band") * 2, F.least(F.col("mine"), j), F.greatest(F.col("mine"), j))
-    )
-    one = (F.col("blocks") == 1) & (F.coalesce("above", F.lit(0)) == 1)
-    up = F.when(
-        (F.col("above") > 0) & ~one, F.transform(each(F.col("above")), lambda j: tile(F.col("band") * 2 + 1, F.col("mine"), j))
-    ).otherwise(none)
-    down = F.when((F.col("blocks") == 1) & (F.col("below") == 1), F.array(tile(F.col("band") * 2 - 2, F.lit(0), F.lit(0)))).when(
-        F.col("below") > 0, F.transform(each(F.col("below")), lambda j: tile(F.col("band") * 2 - 1, j, F.col("mine")))
-    ).otherwise(none)
-    return m.select("node", F.concat(own, up, down).alias("tiles"))
+    tiles = F.concat(F.when(F.col("pivot"), every).otherwise(F.array(block)), F.coalesce(down, none))
+    return banded.select("node", "n", F.explode(tiles).alias("tile"), F.col("node").alias("root"))
+
+
+def _second_tiles(banded: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """The tiles of pairs that have not met: rows outside their group's largest component, with blocks beside them.
+
+    None if every band is one block and so are the bands beside it.
+    """
+    wide = banded.where((F.col("blocks") > 1) | (F.coalesce("blocks_below", F.lit(0)) > 1) | (F.coalesce("blocks_above", F.lit(0)) > 1))
+    if wide.isEmpty():
+        return None
+    wide = wide.select("key").dropDuplicates()
+    rows = banded.join(wide, "key").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("largest"))
+    rows = rows.join(largest, "key").withColumn("out", F.col("root") != F.col("largest"))
+    left = rows.where("out").groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"))
+    left = left.select("key", "band", _blocks(F.col("c"), F.col("most")).alias("left"))
+    bands = rows.select("key", "band").dropDuplicates()
+    rows = rows.join(_beside(bands.join(left, ["key", "band"], "left"), "left"), ["key", "band"])
+    spot = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest("left", F.lit(1))).cast("int")
+    low = lambda of, to: of * 4 + to - of + 1  # noqa: E731  # a band and the one it meets
+    band = F.col("band")
+
+    def beside(step: int, blocks: str, count: str) -> tuple[Column, Column]:
+        meets = F.transform(_numbers(F.col(blocks)), lambda j: _tile(low(band, band + step), spot, j))
+        return meets, F.transform(_numbers(F.col(count)), lambda i: _tile(low(band + step, band), i, F.col("mine")))
+
+    sides = (-1, "blocks_below", "left_below"), (0, "blocks", "left"), (1, "blocks_above", "left_above")
+    meets, met = zip(*(beside(*x) for x in sides), strict=True)
+    none = F.array().cast(f"array<{_TILE_SQL}>")
+    tiles = F.array_distinct(F.concat(F.when(F.col("out"), F.concat(*meets)).otherwise(none), *met))
+    return rows.select("node", "n", F.explode(tiles).alias("tile"), "root")
 
 
 _TILED = pa.schema([
     ("key", pa.int64()), ("low", pa.int32()), ("a", pa.int32()), ("b", pa.int32()),
-    ("node", pa.int64()), ("n", pa.int64()), ("values", pa.binary()),
+    ("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("values", pa.binary()),
 ])
-_TILED_SQL = "key long, low int, a int, b int, node long, n long, values binary"
+_TILED_SQL = "key long, low int, a int, b int, node long, n long, root long, values binary"
 
 
 def _tiled(docs: DataFrame, size: int) -> DataFrame:
     """The sorted shingle array of each document, once for each tile that needs it."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tiles = batch.column(2)
+        tiles, roots = batch.column(2), batch.column(3).to_pylist()
         ids = batch.column(0).to_pylist()
         rows, held = [], 0
         for i, values in shingle_sets(batch.column(1), size):
             raw = values.tobytes()
             for t in tiles[i].as_py():
-                rows.append((t["key"], t["low"], t["a"], t["b"], ids[i], len(values), raw))
+                rows.append((t["key"], t["low"], t["a"], t["b"], ids[i], len(values), roots[i], raw))
                 held += len(raw)
                 if held >= 8 << 20:
                     yield batch_of(_TILED, *(list(x) for x in zip(*rows, strict=True)))
@@ -351,14 +399,18 @@ class _Maps:
 
 
 def tile_links(
-    ids: list[int], n: list[int], values: list[bytes], exact: bool, percent: int = PERCENT
+    ids: list[int], n: list[int], values: list[bytes], exact: bool, percent: int = PERCENT, roots: list[int] | None = None
 ) -> list[tuple[int, int]]:
-    """A spanning forest of a tile's links (``values`` are arrays), or of what may link (signatures)."""
+    """A spanning forest of a tile's links (``values`` are arrays), or of what may link (signatures).
+
+    Rows of equal ``roots`` are connected already.
+    """
     order = sorted(range(len(ids)), key=lambda i: (n[i], ids[i]))
+    known = np.arange(len(ids)) if roots is None else np.unique([roots[i] for i in order], return_inverse=True)[1]
     ids, n = [ids[i] for i in order], np.array([n[i] for i in order], np.int64)
     values = [np.frombuffer(values[i], tk.U) for i in order]
     maps = _Maps([signature(v, 1 << max(8, int(4 * len(v) - 1).bit_length())) for v in values] if exact else values)
-    root = np.arange(len(ids))
+    root = known
     links = []
     for i in range(len(ids) - 1):
         to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # larger sets cannot link
@@ -393,13 +445,17 @@ def _links(tiled: DataFrame, exact: bool, percent: int) -> DataFrame:
         tile, rows = None, []
 
         def found() -> Iterator[pa.RecordBatch]:
-            links = tile_links(*(list(x) for x in zip(*rows, strict=True)), exact, percent) if len(rows) > 1 else []
+            links = []
+            if len(rows) > 1:
+                ids, n, roots, values = (list(x) for x in zip(*rows, strict=True))
+                if len(set(roots)) > 1:
+                    links = tile_links(ids, n, values, exact, percent, roots)
             if links:
                 yield batch_of(_LINK, [min(x) for x in links], [max(x) for x in links])
 
         for batch in batches:
             keys = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            held = zip(*(batch.column(i).to_pylist() for i in range(4, 7)), strict=True)
+            held = zip(*(batch.column(i).to_pylist() for i in range(4, 8)), strict=True)
             for key, row in zip(keys, held, strict=True):
                 if key != tile:
                     yield from found()
@@ -474,6 +530,21 @@ def components(links: DataFrame, space: Workspace, name: str, most_rounds: int =
     raise RuntimeError(f"links did not close to components in {most_rounds} rounds")
 
 
+def _closed(
+    space: Workspace, name: str, members: DataFrame, fill: Callable[[DataFrame], DataFrame], exact: bool, percent: int, buckets: int
+) -> DataFrame:
+    """(node, root) of the components that rows of equal ``key`` form by their links; ``fill`` adds sets to tiles."""
+    banded = space.save(_banded(members), f"{name}-banded")
+    dealt = lambda tiles: fill(tiles).repartition(buckets, *_KEY).sortWithinPartitions(*_KEY)
+    links = space.save(_links(dealt(_first_tiles(banded)), exact, percent), f"{name}-links")
+    roots = components(links, space, name)
+    more = _second_tiles(banded, roots)
+    if more is not None:
+        later = space.save(_links(dealt(more), exact, percent), f"{name}-later")
+        roots = components(links.unionByName(later), space, f"{name}-all")
+    return roots
+
+
 def document_components(
     docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -506,23 +577,22 @@ def document_components(
     nodes = reps.where("doc_id IS NOT NULL")
     groups = members.dropDuplicates().join(nodes, members["set"] == nodes["d1"])
     groups = groups.select(F.col("leader").alias("key"), F.col("doc_id").alias("node"), "n")
-    tiles = _tiles(groups).select("node", F.explode("tiles").alias("tile")).select("node", "tile.*")
-    tiled = tiles.join(nodes.select(F.col("doc_id").alias("node"), "n", F.col("signature").alias("values")), "node")
-    tiled = tiled.select(*_KEY, "node", "n", "values").repartition(buckets, *_KEY).sortWithinPartitions(*_KEY)
-    may = space.save(_links(tiled, False, percent), "may-link")
-    clusters = components(may, space, "clusters").join(nodes, F.col("node") == nodes["doc_id"])
-    clusters = clusters.select("node", F.col("root").alias("key"), "n")
+    maps = nodes.select(F.col("doc_id").alias("node"), F.col("signature").alias("values"))
+
+    def signatures(tiles: DataFrame) -> DataFrame:
+        return tiles.select("node", "n", "root", "tile.*").join(maps, "node").select(*_KEY, "node", "n", "root", "values")
+
+    def arrays(tiles: DataFrame) -> DataFrame:
+        each = space.save(tiles.groupBy("node").agg(F.collect_list("tile").alias("tiles"), F.first("root").alias("root")), f"tiles-{uuid.uuid4().hex}")
+        return _tiled(docs.join(each.hint("merge"), docs["doc_id"] == each["node"]).select("doc_id", "text", "tiles", "root"), size)
+
+    clusters = _closed(space, "clusters", groups, signatures, False, percent, buckets)
+    clusters = clusters.join(nodes, F.col("node") == nodes["doc_id"]).select("node", F.col("root").alias("key"), "n")
     clusters = space.save(clusters.unionByName(clusters.select(F.col("key").alias("node"), "key").dropDuplicates().join(
         nodes.select(F.col("doc_id").alias("node"), "n"), "node")), "cluster-rows")
-    space.drop("members", "may-link")
-
-    tiles = space.save(_tiles(clusters), "tiles")
-    tiled = _tiled(docs.join(tiles.hint("merge"), docs["doc_id"] == tiles["node"]).select("doc_id", "text", "tiles"), size)
-    tiled = tiled.repartition(buckets, *_KEY).sortWithinPartitions(*_KEY)
-    links = space.save(_links(tiled, True, percent), "links")
-    space.drop("tiles", "cluster-rows")
+    roots = _closed(space, "components", clusters, arrays, True, percent, buckets)
+    space.drop("members", "cluster-rows")
 
-    roots = components(links, space, "components")
     named = reps.join(roots, reps["doc_id"] == roots["node"], "left").select(
         F.col("d1"), F.col("d2"), F.coalesce("root", "doc_id").alias("component_id")
     )

@@ -58,7 +58,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * CHUNK)
+            self.n = max(n, CHUNK)
             self.up, self.down = (self._series(x) for x in (self.odd, self.inverse))
         return self.up[:n], self.down[:n]
 
