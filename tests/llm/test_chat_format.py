@@ -63,3 +63,12 @@ def test_edges(spark):
     found = {r.conv_id: r for r in C.digests(C.formatted(C.conversations_from_rows(rows.withColumn("turns", F.lit(1))))).collect()}
     assert found[1].n_turns == 4 and found[1].loss_chars == 2 and found[None].n_turns == 1
     assert C.digests(C.formatted(C.conversations_from_rows(rows.limit(0)))).collect() == []
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    text = "a <b> & c " * 100_000
+    rows = spark.createDataFrame([(1, 1, "user", text), (1, 2, "assistant", text)], "conv_id long, turn long, role string, text string")
+    for name in ("turns", "formatted", "loss", "row", "ROW_", "learnt"):
+        rows = rows.withColumn(name, F.lit("mine"))
+    (r,) = C.digests(C.formatted(C.conversations_from_rows(rows))).collect()
+    assert (r.n_turns, r.loss_chars) == (2, len(text))

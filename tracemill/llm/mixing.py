@@ -14,7 +14,9 @@ in which the rest ends, so a leaf with a third of all rows is spread over as man
 Tokens are runs of anything but ASCII white space.  Nulls: a null text has no tokens, null languages
 and sources are empty names, a null id is hashed as empty text.  Names without a weight have the
 default's; weight 0 takes nothing.  Repeated rows are documents of their own with the same place in
-the order.  An empty table gives an empty one.
+the order.  Ties: siblings of equal ratios are filled in the order of their names, rows of one place in
+that of tokens and id.  Very long texts are counted whole.  Columns are selected by name and renamed, so
+extra ones may have any name.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
