@@ -83,6 +83,14 @@ def test_chosen_features_and_weights_equal_a_plain_fit(spark):
     assert np.allclose([found[i] for i in sets], want, atol=2e-3) and scale > 0
 
 
+def test_repeated_rows_of_an_id_are_one_text(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    data = [(1, "vile words"), (2, "kind words"), (3, "vile thing"), (4, "kind thing")]
+    one = X.train(docs(spark, *data), labels, F.lit(True), least=1)
+    many = X.train(docs(spark, *data, *[(1, "vile words"), (1, "zzz")] * 50), labels, F.lit(True), least=1)
+    assert (one.weight == many.weight).all() and one.bias == many.bias
+
+
 def test_ties_and_file_layout_play_no_part(spark):
     data = [(i, "same words here " + ("vile" if i % 2 else "kind")) for i in range(40)]
     labels = spark.createDataFrame([(i, i % 2) for i, _ in data], "doc_id long, toxic int")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tracemill.session import ship_package
 
 from . import textkit as tk
-from .shared import Workspace, arrow_map, batch_of, table
+from .shared import Workspace, arrow_map, batch_of, map_batches, table
 
 BLOCK, LANES, RATE, PAD = 1024, 512, 8000, 64
 ZERO = 0x80
@@ -676,7 +676,7 @@ def pcm_blocks(media: DataFrame, id_col: str = "__tm_id", media_col: str = "medi
     narrow = media.select(
         F.col(id_col).cast("long"), F.col(media_col), size, F.length(media_col).cast("long"), F.sha2(F.col(media_col), 256)
     )
-    return narrow.mapInArrow(run, _BLOCKS_SQL)
+    return map_batches(narrow, run, _BLOCKS_SQL)
 
 
 _REPORT = pa.schema([
@@ -720,7 +720,7 @@ def media_report(media: DataFrame) -> DataFrame:
         if parts:
             yield batch_of(_REPORT, *([x] for x in whole()))
 
-    return pcm_blocks(media, size_col="n_bytes").mapInArrow(run, _REPORT_SQL)
+    return map_batches(pcm_blocks(media, size_col="n_bytes"), run, _REPORT_SQL)
 
 
 def stored_report(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

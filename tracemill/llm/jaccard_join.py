@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from tracemill.session import ship_package
 
 from . import textkit as tk
-from .shared import Workspace, arrow_map, batch_of, columns, table, unused
+from .shared import Workspace, arrow_map, batch_of, columns, map_batches, table, unused
 
 SIZE, PERCENT = 5, 75
 #: Shingles held at once while counting which ones sets of a block share.
@@ -138,7 +138,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         if block:
             yield shared(block)
 
-    return docs.mapInArrow(run, _SETS_SQL)
+    return map_batches(docs, run, _SETS_SQL)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -205,7 +205,7 @@ def _prefixes(docs: DataFrame, common: object, buckets: int, size: int, percent:
                     seen = set()
         yield from flush()
 
-    return docs.mapInArrow(run, _PACK_SQL)
+    return map_batches(docs, run, _PACK_SQL)
 
 
 _MEMBER = pa.schema([("leader", pa.int64()), ("set", pa.int64())])
@@ -255,7 +255,7 @@ def _members(packed: DataFrame) -> DataFrame:
         if blocks and (out := lead(blocks)) is not None:
             yield out
 
-    return packed.mapInArrow(run, "leader long, set long")
+    return map_batches(packed, run, "leader long, set long")
 
 
 _KEY = ["key", "low", "a", "b"]
@@ -463,7 +463,7 @@ def _links(tiled: DataFrame, exact: bool, percent: int) -> DataFrame:
                 rows.append(row)
         yield from found()
 
-    return tiled.mapInArrow(run, "a long, b long").dropDuplicates()
+    return map_batches(tiled, run, "a long, b long").dropDuplicates()
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -499,7 +499,7 @@ def _pieces(links: DataFrame, pieces: int) -> DataFrame:
         if u:
             yield batch_of(_EDGE, *forest(np.concatenate(u), np.concatenate(v)))
 
-    return links.repartition(pieces).mapInArrow(run, "u long, v long")
+    return map_batches(links.repartition(pieces), run, "u long, v long")
 
 
 def components(links: DataFrame, space: Workspace, name: str, most_rounds: int = 60, piece: int = PIECE) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from tracemill.session import ship_package
 
 from . import textkit as tk
-from .shared import Workspace, arrow_map, batch_of, columns, fold, table
+from .shared import Workspace, arrow_map, batch_of, columns, fold, map_batches, table
 
 WAYS, LEVELS = 16, 4
 LEAVES = WAYS**LEVELS
@@ -303,7 +303,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         if ends:
             yield batch_of(_COUNTS, [_END_HASH], [-1], [ends])
 
-    counts = docs.mapInArrow(run, "hash long, ending int, count long")
+    counts = map_batches(docs, run, "hash long, ending int, count long")
     return counts.groupBy("hash").agg(F.max("ending").alias("ending"), F.sum("count").alias("count"))
 
 
@@ -349,8 +349,8 @@ def _tree(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
     sql = "block int, values binary"
     # the counts of a fixed number of items: one task can hold them
-    near = texts.mapInArrow(count, sql).groupBy("block").applyInArrow(add, sql).repartition(1)
-    found = columns(near.mapInArrow(bisect, "item int, leaf int"))
+    near = map_batches(texts, count, sql).groupBy("block").applyInArrow(add, sql).repartition(1)
+    found = columns(map_batches(near, bisect, "item int, leaf int"))
     out = np.zeros(ITEMS, np.int32)
     out[found["item"]] = found["leaf"]
     return out
@@ -445,7 +445,7 @@ def _round(texts: DataFrame, shards: int, work: Callable[[], Trainer], weights:
         yield batch_of(_DENSE, [key[0].as_py()], [key[1].as_py() if len(key) > 1 else 0], *out)
 
     # a block meets the changes of the square root of all shards at a time, so no group grows with the corpus
-    some = dealt.select("__tm_shard", "__tm_key", "__tm_text").mapInArrow(learn, _DENSE_SQL)
+    some = map_batches(dealt.select("__tm_shard", "__tm_key", "__tm_text"), learn, _DENSE_SQL)
     some = some.groupBy("block", F.pmod("part", F.lit(parts)).alias("group")).applyInArrow(combine, _DENSE_SQL)
     found = some.groupBy("block").applyInArrow(combine, _DENSE_SQL).select("block", "values", "used").toArrow()
     out = weights.copy()
@@ -586,7 +586,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
                 at += chunk.rows
 
     narrow = docs.select(F.col(id_col).cast("long"), held_out.alias("held_out"), F.col(text_col).cast("string"))
-    parts = space.save(narrow.mapInArrow(run, _PART_SQL), "parts")
+    parts = space.save(map_batches(narrow, run, _PART_SQL), "parts")
     if not model.tokens:
         parts = parts.withColumn("more", F.size("rare") * float(np.log10(ADD))).withColumn("seen", F.lit(0).cast("long"))
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from tracemill.session import ship_package
 from tracemill.sources.records import read_table
 from tracemill.workspace import Workspace, setting
 
-__all__ = ["Workspace", "arrow_map", "batch_of", "columns", "fold", "setting", "table", "unused"]
+__all__ = ["Workspace", "arrow_map", "batch_of", "columns", "fold", "map_batches", "setting", "table", "unused"]
 
 table = read_table
 
@@ -31,11 +32,29 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy() -> None:
+    """Give memory that a finished task freed back to the system: a Python worker outlives many tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` by executors that have this package."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        tidy()
+
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(
     df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` for functions of a single batch."""
-    ship_package(df.sparkSession)
+    """``map_batches`` for functions of a single batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,7 +65,7 @@ def arrow_map(
                 else:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def columns(df: DataFrame) -> dict[str, np.ndarray]:

@@ -16,7 +16,8 @@ looks each n-gram up in a fixed table and streams over whole texts.  A text long
 cut, with an overlap, and its counts are added up, so memory does not follow a text's length.
 
 Nulls: null texts are empty, null labels are left out, a null id is in the fold of the empty text.
-Repeated labels of an id: the highest counts.  Repeated rows of a labelled id all train.  Ties: of
+Repeated labels of an id: the highest counts.  Of repeated rows of a labelled id the smallest text
+trains, so the sample stays bounded.  Ties: of
 equally significant features those with the lower number stay; of ids with equal hashes the lower id.
 Without rows of both labels every score is the smoothed share of toxic rows.  Columns are selected by
 name and renamed, so extra ones may have any name.  Empty tables give an empty one.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tracemill.session import ship_package
 
 from . import textkit as tk
-from .shared import Workspace, arrow_map, batch_of, columns, fold, table
+from .shared import Workspace, arrow_map, batch_of, columns, fold, map_batches, table
 
 ORDERS = (2, 3, 4, 5, 6)
 BITS, LEVELS, DENSE = 20, 4, 500
@@ -154,6 +155,7 @@ def training_rows(labels: DataFrame, toxic: str, id_col: str, trains: Column, ma
     return each[0].unionByName(each[1]), counts
 
 
+_NONE = 65_535
 _COUNT = pa.schema([("bucket", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
 _ROW = pa.schema([("y", pa.int32()), ("features", pa.binary())])
 _WEIGHT = pa.schema([("place", pa.int32()), ("weight", pa.float64())])
@@ -163,7 +165,7 @@ def _counted(texts: DataFrame) -> DataFrame:
     """(bucket, toxic, other): how many texts of each label have a feature; bucket -1 counts the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((2, FEATURES), np.int32)
+        found = np.zeros((2, FEATURES), np.uint16)  # a sample has fewer rows than that holds
         rows = np.zeros(2, np.int64)
         for batch in batches:
             y = np.asarray(batch.column(1))
@@ -172,11 +174,14 @@ def _counted(texts: DataFrame) -> DataFrame:
                 own = y[first : first + n][doc]
                 for k in (0, 1):
                     value, times = np.unique(feature[own == k], return_counts=True)
-                    found[k, value] += times.astype(np.int32)
-        at = np.flatnonzero(found.any(0))
-        yield batch_of(_COUNT, np.append(at, -1), np.append(found[1, at], rows[1]), np.append(found[0, at], rows[0]))
-
-    counts = texts.mapInArrow(count, "bucket long, toxic long, other long")
+                    found[k, value] += times.astype(np.uint16)
+        for a in range(0, FEATURES, 1 << 18):
+            part = found[:, a : a + (1 << 18)]
+            at = np.flatnonzero(part.any(0))
+            yield batch_of(_COUNT, a + at, part[1, at].astype(np.int64), part[0, at].astype(np.int64))
+        yield batch_of(_COUNT, [-1], [int(rows[1])], [int(rows[0])])
+
+    counts = map_batches(texts, count, "bucket long, toxic long, other long")
     return counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -187,7 +192,7 @@ def train(
 ) -> Model:
     """Fit on at most ``max_rows`` labelled rows for which ``trains``, a column of ids, is true.
 
-    A feature needs ``least`` texts; the ``n_features`` (under 65 536) with the most significant ratios stay.
+    A feature needs ``least`` texts; the ``n_features`` (under 65 535, as ``max_rows`` must be) with the most significant ratios stay.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -195,8 +200,10 @@ def train(
     sample, known = training_rows(labels, toxic, id_col, trains, max_rows)
     narrow = docs.select(F.col(id_col).alias("__tm_id"), F.col(text_col).cast("string").alias("__tm_text"))
     # at most max_rows rows of two numbers: small enough for every executor
-    texts = narrow.join(F.broadcast(sample), "__tm_id").select("__tm_text", "__tm_toxic")
-    texts = space.save(texts, "sample")
+    texts = narrow.join(F.broadcast(sample), "__tm_id").groupBy("__tm_id").agg(
+        F.min("__tm_text").alias("__tm_text"), F.max("__tm_toxic").alias("__tm_toxic")
+    )
+    texts = space.save(texts.select("__tm_text", "__tm_toxic"), "sample")
     counts = space.save(_counted(texts), "counts")  # FEATURES rows at most
     whole = counts.where("bucket = -1").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q")).first()
     n1, n0 = whole["p"] or 0, whole["q"] or 0
@@ -214,13 +221,13 @@ def train(
     held = spark.sparkContext.broadcast((bucket, ratio))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(FEATURES, -1, np.int32)
+        place = np.full(FEATURES, _NONE, np.uint16)
         place[held.value[0]] = np.arange(len(held.value[0]))
-        used = (place >= 0).reshape(LEVELS, -1).any(0)
+        used = (place != _NONE).reshape(LEVELS, -1).any(0)
         for batch in batches:
             for first, n, doc, at in features(batch.column(0), used):
                 own = place[at]
-                doc, own = doc[own >= 0], own[own >= 0].astype(np.uint16)
+                doc, own = doc[own != _NONE], own[own != _NONE]
                 cuts = np.searchsorted(doc, np.arange(1, n))
                 yield batch_of(_ROW, batch.column(1).slice(first, n), [x.tobytes() for x in np.split(own, cuts)])
 
@@ -229,12 +236,15 @@ def train(
         for batch in batches:
             y.append(np.asarray(batch.column(0)))
             each += [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(1)]
-        weight, bias = _fit(each, np.concatenate(y).astype(np.float64), held.value[1], rounds, l2)
+        size = np.array([len(x) for x in each])
+        flat = np.concatenate(each)
+        each.clear()
+        weight, bias = _fit(flat, size, np.concatenate(y).astype(np.float64), held.value[1], rounds, l2)
         yield batch_of(_WEIGHT, np.arange(-1, len(weight)), np.append(bias, weight))
 
     # one task fits a sample of bounded size; its rows come in an order of their own, whoever sends them first
-    design = texts.mapInArrow(rows_of, "y int, features binary").repartition(1).sortWithinPartitions("y", "features")
-    fitted_ = columns(design.mapInArrow(fit, "place int, weight double"))
+    design = map_batches(texts, rows_of, "y int, features binary").repartition(1).sortWithinPartitions("y", "features")
+    fitted_ = columns(map_batches(design, fit, "place int, weight double"))
     order = np.argsort(fitted_["place"])
     bias, weight = fitted_["weight"][order][0], fitted_["weight"][order][1:]
     # the sample holds the classes in other shares than the labelled rows
@@ -250,33 +260,40 @@ def train(
 _BLOCK = 1 << 20
 
 
-def _fit(each: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int, l2: float) -> tuple[np.ndarray, float]:
-    """Logistic regression on the ratios of present features, by full-batch Adam steps in blocks of rows."""
-    n, size = len(y), np.array([len(x) for x in each])
-    ends = np.cumsum(size)
-    cuts = [0, *(np.searchsorted(ends, np.arange(_BLOCK, ends[-1], _BLOCK)) + 1).tolist(), n] if n else [0]
-    blocks = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            blocks.append((a, b, np.concatenate(each[a:b]), np.repeat(np.arange(b - a), size[a:b])))
-    square = sum(float((ratio * ratio)[flat].sum()) for *_, flat, _ in blocks) / n
-    ratio = ratio / np.sqrt(max(square, 1e-9))
+def _fit(
+    flat: np.ndarray, size: np.ndarray, y: np.ndarray, ratio: np.ndarray, rounds: int, l2: float
+) -> tuple[np.ndarray, float]:
+    """Logistic regression on the ratios of present features, by full-batch Adam steps in blocks of rows.
+
+    ``flat`` has the feature numbers of all rows in turn, ``size`` how many are each row's.
+    """
+    n, ends = len(y), np.concatenate([[0], np.cumsum(size)])
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + _BLOCK, "right")) - 1))
+    blocks = list(zip(cuts, cuts[1:], strict=False))
+    square = sum(float((ratio * ratio)[flat[ends[a] : ends[b]]].sum()) for a, b in blocks) / n
     scale = float(np.sqrt(max(square, 1e-9)))
-    w, b0 = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    ratio = ratio / scale
+    w, bias = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        own = (w * ratio).astype(np.float32)
+        own = w * ratio
         g, total = np.zeros(len(w)), 0.0
-        for a, b, flat, doc in blocks:
-            z = np.bincount(doc, own[flat], b - a) + b0
+        for a, b in blocks:
+            part, many = flat[ends[a] : ends[b]], size[a:b]
+            some = np.flatnonzero(many)
+            z = np.full(b - a, bias)
+            if len(some):
+                z[some] += np.add.reduceat(own[part], ends[a:b][some] - ends[a])
             e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[a:b]) / n
-            g += np.bincount(flat, e[doc], len(w))
+            g += np.bincount(part, np.repeat(e, many), len(w))
             total += e.sum()
         g = np.append(g * ratio + l2 * w / n / 100, total)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b0 = w - step[:-1], b0 - step[-1]
-    return w / scale, b0
+        w, bias = w - step[:-1], bias - step[-1]
+    return w / scale, bias
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
