@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.text import or_empty, strip
 
+# Names of grades and patterns of answers that results depend on.
 AXES = ("justification", "coherence", "clarity")
+SCORED_OBJECT = r'\{[^{}]*"score"\s*:\s*[0-9]+[^{}]*\}'
+ANY_OBJECT = r"\{[^{}]*\}"
+BROKEN_SCORE = r'"score"\s*:\s*([1-5])'
+POINTS = r"(\d)\s*점\s*(?:기준|에 해당|입니다|[:.])"
+FENCE_OPEN, FENCE_CLOSE = r"^```[a-zA-Z]*\n", r"\n```$"
+LOOSE_GRADE = r'"%s"\s*:\s*([1-5])'
 
 
 def unfenced(text: Column) -> Column:
     """Without a code fence around the answer."""
     body = strip(or_empty(text))
-    inner = F.regexp_replace(F.regexp_replace(body, r"^```[a-zA-Z]*\n", ""), r"\n```$", "")
+    inner = F.regexp_replace(F.regexp_replace(body, FENCE_OPEN, ""), FENCE_CLOSE, "")
     return F.when(body.startswith("```"), inner).otherwise(body)
 
 
@@ -33,15 +40,15 @@ def _last(items: Column) -> Column:
 
 def judge_object(text: Column) -> Column:
     """The last JSON object with a score of 1 to 5, as text; null without one."""
-    found = F.regexp_extract_all(unfenced(text), F.lit(r'\{[^{}]*"score"\s*:\s*[0-9]+[^{}]*\}'), F.lit(0))
+    found = F.regexp_extract_all(unfenced(text), F.lit(SCORED_OBJECT), F.lit(0))
     return _last(F.filter(found, lambda o: _grade(o, "score").isNotNull()))
 
 
 def judge_score(text: Column) -> Column:
     """The score: of the last valid object, else of the last ``"score": n``, else of a phrase in points."""
     body = unfenced(text)
-    broken = _last(F.regexp_extract_all(body, F.lit(r'"score"\s*:\s*([1-5])'), F.lit(1))).try_cast("double")
-    points = _last(F.regexp_extract_all(body, F.lit(r"(\d)\s*점\s*(?:기준|에 해당|입니다|[:.])"), F.lit(1)))
+    broken = _last(F.regexp_extract_all(body, F.lit(BROKEN_SCORE), F.lit(1))).try_cast("double")
+    points = _last(F.regexp_extract_all(body, F.lit(POINTS), F.lit(1)))
     points = points.try_cast("double")
     return F.coalesce(_grade(judge_object(text), "score"), broken, F.when(broken.isNull() & points.between(1, 5), points))
 
@@ -65,9 +72,9 @@ def _composite_of(obj: Column) -> Column:
 def quality_score(text: Column) -> Column:
     """The composite of the last object that has one, else of grades found in broken JSON."""
     body = unfenced(text)
-    objects = F.filter(F.regexp_extract_all(body, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda o: _composite_of(o).isNotNull())
+    objects = F.filter(F.regexp_extract_all(body, F.lit(ANY_OBJECT), F.lit(0)), lambda o: _composite_of(o).isNotNull())
     loose = lambda name: _last(
-        F.regexp_extract_all(body, F.lit(rf'"{name}"\s*:\s*([1-5])'), F.lit(1))
+        F.regexp_extract_all(body, F.lit(LOOSE_GRADE % name), F.lit(1))
     ).try_cast("double")
     return F.coalesce(_composite_of(_last(objects)), composite(*(loose(a) for a in AXES), loose("score")))
 
