@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
 
 TURN = "struct<role: string, text: string>"
 Get = Callable[[str, str], Column]
@@ -260,7 +259,7 @@ _HARD = "\\### Assistant: </turn> ok"
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = conversations_from_rows(table(spark, sf_dir, "conversations"))
+    stored = conversations_from_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     message = lambda role: F.struct(F.lit(role).alias("role"), F.lit(_HARD).alias("content"))
     extra = spark.range(1).select(
         F.lit(-7).cast("bigint").alias("conv_id"), F.array(message("user"), message("assistant")).alias("messages")

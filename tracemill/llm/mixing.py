@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import Workspace, table
+from .shared import Workspace
 
 LEVELS = ["domain", "lang", "source"]
 
@@ -134,7 +134,7 @@ def mixed(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _case(names: dict[str, object], key: str, default: str) -> str:
