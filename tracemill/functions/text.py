@@ -151,22 +151,32 @@ def _occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, also inside conditions and functions of list items."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ko_hedges(text: Column) -> Column:
-    low = F.lower(or_empty(text))
+    return bound(F.lower(or_empty(text)), _ko_hedges)
+
+
+def _ko_hedges(low: Column) -> Column:
     return reduce(Column.__add__, [_occurrences(low, p) for p in KO_HEDGES])
 
 
 def en_hedges(text: Column) -> Column:
     """Whole words, and phrases anywhere (one phrase may count within another)."""
-    low = F.lower(or_empty(text))
+    return bound(F.lower(or_empty(text)), _en_hedges)
+
+
+def _en_hedges(low: Column) -> Column:
     words = F.size(F.filter(F.split(low, r"(?U)\W+"), lambda w: w.isin(*EN_HEDGE_WORDS)))
     return reduce(Column.__add__, [_occurrences(low, p) for p in EN_HEDGE_PHRASES], words)
 
 
 def hedge_rate(text: Column) -> Column:
     """Hedges per hundred words; 0 for an empty text, which has none."""
-    # no condition around it: what stands inside one would be evaluated anew for each phrase
-    found = (ko_hedges(text) + en_hedges(text)).cast("double")
+    found = bound(F.lower(or_empty(text)), lambda low: _ko_hedges(low) + _en_hedges(low)).cast("double")
     return found / F.greatest(word_count(text), F.lit(1)) * 100
 
 

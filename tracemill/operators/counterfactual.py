@@ -25,10 +25,12 @@ def hedge_signals(orig_cot: Column, cf_cots: Column) -> Column:
     Rates of counterfactuals are rounded to four places before they are compared; a counterfactual
     without a think block has none.
     """
-    orig = X.hedge_rate(X.think_block(orig_cot))
-    each = F.transform(
-        cf_cots, lambda c: F.when(X.think_block(c) != "", F.bround(X.hedge_rate(X.think_block(c)), 4))
-    )
+    rate = lambda c: X.bound(X.think_block(c), lambda b: F.when(b != "", F.bround(X.hedge_rate(b), 4)))
+    rates = F.struct(X.hedge_rate(X.think_block(orig_cot)).alias("orig"), F.transform(cf_cots, rate).alias("each"))
+    return X.bound(rates, lambda r: _signals(r["orig"], r["each"]))
+
+
+def _signals(orig: Column, each: Column) -> Column:
     valid = F.filter(each, lambda r: r.isNotNull())
     mean = F.when(F.size(valid) > 0, F.aggregate(valid, F.lit(0.0), lambda a, r: a + r) / F.size(valid))
     return F.struct(
