@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import chat_format, decontamination, flac, jaccard_join, license_scan, line_dedup, lm_score, mixing, pii, toxicity
+from . import chat_format, decontamination, filter_audit, flac, jaccard_join, license_scan, line_dedup, lm_score, mixing, pii, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_flac": flac.op9_flac,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
