@@ -1,6 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import chat_format, decontamination, filter_audit, flac, jaccard_join, license_scan, line_dedup, lm_score, mixing, pii, toxicity
+from . import (
+    chat_format, decontamination, filter_audit, flac, jaccard_join, license_scan, line_dedup, lm_score, mixing, pii, sharding, toxicity,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +16,7 @@ QUERIES = {
     "op9_flac": flac.op9_flac,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op7_mixing": mixing.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op13_sharding": sharding.ORACLE,
 }
