@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from . import (
-    chat_format, decontamination, filter_audit, flac, jaccard_join, license_scan, line_dedup, lm_score, mixing, pii, sharding, toxicity,
+    chat_format, conversation_repair, decontamination, filter_audit, flac, jaccard_join, license_scan, line_dedup, lm_score, mixing, pii, sharding, toxicity,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_flac": flac.op9_flac,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_sharding": sharding.op13_sharding,
 }
 
