@@ -3,7 +3,9 @@ import zlib
 from hashlib import sha256
 from itertools import product
 
+import duckdb
 import pytest
+from helpers import oracle, same
 from pyspark.sql import functions as F
 
 from tracemill.llm import conversation_repair as R
@@ -184,6 +186,19 @@ def test_edges(spark):
     assert R.report(R.repaired(gone.limit(0))).collect() == []
 
 
+def test_oracle(spark, sf_small):
+    same(R.op12_conversation_repair(spark, sf_small).toPandas(), oracle(R.ORACLE, sf_small))
+
+
+def test_oracle_of_odd_conversations():
+    data = [*conversations(200, 5), (None, 1, "user", "Hi."), (None, None, "assistant", "Yo.")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", data)
+    got = con.execute(R.ORACLE).fetchall()
+    assert sorted(got, key=repr) == brute(damage(data))
+
+
 def test_repaired_turns(spark):
     data = [(1, 0, "assistant", "Hello."), (1, 1, "assistant", "Again."), (1, 2, "user", "Bye.")]
     rows = R.repaired(spark.createDataFrame(data, SCHEMA)).select("audit", F.explode("turns").alias("t")).select("audit", "t.*").collect()

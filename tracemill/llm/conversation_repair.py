@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Workspace, arrow_map, batch_of, map_batches, table
+from .sharding import CRC, bytes_sql, crc32_sql
 
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 KEEP, REROLE, DELETE, INSERT, CUT_OFF = 0, 2, 3, 2, 1
@@ -394,3 +395,69 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(repaired(damaged(table(spark, sf_dir, "conversations")), absent="absent"))
+
+
+def _least(*found: str) -> str:
+    return f"list_sort(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _step_sql(to: str) -> str:
+    """A turn that stays with an initial, from each state that may stand before it."""
+    edit = f"CASE WHEN m.role[1:1] = '{to}' THEN 'K' ELSE 'R' END"
+    cost = f"CASE WHEN m.role[1:1] = '{to}' THEN 0 ELSE 2 END + CASE WHEN m.fault = 't' THEN 1 ELSE 0 END"
+    name = "m.role" if to == "s" else f"CASE WHEN m.role[1:1] = '{to}' THEN m.role ELSE '{NAMES[to]}' END"
+    out = []
+    for state, more in ((s, n[to]) for s, n in NEEDS.items() if to in n):
+        own = {"-": "h0", "s": "h1", "u": "h2", "a": "h3"}[state]
+        turns = ", ".join([*(f"'{NAMES[c]}:'" for c in more), f"({name}) || ':' || m.text"])
+        out.append(
+            f"CASE WHEN {own} IS NOT NULL THEN {{c: {own}.c + {2 * len(more)} + {cost}, a: {own}.a || '{'I' * len(more)}' || {edit}, "
+            f"o: list_concat({own}.o, [{turns}])}} END"
+        )
+    rule = "m.role[1:1] = 's' AND " if to == "s" else ""
+    return f"CASE WHEN {rule}m.fault NOT IN ('b', 'd') THEN {_least(*out)} END"
+
+
+def _gone_sql(own: str) -> str:
+    return f"CASE WHEN {own} IS NOT NULL THEN {{c: {own}.c + 3, a: {own}.a || 'D', o: {own}.o}} END"
+
+
+def _end_sql(own: str, more: str) -> str:
+    return (
+        f"CASE WHEN {own} IS NOT NULL THEN {{c: {own}.c + {2 * len(more)}, a: {own}.a || '{'I' * len(more)}', "
+        f"o: list_concat({own}.o, {[f'{NAMES[c]}:' for c in more]}::VARCHAR[])}} END"
+    )
+
+
+_BEST = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR[])"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE = f"""
+WITH RECURSIVE {CRC},
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+k AS (SELECT r.*, {crc32_sql(bytes_sql('name'))} % 20 AS kind FROM r, crc),
+x AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  rtrim(text, {_WHITE}) AS body FROM x),
+m AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY i)[1:1] || role[1:1] AS pair FROM n),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, max(i) AS last,
+  count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{c: 0, a: '', o: []}}::{_BEST} AS h0, NULL::{_BEST} AS h1, NULL::{_BEST} AS h2, NULL::{_BEST} AS h3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, {_gone_sql('h0')}, {_least(_gone_sql('h1'), _step_sql('s'))},
+    {_least(_gone_sql('h2'), _step_sql('u'))}, {_least(_gone_sql('h3'), _step_sql('a'))}
+  FROM walk w JOIN m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1),
+e AS (SELECT w.conv_id, s.* EXCLUDE (conv_id, last),
+  {_least(*(_end_sql(h, NEEDS[c]['']) for h, c in zip(('h0', 'h1', 'h2', 'h3'), NEEDS, strict=True)))} AS best
+  FROM walk w LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(s.last, 0))
+SELECT conv_id, coalesce(CAST(gaps AS BIGINT), 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+  sha256(array_to_string(best.o, chr(10))) AS repaired_sha256 FROM e
+"""

@@ -1,7 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from . import (
-    chat_format, conversation_repair, decontamination, filter_audit, flac, jaccard_join, license_scan, line_dedup, lm_score, mixing, pii, sharding, toxicity,
+    chat_format, conversation_repair, decontamination, filter_audit, flac, jaccard_join, license_scan, line_dedup, lm_score, mixing, pii,
+    sharding, toxicity,
 )
 
 QUERIES = {
@@ -27,5 +28,6 @@ ORACLES = {
     "op7_mixing": mixing.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
     "op13_sharding": sharding.ORACLE,
 }
