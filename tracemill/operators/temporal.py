@@ -101,7 +101,7 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[tuple[str, str]],
 
 
 def session_starts(df: DataFrame, by: list[str], time: str, gap_micros: int, rows: int = RANGE_ROWS) -> DataFrame:
-    """``df`` with ``session_start``, in microseconds: the first time of a run of rows less than a gap apart.
+    """``df`` with ``session_start``, in microseconds: the first time of a run of rows no more than a gap apart.
 
     Rows with a null key are a key of their own; rows without a time are in no session and left out.
     """
@@ -126,7 +126,7 @@ def session_starts(df: DataFrame, by: list[str], time: str, gap_micros: int, row
 
     if upper:
         rows_in = joined(rows_in, handed(rows_in, F.col("_t"), "_carried")).withColumn("_prev", F.coalesce("_prev", "_carried")).drop("_carried")
-    start = F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= gap_micros), F.col("_t"))
+    start = F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > gap_micros), F.col("_t"))
     rows_in = rows_in.withColumn("_start", start)
     out = rows_in.withColumn("session_start", F.max("_start").over(order))  # with all rows of the same time
     if upper:

@@ -8,6 +8,7 @@ from tracemill.operators import temporal
 from tracemill.operators.ranges import as_long
 from tracemill.plans.fixtures import Tables
 from tracemill.plans.queries import query
+from tracemill.streaming import windows
 
 # --- joins in time
 
@@ -64,9 +65,9 @@ def purchases_after_errors(t: Tables):
 # --- sessions
 
 GAP_MICROS = 30 * 60 * 1_000_000
-#: Sessions as SQL sees them: a row at least the gap after its predecessor begins one.
+#: Sessions as SQL sees them: a row more than the gap after its predecessor begins one.
 SESSIONS = """
-g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS new_one
+g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS new_one
  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT *, sum(new_one) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM g),
 ses AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTES AS session_end, count(*) AS n_events,
@@ -81,3 +82,56 @@ def user_sessions(t: Tables):
     )
     ended = as_long(out, "last") + GAP_MICROS
     return out.select("user_id", as_long(out, "began").alias("started"), ended.alias("ended"), "n_events", "purchases")
+
+
+# --- streams: events arrive in four batches, some one or two batches late
+
+_ARRIVAL = "least(3, (extract(day FROM ts) - 1) // 10 + CASE WHEN event_id % 10 = 3 THEN 1 WHEN event_id % 50 = 7 THEN 2 ELSE 0 END)"
+#: The watermark by which a batch's rows are late: that of the batch before it.
+_LATE = """
+a AS (SELECT *, CAST({arrival} AS INT) AS batch FROM events),
+w AS (SELECT b.batch, coalesce((SELECT date_trunc('milliseconds', max(ts)) FROM a WHERE a.batch < b.batch) - INTERVAL {delay}, TIMESTAMP '1970-01-01') AS mark
+  FROM (SELECT unnest([-1, 0, 1, 2, 3]) AS batch) b),
+m AS (SELECT a.*, w.mark AS late FROM a JOIN w ON w.batch = a.batch - 1),
+z AS (SELECT mark AS final FROM w WHERE batch = 3)"""
+
+
+def _arrivals(t: Tables, late: bool = True):
+    """Batches of events, with time zones as streams need them."""
+    events = t["events"].select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    day = F.floor((F.dayofmonth("ts") - 1) / 10)
+    more = F.when(F.col("event_id") % 10 == 3, 1).when((F.col("event_id") % 50 == 7) & F.lit(late), 2).otherwise(0)
+    batch = F.least(F.lit(3), day + more)
+    return [events.where(batch == i) for i in range(4)]
+
+
+@query(f"""WITH {_LATE.format(arrival=_ARRIVAL, delay='2 DAYS')},
+ x AS (SELECT *, time_bucket(INTERVAL 6 HOURS, ts) - k * INTERVAL 6 HOURS AS started FROM m, (SELECT unnest([0, 1, 2, 3]) AS k))
+ SELECT epoch_us(started) AS started, event_type, count(*) AS n, max(event_id) AS greatest FROM x, z
+ WHERE started + INTERVAL 24 HOURS > late AND started + INTERVAL 24 HOURS <= final GROUP BY started, event_type""")
+def sliding_windows(t: Tables):
+    """Events of a day, every six hours, with rows dropped that come after their window was emitted."""
+    plan = lambda s: windows.sliding(
+        s, "ts", "2 days", "24 hours", "6 hours", ["event_type"], n=F.count(F.lit(1)), greatest=F.max("event_id")
+    )
+    out = windows.run_batches(t.spark, _arrivals(t), plan, "sliding")
+    return out.select(F.unix_micros("started").alias("started"), "event_type", "n", "greatest")
+
+
+@query(f"""WITH {SESSIONS}, {_LATE.format(arrival=_ARRIVAL.replace('WHEN event_id % 50 = 7 THEN 2 ', ''), delay='21 DAYS')}
+ SELECT user_id, epoch_us(session_start) AS started, epoch_us(session_end) AS ended, n_events, purchases FROM ses, z WHERE session_end <= final""")
+def session_stream(t: Tables):
+    """Sessions as a stream emits them: those that the watermark has passed, late rows included."""
+    plan = lambda s: windows.session_stream(
+        s, "ts", "21 days", "30 minutes", ["user_id"], n_events=F.count(F.lit(1)), purchases=F.count_if(F.col("event_type") == "purchase")
+    )
+    out = windows.run_batches(t.spark, _arrivals(t, late=False), plan, "sessions")
+    return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n_events", "purchases")
+
+
+@query()
+def first_sightings(t: Tables):
+    """The first event of each user and type, and again a week later."""
+    plan = lambda s: windows.first_seen(s, ["user_id", "event_type"], "ts", "1 day", 7 * 86_400_000)
+    out = windows.run_batches(t.spark, _arrivals(t), plan, "first-seen")
+    return out.select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("first"))
