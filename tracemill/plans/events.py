@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import temporal
+from tracemill.functions import tables
+from tracemill.operators import rollups, temporal
 from tracemill.operators.ranges import as_long
 from tracemill.plans.fixtures import Tables
 from tracemill.plans.queries import query
 from tracemill.streaming import windows
+from tracemill.workspace import Workspace
 
 # --- joins in time
 
@@ -135,3 +137,79 @@ def first_sightings(t: Tables):
     plan = lambda s: windows.first_seen(s, ["user_id", "event_type"], "ts", "1 day", 7 * 86_400_000)
     out = windows.run_batches(t.spark, _arrivals(t), plan, "first-seen")
     return out.select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("first"))
+
+
+# --- cubes, sketches, table functions
+
+
+@query("""SELECT CAST(GROUPING(o_orderstatus, priority, year) AS INT) AS level, o_orderstatus, priority, year,
+ count(DISTINCT o_custkey) AS "distinct", count(*) AS lines, CAST(sum(l_quantity) AS BIGINT) AS quantity
+ FROM (SELECT *, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority, CAST(extract(year FROM o_orderdate) AS INT) AS year
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY CUBE (o_orderstatus, priority, year)""")
+def cube_customers(t: Tables):
+    """Distinct customers, lines and quantity by status, priority (null: not specified) and year, with all totals."""
+    orders = t["orders"].select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.year("o_orderdate").alias("year"),
+        F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("priority"),
+    )
+    rows = t["lineitem"].select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity").join(orders, "o_orderkey")
+    lines, quantity = F.lit(1).cast("long"), F.col("l_quantity").cast("long")
+    return rollups.cube_distinct(rows, ["o_orderstatus", "priority", "year"], F.col("o_custkey"), lines=lines, quantity=quantity)
+
+
+def _day_sketches(t: Tables):
+    """Sketches by day and type, stored."""
+    events = t["events"].withColumn("day", F.to_date("ts"))
+    return Workspace(t.spark, "sketches").save(rollups.sketches(events, ["day", "event_type"], "user_id", "value", "props"), "by-day")
+
+
+@query()
+def sketch_rollups(t: Tables):
+    """Estimates by type and by day, from one stored table of sketches by day and type."""
+    stored = _day_sketches(t)
+    by_type = rollups.estimates(rollups.rolled_up(stored, ["event_type"])).withColumn("day", F.lit(None).cast("date"))
+    by_day = rollups.estimates(rollups.rolled_up(stored, ["day"])).withColumn("event_type", F.lit(None).cast("string"))
+    return by_type.unionByName(by_day)
+
+
+@query("""SELECT event_type, count(*) AS n, true AS distinct_holds, true AS quantiles_hold, true AS counts_hold FROM events GROUP BY event_type""")
+def sketch_errors(t: Tables):
+    """Whether rolled-up sketches keep their bounds against exact numbers: distinct users, ranks of quantiles, counts of items."""
+    found = rollups.estimates(rollups.rolled_up(_day_sketches(t), ["event_type"]))
+    rows = t["events"].join(F.broadcast(found.select("event_type", "quantiles")), "event_type")  # a row for each type
+    exact = rows.groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("rows"),
+        *(F.count_if(F.col("value") < F.col("quantiles")[i]).alias(f"under{i}") for i in (0, 1)),
+        *(F.count_if(F.col("value") <= F.col("quantiles")[i]).alias(f"upto{i}") for i in (0, 1)),
+    )
+    held = lambda i, q: (F.col(f"under{i}") <= F.col("rows") * (q + 0.01)) & (F.col(f"upto{i}") >= F.col("rows") * (q - 0.01))
+    items = t["events"].groupBy("event_type", "props").agg(F.count(F.lit(1)).alias("c"))
+    wrong = found.select("event_type", F.inline("top")).withColumnRenamed("item", "props").join(items, ["event_type", "props"], "left")
+    wrong = wrong.groupBy("event_type").agg(F.bool_and(F.col("count").eqNullSafe(F.col("c"))).alias("counts_hold"))
+    out = found.join(exact, "event_type").join(wrong, "event_type")
+    return out.select(
+        "event_type", "n", (F.abs(F.col("distinct") - F.col("users")) <= F.col("users") * 0.05).alias("distinct_holds"),
+        (held(0, 0.5) & held(1, 0.9)).alias("quantiles_hold"), "counts_hold",
+    )
+
+
+@query("""SELECT event_id, k AS path, props ->> k AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
+def event_properties(t: Tables):
+    """A row for each property of an event, by a lateral table function."""
+    tables.register(t.spark)
+    return t.spark.sql("SELECT e.event_id, p.path, p.value FROM {events} e, LATERAL json_paths(e.props) p", events=t["events"])
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER w AS i, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS new_one
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ r AS (SELECT *, sum(new_one) OVER (PARTITION BY user_id ORDER BY i) AS nth FROM o)
+ SELECT user_id, CAST(nth AS BIGINT) AS nth, event_type, count(*) AS n, arg_min(event_id, i) AS first_id, arg_max(event_id, i) AS last_id
+ FROM r GROUP BY user_id, nth, event_type""")
+def event_runs(t: Tables):
+    """Runs of one type in a user's events, by a table function over ordered rows."""
+    tables.register(t.spark)
+    rows = t["events"].select("user_id", "event_id", "event_type", "ts")
+    return t.spark.sql(
+        "SELECT key AS user_id, nth, kind AS event_type, n, first_id, last_id "
+        "FROM event_runs(TABLE(SELECT * FROM {rows}) PARTITION BY user_id ORDER BY (ts, event_id))", rows=rows
+    )
