@@ -51,9 +51,13 @@ TRAILING_ANSWER = rf"(?iU)\s*{CONNECTIVES}{ANSWER_WORD}\s*[:：]\s*\(?[A-E]\)?\.
 THINK = r"(?is)<think>(.*?)</think>"
 
 
+#: The characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at both ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def or_empty(text: Column) -> Column:
@@ -311,7 +315,9 @@ def script_shares(text: Column) -> Column:
 
 
 def hangul_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(or_empty(text), "[^가-힣ㄱ-ㅎㅏ-ㅣ]++", ""))
+    """Hangul letters; what comes before all Hangul goes first, in whole runs of one range, which is far faster."""
+    later = F.regexp_replace(or_empty(text), "[\\x00-\\u10FF]++", "")
+    return F.length(F.regexp_replace(later, "[^가-힣ㄱ-ㅎㅏ-ㅣ]++", ""))
 
 
 def latin_count(text: Column) -> Column:
@@ -325,10 +331,17 @@ def shares_of(ko: Column, en: Column) -> Column:
 
 def think_language(text: Column, shares: Column | None = None, mixed: float = 0.2) -> Column:
     """korean, english, mixed, other or undetermined from language shares; null for an empty text."""
-    # in a list of one, so that the shares are counted once and not in each branch
-    own = F.array(script_shares(text) if shares is None else shares)
-    found = F.transform(own, lambda s: language_of(s, mixed))
-    return F.when(strip(or_empty(text)) != "", found[0])
+    if shares is None:
+        # both counts in a list of one: an inlined count would be taken again for each field that reads it
+        counts = F.struct(hangul_count(text).alias("ko"), latin_count(text).alias("en"))
+        found = bound(counts, lambda c: language_of_counts(c["ko"], c["en"], mixed))
+    else:
+        found = bound(shares, lambda s: language_of(s, mixed))
+    return F.when(strip(or_empty(text)) != "", found)
+
+
+def language_of_counts(ko: Column, en: Column, mixed: float = 0.2) -> Column:
+    return language_of(shares_of(ko, en), mixed)
 
 
 def language_of(shares: Column, mixed: float = 0.2) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracemill.config import RuleGates
 from tracemill.functions import text as X
 from tracemill.operators.gates import measured, passes_all, rule_verdicts
-from tracemill.operators.once import first_ids, once, running
+from tracemill.operators.once import first_ids, pinned, running
 from tracemill.schemas import ARMS
 from tracemill.sources.records import record_id
 
@@ -28,21 +28,20 @@ def unified(traces: DataFrame, bank: DataFrame, limits: RuleGates = RuleGates())
     ``unmatched`` counts them.
     """
     rows = traces.join(bank.select(*KEY, "question", "choices", "gold"), KEY)
-    rows = measured(once(rows, think=X.think_text(F.col("reasoning_content"), F.col("reasoning"))), "think")
+    rows, m = measured(pinned(rows, think=X.think_text(F.col("reasoning_content"), F.col("reasoning"))), "think")
     gold = F.substr(F.lit("ABCDE"), F.col("gold") + 1, F.lit(1))
-    rows = once(rows, c1=rule_verdicts(F.col("measures"), F.col("predicted"), gold, limits))
-    shares = X.shares_of(F.col("measures.hangul_letters"), F.col("measures.latin_letters"))
-    spoken = F.when(F.col("measures.chars") > 0, X.language_of(shares))
+    c1 = rule_verdicts(m, F.col("predicted"), gold, limits)
+    spoken = F.when(m["chars"] > 0, X.language_of(X.shares_of(m["hangul_letters"], m["latin_letters"])))
     none = F.lit(None).cast("boolean")
-    flags = {"C0": F.lit(True), "C1": passes_all(F.col("c1")), "C2": none, "C3": none, "C_rand": none}
+    flags = {"C0": F.lit(True), "C1": passes_all(c1), "C2": none, "C3": none, "C_rand": none}
     return rows.select(
         record_id(F.col("subset"), F.col("sample_idx")).alias("id"), F.col("subset").alias("subject"), "sample_idx",
-        "question", "choices", F.col("gold").cast("int").alias("gold"), "think", (F.col("measures.chars") > 0).alias("has_think"),
-        X.letter(F.col("predicted")).alias("final_answer"), F.col("measures.words").cast("long").alias("tokens"),
-        F.bround(F.expr("CASE WHEN measures.words > 0 THEN measures.latin / measures.words ELSE 0.0D END"), 4).alias("en_ratio"),
+        "question", "choices", F.col("gold").cast("int").alias("gold"), "think", (m["chars"] > 0).alias("has_think"),
+        X.letter(F.col("predicted")).alias("final_answer"), m["words"].cast("long").alias("tokens"),
+        F.bround(F.when(m["words"] > 0, m["latin"] / m["words"]).otherwise(0.0), 4).alias("en_ratio"),
         F.struct(*(flags[a].alias(a) for a in ARMS)).alias("filters"),
         F.struct(
-            "c1", (F.col("think_lang") if "think_lang" in rows.columns else spoken).alias("think_lang"),
+            c1.alias("c1"), (F.col("think_lang") if "think_lang" in rows.columns else spoken).alias("think_lang"),
             F.lit(None).cast("double").alias("c2_score"), F.lit(None).cast("double").alias("gap"),
             F.lit(None).cast("double").alias("orig_score"),
         ).alias("signals"),
@@ -140,8 +139,9 @@ def stratified_top(ranked: DataFrame, quotas: DataFrame, n: int, fill: bool = Tr
 
     ``ranked`` has ``id``, ``subject`` and ``place``, an expression of order with smaller first.
     """
+    # no row beyond the n-th of its subject can be chosen, so tasks drop those before any shuffle
     each = W.partitionBy("subject").orderBy("place", "id")
-    rows = ranked.withColumn("_r", F.row_number().over(each)).join(F.broadcast(quotas.select("subject", "quota")), "subject")
+    rows = ranked.withColumn("_r", F.row_number().over(each)).where(F.col("_r") <= n).join(F.broadcast(quotas.select("subject", "quota")), "subject")
     rows = rows.withColumn("_in", F.col("_r") <= F.col("quota"))
     if not fill:
         return rows.where("_in").select("id", "subject")
@@ -183,8 +183,14 @@ def length_matched(hub: DataFrame, target: str, bins: int = 20, seed: int = 42)
     edges = quantile_edges(pool, bins).agg(F.array_sort(F.collect_list(F.struct("bin", "hi")))["hi"].alias("edges"))  # one row
     pool = pool.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of(F.col("tokens"), F.col("edges")))
     wanted = pool.where("t").groupBy("bin").agg(F.count(F.lit(1)).alias("want"))
-    order = W.partitionBy("bin").orderBy(by_hash(seed, F.col("id")), "id")
-    return pool.join(F.broadcast(wanted), "bin").withColumn("r", F.row_number().over(order)).where("r <= want").select("id", "bin")
+    rows = pool.select("id", "bin", by_hash(seed, F.col("id")).alias("h")).withColumn("_range", F.left("h", F.lit(3)))
+    counts = rows.groupBy("bin", "_range").agg(F.count(F.lit(1)).alias("c"))  # 4096 rows a bin at most
+    upto = F.sum("c").over(W.partitionBy("bin").orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow))
+    counts = counts.withColumn("upto", upto).join(F.broadcast(wanted), "bin").where("upto - c < want")
+    rows = rows.join(F.broadcast(counts), ["bin", "_range"])
+    edge = rows.where("upto > want")  # a bin is put in order only within the one range in which its share ends
+    edge = edge.withColumn("r", F.row_number().over(W.partitionBy("bin", "_range").orderBy("h", "id"))).where("upto - c + r <= want")
+    return rows.where("upto <= want").select("id", "bin").unionByName(edge.select("id", "bin"))
 
 
 def selection_summary(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill.config import RuleGates
 from tracemill.functions import text as X
-from tracemill.operators.once import once
+from tracemill.operators.once import pinned
 from tracemill.schemas import FILTER_RECORD, GATES
 
 
@@ -66,20 +66,24 @@ def is_correct(predicted: Column, answer: Column) -> Column:
     return predicted == answer
 
 
-def measured(df: DataFrame, text: str, name: str = "measures") -> DataFrame:
-    """``df`` with a struct of what the gates measure of a text; the text is split and searched once."""
-    body = X.or_empty(F.col(text))
-    parts = once(df, _tokens=X.tokens(body))
-    found = F.struct(
-        F.length(body).alias("chars"), body.contains("```").alias("fenced"), X.garbage_count(body).alias("garbage"),
-        F.size("_tokens").alias("words"), F.coalesce(F.array_max(F.transform("_tokens", F.length)), F.lit(0)).alias("longest"),
-        F.size(F.filter("_tokens", lambda x: x.rlike("[A-Za-z]{2,}"))).alias("latin"),
-        X.hangul_count(body).alias("hangul_letters"), X.latin_count(body).alias("latin_letters"),
-    )
-    return once(parts, **{name: found}).drop("_tokens")
+def measured(df: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with columns for what the gates measure of a text, and these by name; the text is split and searched once.
 
+    Each measure is a column of its own and not a field of one, so what no plan reads is not measured.
+    """
+    body, hold = X.or_empty(F.col(text)), lambda n: f"_measured_{n}"
+    tokens = hold("tokens")
+    parts = pinned(df, **{tokens: X.tokens(body)})
+    found = {
+        "chars": F.length(body), "fenced": body.contains("```"), "garbage": X.garbage_count(body), "words": F.size(tokens),
+        "longest": F.coalesce(F.array_max(F.transform(tokens, F.length)), F.lit(0)),
+        "latin": F.size(F.filter(tokens, lambda x: x.rlike("[A-Za-z]{2,}"))),
+        "hangul_letters": X.hangul_count(body), "latin_letters": X.latin_count(body),
+    }
+    return pinned(parts, **{hold(n): c for n, c in found.items()}), {n: F.col(hold(n)) for n in found}
 
-def rule_verdicts(measures: Column, predicted: Column, gold: Column, limits: RuleGates = RuleGates()) -> Column:
+
+def rule_verdicts(measures: dict[str, Column], predicted: Column, gold: Column, limits: RuleGates = RuleGates()) -> Column:
     """The four rule gates, from ``measured``; ``predicted`` and ``gold`` are letters."""
     answered, some = X.letter(predicted), measures["chars"] > 0
     clean = measures["garbage"] / F.greatest(measures["chars"], F.lit(1)) <= limits.garbage_ratio_max

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import judge as J
 from tracemill.functions import prompts
 from tracemill.functions import text as X
+from tracemill.operators.once import numbered
 from tracemill.operators.scoring import scored
 from tracemill.schemas import LETTERS
 from tracemill.workspace import Workspace
@@ -135,9 +136,8 @@ def compared(
     """
     texts = F.filter("cfs", lambda c: X.or_empty(c["cf_cot"]) != "")
     work = samples.withColumn("cfs", texts).where(F.size("cfs") > 0)
-    work = Workspace(samples.sparkSession, "compared").save(
-        work.withColumn("at", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("id")) - 1).cast("long")), "work"
-    )
+    places = numbered(work.select("id"), [], ["id"], "at")  # of ids alone, without their texts
+    work = Workspace(samples.sparkSession, "compared").save(work.join(places, "id"), "work")
 
     def both(rows: DataFrame) -> DataFrame:
         shared = ["id", "at", "question", "choices"]

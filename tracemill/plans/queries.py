@@ -58,12 +58,19 @@ def _decided(t: Tables) -> DataFrame:
     return s.select("id", gate.passed.alias("passed"), gate.score.alias("gap"), F.col("orig").alias("orig_score"))
 
 
-def _scored_hub(t: Tables) -> DataFrame:
-    """The hub with C3 and quality scores, without texts, written once: what rankings read."""
+def _lazy_hub(t: Tables) -> DataFrame:
+    """The hub with C3 and quality scores, without texts: a plan, for queries that read it once."""
     c2 = t["fx_c2"].select(records.record_id(F.col("subset"), F.col("sample_idx")).alias("id"), (F.col("c2_sum") / 3).alias("_q"))
     hub = arms.merge_c3(_hub(t), _decided(t)).join(c2, "id", "left")
     hub = hub.withColumn("signals", F.col("signals").withField("c2_score", F.col("_q")))
-    slim = hub.select("id", "subject", "sample_idx", "has_think", "tokens", "filters", "signals", "gold", "final_answer")
+    return hub.select("id", "subject", "sample_idx", "has_think", "tokens", "filters", "signals", "gold", "final_answer")
+
+
+def _scored_hub(t: Tables) -> DataFrame:
+    """The same, written: for rankings, which read it several times.  What no ranking reads is not measured."""
+    slim = _lazy_hub(t)
+    signals = F.col("signals")
+    slim = slim.withColumn("signals", F.struct(signals["gap"].alias("gap"), signals["c2_score"].alias("c2_score")))
     return Workspace(t.spark, "hub").save(slim, "scored")
 
 
@@ -323,13 +330,13 @@ _FLAGS = "count(*) FILTER (f1) AS \"C1\", count(*) FILTER (f3) AS \"C3\""
 @query(f"""WITH {_HUB} SELECT coalesce(subset, 'ALL') AS subject, count(*) AS "C0", {_FLAGS}, 0 AS "C2", 0 AS "C_rand",
  count(*) FILTER (f1 AND f3 IS NOT NULL AND NOT f3) AS c1_not_c3 FROM hub GROUP BY ROLLUP (subset)""", *_HUB_VIEWS)
 def arm_sizes(t: Tables) -> DataFrame:
-    m = arms.arm_matrix(_scored_hub(t))
+    m = arms.arm_matrix(_lazy_hub(t))
     return m.withColumn("C2", F.col("C2").cast("int")).withColumn("C_rand", F.col("C_rand").cast("int"))
 
 
 @query(f"WITH {_HUB} SELECT id, f1, f3 FROM hub", *_HUB_VIEWS)
 def merge_c3(t: Tables) -> DataFrame:
-    return _scored_hub(t).select("id", F.col("filters.C1").alias("f1"), F.col("filters.C3").alias("f3"))
+    return _lazy_hub(t).select("id", F.col("filters.C1").alias("f1"), F.col("filters.C3").alias("f3"))
 
 
 @query(f"""WITH {_HUB} SELECT id FROM hub WHERE f1 AND c2 IS NOT NULL ORDER BY c2 DESC, id LIMIT (SELECT count(*) FILTER (f3) FROM hub)""", *_HUB_VIEWS)
@@ -346,14 +353,14 @@ def make_crand(t: Tables) -> DataFrame:
 SELECT 'C0' AS a, 'C0' AS b, c0 AS n FROM c UNION ALL SELECT 'C0', 'C1', c1 FROM c UNION ALL SELECT 'C0', 'C3', c3 FROM c
 UNION ALL SELECT 'C1', 'C1', c1 FROM c UNION ALL SELECT 'C1', 'C3', c13 FROM c UNION ALL SELECT 'C3', 'C3', c3 FROM c""", *_HUB_VIEWS)
 def arm_overlap(t: Tables) -> DataFrame:
-    return arms.overlaps(_scored_hub(t), ("C0", "C1", "C3"))
+    return arms.overlaps(_lazy_hub(t), ("C0", "C1", "C3"))
 
 
 @query(f"""WITH {_HUB}, r AS (SELECT NOT f1 AS x1, f1 AND NOT coalesce(c2 >= 4, false) AS x2, f1 AND NOT coalesce(f3, false) AS x3 FROM hub)
 SELECT count(*) FILTER (x1) AS c1, count(*) FILTER (x2) AS c2, count(*) FILTER (x3) AS c3, count(*) FILTER (x2 AND x3) AS both,
  count(*) FILTER (x2 AND NOT x3) AS only_c2, count(*) FILTER (x3 AND NOT x2) AS only_c3 FROM r""", *_HUB_VIEWS)
 def rejected_sets(t: Tables) -> DataFrame:
-    hub = _scored_hub(t).withColumn("filters", F.col("filters").withField("C2", F.col("signals.c2_score") >= 4))
+    hub = _lazy_hub(t).withColumn("filters", F.col("filters").withField("C2", F.col("signals.c2_score") >= 4))
     return arms.rejected_counts(arms.rejected_sets(hub))
 
 
@@ -361,7 +368,7 @@ def rejected_sets(t: Tables) -> DataFrame:
  sha256(rtrim({_THINK}, ' ' || chr(10)) || chr(10) || '정답: ' || coalesce(predicted, substr('ABCDE', h.gold + 1, 1))) AS said
  FROM hub h JOIN documents d ON d.doc_id = h.doc_id WHERE f3""", *_HUB_VIEWS)
 def sft_export(t: Tables) -> DataFrame:
-    rows = arms.export_chat(_with_texts(t, _scored_hub(t).where("filters.C3")), "C3", "Solve the question. Reason first, then answer on the last line.")
+    rows = arms.export_chat(_with_texts(t, _lazy_hub(t).where("filters.C3")), "C3", "Solve the question. Reason first, then answer on the last line.")
     return rows.select(F.col("meta.id").alias("id"), F.size("messages").alias("messages"), F.col("meta.gold").alias("gold"), F.col("meta.answer_used").alias("answer_used"), F.sha2(F.col("messages")[1]["content"], 256).alias("said"))
 
 
@@ -376,7 +383,7 @@ quota AS (SELECT subset, c, CAST(whole + CASE WHEN row_number() OVER (ORDER BY r
 
 @query(f"WITH {_HUB}, {_QUOTA} SELECT subset AS subject, c AS \"count\", quota FROM quota", *_HUB_VIEWS)
 def largest_remainder(t: Tables) -> DataFrame:
-    return arms.largest_remainder(_scored_hub(t).where("filters.C1").groupBy("subject").count(), 100)
+    return arms.largest_remainder(_lazy_hub(t).where("filters.C1").groupBy("subject").count(), 100)
 
 
 @query(f"""WITH {_HUB}, {_QUOTA}, r AS (SELECT id, hub.subset AS subject, gap, row_number() OVER (PARTITION BY hub.subset ORDER BY gap DESC, id) <= quota AS inq
@@ -387,7 +394,7 @@ def stratified_topn(t: Tables) -> DataFrame:
 
 @query(f"WITH {_HUB} SELECT id, subset AS subject FROM hub WHERE f1 AND c2 IS NOT NULL ORDER BY c2 DESC, id LIMIT 50", *_HUB_VIEWS)
 def low_data_c2(t: Tables) -> DataFrame:
-    return arms.low_data(_scored_hub(t), "C2", 50, stratified=False)
+    return arms.low_data(_lazy_hub(t), "C2", 50, stratified=False)
 
 
 _EDGES = f"""
@@ -412,7 +419,7 @@ def length_matched(t: Tables) -> DataFrame:
 SELECT count(*) AS n, sum(words) / count(*) AS mean_tokens, avg(gap) AS mean_gap, avg(c2) AS mean_c2,
  (SELECT '{{' || string_agg('"' || subset || '":' || n, ',' ORDER BY subset) || '}}' FROM s) AS subjects FROM hub WHERE f3""", *_HUB_VIEWS)
 def selection_summary(t: Tables) -> DataFrame:
-    rows = _scored_hub(t).where("filters.C3")
+    rows = _lazy_hub(t).where("filters.C3")
     return arms.selection_summary(rows.select("subject", "tokens", F.col("signals.gap").alias("gap"), F.col("signals.c2_score").alias("c2_score")))
 
 

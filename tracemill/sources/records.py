@@ -7,11 +7,11 @@ import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions import text as X
+from tracemill.operators.once import numbered
 from tracemill.schemas import FILTER_RECORD
 from tracemill.workspace import delete, exists, move, read_text, write_text
 
@@ -106,8 +106,7 @@ def to_scored(df: DataFrame) -> DataFrame:
 
 def with_positions(bank: DataFrame, *stable: str, subset: str = "subset", position: str = "sample_idx") -> DataFrame:
     """A question bank's position within each subset, where the source has none: by a stable order, from 0."""
-    order = W.partitionBy(subset).orderBy(*stable)
-    return bank if position in bank.columns else bank.withColumn(position, (F.row_number().over(order) - 1).cast("long"))
+    return bank if position in bank.columns else numbered(bank, [subset], list(stable), position)
 
 
 def is_counterfactual(df: DataFrame) -> bool:
