@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tracemill import schemas
 from tracemill.config import GapGate, RuleGates, load, number_or_none
+from tracemill.functions import judge
 from tracemill.operators import arms, calibration, counterfactual, gates, scoring, stats
+from tracemill.operators.once import first_by_hash, first_ids, in_ranges, numbered, running
 from tracemill.plans import pipeline
 from tracemill.sources import records
 from tracemill.streaming.resume import score_arriving
@@ -252,7 +255,6 @@ def test_mixture_equals_a_plain_one(spark):
 def test_running_sums_and_first_ids(spark):
     import random
 
-    from tracemill.operators.once import first_ids, running
 
     rng = random.Random(2)
     values = sorted({round(rng.expovariate(0.1), 2) for _ in range(500)})
@@ -268,6 +270,44 @@ def test_running_sums_and_first_ids(spark):
         size = spark.createDataFrame([(n,)], "n long")
         want = [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:n]]
         assert sorted(r.id for r in first_ids(pool, size, -F.col("s"), "id").collect()) == sorted(want)
+    hashed = pool.select("id", F.md5("id").alias("h")).unionAll(pool.select("id", F.lit("0" * 32).alias("h")))
+    want = [i for i, _ in rows] + [i for _, i in sorted((hashlib.md5(i.encode()).hexdigest(), i) for i, _ in rows)]
+    for n in (0, 60, 137, 500):
+        size = spark.createDataFrame([(n,)], "n long")
+        assert sorted(r.id for r in first_by_hash(hashed, size).collect()) == sorted(want[:n])
+
+
+def test_places_in_groups(spark):
+    """A group with half of all rows is numbered in ranges, none of which has more than twice the median rows."""
+    rows = [("hot" if i % 2 else f"g{i % 5}" if i % 3 else None, f"k{i * 7919 % 1000:04d}" if i % 17 else None, i) for i in range(1000)]
+    table = spark.createDataFrame(rows, "g string, k string, i long").repartition(3)
+    found = {r.i: r.at for r in numbered(table, ["g"], ["k", "i"], "at", 16).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1], r[2]))
+        want |= {r[2]: n for n, r in enumerate(order)}
+    assert found == want
+    counts = sorted(r["count"] for r in in_ranges(table.where("g = 'hot' AND k IS NOT NULL"), "k", 16).groupBy("_range").count().collect())
+    assert len(counts) >= 15 and counts[-1] <= 2 * counts[len(counts) // 2]
+    assert numbered(table.limit(0), [], ["k"], "at").collect() == []
+
+
+def test_quoted_grades_are_none(spark):
+    texts = ['{"justification": "4", "coherence": "3", "clarity": "5"}', '{"justification": 4, "coherence": 3, "clarity": 5}', '{"score": "4"}', '{"score": 4}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(judge.quality_score(F.col("t")).alias("q")).collect()
+    assert [r.q for r in rows] == [None, 4.0, None, 4.0]
+
+
+def test_mixture_of_many_values_is_fitted_on_few_bins(spark):
+    """A continuous score has as many bins as the bound, and the fit of all values to within their width."""
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(0, 1, 15_000), draw.normal(6, 1.5, 15_000)])
+    table = spark.createDataFrame([(float(v),) for v in x], "v double")
+    assert calibration.binned(table, "v", 64).count() <= 65
+    want = calibration.two_components(np.sort(x), np.ones(len(x)))
+    row = calibration.mixture(table, "v").first()
+    assert all(math.isclose(a, b, rel_tol=1e-4, abs_tol=1e-4) for a, b in zip(row, [*want.mu, *want.var, *want.weight]))
+    assert math.isclose(row.bic2, want.bic2, rel_tol=1e-6) and math.isclose(row.crossover, want.crossover, abs_tol=0.05)
 
 
 def test_error_function(spark):

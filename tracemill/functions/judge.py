@@ -25,8 +25,9 @@ def unfenced(text: Column) -> Column:
 
 
 def _number(obj: Column, path: str) -> Column:
-    raw = F.get_json_object(obj, f"$.{path}")
-    return raw.try_cast("double")
+    """A field that is a number; digits in quotes are none."""
+    plain = obj.rlike(rf'"{path}"\s*:\s*[-0-9]')
+    return F.when(plain, F.get_json_object(obj, f"$.{path}").try_cast("double"))
 
 
 def _grade(obj: Column, path: str) -> Column:

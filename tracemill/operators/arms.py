@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracemill.config import RuleGates
 from tracemill.functions import text as X
 from tracemill.operators.gates import measured, passes_all, rule_verdicts
-from tracemill.operators.once import first_ids, pinned, running
+from tracemill.operators.once import first_by_hash, first_ids, pinned, running
 from tracemill.schemas import ARMS
 from tracemill.sources.records import record_id
 
@@ -80,17 +80,31 @@ def _chosen(hub: DataFrame, chosen: DataFrame, arm: str) -> DataFrame:
     return rows.withColumn("filters", F.col("filters").withField(arm, F.coalesce("_in", F.lit(False)))).drop("_in")
 
 
-def merge_c2(hub: DataFrame) -> DataFrame:
-    """``C2``: as many of C1 as C3 holds, by general quality score, ties by id; none without C3 or scores."""
+def c2_ids(hub: DataFrame) -> DataFrame:
+    """As many of C1 as C3 holds, by general quality score, ties by id; none without C3 or scores."""
     pool = hub.where("filters.C1 AND signals.c2_score IS NOT NULL").select("id", F.col("signals.c2_score").alias("s"))
-    return _chosen(hub, first_ids(pool, size_of(hub, "C3"), -F.col("s"), "id"), "C2")
+    return first_ids(pool, size_of(hub, "C3"), -F.col("s"), "id")
 
 
-def make_crand(hub: DataFrame, seed: int = 42) -> DataFrame:
-    """``C_rand``: as many of C1 as C3 holds, by hash of seed and id."""
+def crand_ids(hub: DataFrame, seed: int = 42) -> DataFrame:
+    """As many of C1 as C3 holds, by hash of seed and id."""
     pool = hub.where("filters.C1").select("id", by_hash(seed, F.col("id")).alias("h"))
-    place = F.conv(F.left("h", F.lit(5)), 16, 10).cast("long")  # a million stretches of the hash
-    return _chosen(hub, first_ids(pool, size_of(hub, "C3"), place, "h", "id"), "C_rand")
+    return first_by_hash(pool, size_of(hub, "C3"))
+
+
+def merge_c2(hub: DataFrame) -> DataFrame:
+    """``C2`` of a hub, which should be written: rankings read it several times."""
+    return _chosen(hub, c2_ids(hub), "C2")
+
+
+def make_crand(hub: DataFrame, seed: int = 42) -> DataFrame:
+    """``C_rand`` of a hub, which should be written."""
+    return _chosen(hub, crand_ids(hub, seed), "C_rand")
+
+
+def merge_ranked(hub: DataFrame, seed: int = 42) -> DataFrame:
+    """``C2`` and ``C_rand``, both ranked on the hub as it is: one after the other would read the first for each scan of the second."""
+    return _chosen(_chosen(hub, c2_ids(hub), "C2"), crand_ids(hub, seed), "C_rand")
 
 
 def by_hash(seed: int, key: Column) -> Column:

@@ -96,11 +96,16 @@ def _density(x: np.ndarray, mu: float, var: float) -> np.ndarray:
     return np.exp(-((x - mu) ** 2) / (2 * var)) / math.sqrt(2 * math.pi * var)
 
 
-def two_components(values: np.ndarray, counts: np.ndarray, rounds: int = 300, floor: float = 0.05, steps: int = 400) -> Mixture:
-    """Two normal components by EM over distinct values with counts; the order of values is ascending."""
+def two_components(
+    values: np.ndarray, counts: np.ndarray, within: np.ndarray | float = 0.0, rounds: int = 300, floor: float = 0.05, steps: int = 400
+) -> Mixture:
+    """Two normal components by EM over values with counts, in ascending order.
+
+    A value may be the mean of a bin; ``within`` is then the variance in each, which variances take in.
+    """
     n = counts.sum()
     mean = float((values * counts).sum() / n)
-    var = max(float((counts * (values - mean) ** 2).sum() / n), 1e-6)
+    var = max(float((counts * ((values - mean) ** 2 + within)).sum() / n), 1e-6)
     upto = np.cumsum(counts)
     mu = np.array([values[np.searchsorted(upto, k, "right")] for k in (n // 4, 3 * n // 4)], float)
     if mu[0] == mu[1]:
@@ -113,7 +118,7 @@ def two_components(values: np.ndarray, counts: np.ndarray, rounds: int = 300, fl
         p = p / np.where(total > 0, total, 1e-12) * counts
         size = np.maximum(p.sum(1), 1e-12)
         mu = (p * values).sum(1) / size
-        v = np.maximum((p * (values - mu[:, None]) ** 2).sum(1) / size, floor)
+        v = np.maximum((p * ((values - mu[:, None]) ** 2 + within)).sum(1) / size, floor)
         w = size / n
     order = np.argsort(mu, kind="stable")
     mu, v, w = mu[order], v[order], w[order]
@@ -133,9 +138,25 @@ def two_components(values: np.ndarray, counts: np.ndarray, rounds: int = 300, fl
     )
 
 
+#: Bins of equal width between the least and the greatest value on which a mixture is fitted, at any size.
+BINS = 1 << 16
+
+
+def binned(values: DataFrame, value: str, bins: int = BINS) -> DataFrame:
+    """``v``, ``c`` and ``within``: mean, count and variance of the values in each bin; ``bins`` + 1 rows at most."""
+    rows = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    ends = rows.agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))  # one row
+    own = F.coalesce(F.floor(F.try_divide((F.col("v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(0))
+    rows = rows.crossJoin(F.broadcast(ends)).groupBy(own.alias("_bin"))
+    return rows.agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("c"), F.var_pop("v").alias("within")).drop("_bin")
+
+
 def mixture(values: DataFrame, value: str) -> DataFrame:
-    """The mixture as one row; executors fit it on the histogram, which has as many rows as distinct values."""
-    hist = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    """The mixture as one row; an executor fits it on bins, of which there are no more than ``BINS`` + 1.
+
+    Where each distinct value has a bin of its own, as scores of few steps have, that is the fit of all values;
+    else it is off by less than a bin's width.
+    """
     schema = (
         "mu0 double, mu1 double, var0 double, var1 double, weight0 double, weight1 double, crossover double, "
         "bic1 double, bic2 double, separation double"
@@ -143,13 +164,13 @@ def mixture(values: DataFrame, value: str) -> DataFrame:
 
     def fit(rows):
         rows = rows.sort_values("v")
-        m = two_components(rows["v"].to_numpy(), rows["c"].to_numpy(float))
+        m = two_components(rows["v"].to_numpy(), rows["c"].to_numpy(float), rows["within"].to_numpy())
         return pd.DataFrame([[*m.mu, *m.var, *m.weight, m.crossover, m.bic1, m.bic2, m.separation]], columns=[
             "mu0", "mu1", "var0", "var1", "weight0", "weight1", "crossover", "bic1", "bic2", "separation",
         ]).astype(float)
 
     ship_package(values.sparkSession)
-    return hist.groupBy(F.lit("all")).applyInPandas(fit, schema)
+    return binned(values, value).groupBy(F.lit("all")).applyInPandas(fit, schema)
 
 
 def auto_cut(m: Mixture, otsu_cut: float | None, fallback: float = 1.0, present: float = 1.5) -> dict:

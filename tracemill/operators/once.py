@@ -109,3 +109,18 @@ def first_ids(pool: DataFrame, size: DataFrame, lead: Column, order: str, *more:
     last = edge.where("_before < _room AND _before + _c > _room")
     last = last.withColumn("_r", F.row_number().over(W.partitionBy("_range").orderBy(order, *more))).where("_before + _r <= _room")
     return rows.where("_room >= _c").select("id").unionByName(whole.select("id")).unionByName(last.select("id"))
+
+
+def first_by_hash(pool: DataFrame, size: DataFrame) -> DataFrame:
+    """``id`` of the first ``n`` rows (``size`` is one row, ``n``) in the order of ``h``, a hash as hexadecimal text, then ``id``.
+
+    Rows are counted in the 4096 stretches of the hash's first three digits, and only the stretch in which the n-th
+    row lies is put in order.
+    """
+    rows = pool.withColumn("_range", F.left("h", F.lit(3)))
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))  # 4096 rows at most
+    upto = F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow))
+    counts = counts.withColumn("_upto", upto).crossJoin(F.broadcast(size.select(F.col("n").alias("_n")))).where("_upto - _c < _n")
+    rows = rows.join(F.broadcast(counts), "_range")
+    edge = rows.where("_upto > _n").withColumn("_r", F.row_number().over(W.partitionBy("_range").orderBy("h", "id")))
+    return rows.where("_upto <= _n").select("id").unionByName(edge.where("_upto - _c + _r <= _n").select("id"))

@@ -40,7 +40,7 @@ def run(
         rows = rows.withColumn("signals", F.col("signals").withField("c2_score", F.col("_q"))).drop("_q")
         # rankings read the written table, not the joins again
         scored = staged(spark, root, "scored", lambda: rows)
-        return arms.make_crand(arms.merge_c2(scored), seed)
+        return arms.merge_ranked(scored, seed)
 
     final = staged(spark, root, "arms", with_arms)
     exports = {a: arms.export_chat(final, a, instruction) for a in arms.ARMS}
