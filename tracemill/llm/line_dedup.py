@@ -17,7 +17,7 @@ more keeps its lines only in the document with the largest id.
 
 Nulls: a null text is one empty line; null ids count as one document, smaller than all others.
 Repeated rows of one id are one document and are cleaned alike; a key twice in the document that
-keeps it stays twice.  Very long texts and lines are read whole, one at a time.  Columns added on the
+keeps it stays twice.  Ties: of equal largest ids all rows are the one document that keeps the line.  Very long texts and lines are read whole, one at a time.  Columns added on the
 way take names that the input does not have.  An empty table gives an empty one.
 """
 
@@ -67,8 +67,8 @@ def line_hashes(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", te
     return arrow_map(narrow, run, "__tm_doc long, __tm_h1 long, __tm_h2 long").dropDuplicates()
 
 
-#: Keys of a bucket, about; and buckets at least.
-BUCKET_KEYS, LEAST_BUCKETS = 2_000_000, 12
+#: Keys of a bucket, about; buckets at least, and at most (Spark takes 100 000): beyond, buckets hold more keys and spill.
+BUCKET_KEYS, LEAST_BUCKETS, MOST_BUCKETS = 2_000_000, 12, 50_000
 
 
 class LineRuns:
@@ -78,14 +78,14 @@ class LineRuns:
         self.space, self.buckets = space, buckets
         self.keys: list[tuple[str, DataFrame] | None] = []  # by level
         self.updates: list[tuple[str, DataFrame] | None] = []
-        self.made = 0
+        self.written: list[str] = []
 
     def _in_order(self) -> object:
         return setting(self.space.spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _write(self, df: DataFrame, kind: str) -> tuple[str, DataFrame]:
-        self.made += 1
-        name = f"{kind}-{self.made}"
+        name = f"{kind}-{len(self.written)}"
+        self.written.append(name)
         return name, self.space.save_sorted(df.select(*KEY, "docs", "last"), name, KEY, self.buckets)
 
     def unknown(self, batch: DataFrame) -> DataFrame:
@@ -137,15 +137,18 @@ class LineRuns:
         return out
 
     def hot(self, min_docs: int, name: str) -> DataFrame:
-        """Keys of ``min_docs`` documents or more with the largest id, written; the runs are deleted."""
+        """Keys of ``min_docs`` documents or more with the largest id, written."""
         with self._in_order():
             found = [run.where(F.col("docs") >= min_docs).select(*KEY, "last") for run in self.totals()]
             out = self.space.save(reduce(DataFrame.unionByName, found), name)
-        for levels in (self.keys, self.updates):
-            self.space.drop_sorted(*(run for run, _ in filter(None, levels)))
-            levels.clear()
         return out
 
+    def drop(self) -> None:
+        """Delete all runs, also those that a failed batch left behind: bucketed tables stand in the catalog."""
+        self.space.drop_sorted(*self.written)
+        self.keys.clear()
+        self.updates.clear()
+
 
 def dropped_lines(
     docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches: int = 4,
@@ -156,11 +159,14 @@ def dropped_lines(
     lines = line_hashes(docs, min_chars, id_col, text_col)
     part = F.pmod(F.xxhash64("__tm_doc"), F.lit(batches)).cast("int")
     lines = space.save(lines.withColumn("__tm_batch", part), "lines", ["__tm_batch"])
-    buckets = max(LEAST_BUCKETS, -(-lines.count() // BUCKET_KEYS))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-lines.count() // BUCKET_KEYS)))
     runs = LineRuns(space, buckets)
-    for batch in range(batches):
-        runs.ingest(lines.where(F.col("__tm_batch") == batch))
-    hot = runs.hot(min_docs, "hot")
+    try:
+        for batch in range(batches):
+            runs.ingest(lines.where(F.col("__tm_batch") == batch))
+        hot = runs.hot(min_docs, "hot")
+    finally:
+        runs.drop()
     lost = lines.join(hot.hint("merge"), KEY).where(~F.col("__tm_doc").eqNullSafe(F.col("last")))
     word = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     lost = lost.groupBy("__tm_doc").agg(F.collect_list(F.concat(*map(word, KEY))).alias("__tm_drop"))
