@@ -27,19 +27,36 @@ def brute(text):
 LOGIN = re.compile(r"[A-Za-z0-9]+://[A-Za-z0-9._~%!$&'()*+,;=-]+:[A-Za-z0-9._~%!$&'()*+,;=-]+@[A-Za-z0-9.-]*[A-Za-z0-9-]")
 GROUP = r"[A-Za-z]*[0-9][A-Za-z0-9]*(?![A-Za-z0-9])"
 AFTER = {
-    "account": re.compile(rf"[.:#= ]{{1,3}}({GROUP}(?:[ -]{GROUP})*)"),
-    "secret": re.compile(r"[ :=\"']{1,5}([A-Za-z0-9_+/-]{16,})"),
+    "account": re.compile(rf"[.:#= ]{{1,3}}(?:[iI][sS][.:#= ]{{1,3}})?({GROUP}(?:[ -]{GROUP})*)"),
+    "secret": re.compile(r"[ :=\"']{1,5}([A-Za-z0-9_+/-]+(?:\.[A-Za-z0-9_+/-]{8,})*)"),
 }
+YEAR = "(?:19|20)[0-9][0-9]"
+DATES = re.compile(rf"{YEAR}(?:[ -]{YEAR})+|{YEAR}[ -][01]?[0-9][ -][0-3]?[0-9]|[0-3]?[0-9][ -][0-3]?[0-9][ -]{YEAR}")
+
+
+def checks(code):
+    return int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in code[4:] + code[:4])) % 97 == 1
 
 
 def valid(kind, value):
     code = re.sub(r"[^A-Za-z0-9]", "", value).upper()
     if kind == "secret":
-        return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
-    if re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", code):
-        if int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in code[4:] + code[:4])) % 97 == 1:
-            return True
-    return 6 <= len(code) <= 34 and len(re.findall("[0-9]", code)) >= 6 and not re.match("[A-Z]{2}", code)
+        return len(value) >= 16 and bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
+    if DATES.fullmatch(value):
+        return False
+    if re.match(r"[A-Z]{2}[0-9]{2}", code) and len(code) >= 15:
+        return len(code) <= 34 and checks(code)
+    return 6 <= len(code) <= 34 and len(re.findall("[0-9]", code)) >= 6
+
+
+def plain_ibans(text):
+    """All IBANs of their country's length, whatever stands before them but letters and digits."""
+    for at in range(len(text)):
+        size = pii.IBAN_LENGTHS.get(text[at : at + 2])
+        if size and not (at and text[at - 1].isalnum()):
+            m = re.compile(rf"[A-Z][A-Z][0-9](?:[ -]?[A-Z0-9]){{{size - 3}}}").match(text, at)
+            if m and not (m.end() < len(text) and text[m.end()].isalnum()) and re.fullmatch("[A-Z]{2}[0-9]{2}.*", code := re.sub("[ -]", "", m[0])) and checks(code):
+                yield m.span()
 
 
 def brute_added(text):
@@ -48,10 +65,17 @@ def brute_added(text):
     low = "".join(c.lower() if len(c.lower()) == 1 and ord(c) < 0xDF else c for c in text)
     for kind, cues in (("account", pii.CUES), ("secret", pii.SECRETS)):
         end = 0
-        ends = sorted({i + len(c) for c in cues for i in range(len(low)) if low.startswith(c, i) and not (i and low[i - 1].isalnum())})
-        for at in ends:
+        # by the place of the anchor's last sign: of a cue its last letter, of a plain IBAN its first digit
+        found = {(i + len(c) - 1, i + len(c), None) for c in cues for i in range(len(low)) if low.startswith(c, i) and not (i and low[i - 1].isalnum())}
+        found |= {(a + 2, a, b) for a, b in plain_ibans(text)} if kind == "account" else set()
+        for last, at, upto in sorted(found, key=lambda f: f[0]):
+            if upto is not None:
+                if at >= end:
+                    out.append((kind, at, upto))
+                    end = upto
+                continue
             m = AFTER[kind].match(text, at)
-            if at > end and m and valid(kind, m[1]):
+            if last >= end and m and valid(kind, m[1]):
                 out.append((kind, *m.span(1)))
                 end = m.end(1)
     return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
@@ -62,7 +86,7 @@ def test_added_spans_match_brute_force():
     parts = [
         *pii.CUES, *pii.SECRETS, "IBAN", "Account No", "iBaN", "NÚMERO DE CUENTA", "Caliban", "hib", "x", " ", " ", ": ", "=", '"', "-",
         "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "12345678", "1234567", "998877", "12-34-56", "AB123456", "a1b2c3d4e5f6a7b8",
-        "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", "://", "ftp", "joe", ":", "pw", "@", "host.example", ".", "é", "\n", "word",
+        "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", "://", "ftp", "joe", " is ", ". ", "2023 2024", "2024-05-06", "BE71 0961 2345 6769", ".eyJzdWIiOiIx", "AB1234567", ":", "pw", "@", "host.example", ".", "é", "\n", "word",
     ]
     for _ in range(20_000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
@@ -105,6 +129,17 @@ def test_random_texts_match_the_patterns():
         ("a token of 12345678901234567890", []),
         ("the secret internationalisation", []),
         ("a://b:c@d://e:f@g", [("login", 0, 9)]),
+        ("passport no AB1234567", [("account", 12, 21)]),
+        ("Acct. No. 12345678", [("account", 10, 18)]),
+        ("account number is 12345678", [("account", 18, 26)]),
+        ("tax id 2023 2024", []),
+        ("acct 2024-05-06", []),
+        ("DE89 3704 0044 0532 0130 00", [("account", 0, 27)]),
+        ("DE88 3704 0044 0532 0130 00", []),
+        ("pay to BE71096123456769, now", [("account", 7, 23)]),
+        ("iban DE88370400440532013000", []),
+        ("bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVPmB92. End", [("secret", 7, 64)]),
+        ("token www.example2.com/12", []),
     ],
 )
 def test_spans(text, spans):

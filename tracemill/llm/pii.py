@@ -13,10 +13,13 @@ Of one kind, matches do not overlap: the leftmost stands, and what fails validat
 without a second attempt inside it.  Beyond these the method adds spans of three kinds:
 
 * ``login``   from ``://``: a scheme, user information with a colon, an at-sign and a host;
-* ``account`` from a cue such as ``iban`` or ``account no``: the identifier after it, an IBAN with
-  valid check digits or 6 to 34 letters and digits with at least 6 digits;
+* ``account`` from a cue such as ``iban`` or ``account no``, perhaps with ``is`` behind it: the identifier
+  after it, 6 to 34 letters and digits with at least 6 digits, in groups that each have one.  What is
+  built like an IBAN must have its check digits; dates and rows of years are none;
+* ``account`` without a cue, from the first digit behind a country's two capitals: an IBAN of that
+  country's length with valid check digits, in one piece or in groups;
 * ``secret``  from a cue such as ``token`` or ``api key``: 16 or more signs of keys, a letter and a
-  digit among them.
+  digit among them; parts of eight signs or more may follow behind full stops, as in signed tokens.
 
 Cues are found in any case and only where no letter or digit stands before them.  Offsets count code
 points, ends are exclusive.  Nulls: a null text is empty; other columns may be null.  Ties: spans that
@@ -28,6 +31,7 @@ renamed, so extra ones may have any name.  Repeated rows give repeated results,
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import cache
 
 import pyarrow as pa
@@ -39,13 +43,25 @@ from .shared import arrow_map, batch_of, table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "account", "secret")
 CUES = (
-    "iban", "account number", "account no", "acct no", "acct", "passport no", "passport number", "tax id", "ssn",
-    "kontonummer", "numéro de compte", "número de cuenta",
+    "iban", "account number", "account no", "account nr", "acct no", "acct. no", "acct number", "acct. number", "acct", "a/c no",
+    "passport no", "passport number", "tax id", "ssn", "kontonummer", "numéro de compte", "número de cuenta",
 )
 SECRETS = (
     "token", "secret", "password", "passwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key",
     "secret_key", "secret key", "private_key", "bearer",
 )
+#: The countries that issue IBANs, and how long theirs are.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24,
+    "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: A date, or years in a row, where a cue promised an identifier.
+_DATE = re.compile(r"(19|20)[0-9]{2}([ -](19|20)[0-9]{2})+|(19|20)[0-9]{2}[ -][01]?[0-9][ -][0-3]?[0-9]|[0-3]?[0-9][ -][0-3]?[0-9][ -](19|20)[0-9]{2}")
 _DIGIT = frozenset("0123456789")
 _ALNUM = _DIGIT | frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _LOCAL = _ALNUM | frozenset("._%+-")
@@ -158,11 +174,20 @@ def iban(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _between(text: str, at: int, signs: str, most: int) -> int:
+    """End of at most ``most`` of the signs from ``at`` on."""
+    end = at
+    while end < len(text) and end < at + most and text[end] in signs:
+        end += 1
+    return end
+
+
 def _account(text: str, at: int) -> tuple[int, int] | None:
-    """The identifier after a cue that ends before ``at``, at most three signs between them."""
-    start = at
-    while start < len(text) and start < at + 3 and text[start] in ".:#= ":
-        start += 1
+    """The identifier after a cue that ends before ``at``, at most three signs and perhaps ``is`` between them."""
+    start = _between(text, at, ".:#= ", 3)
+    if start > at and text[start : start + 2] in ("is", "Is", "IS", "iS"):
+        behind = _between(text, start + 2, ".:#= ", 3)
+        start = behind if behind > start + 2 else start
     if start == at or start >= len(text) or text[start] not in _ALNUM:
         return None
     end = start
@@ -174,20 +199,39 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
         last, end = to, to + 1
         if to >= len(text) or text[to] not in " -":
             break
-    if end == start:
+    if end == start or _DATE.fullmatch(text, start, last):
         return None
     code = "".join(c for c in text[start:last] if c in _ALNUM).upper()
-    if iban(code) or 6 <= len(code) <= 34 and sum(c in _DIGIT for c in code) >= 6 and not code[:2].isalpha():
-        return start, last
-    return None
+    if len(code) >= 15 and code[:2].isalpha() and code[2:4].isdigit():
+        return (start, last) if iban(code) else None
+    return (start, last) if 6 <= len(code) <= 34 and sum(c in _DIGIT for c in code) >= 6 else None
+
+
+_CAPITAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _plain_iban(text: str, at: int) -> tuple[int, int] | None:
+    """The IBAN whose first digit stands at ``at``; of capitals and digits, with single spaces or hyphens between groups."""
+    size = IBAN_LENGTHS.get(text[at - 2 : at]) if at >= 2 else None
+    if size is None or at > 2 and text[at - 3].isalnum():
+        return None
+    code, end = text[at - 2 : at], at
+    while len(code) < size:
+        if end < len(text) and text[end] in " -":
+            end += 1
+        if end >= len(text) or not (text[end] in _DIGIT or text[end] in _CAPITAL):
+            return None
+        code += text[end]
+        end += 1
+    return (at - 2, end) if not (end < len(text) and text[end].isalnum()) and iban(code) else None
 
 
 def _secret(text: str, at: int) -> tuple[int, int] | None:
     """The key after a cue that ends before ``at``, at most five signs between them."""
-    start = at
-    while start < len(text) and start < at + 5 and text[start] in " :=\"'":
-        start += 1
+    start = _between(text, at, " :=\"'", 5)
     end = _run(text, start, _KEY)
+    while end > start and end < len(text) and text[end] == "." and (more := _run(text, end + 1, _KEY)) >= end + 9:
+        end = more
     code = text[start:end]
     if start == at or len(code) < 16 or not any(c in _DIGIT for c in code) or not any(c in _ALNUM - _DIGIT for c in code):
         return None
@@ -223,6 +267,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 to["login"] = span[1]
         elif last >= run_end:  # the first digit of a run
             run_end = _run(text, last, _DIGIT)
+            if last - 2 >= to["account"] and (span := _plain_iban(text, last)):
+                out.append(("account", *span))
+                to["account"] = span[1]
             if last >= to["ip"] and (found := _ip(text, last)):
                 to["ip"] = found[0]
                 if all(_small(p) for p in found[1]):
