@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.__main__ import main
 from tracemill.operators import judging, scoring
+from tracemill.operators.models import scorer
 from tracemill.plans import evaluation, precompute
 from tracemill.sources import records
 from tracemill.workspace import exists, read_text, write_text
@@ -222,3 +223,66 @@ def test_command_line(spark, tmp_path):
     main(["statistics", "--input", at("res.jsonl"), "--output", at("stats.json"), "--pairs", "C3:C1", "C2:C1", "--draws", "50"])
     found = json.loads((tmp_path / "stats.json").read_text())
     assert found["all"]["pairs"][0]["only_a"] == 3 and len(found["clean"]["pairs"]) == 1
+
+
+def test_commands_of_calibration_judges_and_samples(spark, tmp_path):
+    n, at = 24, lambda name: str(tmp_path / name)
+    text = " ".join(["word"] * 25)
+    write = lambda name, rows: (tmp_path / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+    write("bank.jsonl", [{"subset": "nurse", "sample_idx": i, "question": "q", "choices": ["x", "y"], "gold": i % 2} for i in range(n)])
+    write("traces.jsonl", [{"subset": "nurse", "sample_idx": i, "reasoning_content": f"{text} {'more ' * i}", "reasoning": "", "predicted": "AB"[i % 2]} for i in range(n)])
+    write("cf.jsonl", [
+        {"id": f"nurse_{i:04d}", "cot": "<think>a</think>", "metadata": {"counterfactual": {"orig_score": 5.0, "counterfactuals": [{"cf_cot": "<think>but</think>", "cf_score": 1.0 + i % 5}]}}}
+        for i in range(n)
+    ])
+    main(["unified", "--input", at("traces.jsonl"), "--bank", at("bank.jsonl"), "--output", at("hub")])
+    main(["merge-c3", "--unified", at("hub"), "--cf", at("cf.jsonl"), "--hedge", "off", "--output", at("c3")])
+    c3 = {r.id for r in spark.read.json(at("c3")).collect() if r.filters.C3}
+
+    main(["calibrate", "--cf", at("cf.jsonl"), "--unified", at("c3"), "--output", at("cal.json"), "--gaps", "1", "2"])
+    found = json.loads((tmp_path / "cal.json").read_text())
+    assert found["distribution"]["n"] == n and len(found["sweep"]) == 4 and found["auto"]["cut"] in found["auto"]["candidates"]
+    kept = {(r["gap"], r["min_orig"]): r["kept"] for r in found["sweep"]}
+    assert kept[1.0, None] == sum(4 - i % 5 >= 1 for i in range(n)) and kept[2.0, 2.0] == sum(4 - i % 5 >= 2 for i in range(n))
+
+    write("cuts.jsonl", [{"cut": c, "accuracy": acc + s / 100, "pos": int(10 * c)} for c, acc in ((1.0, 0.5), (1.5, 0.8)) for s in (0, 1)])
+    main(["verify-cuts", "--input", at("cuts.jsonl"), "--chosen", "1.0", "--output", at("cuts.json")])
+    assert json.loads((tmp_path / "cuts.json").read_text())["verdict"] == "revisit"
+
+    samples = [{"id": f"s{i}", "question": "q", "choices": ["x", "y"], "answer": 0, "cot": f"c{i}", "cfs": [{"target_idx": 1, "cf_cot": f"f{i}"}]} for i in range(9)]
+    write("train.jsonl", samples)
+    main(["compare", "--input", at("train.jsonl"), "--ref", "stub", "--cand", "stub", "--output", at("same")])
+    found = json.loads((tmp_path / "same.summary.json").read_text())
+    assert found["label_agreement"] == found["kappa"] == found["reject_agreement"] == 1.0 and found["swap"] and found["texts"] == 18
+    main(["compare", "--input", at("train.jsonl"), "--ref", "stub", "--cand", "stub", "--cand-model", "other", "--output", at("differ")])
+    assert json.loads((tmp_path / "differ.summary.json").read_text())["label_agreement"] < 1
+
+    make = ["precompute", "--root", at("kept"), "--scorer", "stub", "--judge", "stub", "--no-reasoning"]
+    main([*make, "--input", at("train.jsonl"), "--output", at("made")])
+    (row,) = spark.read.json(at("made")).where("id = 's0'").collect()
+    assert row.counterfactual.counterfactuals[0].cf_cot == "option 1 of q" and row.counterfactual.orig_score is not None
+    write("test.jsonl", samples)
+    for more in (["--input", at("test.jsonl")], ["--input", at("train.jsonl"), "--split", "test"]):
+        with pytest.raises(ValueError):
+            main([*make, *more, "--output", at("refused")])
+    with pytest.raises(ValueError):
+        scorer("absent")
+    assert scorer("tracemill.operators.models:_stub", role="judge")({"cot": "x"}) == scorer("stub")({"cot": "x"})
+
+    main(["quality", "--unified", at("c3"), "--root", at("q"), "--judge", "stub", "--output", at("scored")])
+    scores = {r.id: r.signals.c2_score for r in spark.read.json(at("scored")).collect()}
+    main(["quality", "--unified", at("c3"), "--root", at("q"), "--judge", "stub", "--model", "other", "--output", at("again")])
+    assert {r.id: r.signals.c2_score for r in spark.read.json(at("again")).collect()} == scores  # nothing is asked again
+    assert spark.read.parquet(at("q") + "/quality").count() == n
+
+    main(["length-matched", "--unified", at("c3"), "--arm", "C3", "--bins", "3", "--output", at("matched")])
+    assert spark.read.json(at("matched")).count() == len(c3) == json.loads((tmp_path / "matched.summary.json").read_text())["n"]
+    main(["low-data", "--unified", at("c3"), "--arm", "C3", "--n", "5", "--output", at("few")])
+    assert spark.read.json(at("few")).count() == 5
+    write("res.jsonl", [
+        {"arm": a, "seed": 1, "subset": "s", "sample_idx": i, "predicted": "A", "is_correct": (i + k) % 3 == 0, "output_chars": 10, "pos": 0}
+        for k, a in enumerate(("C1", "C3")) for i in range(9)
+    ])
+    main(["report", "--unified", at("c3"), "--input", at("res.jsonl"), "--output", at("report.md"), "--pairs", "C3:C1"])
+    said = (tmp_path / "report.md").read_text()
+    assert "| C1 | 1 | 0.3333" in said and "## Pairs" in said and f"| {n} |" in said

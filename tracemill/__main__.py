@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tracemill import schemas
 from tracemill.config import GapGate, RuleGates, load, number_or_none
-from tracemill.operators import arms, counterfactual, stats
-from tracemill.plans import evaluation, pipeline
+from tracemill.operators import arms, calibration, counterfactual, stats
+from tracemill.operators.models import scorer
+from tracemill.plans import drivers, evaluation, pipeline
+from tracemill.plans.precompute import precompute
 from tracemill.sources import records
 from tracemill.workspace import write_text
 
@@ -84,6 +86,75 @@ def everything(spark: SparkSession, a: argparse.Namespace) -> None:
         records.write_records(out[arm], f"{a.output.rstrip('/')}/export-{arm}", mode="overwrite")
 
 
+SAMPLES = "id string, question string, choices array<string>, answer int, cot string, cfs array<struct<target_idx: int, cf_cot: string>>"
+
+
+def _numbers(given: list[str]) -> list[float | None]:
+    return [number_or_none(x) for x in given]
+
+
+def calibrate(spark: SparkSession, a: argparse.Namespace) -> None:
+    hub = _hub(spark, a.unified) if a.unified else None
+    rows = drivers.signals(records.read_records(spark, a.cf, schemas.SCORED_SAMPLE), hub)
+    found = drivers.calibrate(rows, _numbers(a.gaps), _numbers(a.hedges), _numbers(a.min_origs))
+    write_text(spark, a.output, drivers.as_text(found))
+    print(found["auto"]["text"] if found["auto"] else "no gaps")
+
+
+def verify_cuts(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = records.read_records(spark, a.input, "cut double, accuracy double, pos long")
+    found = calibration.verify_cuts(rows, number_or_none(a.chosen)).first().asDict()
+    write_text(spark, a.output, drivers.as_text(found))
+    print(f"{found['verdict']}: best cut {found['best_cut']}")
+
+
+def compare(spark: SparkSession, a: argparse.Namespace) -> None:
+    judge = lambda spec, model: scorer(spec, role="judge", model=model, reasoning=a.reasoning)
+    rows, found = drivers.compare_judges(records.read_records(spark, a.input, SAMPLES), judge(a.ref, a.ref_model), judge(a.cand, a.cand_model), a.reps)
+    records.write_records(rows, a.output)
+    write_text(spark, f"{a.output.rstrip('/')}.summary.json", drivers.as_text(found))
+    print(f"swap: {found['swap']}, borderline: {found['borderline']}")
+
+
+def make_counterfactuals(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Refused for a test split, whether it is named or the file's name says so."""
+    split = spark.range(1).select(records.split_of(F.lit(a.input)).alias("s")).first().s
+    for name in (a.split, split):
+        records.refuse_test_split(name or "")
+    samples = records.read_records(spark, a.input, "id string, question string, choices array<string>, answer int, cot string")
+    judge = scorer(a.judge, role="judge", reasoning=a.reasoning) if a.judge else None
+    found = precompute(spark, a.root, samples, scorer(a.scorer, role="write", model=a.model, reasoning=a.reasoning), judge, a.k, a.seed, a.reps)
+    records.write_records(found, a.output)
+
+
+def quality(spark: SparkSession, a: argparse.Namespace) -> None:
+    judge = scorer(a.judge, role="judge", model=a.model, reasoning=a.reasoning)
+    records.write_records(drivers.score_quality(spark, a.root, _hub(spark, a.unified), judge, a.reps), a.output)
+
+
+def _export(spark: SparkSession, a: argparse.Namespace, hub: DataFrame, ids: DataFrame, arm: str) -> None:
+    rows, summary = drivers.selected(hub, ids, arm, a.instruction)
+    records.write_records(rows, a.output)
+    write_text(spark, f"{a.output.rstrip('/')}.summary.json", drivers.as_text(summary.first().asDict()))
+
+
+def length_matched(spark: SparkSession, a: argparse.Namespace) -> None:
+    hub, arm = _hub(spark, a.unified), a.arm.replace("-", "_")
+    _export(spark, a, hub, arms.length_matched(hub, arm, a.bins, a.seed), arm)
+
+
+def low_data(spark: SparkSession, a: argparse.Namespace) -> None:
+    hub, arm = _hub(spark, a.unified), a.arm.replace("-", "_")
+    _export(spark, a, hub, arms.low_data(hub, arm, a.n, a.seed, not a.plain), arm)
+
+
+def report(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = stats.last_results(records.read_records(spark, a.input, RESULTS))
+    pairs = stats.known_pairs(rows, [tuple(p.split(":")) for p in a.pairs])
+    accuracy, compared = stats.seed_accuracy(rows), stats.mcnemar(stats.mcnemar_table(stats.per_item(rows), pairs))
+    pipeline.report(arms.arm_matrix(_hub(spark, a.unified)), accuracy, compared, a.output)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracemill", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -109,6 +180,36 @@ def parser() -> argparse.ArgumentParser:
     s = add("statistics", statistics, "input", "output")
     s.add_argument("--pairs", nargs="+", required=True, help="pairs of arms, as C3:C1")
     s.add_argument("--draws", type=int, default=10_000)
+    c = add("calibrate", calibrate, "cf", "output")
+    c.add_argument("--unified", help="a hub, to keep to the rows of C1")
+    c.add_argument("--gaps", nargs="+", default=["0.5", "1", "1.5", "2"])
+    c.add_argument("--hedges", nargs="+", default=["off"])
+    c.add_argument("--min-origs", nargs="+", default=["off", "2"])
+    v = add("verify-cuts", verify_cuts, "input", "output")
+    v.add_argument("--chosen", help="the cut in use")
+    judges = add("compare", compare, "input", "ref", "cand", "output")
+    judges.add_argument("--ref-model")
+    judges.add_argument("--cand-model")
+    m = add("precompute", make_counterfactuals, "input", "root", "scorer", "output")
+    m.add_argument("--judge", help="a scorer; without one texts are made and not scored")
+    m.add_argument("--split")
+    m.add_argument("--k", type=int, default=1)
+    m.add_argument("--seed", type=int, default=42)
+    q = add("quality", quality, "unified", "root", "judge", "output")
+    for own in (judges, m, q):
+        own.add_argument("--reps", type=int, default=1)
+        own.add_argument("--reasoning", action=argparse.BooleanOptionalAction)
+    for own in (m, q):
+        own.add_argument("--model")
+    same, few = add("length-matched", length_matched, "unified", "arm", "output"), add("low-data", low_data, "unified", "arm", "output")
+    same.add_argument("--bins", type=int, default=20)
+    few.add_argument("--n", type=int, required=True)
+    few.add_argument("--plain", action="store_true", help="not stratified by subject")
+    for own in (same, few):
+        own.add_argument("--seed", type=int, default=42)
+        own.add_argument("--instruction", default="Solve the question.")
+    t = add("report", report, "unified", "input", "output")
+    t.add_argument("--pairs", nargs="+", default=[])
     r = add("run", everything, "input", "bank", "cf", "quality", "output")
     r.add_argument("--config")
     r.add_argument("--seed", type=int, default=42)
