@@ -239,9 +239,10 @@ def generation_summary(rows: DataFrame, input_price: float = 0.0, output_price:
     return out.withColumn("subset", name).withColumn("cost", cost).drop("_g")
 
 
-def evaluation_summary(rows: DataFrame, by: str = "subset") -> DataFrame:
-    """``accuracy`` by subset, with a total (``ALL``)."""
-    out = rows.rollup(by).agg(
+def evaluation_summary(rows: DataFrame, by: str = "subset", *runs: str) -> DataFrame:
+    """``accuracy`` by subset, with a total (``ALL``); of each run, where columns that tell runs apart are given."""
+    sets = [[F.col(c) for c in (*runs, by)], [F.col(c) for c in runs]]
+    out = rows.groupingSets(sets, *(F.col(c) for c in (*runs, by))).agg(
         F.grouping(by).alias("_g"), F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("is_correct", F.lit(False))).alias("right"),
         F.count_if(F.col("predicted").isNull()).alias("unparsed"),
     )

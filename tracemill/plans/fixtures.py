@@ -105,4 +105,8 @@ def with_views(sql: str, *names: str) -> str:
         add(n)
     plain = {n: n for n in (*VIEWS, "documents", "labels")}
     views = ",\n".join(f"{n} AS ({VIEWS[n].format(**plain)})" for n in order)
-    return f"WITH {views}{',' if sql.lstrip().upper().startswith('WITH') else ''}\n{sql.lstrip()[4:] if sql.lstrip().upper().startswith('WITH') else sql}"
+    rest = sql.lstrip()
+    for lead in ("WITH RECURSIVE", "WITH"):
+        if rest.upper().startswith(lead):
+            return f"{lead} {views},\n{rest[len(lead):]}"
+    return f"WITH {views}\n{sql}"

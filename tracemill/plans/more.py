@@ -8,7 +8,7 @@ from tracemill.config import GapGate
 from tracemill.functions import text as X
 from tracemill.operators import calibration, counterfactual, gates, judging, scoring, stats
 from tracemill.plans.fixtures import Tables
-from tracemill.plans.queries import _HUB, _HUB_VIEWS, _RUNS, _SIG, _TOK, PAIRS, STRICT, _bank, _results, _scored_hub, _signals, query
+from tracemill.plans.queries import _HUB, _HUB_VIEWS, _RUNS, _SIG, _TOK, PAIRS, STRICT, _bank, _results, _scored_hub, _signals, _with_texts, query
 from tracemill.sources import records
 from tracemill.workspace import Workspace
 
@@ -134,11 +134,13 @@ def tolerant_scan(t: Tables):
     return records.read_lines(t.spark, path, "doc_id long, text string", tolerant=True).select("doc_id")
 
 
-@query("""SELECT {0} AS id, b.subset, b.gold AS answer, t.predicted IS NOT NULL AS answered, sha256('<think>' || d.text || '</think>' || chr(10) || 'end') AS cot
- FROM fx_trace t JOIN fx_bank b ON b.doc_id = t.doc_id JOIN documents d ON d.doc_id = t.doc_id WHERE d.text <> ''""".format("printf('%s_%04d', t.subset, t.sample_idx)"), "fx_trace")
+@query("""SELECT {0} AS id, b.subset, b.gold AS answer, t.predicted IS NOT NULL AS answered, sha256(CASE WHEN d.text IS NULL THEN CASE WHEN t.doc_id % 3 = 0 THEN NULL ELSE 'end' END
+  WHEN t.doc_id % 3 = 0 THEN d.text WHEN d.text = '' THEN 'end' ELSE '<think>' || d.text || '</think>' || chr(10) || 'end' END) AS cot
+ FROM fx_trace t JOIN fx_bank b ON b.doc_id = t.doc_id JOIN documents d ON d.doc_id = t.doc_id""".format("printf('%s_%04d', t.subset, t.sample_idx)"), "fx_trace")
 def record_coercion(t: Tables):
     gold = t["fx_bank"].select(F.col("doc_id").alias("of"), F.substr(F.lit("ABCDE"), F.col("gold") + 1, F.lit(1)).alias("correct"))
-    raw = t["fx_trace"].where("reasoning_content <> ''").join(gold, F.col("doc_id") == F.col("of")).withColumn("reasoning", F.lit("end"))
+    said = F.when(F.col("doc_id") % 3 != 0, "end")  # every third has reasoning only
+    raw = t["fx_trace"].join(gold, F.col("doc_id") == F.col("of")).withColumn("reasoning", said)
     rows = records.to_scored(raw.select("subset", "sample_idx", "correct", "predicted", "reasoning_content", "reasoning"))
     return rows.select("id", "subset", "answer", F.col("predicted_answer").isNotNull().alias("answered"), F.sha2("cot", 256).alias("cot"))
 
@@ -295,11 +297,12 @@ def statistics_without_degenerate(t: Tables):
     return tables["pairs"].select("a", "b", "n", "only_a", "only_b").join(side("a"), "a").join(side("b"), "b")
 
 
-@query("""SELECT CASE WHEN grouping(subset) = 1 THEN 'ALL' ELSE subset END AS subset, count(*) AS n, count(*) FILTER (predicted = gold) AS "right", count(*) FILTER (predicted IS NULL) AS unparsed,
- round(count(*) FILTER (predicted = gold) / count(*), 9) AS acc FROM fx_eval WHERE arm = 'C3' AND seed = 42 GROUP BY ROLLUP (subset)""", "fx_eval")
+@query("""SELECT arm, seed, CASE WHEN grouping(subset) = 1 THEN 'ALL' ELSE subset END AS subset, count(*) AS n, count(*) FILTER (predicted = gold) AS "right", count(*) FILTER (predicted IS NULL) AS unparsed,
+ round(count(*) FILTER (predicted = gold) / count(*), 9) AS acc FROM fx_eval GROUP BY GROUPING SETS ((arm, seed, subset), (arm, seed))""", "fx_eval")
 def evaluation_totals(t: Tables):
-    rows = t["fx_eval"].where("arm = 'C3' AND seed = 42").withColumn("is_correct", F.col("predicted") == F.col("gold"))
-    return stats.evaluation_summary(rows).withColumn("acc", F.round("acc", 9))
+    """Every run by subset, with its total."""
+    rows = t["fx_eval"].withColumn("is_correct", F.col("predicted") == F.col("gold"))
+    return stats.evaluation_summary(rows, "subset", "arm", "seed").withColumn("acc", F.round("acc", 9))
 
 
 # --- drivers over injected models
@@ -328,13 +331,24 @@ def repeated_judge(t: Tables):
     return out.select("doc_id", "mean", F.col("errors")[0].alias("error"))
 
 
-@query(f"""WITH {_HUB} SELECT id, c2 AS had, CASE WHEN c2 IS NOT NULL THEN c2 WHEN f1 THEN 4.0 END AS score FROM hub""", *_HUB_VIEWS)
+def _length_reply(row: dict) -> str:
+    """A judge whose grades are the lengths of what it was asked: of the question, of the reasoning, and of all options."""
+    grades = (1 + len(row["question"]) % 5, 1 + len(row["cot"]) % 5, 1 + len("".join(row["choices"])) % 5)
+    return '{{"justification": {}, "coherence": {}, "clarity": {}}}'.format(*grades)
+
+
+_JUDGED = f"""(1 + length(b.question) % 5 + 1 + length({_TRIM.format('d.text')}) % 5 + 1 + length(concat(b.ch_a, b.ch_b, b.ch_c, b.ch_d, b.ch_e)) % 5) / 3"""
+
+
+@query(f"""WITH {_HUB} SELECT h.id, round(c2, 9) AS had, round(CASE WHEN c2 IS NOT NULL THEN c2 WHEN f1 THEN {_JUDGED} END, 9) AS score
+ FROM hub h JOIN documents d ON d.doc_id = h.doc_id JOIN fx_bank b ON b.doc_id = h.doc_id""", *_HUB_VIEWS)
 def quality_filled(t: Tables):
+    """Rows of C1 without a quality score get the judge's, from their own texts."""
     hub = _scored_hub(t)
-    texts = hub.select("*", F.lit("q").alias("question"), F.array(F.lit("x")).alias("choices"), F.lit("r").alias("think"))
-    scores = judging.quality(texts, lambda row: '{"justification": 4, "coherence": 3, "clarity": 5}')
+    scores = judging.quality(_with_texts(t, hub), _length_reply)
     out = judging.with_quality(hub, scores)
-    return out.join(hub.select("id", F.col("signals.c2_score").alias("had")), "id").select("id", "had", F.col("signals.c2_score").alias("score"))
+    out = out.join(hub.select("id", F.col("signals.c2_score").alias("had")), "id")
+    return out.select("id", F.round("had", 9).alias("had"), F.round("signals.c2_score", 9).alias("score"))
 
 
 @query(f"""WITH {_HUB}, n AS (SELECT count(*) FILTER (f3) AS n FROM hub), c2 AS (SELECT id FROM hub WHERE f1 AND c2 IS NOT NULL ORDER BY c2 DESC, id LIMIT (SELECT n FROM n)),

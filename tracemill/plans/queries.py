@@ -309,16 +309,26 @@ def open_ended_stats(t: Tables) -> DataFrame:
     return stats.open_ended_summary(open_ended(t))
 
 
-@query("""SELECT c.doc_id, c.k, coalesce(t.predicted, '-') AS predicted, b.gold FROM fx_cf c JOIN fx_bank b ON b.doc_id = c.doc_id
- LEFT JOIN fx_trace t ON t.subset = c.subset AND t.sample_idx = c.sample_idx""", "fx_cf", "fx_trace")
+@query("""SELECT c.doc_id, c.k, t.predicted, b.gold AS answer, sha256(b.question) AS question, substr('ABCDE', c.target_idx + 1, 1) AS wrong_letter,
+ array_to_string([b.ch_a, b.ch_b, b.ch_c, b.ch_d, b.ch_e], '|') AS choices, sha256(CASE WHEN t.doc_id IS NULL THEN '' ELSE coalesce(o.cot, '') END) AS cot,
+ sha256(CASE WHEN (c.doc_id + c.k) % 5 = 0 THEN o.text WHEN o.text <> '' THEN '<think>' || o.text || '</think>' || chr(10) || 'choice ' || c.k ELSE 'choice ' || c.k END) AS cf_cot
+ FROM fx_cf c JOIN fx_bank b ON b.doc_id = c.doc_id JOIN fx_cot o ON o.doc_id = c.doc_id
+ LEFT JOIN fx_trace t ON t.subset = c.subset AND t.sample_idx = c.sample_idx""", "fx_cf", "fx_trace", "fx_cot")
 def cf_assembly(t: Tables) -> DataFrame:
-    cf = t["fx_cf"].select(
-        "doc_id", "k", "subset", "sample_idx", F.lit(None).cast("string").alias("gold_letter"), F.lit(None).cast("string").alias("question"),
-        F.lit("r").alias("cf_reasoning_content"), F.lit("c").alias("cf_content"), (F.col("k") * 0).cast("string").alias("wrong_letter"),
+    """Counterfactuals of documents' texts, with what traces and the bank know of their questions; without a final text for every fifth."""
+    texts = t["fx_cot"].select("doc_id", "text", "cot")
+    content = F.when((F.col("doc_id") + F.col("k")) % 5 == 0, "").otherwise(F.concat(F.lit("choice "), F.col("k").cast("string")))
+    cf = t["fx_cf"].join(texts.drop("cot"), "doc_id").select(
+        "subset", "sample_idx", F.lit(None).cast("string").alias("gold_letter"), F.lit("other").alias("question"),
+        F.col("text").alias("cf_reasoning_content"), content.alias("cf_content"),
+        F.concat_ws(":", F.substr(F.lit("ABCDE"), F.col("target_idx") + 1, F.lit(1)), "doc_id", "k").alias("wrong_letter"),
+    )
+    rows = counterfactual.assemble(cf, t["fx_trace"].join(texts.drop("text"), "doc_id"), _bank(t))
+    parts, sha = F.split("wrong_letter", ":"), lambda c: F.sha2(c, 256).alias(c)
+    return rows.select(
+        parts[1].cast("long").alias("doc_id"), parts[2].cast("int").alias("k"), F.col("o_predicted").alias("predicted"), F.col("answer").cast("int").alias("answer"),
+        sha("question"), parts[0].alias("wrong_letter"), F.array_join("choices", "|").alias("choices"), sha("cot"), sha("cf_cot"),
     )
-    rows = counterfactual.assemble(cf.withColumn("wrong_letter", F.concat_ws(":", "doc_id", "k")), t["fx_trace"].withColumn("cot", F.lit("")), _bank(t))
-    parts = F.split("wrong_letter", ":")
-    return rows.select(parts[0].cast("long").alias("doc_id"), parts[1].cast("int").alias("k"), F.coalesce("o_predicted", F.lit("-")).alias("predicted"), F.col("answer").cast("int").alias("gold"))
 
 
 # --- arms
@@ -460,9 +470,44 @@ def otsu(t: Tables) -> DataFrame:
     return calibration.otsu(_signals(t), "gap").select("cut", "n", F.round("share", 9).alias("share"))
 
 
-@query()
+def _density(x: str, k: int) -> str:
+    return f"w{k} * exp(-pow({x} - m{k}, 2) / (2 * v{k})) / sqrt(2 * pi() * v{k})"
+
+
+#: Expectation and maximisation over the histogram, three hundred rounds of one row that holds the parameters.
+MIXTURE = f"""
+mh AS (SELECT gap AS v, CAST(count(*) AS DOUBLE) AS c, sum(count(*)) OVER (ORDER BY gap) AS upto FROM sig WHERE gap IS NOT NULL GROUP BY gap),
+ml AS (SELECT list(v ORDER BY v) AS vs, list(c ORDER BY v) AS cs, sum(c) AS n, sum(c * v) / sum(c) AS mean, CAST(count(*) AS BIGINT) AS k FROM mh),
+mi AS (SELECT ml.*, greatest((SELECT sum(c * pow(v - ml.mean, 2)) FROM mh) / n, 1e-6) AS var, (SELECT min(v) FROM mh WHERE upto > n // 4) AS q1,
+ (SELECT min(v) FROM mh WHERE upto > 3 * n // 4) AS q3 FROM ml),
+em AS (SELECT 0 AS i, CAST(CASE WHEN q1 = q3 THEN mean - sqrt(var) ELSE q1 END AS DOUBLE) AS m0, CAST(CASE WHEN q1 = q3 THEN mean + sqrt(var) ELSE q3 END AS DOUBLE) AS m1,
+  CAST(var AS DOUBLE) AS v0, CAST(var AS DOUBLE) AS v1, 0.5::DOUBLE AS w0, 0.5::DOUBLE AS w1 FROM mi
+ UNION ALL
+ SELECT i + 1, m0, m1,
+  greatest(list_sum(list_transform(range(1, k + 1), lambda j: p0[j] * pow(vs[j] - m0, 2))) / s0, 0.05),
+  greatest(list_sum(list_transform(range(1, k + 1), lambda j: p1[j] * pow(vs[j] - m1, 2))) / s1, 0.05), s0 / n, s1 / n
+ FROM (SELECT *, list_sum(list_transform(range(1, k + 1), lambda j: p0[j] * vs[j])) / s0 AS m0, list_sum(list_transform(range(1, k + 1), lambda j: p1[j] * vs[j])) / s1 AS m1
+  FROM (SELECT *, greatest(list_sum(p0), 1e-12) AS s0, greatest(list_sum(p1), 1e-12) AS s1
+   FROM (SELECT i, n, k, vs, list_transform(range(1, k + 1), lambda j: cs[j] * d0[j] / CASE WHEN d0[j] + d1[j] > 0 THEN d0[j] + d1[j] ELSE 1e-12 END) AS p0,
+     list_transform(range(1, k + 1), lambda j: cs[j] * d1[j] / CASE WHEN d0[j] + d1[j] > 0 THEN d0[j] + d1[j] ELSE 1e-12 END) AS p1
+    FROM (SELECT em.i, mi.n, mi.k, mi.vs, mi.cs, list_transform(mi.vs, lambda x: {_density('x', 0)}) AS d0, list_transform(mi.vs, lambda x: {_density('x', 1)}) AS d1
+     FROM em, mi WHERE em.i < 300))))),
+mf AS (SELECT CASE WHEN m0 <= m1 THEN m0 ELSE m1 END AS m0, CASE WHEN m0 <= m1 THEN m1 ELSE m0 END AS m1, CASE WHEN m0 <= m1 THEN v0 ELSE v1 END AS v0,
+ CASE WHEN m0 <= m1 THEN v1 ELSE v0 END AS v1, CASE WHEN m0 <= m1 THEN w0 ELSE w1 END AS w0, CASE WHEN m0 <= m1 THEN w1 ELSE w0 END AS w1 FROM em WHERE i = 300),
+mt AS (SELECT j, m0 + (m1 - m0) * j / 400 AS t, mf.* FROM mf, (SELECT unnest(range(0, 401)) AS j)),
+md AS (SELECT j, t, {_density('t', 0)} - ({_density('t', 1)}) AS d FROM mt),
+mx AS (SELECT t FROM (SELECT j, t, d, lag(d) OVER (ORDER BY j) AS e FROM md) WHERE d <= 0 AND e > 0 OR d >= 0 AND e < 0 ORDER BY j LIMIT 1),
+mm AS (SELECT mf.*, CASE WHEN m1 > m0 THEN (SELECT t FROM mx) END AS crossover,
+ -2 * list_sum(list_transform(range(1, k + 1), lambda j: cs[j] * ln(greatest(exp(-pow(vs[j] - mean, 2) / (2 * var)) / sqrt(2 * pi() * var), 1e-300)))) + 2 * ln(n) AS bic1,
+ -2 * list_sum(list_transform(range(1, k + 1), lambda j: cs[j] * ln(greatest({_density('vs[j]', 0)} + {_density('vs[j]', 1)}, 1e-300)))) + 5 * ln(n) AS bic2,
+ abs(m1 - m0) / sqrt((v0 + v1) / 2) AS separation FROM mf, mi)"""
+
+
+@query(f"""WITH RECURSIVE {_SIG}, {MIXTURE} SELECT round(m0, 6) AS mu0, round(m1, 6) AS mu1, round(v0, 6) AS var0, round(v1, 6) AS var1, round(w0, 6) AS weight0, round(w1, 6) AS weight1,
+ round(crossover, 6) AS crossover, round(bic1, 4) AS bic1, round(bic2, 4) AS bic2, round(separation, 6) AS separation FROM mm""", "fx_cf")
 def gmm2(t: Tables) -> DataFrame:
-    return calibration.mixture(_signals(t), "gap")
+    row = calibration.mixture(_signals(t), "gap")
+    return row.select(*(F.round(c, 4 if c.startswith("bic") else 6).alias(c) for c in row.columns))
 
 
 @query(f"WITH {_HUB} SELECT sig.id, orig, sig.gap FROM sig WHERE EXISTS (SELECT 1 FROM hub WHERE hub.id = sig.id AND f1)", *_HUB_VIEWS)
@@ -470,18 +515,18 @@ def restrict_to_c1(t: Tables) -> DataFrame:
     return calibration.restrict(_signals(t), _hub(t).where("filters.C1")).select("id", "orig", "gap")
 
 
-@query("""WITH a AS (SELECT CASE arm WHEN 'C1' THEN 1.0 WHEN 'C2' THEN 1.5 ELSE 2.0 END::DOUBLE AS cut, avg(CAST(coalesce(predicted = gold, false) AS INT)) AS acc, min(seed) AS seed
- FROM fx_eval WHERE arm IN ('C1', 'C2', 'C3') GROUP BY arm, seed),
+@query("""WITH a AS (SELECT CASE arm WHEN 'C0' THEN 0.5 WHEN 'C1' THEN 1.0 WHEN 'C2' THEN 1.5 WHEN 'C3' THEN 2.0 ELSE 2.5 END::DOUBLE AS cut, avg(CAST(coalesce(predicted = gold, false) AS INT)) AS acc, min(seed) AS seed
+ FROM fx_eval GROUP BY arm, seed),
 c AS (SELECT cut, avg(acc) AS m, stddev_samp(acc) AS s FROM a GROUP BY cut), b AS (SELECT * FROM c ORDER BY m DESC, cut LIMIT 1), o AS (SELECT * FROM c WHERE cut = 1.5),
 f AS (SELECT max(m) - min(m) AS spread, avg(s) AS noise FROM c)
 SELECT round(spread, 9) AS spread, round(noise, 9) AS noise, b.cut AS best_cut, CASE WHEN spread <= greatest(noise, 1e-9) THEN 'flat' WHEN b.cut = 1.5 THEN 'same'
  WHEN b.m - o.m <= sqrt(b.s * b.s + o.s * o.s) THEN 'close' ELSE 'revisit' END AS verdict FROM f, b, o""", "fx_eval")
 def verify_cuts(t: Tables) -> DataFrame:
-    rows = t["fx_eval"].where("arm IN ('C1', 'C2', 'C3')").groupBy("arm", "seed").agg(
+    rows = t["fx_eval"].groupBy("arm", "seed").agg(
         F.avg(F.coalesce(F.col("predicted") == F.col("gold"), F.lit(False)).cast("int")).alias("accuracy")
     )
-    cut = F.when(F.col("arm") == "C1", 1.0).when(F.col("arm") == "C2", 1.5).otherwise(2.0)
-    rows = rows.select(cut.alias("cut"), "accuracy", F.col("arm").alias("pos")).withColumn("pos", F.ascii(F.right("pos", F.lit(1))))
+    cut = F.when(F.col("arm") == "C0", 0.5).when(F.col("arm") == "C1", 1.0).when(F.col("arm") == "C2", 1.5).when(F.col("arm") == "C3", 2.0).otherwise(2.5)
+    rows = rows.select(cut.alias("cut"), "accuracy", (cut * 2).cast("int").alias("pos"))
     found = calibration.verify_cuts(rows, 1.5)
     return found.select(F.round("spread", 9).alias("spread"), F.round("noise", 9).alias("noise"), "best_cut", "verdict")
 
