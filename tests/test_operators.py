@@ -314,3 +314,17 @@ def test_error_function(spark):
     zs = [0.0, 0.1, 0.7, 1.5, 2.4999, 2.5, 3.0, 5.0, 8.0]
     found = spark.createDataFrame([(z,) for z in zs], "z double").select(stats.complementary_error(F.col("z")).alias("e")).collect()
     assert all(math.isclose(r.e, math.erfc(z), rel_tol=1e-8, abs_tol=1e-15) for r, z in zip(found, zs))
+
+
+@pytest.mark.parametrize("values", [[0.0] * 5 + [0.5] * 3 + [4.0] * 6 + [4.43] * 2, [1.0, 1.1, 1.2, 1.3, 1.4, 1.5], [2.0, 2.0]])
+def test_auto_cut_as_a_plan(spark, values):
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    two, cut = calibration.mixture(table, "v"), calibration.otsu(table, "v")
+    row, otsu_row = two.first(), cut.first()
+    if otsu_row is None:
+        assert calibration.auto_cuts(two, cut).collect() == []
+        return
+    m = calibration.Mixture((row.mu0, row.mu1), (row.var0, row.var1), (row.weight0, row.weight1), row.crossover, row.bic1, row.bic2, row.separation)
+    found = calibration.auto_cuts(two, cut).first()
+    want = calibration.auto_cut(m, otsu_row["cut"])
+    assert (found.bimodal, found["cut"], found.effort, found.candidates) == (want["bimodal"], want["cut"], want["effort"], want["candidates"])

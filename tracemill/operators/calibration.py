@@ -182,6 +182,17 @@ def auto_cut(m: Mixture, otsu_cut: float | None, fallback: float = 1.0, present:
     return {"bimodal": bimodal, "cut": cut, "effort": effort, "candidates": rivals}
 
 
+def auto_cuts(two: DataFrame, cut: DataFrame, fallback: float = 1.0, present: float = 1.5) -> DataFrame:
+    """``auto_cut`` as a plan, from the one row of ``mixture`` and the one of ``otsu``; candidates are rounded as decimals."""
+    row = two.crossJoin(F.broadcast(cut.select(F.col("cut").alias("_otsu"))))
+    least = F.least("weight0", "weight1")
+    bimodal = F.coalesce((F.col("bic2") < F.col("bic1")) & (F.col("separation") >= 1.0) & (least >= 0.10) & F.col("crossover").isNotNull(), F.lit(False))
+    row = row.withColumn("bimodal", bimodal).withColumn("cut", F.when(F.col("bimodal"), F.col("crossover")).otherwise(F.lit(fallback)))
+    effort = F.when(F.col("separation") >= 2.0, "light").when(F.col("separation") >= 1.0, "normal").otherwise("thorough")
+    rivals = F.filter(F.transform(F.array("cut", "_otsu", F.lit(fallback), F.lit(present)), lambda c: F.bround(c, 2)), lambda c: c.isNotNull())
+    return row.select("bimodal", "cut", effort.alias("effort"), F.array_sort(F.array_distinct(rivals)).alias("candidates"))
+
+
 def auto_cut_text(found: dict) -> str:
     kind = "two groups" if found["bimodal"] else "one group, so the cut by meaning"
     rivals = ", ".join(f"{c:g}" for c in found["candidates"])

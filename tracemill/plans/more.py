@@ -8,7 +8,7 @@ from tracemill.config import GapGate
 from tracemill.functions import text as X
 from tracemill.operators import calibration, counterfactual, gates, judging, scoring, stats
 from tracemill.plans.fixtures import Tables
-from tracemill.plans.queries import _HUB, _HUB_VIEWS, _RUNS, _SIG, _TOK, PAIRS, STRICT, _bank, _results, _scored_hub, _signals, _with_texts, query
+from tracemill.plans.queries import MIXTURE, OTSU, _HUB, _HUB_VIEWS, _RUNS, _SIG, _TOK, PAIRS, STRICT, _bank, _results, _scored_hub, _signals, _with_texts, query
 from tracemill.sources import records
 from tracemill.workspace import Workspace
 
@@ -258,14 +258,16 @@ def gap_distribution(t: Tables):
     return row.select("n", F.round("mean", 9).alias("mean"), F.array_join(each, ",").alias("quantiles"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SIG}, {MIXTURE}, {OTSU}, o AS (SELECT cut AS otsu FROM b ORDER BY btw DESC, cut LIMIT 1),
+ x AS (SELECT *, coalesce(bic2 < bic1 AND separation >= 1 AND least(w0, w1) >= 0.1 AND crossover IS NOT NULL, false) AS bimodal FROM mm, o),
+ y AS (SELECT *, CASE WHEN bimodal THEN crossover ELSE 1.0 END AS cut FROM x)
+SELECT bimodal, round(cut, 6) AS cut, CASE WHEN separation >= 2 THEN 'light' WHEN separation >= 1 THEN 'normal' ELSE 'thorough' END AS effort,
+ array_to_string(list_sort(list_distinct([round_even(cut, 2), round_even(otsu, 2), 1.0::DOUBLE, 1.5::DOUBLE])), ',') AS candidates FROM y""", "fx_cf")
 def auto_cut(t: Tables):
-    row = calibration.mixture(_signals(t), "gap").first()
-    cut = calibration.otsu(_signals(t), "gap").first()["cut"]
-    m = calibration.Mixture((row.mu0, row.mu1), (row.var0, row.var1), (row.weight0, row.weight1), row.crossover, row.bic1, row.bic2, row.separation)
-    found = calibration.auto_cut(m, cut)
-    text = calibration.auto_cut_text(found)
-    return t.spark.createDataFrame([(found["bimodal"], found["cut"], found["effort"], found["candidates"], text)], "bimodal boolean, cut double, effort string, candidates array<double>, said string")
+    """The unsupervised cut: whether gaps are of two groups, where they part, and what to compare it with."""
+    found = calibration.auto_cuts(calibration.mixture(_signals(t), "gap"), calibration.otsu(_signals(t), "gap"))
+    rivals = F.array_join(F.transform("candidates", lambda c: c.cast("string")), ",")
+    return found.select("bimodal", F.round("cut", 6).alias("cut"), "effort", rivals.alias("candidates"))
 
 
 #: Two-sided p of McNemar's test: Simpson's rule for the normal integral, and binomial terms.

@@ -462,9 +462,13 @@ def nearest_rank_quantiles(t: Tables) -> DataFrame:
     return calibration.nearest_ranks(_signals(t), "gap", [0, 0.25, 0.5, 0.75, 1])
 
 
-@query(f"""WITH {_SIG}, h AS (SELECT gap AS v, count(*) AS c FROM sig WHERE gap IS NOT NULL GROUP BY gap),
+OTSU = """
+h AS (SELECT gap AS v, count(*) AS c FROM sig WHERE gap IS NOT NULL GROUP BY gap),
 w AS (SELECT v, lead(v) OVER (ORDER BY v) AS nx, sum(c) OVER (ORDER BY v) AS n0, sum(c * v) OVER (ORDER BY v) AS s0, sum(c) OVER () AS n, sum(c * v) OVER () AS s FROM h),
-b AS (SELECT (v + nx) / 2 AS cut, (n0 / n) * ((n - n0) / n) * (s0 / n0 - (s - s0) / (n - n0)) * (s0 / n0 - (s - s0) / (n - n0)) AS btw, CAST(n AS BIGINT) AS n FROM w WHERE nx IS NOT NULL)
+b AS (SELECT (v + nx) / 2 AS cut, (n0 / n) * ((n - n0) / n) * (s0 / n0 - (s - s0) / (n - n0)) * (s0 / n0 - (s - s0) / (n - n0)) AS btw, CAST(n AS BIGINT) AS n FROM w WHERE nx IS NOT NULL)"""
+
+
+@query(f"""WITH {_SIG}, {OTSU}
 SELECT cut, n, round(btw / (SELECT sum(c * v * v) / sum(c) - (sum(c * v) / sum(c)) * (sum(c * v) / sum(c)) FROM h), 9) AS share FROM b ORDER BY btw DESC, cut LIMIT 1""", "fx_cf")
 def otsu(t: Tables) -> DataFrame:
     return calibration.otsu(_signals(t), "gap").select("cut", "n", F.round("share", 9).alias("share"))
