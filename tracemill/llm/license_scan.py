@@ -20,6 +20,8 @@ A prediction stands if its family is likelier than ``least`` and a template of t
 ``share`` of the weight of the pairs of words of the paragraph, or of one of its sentences, must be the
 family's, or ``share`` of the pairs of a template's sentence of six pairs or more must be the paragraph's.
 A pair weighs one by the number of families that have it, so that names count and common words do not.
+A paragraph with a word that names a neighbouring licence (a lesser licence, a share-alike clause, one
+that allows no derivatives) is not the family's.
 All other paragraphs are unknown.
 
 Nulls: a null text has no paragraphs.  Ties: of equally likely families the first as listed.  Very long
@@ -199,8 +201,64 @@ TEMPLATES = {
         "This software is proprietary and confidential. Unauthorized copying of this file, via any medium is strictly prohibited.",
     ),
 }
+#: What families are called, alone and in notices; and what people say of a licence without granting it.
+CALLED = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache License Version 2.0, January 2004", "Apache-2.0 license"),
+    "MIT": ("MIT License", "MIT licence", "The MIT License (MIT)", "Expat license"),
+    "GPL": ("GNU General Public License", "GNU General Public License v3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU General Public License version 2", "GPLv3", "GPL-3.0-or-later"),
+    "LGPL": ("GNU Lesser General Public License", "GNU Lesser General Public License v3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "LGPLv3"),
+    "AGPL": ("GNU Affero General Public License", "GNU Affero General Public License v3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "AGPLv3"),
+    "BSD": ("BSD 3-Clause License", "BSD 2-Clause License", "3-clause BSD licence", "New BSD License", "BSD license"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License Version 2.0", "MPL 2.0"),
+    "CC-BY": ("Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License 4.0", "Creative Commons Attribution 3.0 Unported", "CC BY 4.0 licence"),
+    "CC-BY-SA": ("Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License 3.0", "CC BY-SA 4.0 licence"),
+    "CC-BY-NC": ("Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License 3.0", "CC BY-NC 4.0 licence"),
+    "CC0": ("CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"),
+    "Unlicense": ("The Unlicense",),
+    "ISC": ("ISC License",),
+}
+NOTICES = (
+    "{}", "Licensed under the {}.", "Text is available under the {}.", "The library is distributed under the {}, see COPYING.",
+    "This paper is distributed under the terms of the {}.", "This program is free to use under the {}.",
+)
+MENTIONS = (
+    "She studied the {} for an hour and had many questions.", "Many people know the {} and some do not like it.",
+    "The lecture compares the {} with others.", "We talked about the {} at dinner.",
+)
+TEMPLATES = {n: (*t, *(form.format(x) for x in CALLED.get(n, ()) for form in NOTICES)) for n, t in TEMPLATES.items()}
+#: Clauses of whole licences, by family, beside the notices.
+BODIES = {
+    "Apache-2.0": (
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, "
+        "royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and "
+        "otherwise transfer the Work.",
+        "Unless You explicitly state otherwise, any Contribution intentionally submitted for inclusion in the Work by You to the Licensor shall be "
+        "under the terms and conditions of this License, without any additional terms or conditions.",
+    ),
+    "GPL": (
+        "Each time you convey a covered work, the recipient automatically receives a license from the original licensors, to run, modify and "
+        "propagate that work, subject to this License.",
+        "THERE IS NO WARRANTY FOR THE PROGRAM, TO THE EXTENT PERMITTED BY APPLICABLE LAW. EXCEPT WHEN OTHERWISE STATED IN WRITING THE COPYRIGHT "
+        'HOLDERS AND/OR OTHER PARTIES PROVIDE THE PROGRAM "AS IS" WITHOUT WARRANTY OF ANY KIND.',
+    ),
+    "MPL-2.0": (
+        "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license under intellectual property rights (other than patent "
+        "or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit "
+        "its Contributions.",
+    ),
+}
+TEMPLATES = {n: tuple({tuple(item_words(x)): x for x in reversed((*t, *BODIES.get(n, ())))}.values())[::-1] for n, t in TEMPLATES.items()}
+#: Words that a paragraph of a family does not hold: they name a neighbour of it, or a licence of no family here.
+_NOT_BY = ("noderivatives", "noderivs", "noderivative", "nd")
+NEVER = {
+    "CC-BY": ("sharealike", "sa", "noncommercial", "nc", *_NOT_BY), "CC-BY-SA": ("noncommercial", "nc", *_NOT_BY),
+    "CC-BY-NC": ("sharealike", "sa", *_NOT_BY), "GPL": ("lesser", "affero", "lgpl", "agpl"), "LGPL": ("affero", "agpl"), "AGPL": ("lesser", "lgpl"),
+}
 #: Notices of licences of no family here: the unknown class must take them.
 FOREIGN = (
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Licensed under the University of Illinois Open Source License.", "Distributed under the terms of the Python Software Foundation License.",
     "Licensed under the Eclipse Public License 2.0.",
     "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0.",
     "Licensed under the European Union Public Licence version 1.2.",
@@ -236,6 +294,7 @@ OTHERS = (
     "Creative people share their common work with attribution of the authors.",
     "Licensed under terms to be announced by the holder.",
     "The license of this file is unknown.",
+    *(form.format(x) for names in CALLED.values() for x in names[:2] for form in MENTIONS),
 )
 FAMILIES = ("unknown", *TEMPLATES)
 _MASK_BITS = 18
@@ -262,6 +321,7 @@ class Templates:
         self.pairs, many = np.unique(np.concatenate(list(own.values())), return_counts=True)
         self.weight = 1 / many
         self.has = {n: np.isin(self.pairs, x) for n, x in own.items()}
+        self.never = {n: tk.hash_words([w.encode() for w in words]) for n, words in NEVER.items()}
 
     def part(self, family: str, pairs: np.ndarray) -> float:
         """The share of the weight of ``pairs`` that is the family's; a pair of no family weighs one."""
@@ -272,7 +332,10 @@ class Templates:
 
     def confirm(self, family: str, sentences: list[np.ndarray], share: float) -> bool:
         """Whether a paragraph, given as the hashes of its sentences' words, is the family's."""
-        whole = _pairs(np.concatenate(sentences))
+        words = np.concatenate(sentences)
+        if family in self.never and np.isin(words, self.never[family]).any():
+            return False
+        whole = _pairs(words)
         if any(self.part(family, x) >= share for x in (whole, *map(_pairs, sentences))):
             return True
         return any(np.isin(x, whole).sum() >= share * len(x) for x in self.sentences[family] if len(x) >= 6)
@@ -351,7 +414,7 @@ def _fragments(rng: np.random.Generator, sentences: list[list[bytes]], each: int
     out = []
     for _ in range(each if sentences else 0):
         s = sentences[rng.integers(len(sentences))]
-        n = len(s) if rng.random() < 0.5 else int(rng.integers(max(2, len(s) * 2 // 3), len(s) + 1))
+        n = len(s) if rng.random() < 0.5 else int(rng.integers(min(len(s), max(2, len(s) * 2 // 3)), len(s) + 1))
         at = int(rng.integers(len(s) - n + 1))
         words = [w for w in s[at : at + n] if rng.random() > 0.05]
         for _ in range(int(rng.integers(4))):
