@@ -68,6 +68,12 @@ def test_bands_and_blocks_against_brute_force(spark, monkeypatch):
     check(spark, corpus(3, groups=3, each=30))
 
 
+def test_many_buckets_in_few_partitions(spark, monkeypatch):
+    monkeypatch.setattr(J, "BUCKET_SHINGLES", 100)
+    monkeypatch.setattr(J, "MOST_PARTITIONS", 3)
+    check(spark, corpus(4))
+
+
 def test_oracle_with_bands_and_blocks_forced(spark, sf_small, monkeypatch):
     monkeypatch.setattr(J, "_blocks", lambda rows, most: F.ceil(rows / 2).cast("int"))
     same(J.op10_jaccard_join(spark, sf_small).toPandas(), oracle(J.ORACLE, sf_small))

@@ -545,6 +545,10 @@ def _closed(
     return roots
 
 
+#: Shingles for which there are four buckets; partitions at most: the driver holds a status for each and every task before it.
+BUCKET_SHINGLES, MOST_PARTITIONS = 8_000_000, 20_000
+
+
 def document_components(
     docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -569,9 +573,11 @@ def document_components(
     )
 
     total = found.agg(F.sum("n").alias("n")).first()["n"] or 0
-    buckets = max(16, int(total // 8_000_000) * 4)  # about a MB of entries from each of many tasks
+    buckets = max(16, int(total // BUCKET_SHINGLES) * 4)  # about a MB of entries from each of many tasks
+    parts = min(buckets, MOST_PARTITIONS)
     packed = _prefixes(docs.select("text"), common, buckets, size, percent)
-    packed = packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    # a task takes its buckets one by one, so that its memory is that of one, however many it has
+    packed = packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "kind")
     members = space.save(_members(packed), "members")
     common.unpersist()
     nodes = reps.where("doc_id IS NOT NULL")
@@ -586,11 +592,11 @@ def document_components(
         each = space.save(tiles.groupBy("node").agg(F.collect_list("tile").alias("tiles"), F.first("root").alias("root")), f"tiles-{uuid.uuid4().hex}")
         return _tiled(docs.join(each.hint("merge"), docs["doc_id"] == each["node"]).select("doc_id", "text", "tiles", "root"), size)
 
-    clusters = _closed(space, "clusters", groups, signatures, False, percent, buckets)
+    clusters = _closed(space, "clusters", groups, signatures, False, percent, parts)
     clusters = clusters.join(nodes, F.col("node") == nodes["doc_id"]).select("node", F.col("root").alias("key"), "n")
     clusters = space.save(clusters.unionByName(clusters.select(F.col("key").alias("node"), "key").dropDuplicates().join(
         nodes.select(F.col("doc_id").alias("node"), "n"), "node")), "cluster-rows")
-    roots = _closed(space, "components", clusters, arrays, True, percent, buckets)
+    roots = _closed(space, "components", clusters, arrays, True, percent, parts)
     space.drop("members", "cluster-rows")
 
     named = reps.join(roots, reps["doc_id"] == roots["node"], "left").select(
