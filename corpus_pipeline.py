@@ -1,4 +1,11 @@
-"""A training corpus in stages: each works on all that its predecessor kept."""
+"""A training corpus in stages: each works on all that its predecessor kept.
+
+Nulls: a document without a text or an id goes through all stages as an empty one: it is scored as an empty
+text, is near nothing, holds no passage, and has no tokens to mix.  Empty and very long texts are worked on
+whole.  Ties: of near duplicates the smallest id stays, of shared lines the largest id's.  Repeated rows of one
+id are judged alike by each stage; the Jaccard stage keeps those of the id that stays.  Columns beside those of
+``documents``, of whatever names, stay until the mix, which has columns of its own.  An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
