@@ -12,6 +12,8 @@ list of (start, length) in code points over the formatted text: one span for eac
 Nulls: null roles and texts are empty; a null id is a conversation of its own.  Turns with one number
 are ordered by role, then text.  JSON that cannot be parsed and layouts without a mapping give null
 turns and a null format.  Repeated rows are repeated turns; an empty table gives no conversation.
+Very long texts are formatted whole; a conversation is one row, so its texts meet in one task.  Columns
+are selected by name, so extra ones may have any name.
 """
 
 from __future__ import annotations
