@@ -34,3 +34,14 @@ def test_query(name, spark, sf_small, duck):
     want = duck.execute(ORACLES[name]).df()
     assert sorted(found.columns) == sorted(want.columns)
     assert rows(found) == rows(want)
+
+
+def test_languages_of_short_and_blank_texts(spark, tmp_path):
+    """Lengths whose quarter is no whole number, and texts of white space beyond ASCII's."""
+    texts = [None, "", " \n", *("a" * n for n in range(1, 13)), *("1" * n for n in range(1, 8)), "가가가aa가", "\u3000", "\xa0 \u2003", "\x1c"]
+    data = pd.DataFrame({"doc_id": range(4 * len(texts)), "text": [t for t in texts for _ in range(4)], "lang": "en", "source": "s"})
+    data.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", data)
+    found = QUERIES["think_languages"](spark, str(tmp_path)).toPandas()
+    assert rows(found) == rows(con.execute(ORACLES["think_languages"]).df())

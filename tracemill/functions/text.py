@@ -55,9 +55,13 @@ THINK = r"(?is)<think>(.*?)</think>"
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-def strip(text: Column) -> Column:
-    """Without Unicode white space at both ends; only the ends are looked at."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
+#: The white space of ASCII.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
+
+
+def strip(text: Column, white: str = WHITE_SPACE) -> Column:
+    """Without white space, by default that of Unicode, at both ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(white))
 
 
 def or_empty(text: Column) -> Column:
@@ -329,15 +333,15 @@ def shares_of(ko: Column, en: Column) -> Column:
     return F.struct((ko / both).alias("ko"), (en / both).alias("en"))
 
 
-def think_language(text: Column, shares: Column | None = None, mixed: float = 0.2) -> Column:
-    """korean, english, mixed, other or undetermined from language shares; null for an empty text."""
+def think_language(text: Column, shares: Column | None = None, mixed: float = 0.2, white: str = WHITE_SPACE) -> Column:
+    """korean, english, mixed, other or undetermined from language shares; null for a text of ``white`` only."""
     if shares is None:
         # both counts in a list of one: an inlined count would be taken again for each field that reads it
         counts = F.struct(hangul_count(text).alias("ko"), latin_count(text).alias("en"))
         found = bound(counts, lambda c: language_of_counts(c["ko"], c["en"], mixed))
     else:
         found = bound(shares, lambda s: language_of(s, mixed))
-    return F.when(strip(or_empty(text)) != "", found)
+    return F.when(strip(or_empty(text), white) != "", found)
 
 
 def language_of_counts(ko: Column, en: Column, mixed: float = 0.2) -> Column:

@@ -72,6 +72,8 @@ NEEDS = {
     "fx_judge": ("fx_cf", "fx_bank"), "fx_text": (), "fx_cot": (), "fx_answer": (),
     "fx_runs": ("fx_bank", "fx_eval"),
 }
+#: What Spark reads otherwise than DuckDB, whose casts to INT round halves to even, and the same in its words.
+SPARK = {"CAST(length(text) / 4 AS INT)": "CAST(bround(length(text) / 4) AS INT)"}
 
 
 class Tables:
@@ -88,6 +90,8 @@ class Tables:
             return self.base(name)
         text = VIEWS[name]
         names = [n for n in (*VIEWS, "documents", "labels") if f"{{{n}}}" in text]
+        for said, meant in SPARK.items():
+            text = text.replace(said, meant)
         return self.spark.sql(text, **{n: self[n] for n in names})
 
 
