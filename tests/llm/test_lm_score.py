@@ -193,3 +193,58 @@ def test_endings():
     words = tk.words(tk.Chunk(0, 1, np.frombuffer(b"xing ing g ng", np.uint8), np.array([0, 13])), tk.SPACE)
     e = M.ending(words)
     assert e[0] == e[1] and len(set(e[1:].tolist())) == 3
+
+
+def test_runs_sum_the_errors_of_each_row():
+    """Each row once, with all its tokens' errors: rows of one token, of few, of many, and one of all of them."""
+    rng = np.random.default_rng(6)
+    n = 5000
+    rows = np.stack([rng.permutation(n) + 1000, rng.integers(0, 900, n), rng.integers(0, 40, n) + 900, np.full(n, M.ROWS - 1), rng.integers(0, 900, n)])
+    error = rng.random((n, M.WAYS), dtype=np.float32)
+    want = np.zeros((M.ROWS, M.WAYS))
+    for r in rows:
+        np.add.at(want, r, error)
+    runs = M.Runs(rows)
+    assert (runs.row == np.unique(rows)).all() and (runs.row[runs.number] == rows).all()
+    assert (runs.size == np.bincount(rows.ravel())[runs.row]).all()
+    found = error.take(runs.token[runs.first], 0)
+    more, total = runs.sums(error)
+    found[more] = total
+    assert np.allclose(found, want[runs.row], rtol=1e-4) and sorted(more.tolist()) == np.flatnonzero(runs.size > 1).tolist()
+
+
+def test_a_step_takes_what_a_plain_one_takes():
+    rng = np.random.default_rng(7)
+    vocabulary = M.Vocabulary(np.zeros(0, tk.U), np.zeros(0, np.int64))
+    vocabulary.leaf = (np.arange(M.ITEMS) % M.LEAVES).astype(np.int32)
+    trainer = M.Trainer(rng.normal(size=(M.ROWS, M.WAYS)).astype(np.float32), vocabulary, 0.35)
+    context = rng.integers(0, 60, (M.CONTEXTS, 700)).astype(tk.U) * M._ODD[:, None]
+    item = rng.integers(0, M.ITEMS, 700) // rng.integers(1, 2000, 700)
+    leaf, depth = vocabulary.leaf[item].astype(np.int64), M.depth_of(item)
+    now, squares, used = trainer.now.astype(float), np.ones(M.ROWS), np.zeros(M.ROWS)
+    for level in range(M.LEVELS):
+        _, rows, choice = M._level(context, leaf, depth, level)
+        z = np.exp(now[rows].sum(0))
+        z /= z.sum(1, keepdims=True)
+        z[np.arange(len(choice)), choice] -= 1
+        gradient = np.zeros((M.ROWS, M.WAYS))
+        for r in rows:
+            np.add.at(gradient, r, z)
+            np.add.at(used, r, 1)
+        squares += (gradient**2).sum(1) / M.WAYS
+        now -= 0.35 * gradient / np.sqrt(squares)[:, None]
+    trainer._step(context, item)
+    changes, counted = trainer.changes()
+    assert np.allclose(trainer.now, now, atol=1e-4) and (counted == used).all()
+    assert np.allclose(changes, now - trainer.first, atol=1e-4)
+
+
+def test_counts_of_many_words_and_their_endings(spark):
+    """Words whose hashes share first bits or not are counted whole, each with its ending."""
+    table = docs(spark, *[(i, " ".join(f"w{(i * 37 + j) % 5000}" for j in range(3000))) for i in range(8)])
+    want = Counter(t for i in range(8) for t in (f"w{(i * 37 + j) % 5000}" for j in range(3000)))
+    found = {r.hash: (r["count"], r.ending) for r in M.token_counts(table.select("text")).collect()}
+    assert found.pop(-1) == (8, -1) and len(found) == len(want)
+    for word, n in want.items():
+        words = tk.words(chunk_of(word), tk.SPACE)
+        assert found[int(words.hash.view(np.int64)[0])] == (n, int(M.ending(words)[0]))

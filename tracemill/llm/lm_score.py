@@ -76,9 +76,10 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _LOG10 = float(np.log(10))
 
 
-def ending(words: tk.Words) -> np.ndarray:
-    """Bucket of a word's last three bytes."""
-    size, at = words.end - words.start, words.end - 1
+def ending(words: tk.Words, own: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Bucket of the last three bytes of each word, or of some."""
+    start, end = words.start[own], words.end[own]
+    size, at = end - start, end - 1
     code = words.lower[at].astype(np.int64)
     for back in (1, 2):
         code = code * 257 + np.where(size > back, words.lower[at - back].astype(np.int64) + 1, 0)
@@ -137,8 +138,10 @@ def sequences(words: tk.Words, vocabulary: Vocabulary, with_context: bool = True
     own = np.flatnonzero(own)
     found = vocabulary.find(words.hash)
     item = np.zeros(n, np.int64)
-    frequent = np.where(found >= 0, vocabulary.item[found] if len(vocabulary.item) else -1, -1)
-    item[own] = np.where(frequent >= 0, frequent, OWN + ending(words))
+    frequent = np.where(found >= 0, vocabulary.item[found] if len(vocabulary.item) else -1, -1).astype(np.int64)
+    other = np.flatnonzero(frequent < 0)
+    frequent[other] = OWN + ending(words, other)
+    item[own] = frequent
     known = np.full(n, -1, np.int64)
     known[own] = found
     if not with_context:
@@ -170,13 +173,23 @@ def _level(
     return on, rows, leaf >> 4 * (LEVELS - 1 - level) & WAYS - 1
 
 
+_ONES = np.ones(WAYS, np.float32)
+#: Tokens and rows that are taken at a time, so that what is at work stays in the processor's cache.
+_STRETCH = 2048
+
+
 def _shares(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of the classes' sums of weights, by token, and their totals; sums stay within +-60."""
-    z = weights.take(rows[0], 0)
-    for r in rows[1:]:
-        z += weights.take(r, 0)
-    np.exp(np.clip(z, -60, 60, out=z), out=z)
-    return z, z @ np.ones(WAYS, np.float32)
+    out = np.empty((rows.shape[1], WAYS), np.float32)
+    more = np.empty((min(_STRETCH, len(out)), WAYS), np.float32)
+    for a in range(0, len(out), _STRETCH):
+        z = out[a : a + _STRETCH]
+        term = more[: len(z)]
+        weights.take(rows[0, a : a + _STRETCH], 0, z, "clip")  # without a copy; all rows are of the table
+        for r in rows[1:]:
+            z += weights.take(r[a : a + _STRETCH], 0, term, "clip")
+        np.exp(np.clip(z, -60, 60, out=z), out=z)
+    return out, out @ _ONES
 
 
 def depth_of(item: np.ndarray) -> np.ndarray:
@@ -186,12 +199,12 @@ def depth_of(item: np.ndarray) -> np.ndarray:
 
 def log_leaf(weights: np.ndarray, context: np.ndarray, leaf: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each leaf in its context."""
-    out = np.zeros(len(leaf))
+    out = np.ones(len(leaf))  # four shares of e**-123 at least stay above the least number
     for level in range(LEVELS):
         on, rows, choice = _level(context, leaf, depth, level)
         share, total = _shares(weights, rows)
-        out[on] += np.log(share[np.arange(len(choice)), choice] / total)
-    return out
+        out[on] *= share.ravel()[np.arange(0, share.size, WAYS) + choice] / total
+    return np.log(out)
 
 
 #: A row of weights as one element.
@@ -204,8 +217,7 @@ class Trainer:
     def __init__(self, weights: np.ndarray, vocabulary: Vocabulary, rate: float):
         self.first, self.now, self.vocabulary, self.rate = weights, weights.copy(), vocabulary, rate
         self.cells = self.now.view(_CELL).ravel()  # the same memory: whole rows are written at once
-        self.squares = np.ones(len(weights), np.float32)  # one mean square by row
-        self.used = np.zeros(len(weights), np.float32)
+        self.state = np.ones(len(weights), np.complex64)  # by row: one mean square, and the number of uses
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -231,45 +243,74 @@ class Trainer:
             _, rows, choice = _level(context, leaf, depth, level)
             if not len(choice):
                 continue
-            error, total = _shares(self.now, rows)
+            runs = Runs(rows)
+            now = self.now.take(runs.row, 0)
+            error, total = _shares(now, runs.number)
             error *= (1 / total)[:, None]
-            at_token = np.arange(len(choice))
-            error[at_token, choice] -= 1
-            # rows in order, each with the tokens that use it, by one sort of packed numbers
-            packed = (rows.astype(tk.U) << tk.U(20)) | at_token.astype(tk.U)
-            packed = np.sort(packed, axis=None)
-            row = (packed >> tk.U(20)).view(np.int64)
-            token = (packed & tk.U((1 << 20) - 1)).view(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            size = np.diff(np.append(first, len(row)))
-            gradient = _sums(error, token, first, size)
-            at = row[first]
-            self.used[at] += size
-            squares = self.squares.take(at)
-            squares += np.einsum("ij,ij->i", gradient, gradient) / WAYS
-            self.squares[at] = squares
-            gradient *= (-self.rate / np.sqrt(squares))[:, None]
-            gradient += self.now.take(at, 0)
-            self.cells[at] = gradient.view(_CELL).ravel()
+            error.ravel()[np.arange(0, error.size, WAYS) + choice] -= 1
+            more, total = runs.sums(error)
+            token = runs.token.take(runs.first)
+            square = np.einsum("ij,ij->i", error, error).take(token)
+            square[more] = np.einsum("ij,ij->i", total, total)
+            gradient = error.take(token, 0)
+            gradient.view(_CELL).ravel()[more] = total.view(_CELL).ravel()
+            state = self.state.take(runs.row)
+            state.real += square / WAYS
+            state.imag += runs.size
+            self.state[runs.row] = state
+            gradient *= (-self.rate / np.sqrt(state.real))[:, None]
+            gradient += now
+            self.cells[runs.row] = gradient.view(_CELL).ravel()
 
     def changes(self) -> tuple[np.ndarray, np.ndarray]:
         """Changes of all weights, and how often each row was used."""
         if self.held:
             self._steps(last=True)
-        return self.now - self.first, self.used
-
-
-def _sums(error: np.ndarray, rows: np.ndarray, first: np.ndarray, size: np.ndarray, many: int = 24) -> np.ndarray:
-    """Sums of ``error[rows]`` over runs: long ones each by itself, short ones all in step."""
-    out = error.take(rows[first], 0)
-    live, k = np.flatnonzero((size > 1) & (size < many)), 1
-    while len(live):
-        out[live] += error.take(rows[first[live] + k], 0)
-        k += 1
-        live = live[size[live] > k]
-    for u in np.flatnonzero(size >= many).tolist():
-        out[u] = error.take(rows[first[u] : first[u] + size[u]], 0).sum(0)
-    return out
+        return self.now - self.first, self.state.imag.copy()
+
+
+class Runs:
+    """The different rows that tokens use, in order, so that each is read and written once a step."""
+
+    def __init__(self, rows: np.ndarray):
+        # rows in order, each with its places (feature and token), by one sort of packed numbers
+        packed = rows.view(tk.U) << tk.U(20)
+        packed |= np.arange(rows.shape[1], dtype=tk.U) + (np.arange(len(rows), dtype=tk.U) * tk.U(STEP_TOKENS))[:, None]
+        packed = np.sort(packed, axis=None)
+        place = (packed & tk.U((1 << 20) - 1)).view(np.int64)
+        packed >>= tk.U(20)
+        new = np.ones(len(packed), bool)
+        np.not_equal(packed[1:], packed[:-1], out=new[1:])
+        self.first = np.flatnonzero(new)
+        self.size = np.append(self.first[1:], len(packed)) - self.first
+        self.row = packed[self.first].view(np.int64)
+        self.number = np.empty((len(rows), STEP_TOKENS), np.int64)  # of each place's row among the different ones
+        self.number.ravel()[place] = np.cumsum(new) - 1
+        self.number = self.number[:, : rows.shape[1]]
+        self.token = place & (STEP_TOKENS - 1)
+
+    def sums(self, error: np.ndarray, many: int = 48) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that more than one place has, and sums of the errors of their tokens: long runs each by itself,
+        short ones all in step, the longest first."""
+        more = np.flatnonzero(self.size > 1)
+        more = more[np.argsort(-self.size[more])]
+        first, size = self.first[more], self.size[more]
+        stops = np.searchsorted(-size, -np.arange(1, many)).tolist()  # how many runs are longer than 1, 2 and so on
+        long = stops[-1]
+        out = error.take(self.token.take(first), 0)
+        for u in range(long):
+            own = error.take(self.token[first[u] : first[u] + size[u]], 0)
+            if len(own) > 1024:  # in wide rows, which is faster
+                even = len(own) & -WAYS
+                wide = own[:even].reshape(-1, WAYS * WAYS).sum(0)
+                own = np.concatenate([wide.reshape(WAYS, WAYS), own[even:]])
+            own.sum(0, out=out[u])
+        short = out[long:]
+        for k, stop in enumerate(stops[:-1], 1):
+            if stop <= long:
+                break
+            short[: stop - long] += error.take(self.token.take(first[long:stop] + k), 0)
+        return more, out
 
 
 _COUNTS = pa.schema([("hash", pa.int64()), ("ending", pa.int32()), ("count", pa.int64())])
@@ -282,12 +323,14 @@ def token_counts(docs: DataFrame) -> DataFrame:
         ends, held, parts = 0, 0, []
 
         def flush() -> pa.RecordBatch:
-            value, first, count = np.unique(
-                np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True
-            )
-            return batch_of(
-                _COUNTS, tk.as_long(value), np.concatenate([p[1] for p in parts])[first].astype(np.int32), count.astype(np.int64)
-            )
+            value, ends_in = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            # in order of their first bits, with places below them: words of the same first bits may come in pieces
+            low = tk.U((1 << len(value).bit_length()) - 1)
+            place = (np.sort(value & ~low | np.arange(len(value), dtype=tk.U)) & low).view(np.int64)
+            value = value.take(place)
+            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            count = np.append(first[1:], len(value)) - first
+            return batch_of(_COUNTS, tk.as_long(value[first]), ends_in[place[first]].astype(np.int32), count)
 
         for batch in batches:
             for chunk in tk.chunks(batch.column(0)):
@@ -324,8 +367,7 @@ def _tree(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                 before = np.zeros(len(found.item), np.int64)
                 before[1:] = np.minimum(found.item[:-1], NEAR - 1)
                 before[found.rows[:-1]] = 0  # the start of a text, as an end goes before nothing
-                value, times = np.unique(found.item * NEAR + before, return_counts=True)
-                out[value] += times.astype(np.int32)
+                np.add.at(out, found.item * NEAR + before, np.int32(1))
         out = out.reshape(-1, _BLOCK * NEAR)
         for b in np.flatnonzero(out.any(1)).tolist():
             yield batch_of(_NEAR, [b], [out[b].tobytes()])
@@ -533,13 +575,18 @@ _PART_SQL = (
 )
 
 
-def _scored(chunk: tk.Chunk, model: Model) -> tuple[np.ndarray, ...]:
+def _logs(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of the known words' counts for the base and for shared leaves, and those of one occurrence last."""
+    counts = np.append(model.vocabulary.counts, 1)
+    return np.log10(counts + ADD), np.log10(counts - DISCOUNT)
+
+
+def _scored(chunk: tk.Chunk, model: Model, logs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """By row: tokens, known ones, sums of base and of model logs but for rare words' shares, and the rare words."""
     words = tk.words(chunk, tk.SPACE)
     found = sequences(words, model.vocabulary)
     n = len(found.item)
-    counts = np.append(model.vocabulary.counts, 1)
-    log, inner = np.log10(counts + ADD)[found.known], np.log10(counts - DISCOUNT)[found.known]  # a rare word's come later
+    log, inner = (x[found.known] for x in logs or _logs(model))  # a rare word's come later
     rare = np.zeros(n, bool)
     rare[found.own] = found.known[found.own] < 0
     end = found.item == 0
@@ -579,10 +626,11 @@ def score(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_id
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 36  # rows are numbered by task; the table is written once
+        logs = _logs(shared.value)
         for batch in batches:
             for chunk in tk.chunks(batch.column(2)):
                 ids, held = (batch.column(i).slice(chunk.first, chunk.rows) for i in (0, 1))
-                yield batch_of(_PART, np.arange(at, at + chunk.rows), ids, held, *_scored(chunk, shared.value))
+                yield batch_of(_PART, np.arange(at, at + chunk.rows), ids, held, *_scored(chunk, shared.value, logs))
                 at += chunk.rows
 
     narrow = docs.select(F.col(id_col).cast("long"), held_out.alias("held_out"), F.col(text_col).cast("string"))
