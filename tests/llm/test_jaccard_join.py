@@ -91,6 +91,27 @@ def test_large_clusters_take_few_tiles(spark):
     assert J._second_tiles(banded.where("key = 2"), near) is None
 
 
+def test_bands_and_tiles_take_few_shuffles(spark):
+    """The driver keeps each task of each shuffle: on skewed input, bands by joins filled its memory."""
+    rows = spark.createDataFrame([(i % 9, i, 40 + i % 60) for i in range(300)], "key long, node long, n long")
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    banded = J._banded(rows)
+    assert shuffles(banded) <= 4
+    roots = spark.createDataFrame([(i, i % 9) for i in range(9, 200)], "node long, root long")
+    written = []
+    banded = banded.withColumn("wide", F.lit(True)).localCheckpoint()
+    tiles = J._second_tiles(banded, roots, lambda df: written.append(shuffles(df)) or df.localCheckpoint())
+    assert shuffles(tiles) <= 4 and len(written) == 1 and written[0] <= 8
+
+
+def test_bands_beside_are_those_next_to_a_band(spark):
+    rows = [(1, 3, 5), (1, 4, 6), (1, 6, 7), (2, 5, 8), (3, 2, None), (3, 3, 9)]
+    found = J._beside(spark.createDataFrame(rows, "key long, band int, c int"), "c").collect()
+    value = {(k, b): c for k, b, c in rows}
+    want = {(k, b, c, value.get((k, b - 1)), value.get((k, b + 1))) for k, b, c in rows}
+    assert {(r.key, r.band, r.c, r.c_below, r.c_above) for r in found} == want and len(found) == len(rows)
+
+
 def test_signatures_never_lose_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):

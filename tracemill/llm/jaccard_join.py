@@ -45,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tracemill.session import ship_package
 
@@ -279,23 +280,24 @@ def _blocks(rows: Column, most: Column) -> Column:
 
 
 def _beside(counts: DataFrame, value: str) -> DataFrame:
-    """Counts by (``key``, ``band``) with those of the band below and above."""
-    below = counts.select("key", (F.col("band") + 1).alias("band"), F.col(value).alias(f"{value}_below"))
-    above = counts.select("key", (F.col("band") - 1).alias("band"), F.col(value).alias(f"{value}_above"))
-    return counts.join(below, ["key", "band"], "left").join(above, ["key", "band"], "left")
+    """One row by (``key``, ``band``) with the values of the band below and above; a key has few bands."""
+    near = lambda step: F.max(value).over(W.partitionBy("key").orderBy("band").rangeBetween(step, step))
+    return counts.withColumn(f"{value}_below", near(-1)).withColumn(f"{value}_above", near(1))
 
 
 def _banded(members: DataFrame) -> DataFrame:
-    """Rows (``key``, ``node``, ``n``) of groups of two or more with band, blocks of it and beside it, own block, and whether a pivot."""
+    """Rows (``key``, ``node``, ``n``) of groups of two or more with band, blocks of it and beside it, own block, whether a
+    pivot, and whether some band of the group has many blocks (``wide``)."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
     members = members.withColumn("band", band)
     pick = lambda i: F.min_by("node", F.xxhash64("node", F.lit(i)))
     counts = members.groupBy("key", "band").agg(
         F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"), F.array(*(pick(i) for i in range(PIVOTS))).alias("pivots")
     )
-    group = counts.groupBy("key").agg(F.sum("rows").alias("whole")).where("whole > 1").select("key")
-    counts = counts.join(group, "key").select("key", "band", _blocks(F.col("rows"), F.col("most")).alias("blocks"), "pivots")
-    shape = _beside(counts.select("key", "band", "blocks"), "blocks").join(counts.select("key", "band", "pivots"), ["key", "band"])
+    own = W.partitionBy("key")
+    counts = counts.withColumn("whole", F.sum("rows").over(own)).where("whole > 1")
+    counts = counts.select("key", "band", _blocks(F.col("rows"), F.col("most")).alias("blocks"), "pivots")
+    shape = _beside(counts, "blocks").withColumn("wide", F.max("blocks").over(own) > 1)
     m = members.join(shape, ["key", "band"])
     m = m.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     return m.withColumn("pivot", F.array_contains("pivots", F.col("node"))).drop("pivots")
@@ -311,23 +313,24 @@ def _first_tiles(banded: DataFrame) -> DataFrame:
     return banded.select("node", "n", F.explode(tiles).alias("tile"), F.col("node").alias("root"))
 
 
-def _second_tiles(banded: DataFrame, roots: DataFrame) -> DataFrame | None:
+def _second_tiles(
+    banded: DataFrame, roots: DataFrame, save: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> DataFrame | None:
     """The tiles of pairs that have not met: rows outside their group's largest component, with blocks beside them.
 
     None if every band is one block and so are the bands beside it.
     """
-    wide = banded.where((F.col("blocks") > 1) | (F.coalesce("blocks_below", F.lit(0)) > 1) | (F.coalesce("blocks_above", F.lit(0)) > 1))
+    wide = banded.where("wide")
     if wide.isEmpty():
         return None
-    wide = wide.select("key").dropDuplicates()
-    rows = banded.join(wide, "key").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = wide.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("largest"))
-    rows = rows.join(largest, "key").withColumn("out", F.col("root") != F.col("largest"))
-    left = rows.where("out").groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"))
-    left = left.select("key", "band", _blocks(F.col("c"), F.col("most")).alias("left"))
-    bands = rows.select("key", "band").dropDuplicates()
-    rows = rows.join(_beside(bands.join(left, ["key", "band"], "left"), "left"), ["key", "band"])
+    # saved, since the counts of what is left read them as well as the tiles
+    rows = save(rows.join(largest, "key").withColumn("out", F.col("root") != F.col("largest")))
+    left = rows.groupBy("key", "band").agg(F.count_if("out").alias("c"), F.max(F.when(F.col("out"), F.col("n"))).alias("most"))
+    left = left.select("key", "band", F.when(F.col("c") > 0, _blocks(F.col("c"), F.col("most"))).alias("left"))
+    rows = rows.join(_beside(left, "left"), ["key", "band"])
     spot = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest("left", F.lit(1))).cast("int")
     low = lambda of, to: of * 4 + to - of + 1  # noqa: E731  # a band and the one it meets
     band = F.col("band")
@@ -439,7 +442,7 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _links(tiled: DataFrame, exact: bool, percent: int) -> DataFrame:
-    """Links found in tiles; a task sees a tile's rows one after another."""
+    """Links found in tiles, some by several; a task sees a tile's rows one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows = None, []
@@ -463,7 +466,7 @@ def _links(tiled: DataFrame, exact: bool, percent: int) -> DataFrame:
                 rows.append(row)
         yield from found()
 
-    return map_batches(tiled, run, "a long, b long").dropDuplicates()
+    return map_batches(tiled, run, "a long, b long")
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -538,7 +541,7 @@ def _closed(
     dealt = lambda tiles: fill(tiles).repartition(buckets, *_KEY).sortWithinPartitions(*_KEY)
     links = space.save(_links(dealt(_first_tiles(banded)), exact, percent), f"{name}-links")
     roots = components(links, space, name)
-    more = _second_tiles(banded, roots)
+    more = _second_tiles(banded, roots, lambda rows: space.save(rows, f"{name}-out"))
     if more is not None:
         later = space.save(_links(dealt(more), exact, percent), f"{name}-later")
         roots = components(links.unionByName(later), space, f"{name}-all")
@@ -582,7 +585,7 @@ def document_components(
     common.unpersist()
     nodes = reps.where("doc_id IS NOT NULL")
     groups = members.dropDuplicates().join(nodes, members["set"] == nodes["d1"])
-    groups = groups.select(F.col("leader").alias("key"), F.col("doc_id").alias("node"), "n")
+    groups = space.save(groups.select(F.col("leader").alias("key"), F.col("doc_id").alias("node"), "n"), "groups")
     maps = nodes.select(F.col("doc_id").alias("node"), F.col("signature").alias("values"))
 
     def signatures(tiles: DataFrame) -> DataFrame:
@@ -593,11 +596,12 @@ def document_components(
         return _tiled(docs.join(each.hint("merge"), docs["doc_id"] == each["node"]).select("doc_id", "text", "tiles", "root"), size)
 
     clusters = _closed(space, "clusters", groups, signatures, False, percent, parts)
-    clusters = clusters.join(nodes, F.col("node") == nodes["doc_id"]).select("node", F.col("root").alias("key"), "n")
-    clusters = space.save(clusters.unionByName(clusters.select(F.col("key").alias("node"), "key").dropDuplicates().join(
-        nodes.select(F.col("doc_id").alias("node"), "n"), "node")), "cluster-rows")
+    # every node of a cluster has its root, and the root itself
+    firsts = clusters.select(F.col("root").alias("node"), "root").dropDuplicates()
+    clusters = clusters.unionByName(firsts).select("node", F.col("root").alias("key"))
+    clusters = space.save(clusters.join(nodes.select(F.col("doc_id").alias("node"), "n"), "node"), "cluster-rows")
     roots = _closed(space, "components", clusters, arrays, True, percent, parts)
-    space.drop("members", "cluster-rows")
+    space.drop("members", "groups", "cluster-rows")
 
     named = reps.join(roots, reps["doc_id"] == roots["node"], "left").select(
         F.col("d1"), F.col("d2"), F.coalesce("root", "doc_id").alias("component_id")
