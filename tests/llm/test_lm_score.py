@@ -248,3 +248,27 @@ def test_counts_of_many_words_and_their_endings(spark):
     for word, n in want.items():
         words = tk.words(chunk_of(word), tk.SPACE)
         assert found[int(words.hash.view(np.int64)[0])] == (n, int(M.ending(words)[0]))
+
+
+def test_a_step_updates_rows_in_stretches(monkeypatch):
+    """Same weights whatever the stretch, and no array of all rows' gradients beside that of their weights."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n = M.STEP_TOKENS
+    context, item = rng.integers(0, 2**63, (M.CONTEXTS, n)).astype(np.uint64), rng.integers(0, M.ITEMS, n)
+    context[:, : n // 2] = context[:, :1]  # long runs and single rows
+    words = M.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    words.leaf = rng.integers(0, M.LEAVES, M.ITEMS).astype(np.int32)
+    found, peaks = [], []
+    for stretch in (n * 8, 2048, 77):
+        monkeypatch.setattr(M, "_STRETCH", stretch)
+        trainer = M.Trainer(np.zeros((M.ROWS, M.WAYS), np.float32), words, 0.35)
+        tracemalloc.start()
+        trainer._step(context, item)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        found.append(trainer.changes())
+    for values, used in found[1:]:
+        assert (values == found[0][0]).all() and (used == found[0][1]).all()
+    assert peaks[1] < 0.9 * peaks[0]

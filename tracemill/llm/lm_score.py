@@ -250,17 +250,19 @@ class Trainer:
             error.ravel()[np.arange(0, error.size, WAYS) + choice] -= 1
             more, total = runs.sums(error)
             token = runs.token.take(runs.first)
-            square = np.einsum("ij,ij->i", error, error).take(token)
-            square[more] = np.einsum("ij,ij->i", total, total)
-            gradient = error.take(token, 0)
-            gradient.view(_CELL).ravel()[more] = total.view(_CELL).ravel()
-            state = self.state.take(runs.row)
-            state.real += square / WAYS
-            state.imag += runs.size
-            self.state[runs.row] = state
-            gradient *= (-self.rate / np.sqrt(state.real))[:, None]
-            gradient += now
-            self.cells[runs.row] = gradient.view(_CELL).ravel()
+            token[more] = len(error) + np.arange(len(more))  # the sums stand behind the tokens' own errors
+            error = np.concatenate([error, total])
+            square = np.einsum("ij,ij->i", error, error) / WAYS
+            for a in range(0, len(token), _STRETCH):
+                row, own = runs.row[a : a + _STRETCH], token[a : a + _STRETCH]
+                state = self.state.take(row)
+                state.real += square.take(own)
+                state.imag += runs.size[a : a + _STRETCH]
+                self.state[row] = state
+                gradient = error.take(own, 0)
+                gradient *= (-self.rate / np.sqrt(state.real))[:, None]
+                gradient += now[a : a + _STRETCH]
+                self.cells[row] = gradient.view(_CELL).ravel()
 
     def changes(self) -> tuple[np.ndarray, np.ndarray]:
         """Changes of all weights, and how often each row was used."""
